@@ -1,4 +1,5 @@
 """Imports every plan module so that all queries are registered."""
 
+from lakeloom.plans import quality  # noqa: F401
 from lakeloom.plans import relational  # noqa: F401
 from lakeloom.plans import scalars  # noqa: F401
