@@ -1,5 +1,6 @@
 """Imports every plan module so that all queries are registered."""
 
+from lakeloom.plans import io  # noqa: F401
 from lakeloom.plans import matching  # noqa: F401
 from lakeloom.plans import quality  # noqa: F401
 from lakeloom.plans import relational  # noqa: F401
