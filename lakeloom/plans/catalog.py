@@ -5,3 +5,4 @@ from lakeloom.plans import matching  # noqa: F401
 from lakeloom.plans import quality  # noqa: F401
 from lakeloom.plans import relational  # noqa: F401
 from lakeloom.plans import scalars  # noqa: F401
+from lakeloom.plans import streams  # noqa: F401
