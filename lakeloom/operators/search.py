@@ -134,7 +134,7 @@ def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: f
         j = j.where(F.abs(F.col(f"a_d{k}") - F.col(f"b_d{k}")) <= r + 1e-12)
     j = j.withColumn("score", _dot(F.col("a_u"), F.col("b_u")))
     # each pair meets exactly one of b's three ring copies: no duplicates
-    return j.where(F.col("score") >= t - 1e-12).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), "score")
+    return j.where(F.col("score") >= t).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), "score")
 
 
 def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95,
