@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHECKPOINT_EVERY = 1  # the per-round plan references the edge set several times: truncate every round
 
-def match_groups(df: DataFrame, left_key: str = "id_a", right_key: str = "id_b", max_rounds: int = 100) -> DataFrame:
+
+def _both_ways(e: DataFrame) -> DataFrame:
+    return (e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            .where(F.col("u") != F.col("v")).distinct())
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every node hands its larger neighbours to its smallest neighbour."""
+    m = e.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
+    out = e.join(m, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _both_ways(out)
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node links itself and its smaller neighbours to the smallest of them."""
+    low = e.where(F.col("v") < F.col("u"))
+    m = low.groupBy("u").agg(F.min("v").alias("m"))
+    linked = low.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    own = m.select("u", F.col("m").alias("v"))
+    keep = e.join(m.select("u"), "u", "left_anti").where(F.col("v") > F.col("u"))  # nodes with no smaller neighbour keep theirs
+    return _both_ways(linked.unionByName(own).unionByName(keep))
+
+
+def match_groups(df: DataFrame, left_key: str = "id_a", right_key: str = "id_b", max_rounds: int = 200) -> DataFrame:
     """``id, cluster_id``: every node's cluster id is the smallest member id
     (compared as text). Edges with a NULL end are dropped.
 
-    Min-label propagation with pointer jumping, all as DataFrame joins:
-    each round every node takes the smallest label among itself and its
-    neighbours, then jumps to its label's label. Labels are checkpointed
-    each round (reliable checkpoint in ``spark.checkpoint.dir``) so the
-    lineage stays one round deep and a lost executor only recomputes one
-    round. Stops when no label changes."""
+    Alternating large-star / small-star rounds (each a grouped min plus an
+    equi-join over the edge list, no per-component collection) turn every
+    component into a star around its smallest node in a logarithmic number
+    of rounds; a round that leaves the edge set unchanged ends the loop.
+    Edge sets are persisted per round and checkpointed to the session's
+    checkpoint directory every few rounds, so lineage stays short and a
+    lost executor recomputes at most a few rounds."""
     a, b = F.col(left_key).cast("string"), F.col(right_key).cast("string")
-    e = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("src"), b.alias("dst"))
-    edges = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    edges = edges.where(F.col("src") != F.col("dst")).checkpoint(eager=True)
-    nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    labels = nodes.select("id", F.col("id").alias("label")).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        # smallest label among neighbours
-        nb = edges.join(labels.select(F.col("id").alias("dst"), F.col("label").alias("nl")), "dst") \
-                  .groupBy(F.col("src").alias("id")).agg(F.min("nl").alias("nl"))
-        step = labels.join(nb, "id", "left").select("id", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        # pointer jumping: adopt the label of my label
-        jump = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("ll")), "label", "left") \
-                   .select("id", F.least("label", F.coalesce("ll", "label")).alias("label"))
-        new = jump.checkpoint(eager=True)
-        changed = new.join(labels.select("id", F.col("label").alias("old")), "id").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+    raw = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("u"), b.alias("v"))
+    nodes = raw.select(F.col("u").alias("id")).unionByName(raw.select(F.col("v").alias("id"))).distinct()
+    e = _both_ways(raw).checkpoint(eager=True)
+
+    def signature(x: DataFrame):
+        r = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
+        return r["n"], r["h"]
+
+    sig = signature(e)
+    persisted = []
+    for rnd in range(1, max_rounds + 1):
+        nxt = _small_star(_large_star(e))
+        if rnd % CHECKPOINT_EVERY == 0:
+            nxt = nxt.checkpoint(eager=True)
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            persisted.append(nxt)
+        new_sig = signature(nxt)
+        e = nxt
+        if new_sig == sig:
             break
+        sig = new_sig
     else:
         raise RuntimeError(f"match_groups: no convergence after {max_rounds} rounds")
-    return labels.select("id", F.col("label").alias("cluster_id"))
+    # converged: each component is a star centred on its smallest node
+    centre = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
+    out = (nodes.join(centre, "id", "left")
+           .select("id", F.least(F.col("id"), F.coalesce(F.col("m"), F.col("id"))).alias("cluster_id"))
+           .checkpoint(eager=True))
+    for p in persisted:
+        p.unpersist()
+    return out
