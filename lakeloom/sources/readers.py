@@ -177,8 +177,8 @@ _SCHEMES = {"s3": "s3a://", "minio": "s3a://", "r2": "s3a://", "b2": "s3a://", "
 
 
 def resolve_uri(store: str, path: str | None = None, bucket: str | None = None, key: str | None = None) -> str:
-    if path and "://" in path:
-        return path
+    if path and re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path  # already a URI (s3a://, gs://, file:/...)
     base = _SCHEMES.get(store, "")
     if bucket:
         return f"{base}{bucket}/{(key or '').lstrip('/')}"
