@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +104,16 @@ def vector_search(df: DataFrame, vector_column: str, target_vector: list[float],
     return out
 
 
+@F.pandas_udf("double")
+def _pair_dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-wise dot products of two equal-length vector columns, one numpy
+    einsum per Arrow batch."""
+    if len(a) == 0:
+        return pd.Series([], dtype="float64")
+    x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
+    return pd.Series(np.einsum("ij,ij->i", x, y))
+
+
 def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 4) -> DataFrame:
     """All pairs ``(i, j)`` with ``i < j`` and cosine ≥ threshold, exactly.
 
@@ -132,7 +145,7 @@ def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: f
     j = a.join(b, (F.col("a_ring") == F.col("b_ring")) & (F.col("a_id") < F.col("b_id")))
     for k in range(len(pcols)):
         j = j.where(F.abs(F.col(f"a_d{k}") - F.col(f"b_d{k}")) <= r + 1e-12)
-    j = j.withColumn("score", _dot(F.col("a_u"), F.col("b_u")))
+    j = j.withColumn("score", _pair_dot(F.col("a_u"), F.col("b_u")))
     # each pair meets exactly one of b's three ring copies: no duplicates
     return j.where(F.col("score") >= t).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), "score")
 

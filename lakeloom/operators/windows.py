@@ -44,13 +44,18 @@ def global_dense_rank(df: DataFrame, order: list[str], output: str) -> DataFrame
 
 def rank_rows(
     df: DataFrame, func: str = "row_number", partition_by=None, order_by=None, ntile_buckets: int = 4,
-    output: str | None = None,
+    output: str | None = None, skew_safe: bool = False,
 ) -> DataFrame:
-    """row_number / rank / dense_rank / ntile, ascending, result as BIGINT."""
+    """row_number / rank / dense_rank / ntile, ascending, result as BIGINT.
+    ``skew_safe`` row_number splits hot keys over range partitions."""
     keys, order = col_list(partition_by), col_list(order_by)
     if not order:
         raise ValueError(f"{func}: order_by is required")
     out = output or func
+    if keys and skew_safe and func == "row_number":
+        from lakeloom.operators.segmented import keyed_row_number
+
+        return keyed_row_number(df, keys, order, out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_asc(order))
         e = F.ntile(int(ntile_buckets)).over(w) if func == "ntile" else _RANKERS[func]().over(w)
@@ -73,11 +78,15 @@ def rank_rows(
 
 def lead_lag(
     df: DataFrame, func: str, target_column: str, offset: int = 1, partition_by=None, order_by=None,
-    output: str | None = None,
+    output: str | None = None, skew_safe: bool = False,
 ) -> DataFrame:
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or func
     f = F.lead if func == "lead" else F.lag
+    if keys and skew_safe:
+        from lakeloom.operators.segmented import keyed_shift
+
+        return keyed_shift(df, keys, order, target_column, int(offset) if func == "lag" else -int(offset), out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_asc(order))
         return df.withColumn(out, f(F.col(target_column), int(offset)).over(w))
@@ -132,11 +141,15 @@ _CUM = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max
 
 
 def cumulative(df: DataFrame, column: str, order_by, function: str = "sum", partition_by=None,
-               output: str | None = None) -> DataFrame:
+               output: str | None = None, skew_safe: bool = False) -> DataFrame:
     """Running aggregate, ROWS frame, ``{col}_running_{fn}``."""
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or f"{column}_running_{function}"
     f = _CUM[function]
+    if keys and skew_safe:
+        from lakeloom.operators.segmented import keyed_running
+
+        return keyed_running(df, keys, order, column, function, out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, f(F.col(column)).over(w))
@@ -162,9 +175,13 @@ def cumulative(df: DataFrame, column: str, order_by, function: str = "sum", part
     return j.withColumn(out, e).drop(*[x for x in j.columns if x.startswith("__")])
 
 
-def fill_forward(df: DataFrame, column: str, order_by, partition_by=None) -> DataFrame:
+def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = False) -> DataFrame:
     """Last non-NULL value up to the current row, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
+    if keys and skew_safe:
+        from lakeloom.operators.segmented import keyed_fill
+
+        return keyed_fill(df, keys, order, column)
     w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if keys:
         return df.withColumn(column, F.last(F.col(column), ignorenulls=True).over(w))
@@ -178,9 +195,13 @@ def fill_forward(df: DataFrame, column: str, order_by, partition_by=None) -> Dat
     return j.withColumn(column, F.coalesce(F.col("__f"), F.col("__carry"))).select(*df.columns)
 
 
-def fill_backward(df: DataFrame, column: str, order_by, partition_by=None) -> DataFrame:
+def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = False) -> DataFrame:
     """First non-NULL value from the current row on, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
+    if keys and skew_safe:
+        from lakeloom.operators.segmented import keyed_fill
+
+        return keyed_fill(df, keys, order, column, backward=True)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
         return df.withColumn(column, F.first(F.col(column), ignorenulls=True).over(w))
@@ -202,14 +223,28 @@ _UNIT_SECONDS = {"seconds": 1, "second": 1, "minutes": 60, "minute": 60, "hours"
 def sessionize(
     df: DataFrame, partition_by, order_by: str, gap: float, gap_unit: str = "minutes",
     session_column: str = "session_id", emit_seq: bool = True, seq_column: str = "session_seq",
+    skew_safe: bool = False,
 ) -> DataFrame:
     """New session when the gap to the previous event is strictly greater
-    than the threshold; ids run 1.. per partition; seq restarts per session."""
+    than the threshold; ids run 1.. per partition; seq restarts per session.
+    ``skew_safe`` builds it from the range-partitioned keyed primitives
+    (lag as an equi-join, session ids as a carried running sum)."""
     keys = col_list(partition_by)
     if not keys:
         raise ValueError("sessionize: partition_by is required (a single global session stream is one task)")
     micros = int(float(gap) * _UNIT_SECONDS[gap_unit] * 1_000_000)
     ts = F.col(order_by)
+    if skew_safe:
+        from lakeloom.operators.segmented import keyed_row_number, keyed_running, keyed_shift
+
+        prev = keyed_shift(df, keys, order_by, order_by, 1, "__prev")
+        gap_us = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.col("__prev").cast("timestamp"))
+        flagged = prev.withColumn("__brk", F.when(F.col("__prev").isNull() | (gap_us > micros), 1).otherwise(0)).drop("__prev")
+        out = keyed_running(flagged, keys, order_by, "__brk", "sum", session_column)
+        out = out.withColumn(session_column, F.col(session_column).cast("bigint")).drop("__brk")
+        if emit_seq:
+            out = keyed_row_number(out, keys + [session_column], order_by, seq_column)
+        return out
     w = Window.partitionBy(*keys).orderBy(ts.asc_nulls_last())
     prev = F.lag(ts).over(w)
     gap_us = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))

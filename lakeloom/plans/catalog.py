@@ -7,3 +7,4 @@ from lakeloom.plans import relational  # noqa: F401
 from lakeloom.plans import scalars  # noqa: F401
 from lakeloom.plans import streams  # noqa: F401
 from lakeloom.plans import coverage  # noqa: F401
+from lakeloom.plans import skew  # noqa: F401

@@ -168,3 +168,24 @@ def test_sample_percent_exact_and_repeatable(spark):
 def test_rename_moves_renamed_last(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert cols.rename(df, "a:x").columns == ["b", "c", "x"]
+
+
+def test_skew_safe_windows_match_plain_windows(spark):
+    # one key holds most rows; the skew-safe forms must equal Spark's window
+    data = [("hot" if i % 10 else f"k{i % 7}", i, None if i % 4 == 0 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, t int, v double")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for fn, kw in [(win.cumulative, {"column": "v", "order_by": "t", "partition_by": "k"}),
+                       (win.fill_forward, {"column": "v", "order_by": "t", "partition_by": "k"}),
+                       (win.fill_backward, {"column": "v", "order_by": "t", "partition_by": "k"})]:
+            a = sorted(map(tuple, fn(df, **kw).collect()), key=repr)
+            b = sorted(map(tuple, fn(df, skew_safe=True, **kw).collect()), key=repr)
+            assert a == b, fn.__name__
+        a = sorted(map(tuple, win.rank_rows(df, "row_number", "k", "t").collect()))
+        b = sorted(map(tuple, win.rank_rows(df, "row_number", "k", "t", skew_safe=True).collect()))
+        assert a == b
+        a = sorted(map(tuple, win.lead_lag(df, "lag", "v", 3, "k", "t").collect()), key=repr)
+        b = sorted(map(tuple, win.lead_lag(df, "lag", "v", 3, "k", "t", skew_safe=True).collect()), key=repr)
+        assert a == b
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
