@@ -555,7 +555,7 @@ UNION ALL SELECT 'rows_only_in_target', CAST((SELECT COUNT(*) FROM j WHERE tk IS
 UNION ALL SELECT 'keys_matched', CAST((SELECT COUNT(*) FROM j WHERE sk IS NOT NULL AND tk IS NOT NULL) AS DOUBLE)
 UNION ALL SELECT 'amt_source_sum', CAST((SELECT SUM(amt) FROM s) AS DOUBLE)
 UNION ALL SELECT 'amt_target_sum', CAST((SELECT SUM(amt) FROM t) AS DOUBLE)
-UNION ALL SELECT 'amt_difference', CAST((SELECT SUM(amt) FROM s) - (SELECT SUM(amt) FROM t) AS DOUBLE)
+UNION ALL SELECT 'amt_difference', CAST((SELECT SUM(amt) FROM s) AS DOUBLE) - CAST((SELECT SUM(amt) FROM t) AS DOUBLE)
 """
 
 
@@ -676,8 +676,8 @@ def q_window_agg(spark, d):
 
 @query(
     "cumulative",
-    """SELECT *, SUM(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-           AS turn_running_sum FROM conversations""",
+    """SELECT *, CAST(SUM(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           AS BIGINT) AS turn_running_sum FROM conversations""",
 )
 def q_cumulative(spark, d):
     return win.cumulative(Tables(spark, d).conversations, "turn", "turn", "sum", "conv_id")

@@ -362,7 +362,7 @@ def q_bucketize(spark, d):
 # ------------------------------------------------------------ json/arrays
 
 
-@query("json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract(props, '$.k') AS k_raw FROM events")
+@query("json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract(props, '$.k') AS VARCHAR) AS k_raw FROM events")
 def q_json_path(spark, d):
     e = Tables(spark, d).events.select("event_id", "props")
     e = nf.json_path(e, "props", "$.k", output="k")
