@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.core import col_list, require_cols
+from lakeloom.core import col_list, global_row_number, require_cols
 
 
 def order_spec(order_by, nulls_last: bool = True) -> list[Column]:
@@ -42,19 +42,41 @@ def limit_rows(df: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def top_n(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
-    """ORDER BY … LIMIT n → TakeOrderedAndProject (per-partition top-n, then merge)."""
+    """ORDER BY … LIMIT n → TakeOrderedAndProject (per-partition top-n, then
+    merge) for small n; a large n is numbered over range partitions."""
     spec = order_spec(order_by)
+    if spec and int(n) > TOPK_IN_ONE_TASK:
+        return global_row_number(df, spec, "__rn").where(F.col("__rn") <= int(n)).drop("__rn")
     return (df.orderBy(*spec) if spec else df).limit(int(n))
 
 
+# Above this many rows a top-k is not gathered in one task: rows are
+# numbered over range partitions and filtered instead.
+TOPK_IN_ONE_TASK = 100_000
+
+
+def _first_k_by(df: DataFrame, key: Column, k: int) -> DataFrame:
+    """The ``k`` rows with the smallest ``key``: a distributed top-k for small
+    k, range-partitioned numbering for large k (no single task)."""
+    if k <= TOPK_IN_ONE_TASK:
+        return df.orderBy(key).limit(k)
+    numbered = global_row_number(df.withColumn("__key", key), ["__key"], "__rn")
+    return numbered.where(F.col("__rn") <= k).drop("__key", "__rn")
+
+
 def skip_rows(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
+    """Rows after the first ``n`` in order. Numbered over range partitions
+    (Spark's OFFSET would pull every row into one task)."""
     spec = order_spec(order_by)
-    return (df.orderBy(*spec) if spec else df).offset(int(n))
+    if not spec:
+        return df.offset(int(n))
+    numbered = global_row_number(df, spec, "__rn")
+    return numbered.where(F.col("__rn") > int(n)).drop("__rn")
 
 
 def sample_rows(df: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows chosen by a seeded row hash (distributed top-n)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])).limit(int(n))
+    """Exactly ``n`` rows chosen by a seeded row hash."""
+    return _first_k_by(df, F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]), int(n))
 
 
 def sample_percent(df: DataFrame, percent: float, method: str = "reservoir", seed: int = 42) -> DataFrame:
@@ -71,7 +93,7 @@ def sample_percent(df: DataFrame, percent: float, method: str = "reservoir", see
     if method != "reservoir":
         raise ValueError(f"sample_percent: unknown method {method!r}")
     k = int(round(df.count() * p))
-    return df.orderBy(h).limit(k)
+    return _first_k_by(df, h, k)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:

@@ -189,3 +189,19 @@ def test_skew_safe_windows_match_plain_windows(spark):
         b = sorted(map(tuple, win.lead_lag(df, "lag", "v", 3, "k", "t", skew_safe=True).collect()), key=repr)
         assert a == b
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_large_k_paths_match_top_k(spark):
+    import lakeloom.operators.rows as r
+
+    df = spark.range(1, 301)
+    small = sorted(x.id for x in r.sample_percent(df, 10, "reservoir", 7).collect())
+    old = r.TOPK_IN_ONE_TASK
+    r.TOPK_IN_ONE_TASK = 5
+    try:
+        big = sorted(x.id for x in r.sample_percent(df, 10, "reservoir", 7).collect())
+        top = [x.id for x in r.top_n(df, 20, [("id", "desc")]).collect()]
+    finally:
+        r.TOPK_IN_ONE_TASK = old
+    assert small == big and len(big) == 30 and sorted(top) == list(range(281, 301))
+    assert sorted(x.id for x in r.skip_rows(df, 290, ["id"]).collect()) == list(range(291, 301))
