@@ -10,6 +10,7 @@ import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lakeloom.core import col_list
 
@@ -104,7 +105,7 @@ def vector_search(df: DataFrame, vector_column: str, target_vector: list[float],
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _pair_dot(a: pd.Series, b: pd.Series) -> pd.Series:
     """Row-wise dot products of two equal-length vector columns, one numpy
     einsum per Arrow batch."""
