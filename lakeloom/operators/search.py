@@ -105,50 +105,70 @@ def vector_search(df: DataFrame, vector_column: str, target_vector: list[float],
     return out
 
 
-@F.pandas_udf(DoubleType())
-def _pair_dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise dot products of two equal-length vector columns, one numpy
-    einsum per Arrow batch."""
-    if len(a) == 0:
-        return pd.Series([], dtype="float64")
-    x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
-    return pd.Series(np.einsum("ij,ij->i", x, y))
-
-
-def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 4) -> DataFrame:
+# Vectors per block: a block pair is one numpy matrix product of at most
+# BLOCK x BLOCK dot products.
+BLOCK = 512
+
+
+def _block_pairs(t: float):
+    def run(batches):
+        for pdf in batches:
+            out_i, out_j, out_s = [], [], []
+            for ra, rb, same in zip(pdf["ra"], pdf["rb"], pdf["same"]):
+                ia = np.array([r["id"] for r in ra], dtype=np.int64)
+                ib = np.array([r["id"] for r in rb], dtype=np.int64)
+                xa = np.stack([np.asarray(r["u"], dtype=np.float64) for r in ra])
+                xb = np.stack([np.asarray(r["u"], dtype=np.float64) for r in rb])
+                sims = xa @ xb.T
+                keep = sims >= t
+                if same:
+                    keep &= ia[:, None] < ib[None, :]
+                else:
+                    keep &= ia[:, None] != ib[None, :]
+                r, c = np.nonzero(keep)
+                lo, hi = np.minimum(ia[r], ib[c]), np.maximum(ia[r], ib[c])
+                out_i.append(lo)
+                out_j.append(hi)
+                out_s.append(sims[r, c])
+            if out_i:
+                yield pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j), "score": np.concatenate(out_s)})
+    return run
+
+
+def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 1) -> DataFrame:
     """All pairs ``(i, j)`` with ``i < j`` and cosine ≥ threshold, exactly.
 
-    Unit vectors with cosine ≥ t lie within r = sqrt(2 − 2t) of each other.
-    Distances to a few pivot vectors bound the pair distance from below
-    (triangle inequality): rings of width r around the first pivot give an
-    equi-join key (ring, ring+1), the other pivots prune further, and only
-    the survivors get the full dot product. No pair within r is missed."""
+    Unit vectors with cosine ≥ t lie within r = sqrt(2 − 2t) of each other,
+    so their distances to a pivot vector differ by at most r (triangle
+    inequality): rings of width r around the pivot mean only vectors in the
+    same or adjacent rings can match — an equi-join key. Inside a ring,
+    vectors are cut into blocks of at most ``BLOCK``; each candidate block
+    pair is verified with one numpy matrix product and only pairs above the
+    threshold leave the task. Every candidate is checked; none is capped."""
     t = float(threshold)
     r = math.sqrt(max(2.0 - 2.0 * t, 0.0))
     v = F.col(vector_column)
     unit = df.where(v.isNotNull() & (F.size(v) > 0)).select(
-        F.col(id_column).alias("id"), v.alias("v")).withColumn("n", _norm(F.col("v"))).where(F.col("n") > 0) \
+        F.col(id_column).cast("bigint").alias("id"), v.alias("v")).withColumn("n", _norm(F.col("v"))).where(F.col("n") > 0) \
         .select("id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("u"))
     pivots = unit.orderBy("id").limit(n_pivots).select(F.col("u").alias("p")).collect()  # ≤ n_pivots vectors
     if not pivots:
         return df.sparkSession.createDataFrame([], "i long, j long, score double")
-    pcols = [F.array(*[F.lit(float(x)) for x in p["p"]]) for p in pivots]
+    p0 = F.array(*[F.lit(float(x)) for x in pivots[0]["p"]])
     width = r if r > 0 else 1e-9
-
-    def dist(a: Column, b: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z))
-
-    feats = unit.select("id", "u", *[dist(F.col("u"), p).alias(f"d{k}") for k, p in enumerate(pcols)])
-    feats = feats.withColumn("ring", F.floor(F.col("d0") / width).cast("bigint"))
-    a = feats.select(*[F.col(c).alias(f"a_{c}") for c in feats.columns])
-    b = feats.select(*[F.col(c).alias(f"b_{c}") for c in feats.columns]).withColumn(
-        "b_ring", F.explode(F.array(F.col("b_ring") - 1, F.col("b_ring"), F.col("b_ring") + 1)))
-    j = a.join(b, (F.col("a_ring") == F.col("b_ring")) & (F.col("a_id") < F.col("b_id")))
-    for k in range(len(pcols)):
-        j = j.where(F.abs(F.col(f"a_d{k}") - F.col(f"b_d{k}")) <= r + 1e-12)
-    j = j.withColumn("score", _pair_dot(F.col("a_u"), F.col("b_u")))
-    # each pair meets exactly one of b's three ring copies: no duplicates
-    return j.where(F.col("score") >= t).select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), "score")
+    d0 = F.sqrt(F.aggregate(F.zip_with(F.col("u"), p0, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z))
+    feats = unit.withColumn("ring", F.floor(d0 / width).cast("bigint"))
+    counts = {row["ring"]: row["count"] for row in feats.groupBy("ring").count().collect()}  # one row per ring
+    nb = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(max(1, -(-c // BLOCK))))])
+    blocks = (feats.withColumn("blk", F.pmod(F.xxhash64("id"), F.element_at(nb, F.col("ring"))))
+              .groupBy("ring", "blk").agg(F.collect_list(F.struct("id", "u")).alias("rows")))  # ≤ BLOCK rows each
+    a = blocks.select(F.col("ring").alias("ar"), F.col("blk").alias("ab"), F.col("rows").alias("ra"))
+    b = blocks.select(F.col("ring").alias("br"), F.col("blk").alias("bb"), F.col("rows").alias("rb")) \
+        .withColumn("key", F.explode(F.array(F.col("br"), F.col("br") - 1)))
+    pairs = a.join(b, F.col("ar") == F.col("key")).where(
+        ((F.col("br") == F.col("ar")) & (F.col("ab") <= F.col("bb"))) | (F.col("br") == F.col("ar") + 1))
+    pairs = pairs.select("ra", "rb", ((F.col("br") == F.col("ar")) & (F.col("ab") == F.col("bb"))).alias("same"))
+    return pairs.mapInPandas(_block_pairs(t), "i long, j long, score double")
 
 
 def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95,
