@@ -51,12 +51,23 @@ def write_parquet(df: DataFrame, path: str, compression: str = "zstd", row_group
 
 
 def write_json(df: DataFrame, path: str, format: str = "newline_delimited", mode: str = "overwrite") -> None:
-    """NDJSON; ``format='array'`` writes one JSON array document — that form
-    funnels through one task, so it is meant for bounded exports."""
+    """NDJSON; ``format='array'`` writes one JSON array document. A single
+    file has a single writer task, but rows stream through it line by line
+    (numbered over range partitions, sorted with spilling) instead of being
+    gathered into one in-memory value."""
     if format == "array":
-        arr = df.select(F.to_json(F.struct("*")).alias("j")).coalesce(1)
-        text = arr.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value"))
-        text.write.mode(mode).text(path)
+        from lakeloom.core import global_row_number
+
+        rows = df.select(F.to_json(F.struct("*")).alias("j"))
+        numbered = global_row_number(rows, ["j"], "__rn")
+        lines = numbered.select("__rn", F.concat(F.when(F.col("__rn") == 1, F.lit("[")).otherwise(F.lit(",")), "j").alias("value"))
+        tail = df.sparkSession.createDataFrame([(2**62, "]")], "__rn bigint, value string")
+        head = df.sparkSession.createDataFrame([(0, "[")], "__rn bigint, value string")
+        body = lines.unionByName(tail)
+        # an empty input still yields a valid "[" "]" document
+        empty = df.limit(1).count() == 0
+        out = head.unionByName(tail) if empty else body
+        out.coalesce(1).sortWithinPartitions("__rn").select("value").write.mode(mode).text(path)
     else:
         df.write.mode(mode).json(path)
 

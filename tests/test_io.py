@@ -127,3 +127,13 @@ def test_code_nodes(spark):
     assert sorted(r.id for r in kept) == [1, 2]
     mb = code.map_batches(df, lambda vals: [v * 10 for v in vals], "amount", "x", "bigint", batch_size=2).collect()
     assert sorted(r.x for r in mb) == [50, 100, 200]
+
+
+def test_write_json_array_document(spark, tmp_dir):
+    import glob
+    import json
+
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(30)], "id int, name string")
+    writers.write_json(df, os.path.join(tmp_dir, "arr"), "array")
+    text = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(tmp_dir, "arr", "part-*"))))
+    assert sorted(r["id"] for r in json.loads(text)) == list(range(30))
