@@ -80,6 +80,20 @@ def write_avro(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).format("avro").save(path)
 
 
+def write_iceberg(df: DataFrame, table: str, mode: str = "overwrite") -> None:
+    """Table-format write through the DataFrameWriterV2 API (needs the
+    Iceberg runtime jar and a configured catalog)."""
+    w = df.writeTo(table).using("iceberg")
+    if mode == "overwrite":
+        w.createOrReplace()
+    else:
+        w.append()
+
+
+def write_delta(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    df.write.mode(mode).format("delta").save(path)
+
+
 def write_cloud(df: DataFrame, store: str, path: str | None = None, bucket: str | None = None, key: str | None = None,
                 **options) -> None:
     """Pick the writer by extension on an object-store URI."""
