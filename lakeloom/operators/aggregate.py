@@ -134,7 +134,11 @@ def denormalize(df: DataFrame, group_by, aggregate_columns, separator: str = ",
     tuple so positions line up across columns; NULLs skipped per column."""
     ks = col_list(group_by)
     vals = col_list(aggregate_columns)
-    packed = F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(c) for c in vals])))
+    # sort key per field is (is NULL, value): NULLS LAST within the tuple order
+    fields = []
+    for i, c in enumerate(vals):
+        fields += [F.isnull(F.col(c)).alias(f"__n{i}"), F.col(c).alias(c)]
+    packed = F.array_sort(F.collect_list(F.struct(*fields)))
     out = df.groupBy(*ks).agg(packed.alias("__rows"))
 
     def joined(c: str) -> Column:

@@ -114,7 +114,7 @@ def q_standardize(spark, d):
 @query(
     "mask",
     """SELECT c_custkey, md5('pepper' || c_name) AS c_name,
-              CASE WHEN length(c_mktsegment) <= 3 THEN c_mktsegment
+              CASE WHEN length(c_mktsegment) <= 3 THEN repeat('*', length(c_mktsegment))
                    ELSE repeat('*', length(c_mktsegment) - 3) || right(c_mktsegment, 3) END AS c_mktsegment,
               NULL::DOUBLE AS c_acctbal, 'hidden' AS c_nationkey FROM customer""",
 )
