@@ -166,3 +166,37 @@ def keyed_shift(df: DataFrame, keys, order, column: str, offset: int = 1, output
                             F.col(column).alias(output))
     cond = [numbered[k].eqNullSafe(other[f"__k_{k}"]) for k in ks] + [numbered["__rn"] == other["__rn2"]]
     return numbered.join(other, cond, "left").select(*[numbered[c] for c in df.columns], other[output])
+
+
+def keyed_rank(df: DataFrame, keys, order, output: str = "rank", dense: bool = False) -> DataFrame:
+    """``rank`` / ``dense_rank`` per key, skew-safe. Without a tie-breaking
+    hash, equal (key, order) rows share a range partition, so a local rank
+    plus the rows (or distinct order values) of the same key in earlier
+    partitions is exact."""
+    ks, od = col_list(keys), col_list(order)
+    numbered = range_numbered(df, ks + od, split_ties=False)
+    w = Window.partitionBy("__pid", *ks).orderBy(*_asc(od))
+    local = numbered.withColumn("__r", (F.dense_rank() if dense else F.rank()).over(w))
+    measure = F.count_distinct(F.struct(*[F.col(c) for c in od])) if dense else F.count(F.lit(1))
+    tails = _tails(numbered, ks, {"n": measure})
+    carry = _carry_rows(tails, lambda acc, t: acc + t["n"], 0)
+    spark = df.sparkSession
+    cf = spark.createDataFrame([(p, c) for p, c in carry], "__pid int, __c bigint")
+    j = local.join(F.broadcast(cf), "__pid").join(F.broadcast(_edge_frame(df, ks, tails, "fk")), "__pid")
+    out = j.withColumn(output, (F.col("__r") + F.when(_at_edge(ks), F.col("__c")).otherwise(F.lit(0))).cast("bigint"))
+    return out.select(*df.columns, output)
+
+
+def keyed_ntile(df: DataFrame, keys, order, buckets: int, output: str = "ntile") -> DataFrame:
+    """``ntile(n)`` per key from the skew-safe row number and the key's row
+    count (a grouped count, reduced map-side)."""
+    ks = col_list(keys)
+    numbered = keyed_row_number(df, ks, order, "__r")
+    counts = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n"))
+    j = numbered.join(counts, [numbered[k].eqNullSafe(counts[k]) for k in ks]).select(numbered["*"], counts["__n"])
+    n = int(buckets)
+    r, total = F.col("__r"), F.col("__n")
+    q, rem = F.floor(total / n), total % n
+    big = rem * (q + 1)
+    bucket = F.when(r <= big, F.floor((r - 1) / (q + 1)) + 1).otherwise(rem + F.floor((r - 1 - big) / q) + 1)
+    return j.withColumn(output, bucket.cast("bigint")).select(*df.columns, output)

@@ -52,10 +52,14 @@ def rank_rows(
     if not order:
         raise ValueError(f"{func}: order_by is required")
     out = output or func
-    if keys and skew_safe and func == "row_number":
-        from lakeloom.operators.segmented import keyed_row_number
+    if keys and skew_safe:
+        from lakeloom.operators import segmented as seg
 
-        return keyed_row_number(df, keys, order, out)
+        if func == "row_number":
+            return seg.keyed_row_number(df, keys, order, out)
+        if func == "ntile":
+            return seg.keyed_ntile(df, keys, order, ntile_buckets, out)
+        return seg.keyed_rank(df, keys, order, out, dense=func == "dense_rank")
     if keys:
         w = Window.partitionBy(*keys).orderBy(*_asc(order))
         e = F.ntile(int(ntile_buckets)).over(w) if func == "ntile" else _RANKERS[func]().over(w)

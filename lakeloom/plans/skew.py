@@ -89,3 +89,21 @@ SELECT *, CAST(row_number() OVER (PARTITION BY event_type, session_id ORDER BY t
 def q_sess_skew(spark, d):
     e = Tables(spark, d).events.select("event_id", "ts", "event_type")
     return win.sessionize(e, "event_type", "ts", 2, "minutes", skew_safe=True)
+
+
+@query("rank_skew_safe", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS BIGINT) AS rank FROM lineitem")
+def q_rank_skew(spark, d):
+    li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return win.rank_rows(li, "rank", "l_returnflag", "l_quantity", skew_safe=True)
+
+
+@query("dense_rank_skew_safe", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, CAST(dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS BIGINT) AS dense_rank FROM lineitem")
+def q_dense_rank_skew(spark, d):
+    li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return win.rank_rows(li, "dense_rank", "l_returnflag", "l_quantity", skew_safe=True)
+
+
+@query("ntile_skew_safe", "SELECT o_orderkey, o_orderstatus, CAST(ntile(5) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS ntile FROM orders")
+def q_ntile_skew(spark, d):
+    o = Tables(spark, d).orders.select("o_orderkey", "o_orderstatus")
+    return win.rank_rows(o, "ntile", "o_orderstatus", "o_orderkey", ntile_buckets=5, skew_safe=True)
