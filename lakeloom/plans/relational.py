@@ -111,13 +111,15 @@ def q_rename(spark, d):
     "cast_columns",
     """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_custkey, o_orderstatus,
               CAST(ROUND(o_totalprice) AS INTEGER) AS o_totalprice,
-              CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
+              try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS o_orderdate, o_orderpriority FROM orders""",
 )
 def q_cast(spark, d):
+    # the date travels as day/month/year text and is cast back with a format
+    o = Tables(spark, d).orders.withColumn("o_orderdate", F.date_format("o_orderdate", "dd/MM/yyyy"))
     return cols.cast_columns(
-        Tables(spark, d).orders,
+        o,
         [{"column": "o_orderkey", "targetType": "string"}, {"column": "o_totalprice", "targetType": "int32"},
-         {"column": "o_orderdate", "targetType": "date"}],
+         {"column": "o_orderdate", "targetType": "timestamp", "format": "%d/%m/%Y"}],
     )
 
 
