@@ -23,11 +23,22 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """60% of the machine's memory, at most 16 GB (local mode runs the
+    executors inside the driver JVM)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1, min(16, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "lakeloom",
     shuffle_partitions: int | None = None,
-    driver_memory: str = "16g",
+    driver_memory: str | None = None,
     extra_conf: dict | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session.
@@ -42,7 +53,7 @@ def build_session(
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = driver_memory
+    conf["spark.driver.memory"] = driver_memory or _default_driver_memory()
     conf.update(extra_conf or {})
     for k, v in conf.items():
         b = b.config(k, v)
