@@ -27,8 +27,9 @@ def _small_star(e: DataFrame) -> DataFrame:
     m = low.groupBy("u").agg(F.min("v").alias("m"))
     linked = low.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = m.select("u", F.col("m").alias("v"))
-    keep = e.join(m.select("u"), "u", "left_anti").where(F.col("v") > F.col("u"))  # nodes with no smaller neighbour keep theirs
-    return _both_ways(linked.unionByName(own).unionByName(keep))
+    # an edge to a larger neighbour is re-emitted by that neighbour, whose
+    # smaller-neighbour set contains this node: nothing else to keep
+    return _both_ways(linked.unionByName(own))
 
 
 def match_groups(df: DataFrame, left_key: str = "id_a", right_key: str = "id_b", max_rounds: int = 200) -> DataFrame:
