@@ -54,17 +54,6 @@ def require_cols(df: DataFrame, cols: Iterable[str], what: str = "operator") ->
         raise ValueError(f"{what}: unknown column(s) {missing}; available {df.columns}")
 
 
-def gate(df: DataFrame, failure: Column, message: Column | str) -> DataFrame:
-    """Pass ``df`` through unchanged, but fail the job when ``failure`` (an
-    expression over a one-row aggregate of ``df``) is true.
-
-    The aggregate is a single row, so broadcasting it is bounded by
-    construction; ``raise_error`` sits inside the filter so the optimizer
-    cannot prune it away however the result is consumed."""
-    msg = F.lit(message) if isinstance(message, str) else message
-    return df.where(F.when(failure, F.raise_error(msg)).otherwise(F.lit(True)))
-
-
 def gated(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Pass ``df`` through, failing the job when the one-row ``stats`` frame
     has ``__fail = true``; ``__msg`` is the error text.
