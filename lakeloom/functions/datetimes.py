@@ -89,7 +89,8 @@ def boundary_diff(start: Column, end: Column, unit: str) -> Column:
     if u == "month":
         return ((F.year(e) * 12 + F.month(e)) - (F.year(s) * 12 + F.month(s))).cast("bigint")
     if u == "week":
-        return F.floor(F.datediff(F.date_trunc("week", e), F.date_trunc("week", s)) / 7).cast("bigint")
+        # whole weeks of crossed day boundaries, truncated toward zero
+        return (F.datediff(e.cast("date"), s.cast("date")) / 7).cast("bigint")
     if u == "day":
         return F.datediff(e.cast("date"), s.cast("date")).cast("bigint")
     div = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}[u]

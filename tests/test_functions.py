@@ -128,3 +128,23 @@ def test_chunk_text(spark):
     ov = tx.chunk_text(df.where("id = 1"), "text", 10, 4).orderBy("chunk_index").collect()
     assert [r.chunk for r in ov] == ["abcdefghij", "ghijklmnop", "mnopqrstuv", "stuvwxyz01", "yz0123"]
     assert {r.chunk_count for r in ov} == {5}
+
+
+def test_dt_diff_matches_sql_boundaries(spark):
+    import random
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    base = dt.datetime(2023, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=rnd.randint(0, 10**8)), base + dt.timedelta(seconds=rnd.randint(0, 10**8)))
+            for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, a timestamp_ntz, b timestamp_ntz")
+    units = ["year", "quarter", "month", "week", "day", "hour", "minute", "second"]
+    got = {r.i: tuple(r[1:]) for r in df.select("i", *[dtf.boundary_diff(F.col("a"), F.col("b"), u).alias(u) for u in units]).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, a TIMESTAMP, b TIMESTAMP)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    exp = {r[0]: tuple(r[1:]) for r in con.execute("SELECT i, " + ", ".join(f"date_diff('{u}', a, b)" for u in units) + " FROM t").fetchall()}
+    assert got == exp
