@@ -145,12 +145,19 @@ def distinct_on(df: DataFrame, columns, order_by=None) -> DataFrame:
             break
         fields += [parts[0].alias(f"n{i}"), parts[1].alias(f"k{i}")]
     if not ok:
-        # DESC on a type without an order-reversing map: partitioned window.
-        w = Window.partitionBy(*keys).orderBy(
-            *[(F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last()) for n, d in order],
-            *[F.col(c).asc_nulls_last() for c in rest],
-        )
-        return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+        # DESC on a type with no order-reversing map (e.g. text): narrow the
+        # rows column by column to each key's best value (a grouped max/min,
+        # which skips NULLs = NULLS LAST, joined back), then take the
+        # minimum of the remaining columns. Aggregations and joins only, so
+        # a hot key is never sorted by one task.
+        cur = df
+        for name, desc in order:
+            best = (cur.groupBy(*keys).agg((F.max if desc else F.min)(F.col(name)).alias("__best"))
+                    .select(*[F.col(k).alias(f"__bk{i}") for i, k in enumerate(keys)], "__best"))
+            cond = [F.col(k).eqNullSafe(F.col(f"__bk{i}")) for i, k in enumerate(keys)]
+            cur = (cur.join(best, cond).where(F.col(name).eqNullSafe(F.col("__best")))
+                   .select(*[F.col(f"`{c}`") for c in df.columns]))
+        return distinct_on(cur, keys)
     packed = F.struct(*fields, F.struct(*[F.col(c) for c in rest]).alias("row"))
     agg = df.groupBy(*keys).agg(F.min(packed).alias("__m"))
     return agg.select(*keys, *[F.col(f"__m.row.{c}").alias(c) for c in rest]).select(*df.columns)

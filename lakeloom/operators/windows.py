@@ -235,7 +235,11 @@ def sessionize(
     (lag as an equi-join, session ids as a carried running sum)."""
     keys = col_list(partition_by)
     if not keys:
-        raise ValueError("sessionize: partition_by is required (a single global session stream is one task)")
+        # One global event stream: a constant key is the hottest key there
+        # is, so it goes through the skew-safe (range-split) path.
+        out = sessionize(df.withColumn("__all", F.lit(0)), "__all", order_by, gap, gap_unit, session_column,
+                         emit_seq, seq_column, skew_safe=True)
+        return out.drop("__all")
     micros = int(float(gap) * _UNIT_SECONDS[gap_unit] * 1_000_000)
     ts = F.col(order_by)
     if skew_safe:

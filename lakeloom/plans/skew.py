@@ -107,3 +107,32 @@ def q_dense_rank_skew(spark, d):
 def q_ntile_skew(spark, d):
     o = Tables(spark, d).orders.select("o_orderkey", "o_orderstatus")
     return win.rank_rows(o, "ntile", "o_orderstatus", "o_orderkey", ntile_buckets=5, skew_safe=True)
+
+
+_SESS_GLOBAL = """
+WITH g AS (SELECT event_id, ts,
+                  CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 15 * 1000000 THEN 1 ELSE 0 END AS brk
+           FROM events WINDOW w AS (ORDER BY ts)),
+s AS (SELECT event_id, ts,
+             CAST(SUM(brk) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_id FROM g)
+SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts) AS BIGINT) AS session_seq FROM s
+"""
+
+
+@query("sessionize_global", _SESS_GLOBAL)
+def q_sess_global(spark, d):
+    # one stream of all events: the whole table is a single hot key
+    e = Tables(spark, d).events.select("event_id", "ts")
+    return win.sessionize(e, None, "ts", 15, "seconds")
+
+
+@query(
+    "distinct_on_desc_text",
+    """SELECT DISTINCT ON (o_custkey) * FROM orders
+       ORDER BY o_custkey, o_orderpriority DESC NULLS LAST, o_orderkey, o_orderstatus, o_totalprice, o_orderdate""",
+)
+def q_distinct_on_desc_text(spark, d):
+    # DESC on a text column takes the aggregate-and-narrow path
+    from lakeloom.operators import rows
+
+    return rows.distinct_on(Tables(spark, d).orders, "o_custkey", [("o_orderpriority", "desc")])

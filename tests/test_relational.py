@@ -205,3 +205,10 @@ def test_large_k_paths_match_top_k(spark):
         r.TOPK_IN_ONE_TASK = old
     assert small == big and len(big) == 30 and sorted(top) == list(range(281, 301))
     assert sorted(x.id for x in r.skip_rows(df, 290, ["id"]).collect()) == list(range(291, 301))
+
+
+def test_distinct_on_desc_text(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "z", 2), ("a", "z", 1), ("a", None, 0), ("b", None, 5), ("b", None, 4)],
+                               "g string, s string, v int")
+    out = {r.g: (r.s, r.v) for r in rows.distinct_on(df, "g", [("s", "desc")]).collect()}
+    assert out == {"a": ("z", 1), "b": (None, 4)}
