@@ -26,15 +26,23 @@ _EXTRACT = {
 
 
 def dt_extract(df: DataFrame, column: str, unit: str = "day", output: str | None = None) -> DataFrame:
-    """date_part as BIGINT; day of week counts Sunday = 0."""
+    """date_part as BIGINT (``epoch`` as DOUBLE seconds); day of week counts
+    Sunday = 0; millisecond/microsecond include the seconds, as in SQL."""
     u = unit.lower()
     c = F.col(column)
+    micros_in_minute = F.unix_micros(c.cast("timestamp")) - F.unix_micros(F.date_trunc("minute", c).cast("timestamp"))
     if u in ("dow", "dayofweek", "weekday"):
         e = F.dayofweek(c) - 1
     elif u in ("isodow",):
         e = F.weekday(c) + 1
     elif u == "epoch":
-        e = F.unix_seconds(c.cast("timestamp"))
+        return with_result(df, column, F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000.0), output)
+    elif u in ("millisecond", "milliseconds", "ms"):
+        e = F.floor(micros_in_minute / 1000)
+    elif u in ("microsecond", "microseconds", "us"):
+        e = micros_in_minute
+    elif u == "decade":
+        e = F.floor(F.year(c) / 10)
     else:
         e = _EXTRACT[u](c)
     return with_result(df, column, e.cast("bigint"), output)

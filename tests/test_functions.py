@@ -148,3 +148,29 @@ def test_dt_diff_matches_sql_boundaries(spark):
     con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     exp = {r[0]: tuple(r[1:]) for r in con.execute("SELECT i, " + ", ".join(f"date_diff('{u}', a, b)" for u in units) + " FROM t").fetchall()}
     assert got == exp
+
+
+def test_dt_extract_and_trunc_match_sql(spark):
+    import random
+
+    import duckdb
+
+    rnd = random.Random(5)
+    base = dt.datetime(2020, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=rnd.randint(0, 2 * 10**8), microseconds=rnd.randint(0, 999999))) for i in range(120)]
+    out = spark.createDataFrame(rows, "i int, ts timestamp_ntz")
+    units = ["year", "quarter", "month", "week", "day", "hour", "minute", "second", "dow", "isodow", "doy", "epoch",
+             "millisecond", "microsecond", "decade"]
+    tunits = ["year", "quarter", "month", "week", "day", "hour", "minute", "second"]
+    for u in units:
+        out = dtf.dt_extract(out, "ts", u, output=u)
+    for u in tunits:
+        out = dtf.dt_trunc(out, "ts", u, output="t_" + u)
+    names = units + ["t_" + u for u in tunits]
+    got = {r.i: tuple(r[n] for n in names) for r in out.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, ts TIMESTAMP)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    sql = ("SELECT i, " + ", ".join(f"date_part('{u}', ts)" for u in units) + ", "
+           + ", ".join(f"CAST(date_trunc('{u}', ts) AS TIMESTAMP)" for u in tunits) + " FROM t")
+    assert got == {r[0]: tuple(r[1:]) for r in con.execute(sql).fetchall()}
