@@ -93,7 +93,15 @@ def q_profile_column(spark, d):
     return qa.profile_column(Tables(spark, d).orders, "o_orderpriority", top_n=3, exact_distinct=True)
 
 
-@query("describe")
+@query(
+    "describe",
+    """SELECT column_name,
+              CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                               WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END
+              AS column_type, "null", CAST(key AS VARCHAR) AS key, CAST("default" AS VARCHAR) AS "default",
+              CAST(extra AS VARCHAR) AS extra
+       FROM (DESCRIBE SELECT * FROM lineitem)""",
+)
 def q_describe(spark, d):
     return qa.describe(Tables(spark, d).lineitem)
 

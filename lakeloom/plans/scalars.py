@@ -44,7 +44,13 @@ def q_case(spark, d):
     return st.case_change(c, "c_name", "upper").drop("c_mktsegment")
 
 
-@query("case_change_title")
+# SQL engine has no initcap: title case spelled out (first letter of each
+# space-separated word upper-cased, the rest lower-cased).
+@query(
+    "case_change_title",
+    """SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '),
+                                                  lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS p_name FROM part""",
+)
 def q_case_title(spark, d):
     return st.case_change(Tables(spark, d).part.select("p_partkey", "p_name"), "p_name", "title")
 
@@ -178,7 +184,25 @@ def _ips(spark, d):
                                                   F.pmod(F.col("c_custkey") * 7, F.lit(256)), 8 + F.pmod("c_custkey", F.lit(23))).alias("addr"))
 
 
-@query("ip_parse")
+def _dotted(x: str) -> str:
+    return " || '.' || ".join(f"CAST(({x} >> {s}) & 255 AS VARCHAR)" for s in (24, 16, 8, 0))
+
+
+_IP_SQL = f"""
+WITH a AS (SELECT c_custkey, printf('10.%d.%d.%d/%d', c_nationkey, c_custkey % 256, (c_custkey * 7) % 256, 8 + c_custkey % 23) AS addr
+           FROM customer),
+p AS (SELECT c_custkey, addr, split_part(addr, '/', 1) AS host, CAST(split_part(addr, '/', 2) AS INTEGER) AS len FROM a),
+n AS (SELECT *, CAST(split_part(host, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(host, '.', 2) AS BIGINT) * 65536
+                + CAST(split_part(host, '.', 3) AS BIGINT) * 256 + CAST(split_part(host, '.', 4) AS BIGINT) AS ip,
+                4294967296 - CAST(pow(2, 32 - len) AS BIGINT) AS mask FROM p)
+SELECT c_custkey, addr, host AS addr_host, 4 AS addr_family, len AS addr_masklen, {_dotted('mask')} AS addr_netmask,
+       {_dotted('(ip & mask)')} || '/' || CAST(len AS VARCHAR) AS addr_network,
+       {_dotted('(ip | (4294967295 - mask))')} || '/' || CAST(len AS VARCHAR) AS addr_broadcast
+FROM n
+"""
+
+
+@query("ip_parse", _IP_SQL)
 def q_ip_parse(spark, d):
     ips = _ips(spark, d)
     for k in ("host", "family", "masklen", "netmask", "network", "broadcast"):
@@ -254,7 +278,7 @@ def q_dt_trunc(spark, d):
     return dtf.dt_trunc(e, "ts", "week", output="week").drop("ts")
 
 
-@query("dt_tz")
+@query("dt_tz", "SELECT event_id, ts, timezone('UTC', ts AT TIME ZONE 'America/New_York') AS ts_utc FROM events")
 def q_dt_tz(spark, d):
     return dtf.dt_tz(Tables(spark, d).events.select("event_id", "ts"), "ts", "America/New_York", output="ts_utc")
 
@@ -369,7 +393,7 @@ def q_json_path(spark, d):
     return nf.json_path(e, "props", "k", output="k_raw", keep_quotes=True).drop("props")
 
 
-@query("json_parse")
+@query("json_parse", "SELECT event_id, props, CAST(json(props) AS VARCHAR) AS text FROM events")
 def q_json_parse(spark, d):
     e = nf.json_parse(Tables(spark, d).events.select("event_id", "props"), "props", output="v")
     return nf.json_stringify(e, "v", output="text").drop("v")
