@@ -242,7 +242,24 @@ def q_switch_default(spark, d):
     return qa.switch(Tables(spark, d).orders, _SW)["default"]
 
 
-@query("schema_drift")
+_DRIFT_SQL = """
+SELECT * FROM (VALUES
+  ('o_orderkey', 'ok', 'bigint', 'bigint', FALSE,
+   (SELECT COUNT(*) FILTER (WHERE o_orderkey IS NOT NULL AND TRY_CAST(o_orderkey AS BIGINT) IS NULL) FROM orders)),
+  ('o_totalprice', 'type_changed', 'int', 'double', TRUE,
+   (SELECT COUNT(*) FILTER (WHERE o_totalprice IS NOT NULL AND TRY_CAST(o_totalprice AS INTEGER) IS NULL) FROM orders)),
+  ('o_orderdate', 'ok', 'timestamp_ntz', 'timestamp_ntz', FALSE,
+   (SELECT COUNT(*) FILTER (WHERE o_orderdate IS NOT NULL AND TRY_CAST(o_orderdate AS TIMESTAMP) IS NULL) FROM orders)),
+  ('o_comment', 'missing', 'string', NULL, TRUE, NULL),
+  ('o_orderstatus', 'ok', 'string', 'string', FALSE,
+   (SELECT COUNT(*) FILTER (WHERE o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS VARCHAR) IS NULL) FROM orders)),
+  ('o_custkey', 'added', NULL, 'bigint', FALSE, NULL),
+  ('o_orderpriority', 'added', NULL, 'string', FALSE, NULL)
+) AS t("column", status, expected_type, actual_type, breaking, cast_failures)
+"""
+
+
+@query("schema_drift", _DRIFT_SQL)
 def q_drift(spark, d):
     return qa.schema_drift(Tables(spark, d).orders, {"o_orderkey": "int64", "o_totalprice": "int32", "o_orderdate": "timestamp",
                                                      "o_comment": "string", "o_orderstatus": "string"})
@@ -253,7 +270,23 @@ def q_fingerprint(spark, d):
     return qa.dataset_fingerprint(Tables(spark, d).lineitem)
 
 
-@query("dataset_diff")
+_DIFF_SQL = """
+WITH p AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+                  CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice
+           FROM orders WHERE o_orderstatus <> 'P'),
+     c AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT 'nation' AS "table", 'added' AS status, NULL::BIGINT AS left_rows, (SELECT COUNT(*) FROM nation) AS right_rows,
+       (SELECT COUNT(*) FROM nation) AS row_delta, NULL::BIGINT AS changed_rows
+UNION ALL SELECT 'orders', 'common', (SELECT COUNT(*) FROM p), (SELECT COUNT(*) FROM c),
+       (SELECT COUNT(*) FROM c) - (SELECT COUNT(*) FROM p),
+       (SELECT COUNT(*) FROM p JOIN c USING (o_orderkey)
+        WHERE p.o_custkey IS DISTINCT FROM c.o_custkey OR p.o_orderstatus IS DISTINCT FROM c.o_orderstatus
+           OR p.o_totalprice IS DISTINCT FROM c.o_totalprice)
+UNION ALL SELECT 'region', 'removed', (SELECT COUNT(*) FROM region), NULL, -(SELECT COUNT(*) FROM region), NULL
+"""
+
+
+@query("dataset_diff", _DIFF_SQL)
 def q_dataset_diff(spark, d):
     t = Tables(spark, d)
     cur, prev = _cur(spark, d), _prev(spark, d)
@@ -272,7 +305,7 @@ def _prev(spark, d):
                     F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
 
 
-_CUR_SQL = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW')"
+_CUR_SQL ="(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW')"
 _PREV_SQL = ("(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 "
              "ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'P')")
 
