@@ -155,7 +155,25 @@ def q_vector_l2(spark, d):
     return out.select("vec_id", F.round("similarity_score", 6).alias("similarity_score"), F.round("ip", 6).alias("ip"))
 
 
-@query("semantic_dedupe")
+# The oracle walks the rows in id order with a recursive CTE, carrying the
+# list of kept ids: the literal greedy definition.
+_SEM_DEDUPE_SQL = """
+WITH RECURSIVE o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b
+        ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4),
+nb AS (SELECT j, list(i) AS earlier FROM p GROUP BY j),
+walk(rn, kept) AS (
+  SELECT 0, []::BIGINT[]
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN len(list_intersect(w.kept, COALESCE(nb.earlier, []::BIGINT[]))) > 0 THEN w.kept
+              ELSE list_append(w.kept, o.vec_id) END
+  FROM walk w JOIN o ON o.rn = w.rn + 1 LEFT JOIN nb ON nb.j = o.vec_id)
+SELECT vec_id, label FROM embeddings WHERE list_contains((SELECT kept FROM walk ORDER BY rn DESC LIMIT 1), vec_id)
+"""
+
+
+@query("semantic_dedupe", _SEM_DEDUPE_SQL)
 def q_semantic_dedupe(spark, d):
     # 0.4: the test embeddings have no pair above 0.6, so a lower threshold
     # is what exercises the greedy rounds.
