@@ -212,3 +212,17 @@ def test_distinct_on_desc_text(spark):
                                "g string, s string, v int")
     out = {r.g: (r.s, r.v) for r in rows.distinct_on(df, "g", [("s", "desc")]).collect()}
     assert out == {"a": ("z", 1), "b": (None, 4)}
+
+
+def test_approximate_aggregates_within_tolerance(spark):
+    from tests.conftest import SF
+
+    o = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/orders.parquet")
+    exact = {r.o_orderstatus: r.n for r in o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).collect()}
+    approx = {r.o_orderstatus: r.customers for r in agg.approx_distinct(o, "o_custkey", "o_orderstatus", "customers").collect()}
+    assert all(abs(approx[k] - exact[k]) <= 0.05 * exact[k] + 1 for k in exact)
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    q = agg.approx_quantile(li, "l_extendedprice", 0.5).collect()[0][0]
+    vals = sorted(r[0] for r in li.select("l_extendedprice").collect())
+    rank = sum(1 for v in vals if v <= q) / len(vals)
+    assert abs(rank - 0.5) < 0.01
