@@ -90,7 +90,7 @@ def count_distinct(df: DataFrame, column: str, keys=None, output: str | None = N
     return group_by(df, keys, [{"column": column, "func": "count_distinct", "output": output}])
 
 
-def approx_distinct(df: DataFrame, column: str, keys=None, output: str | None = None, rsd: float = 0.05) -> DataFrame:
+def approx_distinct(df: DataFrame, column: str, keys=None, output: str | None = None, rsd: float = 0.01) -> DataFrame:
     ks = col_list(keys)
     e = F.approx_count_distinct(F.col(column), rsd).alias(output or f"approx_count_distinct_{column}")
     return df.groupBy(*ks).agg(e) if ks else df.agg(e)

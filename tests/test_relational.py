@@ -220,7 +220,7 @@ def test_approximate_aggregates_within_tolerance(spark):
     o = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/orders.parquet")
     exact = {r.o_orderstatus: r.n for r in o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).collect()}
     approx = {r.o_orderstatus: r.customers for r in agg.approx_distinct(o, "o_custkey", "o_orderstatus", "customers").collect()}
-    assert all(abs(approx[k] - exact[k]) <= 0.05 * exact[k] + 1 for k in exact)
+    assert all(abs(approx[k] - exact[k]) <= 0.03 * exact[k] + 1 for k in exact)  # rsd 1%, 3 sigma
     li = spark.read.parquet(f"{SF}/lineitem.parquet")
     q = agg.approx_quantile(li, "l_extendedprice", 0.5).collect()[0][0]
     vals = sorted(r[0] for r in li.select("l_extendedprice").collect())
