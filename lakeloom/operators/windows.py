@@ -106,18 +106,18 @@ def first_last_value(df: DataFrame, func: str, target_column: str, partition_by=
     """first_value / last_value over the WHOLE partition frame."""
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or func
-    f = F.min_by if func == "first_value" else F.max_by
-    if not order:
-        w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        g = F.first if func == "first_value" else F.last
-        return df.withColumn(out, g(F.col(target_column)).over(w))
     # Whole-frame first/last = value at min/max order key: an aggregate
     # (partial aggregation before the shuffle) joined back on the keys.
-    okey = F.struct(*[F.isnull(F.col(c)) for c in order], *[F.col(c) for c in order])
-    if func == "first_value":
-        agg = F.min_by(F.col(target_column), okey)
+    # Without an order any row's value is valid, still as an aggregate.
+    parts = []
+    for c in order:
+        parts += [F.isnull(F.col(c)), F.col(c)]  # (is NULL, value): NULLS LAST per column
+    if not order:
+        agg = (F.first if func == "first_value" else F.last)(F.col(target_column))
+    elif func == "first_value":
+        agg = F.min_by(F.col(target_column), F.struct(*parts))
     else:
-        agg = F.max_by(F.col(target_column), okey)
+        agg = F.max_by(F.col(target_column), F.struct(*parts))
     if keys:
         per = df.groupBy(*keys).agg(agg.alias(out))
         return df.join(per, [df[k].eqNullSafe(per[k]) for k in keys], "left").select(df["*"], per[out])
