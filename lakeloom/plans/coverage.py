@@ -50,10 +50,10 @@ def q_zip(spark, d):
     return nf.zip_to_table(p, "h", "rows", headings=["name", "brand"])
 
 
-@query("json_stringify", "SELECT n_nationkey, CAST(to_json(struct_pack(n_name := n_name, r := n_regionkey)) AS VARCHAR) AS info FROM nation")
+@query("json_stringify", "SELECT c_custkey, CAST(to_json(struct_pack(c_name := c_name, n := c_nationkey)) AS VARCHAR) AS info FROM customer")
 def q_json_stringify(spark, d):
-    n = Tables(spark, d).nation.select("n_nationkey", F.struct(F.col("n_name"), F.col("n_regionkey").alias("r")).alias("info"))
-    return nf.json_stringify(n, "info")
+    c = Tables(spark, d).customer.select("c_custkey", F.struct(F.col("c_name"), F.col("c_nationkey").alias("n")).alias("info"))
+    return nf.json_stringify(c, "info")
 
 
 # ---------------------------------------------------------- numeric, single
@@ -144,12 +144,13 @@ def q_write_json(spark, d):
     return spark.read.schema(e.schema).json(path)
 
 
-@query("write_xml", "SELECT r_regionkey, r_name FROM region")
+@query("write_xml", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def q_write_xml(spark, d):
-    r = Tables(spark, d).region
+    s = Tables(spark, d).supplier.select("s_suppkey", "s_name", "s_nationkey")
     path = scratch(spark, "wxml")
-    writers.write_xml(r, path, "regions", "region")
-    return readers.read_xml(spark, path, "regions/region").select(F.col("r_regionkey").cast("int"), "r_name")
+    writers.write_xml(s, path, "suppliers", "supplier")
+    back = readers.read_xml(spark, path, "suppliers/supplier")
+    return back.select(F.col("s_suppkey").cast("bigint"), "s_name", F.col("s_nationkey").cast("int"))
 
 
 @query("write_table", "SELECT * FROM supplier")
@@ -161,19 +162,19 @@ def q_write_table(spark, d):
     return tables.read_as_of(spark, path)
 
 
-@query("read_cloud", "SELECT * FROM nation")
+@query("read_cloud", "SELECT * FROM customer")
 def q_read_cloud(spark, d):
-    n = Tables(spark, d).nation
-    path = scratch(spark, "cloud") + "/nation.csv"
-    writers.write_cloud(n, "file", path)
-    return readers.read_cloud(spark, "file", path, schema=n.schema)
+    c = Tables(spark, d).customer
+    path = scratch(spark, "cloud") + "/customer.csv"
+    writers.write_cloud(c, "file", path)
+    return readers.read_cloud(spark, "file", path, schema=c.schema)
 
 
-@query("write_cloud", "SELECT * FROM region")
+@query("write_cloud", "SELECT * FROM supplier")
 def q_write_cloud(spark, d):
-    r = Tables(spark, d).region
-    path = scratch(spark, "cloudw") + "/region.parquet"
-    writers.write_cloud(r, "file", path)
+    s = Tables(spark, d).supplier
+    path = scratch(spark, "cloudw") + "/supplier.parquet"
+    writers.write_cloud(s, "file", path)
     return readers.read_cloud(spark, "file", path)
 
 
@@ -230,11 +231,11 @@ def q_pii_guard(spark, d):
     return spark.read.parquet(path)
 
 
-@query("write_kafka", "SELECT CAST(r_regionkey AS VARCHAR) AS key, to_json(struct_pack(r_regionkey, r_name))::VARCHAR AS value FROM region")
+@query("write_kafka", "SELECT CAST(s_suppkey AS VARCHAR) AS key, to_json(struct_pack(s_suppkey, s_name))::VARCHAR AS value FROM supplier")
 def q_write_kafka(spark, d):
     # The broker client jar is not on this classpath: the message payload
     # (key + one JSON document per row) is what is produced and checked.
-    return writers.kafka_payload(Tables(spark, d).region, "r_regionkey")
+    return writers.kafka_payload(Tables(spark, d).supplier.select("s_suppkey", "s_name"), "s_suppkey")
 
 
 @query(

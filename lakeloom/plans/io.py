@@ -69,13 +69,13 @@ def q_read_fixedwidth(spark, d):
                                                  {"name": "segment", "start": 29, "width": 10}])
 
 
-@query("read_xml", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("read_xml", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
 def q_read_xml(spark, d):
-    n = Tables(spark, d).nation
+    c = Tables(spark, d).customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     path = scratch(spark, "xml")
-    writers.write_xml(n, path, "nations", "nation")
-    x = readers.read_xml(spark, path, "nations/nation")
-    return x.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+    writers.write_xml(c, path, "customers", "customer")
+    x = readers.read_xml(spark, path, "customers/customer")
+    return x.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"), "c_mktsegment")
 
 
 @query("write_parquet", "SELECT * FROM lineitem")
@@ -99,9 +99,9 @@ def q_checkpoint_table(spark, d):
     return writers.checkpoint_table(Tables(spark, d).part, scratch(spark, "ckpt"))
 
 
-@query("kafka_payload", "SELECT CAST(n_nationkey AS VARCHAR) AS key, to_json(struct_pack(n_nationkey, n_name, n_regionkey))::VARCHAR AS value FROM nation")
+@query("kafka_payload", "SELECT CAST(c_custkey AS VARCHAR) AS key, to_json(struct_pack(c_custkey, c_name, c_mktsegment))::VARCHAR AS value FROM customer")
 def q_kafka_payload(spark, d):
-    return writers.kafka_payload(Tables(spark, d).nation, "n_nationkey")
+    return writers.kafka_payload(Tables(spark, d).customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
 
 
 # ------------------------------------------------------------ table modes

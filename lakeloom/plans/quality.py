@@ -202,9 +202,9 @@ def q_assert(spark, d):
     return qa.assert_rows(Tables(spark, d).orders, "o_totalprice > 0", "non-positive order total")
 
 
-@query("row_count_gate", "SELECT * FROM region")
+@query("row_count_gate", "SELECT * FROM orders")
 def q_gate(spark, d):
-    return qa.row_count_gate(Tables(spark, d).region, "region table is empty", "no-rows")
+    return qa.row_count_gate(Tables(spark, d).orders, "orders table is empty", "no-rows")
 
 
 _NOW = dt.datetime(2024, 2, 1, 12, 0, 0)

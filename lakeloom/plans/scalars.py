@@ -65,9 +65,9 @@ def q_substring(spark, d):
     return st.substring(Tables(spark, d).part.select("p_partkey", "p_name"), "p_name", 3, 5)
 
 
-@query("concat_suffix", "SELECT n_nationkey, concat(n_name, '_EU') AS n_name FROM nation")
+@query("concat_suffix", "SELECT c_custkey, concat(c_mktsegment, '_EU') AS c_mktsegment FROM customer")
 def q_concat(spark, d):
-    return st.concat_suffix(Tables(spark, d).nation.select("n_nationkey", "n_name"), "n_name", "_EU")
+    return st.concat_suffix(Tables(spark, d).customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "_EU")
 
 
 @query("split", "SELECT p_partkey, CAST(to_json(string_split(p_name, ' ')) AS VARCHAR) AS words FROM part")
@@ -102,9 +102,9 @@ def q_reverse(spark, d):
     return st.text_reverse(Tables(spark, d).customer.select("c_custkey", "c_name"), "c_name")
 
 
-@query("text_repeat", "SELECT n_nationkey, n_name, repeat(n_name, 3) AS n_name_repeated FROM nation")
+@query("text_repeat", "SELECT c_custkey, c_mktsegment, repeat(c_mktsegment, 3) AS c_mktsegment_repeated FROM customer")
 def q_repeat(spark, d):
-    return st.text_repeat(Tables(spark, d).nation.select("n_nationkey", "n_name"), "n_name", 3)
+    return st.text_repeat(Tables(spark, d).customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", 3)
 
 
 @query(
@@ -312,7 +312,7 @@ def q_dt_diff(spark, d):
 
 @query("dt_now")
 def q_dt_now(spark, d):
-    return dtf.dt_now(Tables(spark, d).region)
+    return dtf.dt_now(Tables(spark, d).orders.select("o_orderkey"))
 
 
 @query(
@@ -473,15 +473,21 @@ def q_normalize(spark, d):
 
 
 _TRANSPOSE_SQL = """
-WITH r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS rn FROM region)
-SELECT 'r_regionkey' AS column_name, {a} FROM r
-UNION ALL SELECT 'r_name', {b} FROM r
+WITH s AS (SELECT l_returnflag, COUNT(*) AS lines, CAST(SUM(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY l_returnflag),
+r AS (SELECT *, row_number() OVER (ORDER BY l_returnflag) AS rn FROM s)
+SELECT 'l_returnflag' AS column_name, {a} FROM r
+UNION ALL SELECT 'lines', {b} FROM r
+UNION ALL SELECT 'qty', {c} FROM r
 """.format(
-    a=", ".join(f"max(CASE WHEN rn = {i} THEN CAST(r_regionkey AS VARCHAR) END) AS r{i}" for i in range(1, 6)),
-    b=", ".join(f"max(CASE WHEN rn = {i} THEN r_name END) AS r{i}" for i in range(1, 6)),
+    a=", ".join(f"max(CASE WHEN rn = {i} THEN l_returnflag END) AS r{i}" for i in range(1, 4)),
+    b=", ".join(f"max(CASE WHEN rn = {i} THEN CAST(lines AS VARCHAR) END) AS r{i}" for i in range(1, 4)),
+    c=", ".join(f"max(CASE WHEN rn = {i} THEN CAST(qty AS VARCHAR) END) AS r{i}" for i in range(1, 4)),
 )
 
 
 @query("transpose", _TRANSPOSE_SQL)
 def q_transpose(spark, d):
-    return shape.transpose(Tables(spark, d).region, "r_regionkey")
+    # rows become columns, so the input is a per-flag summary of lineitem
+    li = Tables(spark, d).lineitem
+    stats = li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").cast("bigint").alias("qty"))
+    return shape.transpose(stats, "l_returnflag")
