@@ -46,11 +46,21 @@ class VersionedTable:
         v = self.versions()
         return v[-1] if v else None
 
+    def parts(self, version: int) -> list[int]:
+        """Data directories that make up ``version``: its own, preceded by
+        those of the versions it appended to."""
+        try:
+            rows = self.spark.read.text(f"{self.path}/_manifest/{version}").collect()  # one line per part
+            return [int(r[0]) for r in rows if r[0].strip()]
+        except Exception:  # noqa: BLE001 - no manifest: a self-contained version
+            return [version]
+
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current() if version is None else version
         if v is None:
             raise FileNotFoundError(f"table {self.path} has no versions")
-        return self.spark.read.parquet(f"{self.path}/_v={v}")
+        dirs = [f"{self.path}/_v={p}" for p in self.parts(v)]
+        return self.spark.read.option("mergeSchema", "true").parquet(*dirs)
 
     def commit_time(self, version: int) -> _dt.datetime:
         t = self.spark.read.text(f"{self.path}/_commits/{version}").collect()[0][0]  # one line
@@ -62,9 +72,13 @@ class VersionedTable:
             raise ValueError(f"no version of {self.path} at or before {ts}")
         return ok[-1]
 
-    def commit(self, df: DataFrame, when: _dt.datetime | None = None) -> int:
-        """Write ``df`` as the next version (staged, then renamed)."""
-        nxt = (self.current() or 0) + 1
+    def commit(self, df: DataFrame, when: _dt.datetime | None = None, append: bool = False) -> int:
+        """Write ``df`` as the next version (staged, then renamed). With
+        ``append`` the new version is the previous one plus ``df``: only the
+        new rows are written, the manifest lists the earlier directories."""
+        cur = self.current()
+        nxt = (cur or 0) + 1
+        parts = (self.parts(cur) if append and cur is not None else []) + [nxt]
         stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(stage)
         fs, _, jvm = _fs(self.spark, self.path)
@@ -72,9 +86,10 @@ class VersionedTable:
         if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(stage), target):
             raise RuntimeError(f"concurrent commit to {self.path} (version {nxt})")
         stamp = (when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).isoformat()
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_commits/{nxt}"), True)
-        out.write(bytearray(stamp.encode()))
-        out.close()
+        for sub, text in (("_manifest", "\n".join(str(p) for p in parts) + "\n"), ("_commits", stamp)):
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{sub}/{nxt}"), True)
+            out.write(bytearray(text.encode()))
+            out.close()
         return nxt
 
 
@@ -150,7 +165,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", conflict_colu
     if mode == "overwrite":
         new = df
     elif mode == "append":
-        new = tbl.read().unionByName(df, allowMissingColumns=True) if exists else df
+        # only the new rows are written; the version's manifest chains them
+        # onto the previous version's data directories
+        return tbl.commit(df, when, append=True)
     elif mode == "truncate":
         if exists:
             cur = tbl.read()

@@ -137,3 +137,13 @@ def test_write_json_array_document(spark, tmp_dir):
     writers.write_json(df, os.path.join(tmp_dir, "arr"), "array")
     text = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(tmp_dir, "arr", "part-*"))))
     assert sorted(r["id"] for r in json.loads(text)) == list(range(30))
+
+
+def test_append_writes_only_new_rows(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ap")
+    tables.write_table(spark.createDataFrame([(1, "a")], "id int, v string"), path)
+    tables.write_table(spark.createDataFrame([(2, "b")], "id int, v string"), path, "append")
+    tables.write_table(spark.createDataFrame([(3, "c", 9)], "id int, v string, extra int"), path, "append")
+    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).select("id", "v").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert tables.read_as_of(spark, path, as_of_version=1).count() == 1
+    assert spark.read.parquet(os.path.join(path, "_v=3")).count() == 1  # the new version holds only its rows
