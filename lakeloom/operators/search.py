@@ -18,12 +18,21 @@ from lakeloom.core import col_list
 BM25_K1 = 1.2
 BM25_B = 0.75
 TOKEN_SPLIT = "[^a-z]+"
+# Lower-case Latin letters with diacritics and their base
+# letters (accents are stripped before splitting, as the keyword index does).
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _strip_accents_py(s: str) -> str:
+    return s.translate(str.maketrans(ACCENTED, UNACCENTED))
 
 
 def tokenize_query(query: str) -> list[str]:
-    """Lower-case, split at anything that is not a-z, distinct terms."""
+    """Lower-case, strip accents, split at anything that is not a-z,
+    distinct terms."""
     seen, out = set(), []
-    for tok in re.split(TOKEN_SPLIT, query.lower()):
+    for tok in re.split(TOKEN_SPLIT, _strip_accents_py(query.lower())):
         if tok and tok not in seen:
             seen.add(tok)
             out.append(tok)
@@ -31,7 +40,8 @@ def tokenize_query(query: str) -> list[str]:
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
+    folded = F.translate(F.lower(text), ACCENTED, UNACCENTED)
+    return F.filter(F.split(folded, TOKEN_SPLIT), lambda t: t != "")
 
 
 def text_search(df: DataFrame, id_column: str, text_columns, query: str, top_k: int | None = None,
@@ -42,7 +52,8 @@ def text_search(df: DataFrame, id_column: str, text_columns, query: str, top_k:
 
     Document lengths come from the token array size (no explode of the
     corpus); only occurrences of the few query terms are exploded, so the
-    shuffled data is proportional to the matches, not to the corpus. No
+    shuffled data is proportional to the matches, not to the corpus. Text
+    is lower-cased and accent-stripped before splitting at non-letters; no
     stemming or stop words."""
     terms = tokenize_query(query)
     if not terms:

@@ -95,7 +95,9 @@ _QUERY = "the stone with"
 def _bm25_sql(table: str, id_col: str, text_col: str, q: str) -> str:
     terms = ", ".join(f"'{t}'" for t in search.tokenize_query(q))
     return f"""
-WITH d AS (SELECT {id_col} AS id, list_filter(regexp_split_to_array(lower({text_col}), '[^a-z]+'), lambda x: x <> '') AS toks FROM {table}),
+WITH d AS (SELECT {id_col} AS id,
+                  list_filter(regexp_split_to_array(translate(lower({text_col}), '{search.ACCENTED}', '{search.UNACCENTED}'), '[^a-z]+'),
+                              lambda x: x <> '') AS toks FROM {table}),
 c AS (SELECT COUNT(*) AS n, AVG(len(toks)) AS avgdl FROM d),
 h AS (SELECT id, len(toks) AS dl, t AS term FROM (SELECT id, toks, unnest(toks) AS t FROM d) WHERE t IN ({terms})),
 tf AS (SELECT id, dl, term, COUNT(*) AS tf FROM h GROUP BY id, dl, term),
