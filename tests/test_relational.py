@@ -226,3 +226,14 @@ def test_approximate_aggregates_within_tolerance(spark):
     vals = sorted(r[0] for r in li.select("l_extendedprice").collect())
     rank = sum(1 for v in vals if v <= q) / len(vals)
     assert abs(rank - 0.5) < 0.01
+
+
+def test_skew_safe_auto_picks_the_split_path_for_a_hot_key(spark):
+    from lakeloom.operators.windows import _use_skew_path
+
+    hot = spark.createDataFrame([("hot" if i % 10 else f"k{i}", i) for i in range(400)], "k string, t int")
+    even = spark.createDataFrame([(f"k{i % 40}", i) for i in range(400)], "k string, t int")
+    assert _use_skew_path(hot, ["k"], "auto") and not _use_skew_path(even, ["k"], "auto")
+    a = sorted(map(tuple, win.cumulative(hot, "t", "t", "sum", "k").collect()))
+    b = sorted(map(tuple, win.cumulative(hot, "t", "t", "sum", "k", skew_safe="auto").collect()))
+    assert a == b
