@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.core import Split, col_list, global_row_number, partition_offsets, range_numbered, require_cols
+from lakeloom.core import Split, col_list, global_row_number, partition_offsets, range_numbered
 
 _RANKERS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}
 
