@@ -55,7 +55,7 @@ def global_dense_rank(df: DataFrame, order: list[str], output: str) -> DataFrame
 
 def rank_rows(
     df: DataFrame, func: str = "row_number", partition_by=None, order_by=None, ntile_buckets: int = 4,
-    output: str | None = None, skew_safe: bool = False,
+    output: str | None = None, skew_safe: bool | str = "auto",
 ) -> DataFrame:
     """row_number / rank / dense_rank / ntile, ascending, result as BIGINT.
     ``skew_safe`` row_number splits hot keys over range partitions."""
@@ -93,7 +93,7 @@ def rank_rows(
 
 def lead_lag(
     df: DataFrame, func: str, target_column: str, offset: int = 1, partition_by=None, order_by=None,
-    output: str | None = None, skew_safe: bool = False,
+    output: str | None = None, skew_safe: bool | str = "auto",
 ) -> DataFrame:
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or func
@@ -156,7 +156,7 @@ _CUM = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max
 
 
 def cumulative(df: DataFrame, column: str, order_by, function: str = "sum", partition_by=None,
-               output: str | None = None, skew_safe: bool = False) -> DataFrame:
+               output: str | None = None, skew_safe: bool | str = "auto") -> DataFrame:
     """Running aggregate, ROWS frame, ``{col}_running_{fn}``."""
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or f"{column}_running_{function}"
@@ -190,7 +190,7 @@ def cumulative(df: DataFrame, column: str, order_by, function: str = "sum", part
     return j.withColumn(out, e).drop(*[x for x in j.columns if x.startswith("__")])
 
 
-def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = False) -> DataFrame:
+def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool | str = "auto") -> DataFrame:
     """Last non-NULL value up to the current row, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
     if keys and _use_skew_path(df, keys, skew_safe):
@@ -210,7 +210,7 @@ def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_s
     return j.withColumn(column, F.coalesce(F.col("__f"), F.col("__carry"))).select(*df.columns)
 
 
-def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = False) -> DataFrame:
+def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool | str = "auto") -> DataFrame:
     """First non-NULL value from the current row on, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
     if keys and _use_skew_path(df, keys, skew_safe):
@@ -238,7 +238,7 @@ _UNIT_SECONDS = {"seconds": 1, "second": 1, "minutes": 60, "minute": 60, "hours"
 def sessionize(
     df: DataFrame, partition_by, order_by: str, gap: float, gap_unit: str = "minutes",
     session_column: str = "session_id", emit_seq: bool = True, seq_column: str = "session_seq",
-    skew_safe: bool = False,
+    skew_safe: bool | str = "auto",
 ) -> DataFrame:
     """New session when the gap to the previous event is strictly greater
     than the threshold; ids run 1.. per partition; seq restarts per session.
