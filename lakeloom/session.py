@@ -60,9 +60,34 @@ def build_session(
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lakeloom`` importable in the Python workers (pandas UDFs and
+    ``mapInPandas`` unpickle functions by module reference): zip the package
+    once and ``addPyFile`` it, as ``--py-files`` would on a cluster."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lakeloom_shipped", False):
+        return
+    import lakeloom
+
+    pkg_dir = os.path.dirname(os.path.abspath(lakeloom.__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="lakeloom-pkg-"), "lakeloom.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._lakeloom_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, setting a scratch one only
     when none is configured (local runs and tests).  On a cluster the shared
