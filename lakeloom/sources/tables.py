@@ -72,13 +72,21 @@ class VersionedTable:
             raise ValueError(f"no version of {self.path} at or before {ts}")
         return ok[-1]
 
-    def commit(self, df: DataFrame, when: _dt.datetime | None = None, append: bool = False) -> int:
+    def read_parts(self, parts: list[int]) -> DataFrame:
+        if not parts:
+            return self.read().limit(0)
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/_v={p}" for p in parts])
+
+    def commit(self, df: DataFrame, when: _dt.datetime | None = None, append: bool = False,
+               keep_parts: list[int] | None = None) -> int:
         """Write ``df`` as the next version (staged, then renamed). With
         ``append`` the new version is the previous one plus ``df``: only the
-        new rows are written, the manifest lists the earlier directories."""
+        new rows are written, the manifest lists the earlier directories.
+        ``keep_parts`` carries the listed data directories over unchanged."""
         cur = self.current()
         nxt = (cur or 0) + 1
-        parts = (self.parts(cur) if append and cur is not None else []) + [nxt]
+        carried = self.parts(cur) if append and cur is not None else list(keep_parts or [])
+        parts = carried + [nxt]
         stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(stage)
         fs, _, jvm = _fs(self.spark, self.path)
@@ -156,6 +164,15 @@ def merge_rows(target: DataFrame, source: DataFrame, conflict_columns, delete_co
     return out.select(*cols)
 
 
+def _touched_parts(tbl: VersionedTable, parts: list[int], source: DataFrame, keys: list[str]) -> set[int]:
+    """Data directories that hold at least one of the source keys: one
+    semi-join; the result has at most one row per directory."""
+    cur = tbl.read_parts(parts).withColumn(
+        "__part", F.regexp_extract(F.col("_metadata.file_path"), r"/_v=(\d+)/", 1).cast("int"))
+    hit = cur.join(source.select(*keys).distinct(), keys, "left_semi").select("__part").distinct()
+    return {r[0] for r in hit.collect()}
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", conflict_columns=None, delete_column: str | None = None,
                 delete_value: str = "delete", on_duplicate: str = "all", order_column: str | None = None,
                 when: _dt.datetime | None = None) -> int:
@@ -175,7 +192,17 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", conflict_colu
         else:
             new = df
     elif mode == "upsert":
-        new = upsert_rows(tbl.read(), df, conflict_columns, delete_column, delete_value, on_duplicate, order_column) if exists else df
+        if not exists:
+            new = df
+        else:
+            parts = tbl.parts(tbl.current())
+            touched = _touched_parts(tbl, parts, df, col_list(conflict_columns)) if len(parts) > 1 else set(parts)
+            keep = [p for p in parts if p not in touched]
+            # only directories holding an upserted key are rewritten; the
+            # others are carried over by the manifest
+            target = tbl.read_parts([p for p in parts if p in touched]) if keep else tbl.read()
+            new = upsert_rows(target, df, conflict_columns, delete_column, delete_value, on_duplicate, order_column)
+            return tbl.commit(new, when, keep_parts=keep)
     elif mode == "merge":
         new = merge_rows(tbl.read(), df, conflict_columns, delete_column, delete_value) if exists else df
     else:

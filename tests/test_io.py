@@ -147,3 +147,16 @@ def test_append_writes_only_new_rows(spark, tmp_dir):
     assert sorted(tuple(r) for r in tables.read_as_of(spark, path).select("id", "v").collect()) == [(1, "a"), (2, "b"), (3, "c")]
     assert tables.read_as_of(spark, path, as_of_version=1).count() == 1
     assert spark.read.parquet(os.path.join(path, "_v=3")).count() == 1  # the new version holds only its rows
+
+
+def test_upsert_rewrites_only_touched_directories(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "up")
+    tables.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), path)
+    tables.write_table(spark.createDataFrame([(3, "c"), (4, "d")], "id int, v string"), path, "append")
+    tables.write_table(spark.createDataFrame([(5, "e")], "id int, v string"), path, "append")
+    src = spark.createDataFrame([(3, "C", None), (4, "x", "delete"), (9, "z", None)], "id int, v string, op string")
+    v = tables.upsert_table(src, path, "id", delete_column="op")
+    tbl = tables.VersionedTable(spark, path)
+    assert tbl.parts(v) == [1, 3, v]  # directories 1 and 3 carried over, 2 rewritten
+    got = sorted(tuple(r) for r in tables.read_as_of(spark, path).collect())
+    assert got == [(1, "a"), (2, "b"), (3, "C"), (5, "e"), (9, "z")]
