@@ -204,7 +204,17 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", conflict_colu
             new = upsert_rows(target, df, conflict_columns, delete_column, delete_value, on_duplicate, order_column)
             return tbl.commit(new, when, keep_parts=keep)
     elif mode == "merge":
-        new = merge_rows(tbl.read(), df, conflict_columns, delete_column, delete_value) if exists else df
+        if not exists:
+            new = df
+        else:
+            # same directory pruning as upsert: a directory without a merged
+            # key keeps every row unchanged
+            parts = tbl.parts(tbl.current())
+            touched = _touched_parts(tbl, parts, df, col_list(conflict_columns)) if len(parts) > 1 else set(parts)
+            keep = [p for p in parts if p not in touched]
+            target = tbl.read_parts([p for p in parts if p in touched]) if keep else tbl.read()
+            new = merge_rows(target, df, conflict_columns, delete_column, delete_value)
+            return tbl.commit(new, when, keep_parts=keep)
     else:
         raise ValueError(f"write_table: unknown mode {mode!r} (overwrite | append | truncate | upsert | merge)")
     return tbl.commit(new, when)

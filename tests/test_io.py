@@ -160,3 +160,19 @@ def test_upsert_rewrites_only_touched_directories(spark, tmp_dir):
     assert tbl.parts(v) == [1, 3, v]  # directories 1 and 3 carried over, 2 rewritten
     got = sorted(tuple(r) for r in tables.read_as_of(spark, path).collect())
     assert got == [(1, "a"), (2, "b"), (3, "C"), (5, "e"), (9, "z")]
+
+
+def test_merge_rewrites_only_touched_directories(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "mg")
+    tables.write_table(spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, name string, amt int"), path)
+    tables.write_table(spark.createDataFrame([(3, "c", 30)], "id int, name string, amt int"), path, "append")
+    src = spark.createDataFrame([(3, "C", None), (7, "g", None), (2, "x", "delete")], "id int, name string, op string")
+    v = tables.merge_table(src, path, "id", delete_column="op")
+    assert tables.VersionedTable(spark, path).parts(v) == [v]  # both directories held a merged key
+    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "a", 10), (3, "C", 30), (7, "g", None)]
+    src2 = spark.createDataFrame([(7, "G", None)], "id int, name string, op string")
+    tables.write_table(spark.createDataFrame([(8, "h", 80)], "id int, name string, amt int"), path, "append")
+    v2 = tables.merge_table(src2, path, "id", delete_column="op")
+    parts = tables.VersionedTable(spark, path).parts(v2)
+    assert len(parts) == 2 and parts[-1] == v2
+    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "a", 10), (3, "C", 30), (7, "G", None), (8, "h", 80)]
