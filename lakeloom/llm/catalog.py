@@ -1,4 +1,4 @@
 """Imports every module of the subpackage so that its queries are registered."""
 
-from . import line_dedup, mixing  # noqa: F401
+from . import line_dedup, mixing, ngram_join  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
