@@ -145,7 +145,7 @@ def intersections(sets: list[np.ndarray], slice_cols: int = 8192) -> np.ndarray:
 def verify_chunks(threshold: float):
     """One pair of chunks of one bucket: links and a connecting label per member."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, i, j = key
         cid = pdf["cid"].to_numpy()
         weight = pdf["copies"].to_numpy()
