@@ -1,4 +1,7 @@
 """Imports every module of the subpackage so that its queries are registered."""
 
-from . import chat_format, language_id, license_scan, line_dedup, mixing, ngram_join, packing, token_counts, vptree_search  # noqa: F401
+from . import (  # noqa: F401
+    chat_format, language_id, lattice_dedup, license_scan, line_dedup, mixing, ngram_join, packing, token_counts,
+    vptree_search,
+)
 from .registry import ORACLE, QUERIES  # noqa: F401
