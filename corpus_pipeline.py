@@ -1,24 +1,36 @@
-"""Corpus pipeline: each stage reads what its predecessor kept.
+"""Corpus pipeline: language identification, line dedup, near-duplicate documents,
+source mixing, packing.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
-returns a DataFrame, which is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``."""
+returns a DataFrame, which is written as Parquet and read again as the next one's
+``docs``. All but the last return the columns of ``documents``; the last returns the
+packed pieces with their ids."""
 
 from __future__ import annotations
 
 from lakeloom.llm.common import staged
+from lakeloom.llm.language_id import keep_identified
 from lakeloom.llm.line_dedup import dedup_stage
+from lakeloom.llm.mixing import mix_stage
+from lakeloom.llm.ngram_join import one_per_group
+from lakeloom.llm.packing import pack_stage
 
 STAGES = [
+    ("language_id", keep_identified),
     ("line_dedup", dedup_stage),
+    ("ngram_jaccard", one_per_group),
+    ("mix_sources", mix_stage),
+    ("packing", pack_stage),
 ]
 
-# Language identification trains a model, which SQL cannot express.
+# Stage 1 trains a model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The result of the last stage over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
+    *first, (_, last) = STAGES
+    for name, stage in first:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return docs
+    return last(spark, docs, sf_dir)
