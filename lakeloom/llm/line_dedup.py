@@ -82,8 +82,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    cuts = docs.select(doc.alias("d")).stat.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)
-    batch = sum(((doc > F.lit(int(c))).cast("int") for c in cuts), F.lit(0))
+    parts = [i / batches for i in range(1, batches)]
+    cuts = parts and docs.select(F.col(id_col).cast("long").alias("d")).stat.approxQuantile("d", parts, 0.01)
+    batch = sum(((doc > F.lit(min(int(c), NO_ID))).cast("int") for c in cuts), F.lit(0))
 
     lines = docs.select(doc.alias("d"), F.xxhash64(text).alias("th"), batch.alias("b"),
                         F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
