@@ -14,12 +14,15 @@ from lakeloom.plans.registry import Tables, query
 _T = 0.9
 
 
+#: The row that comes later by (key, id) is the one that is matched.
+_LATER = "(lower(x.p_name), x.p_partkey) < (lower(y.p_name), y.p_partkey)"
+
+
 @query(
     "record_match",
-    f"""WITH k AS (SELECT p_partkey, p_name, lower(concat_ws(' ', p_name)) AS _key,
-                       row_number() OVER (ORDER BY lower(concat_ws(' ', p_name)), p_partkey, p_name) AS _rn FROM part)
-        SELECT a.p_partkey, a.p_name, b._key AS matched_key, round(jaro_winkler_similarity(a._key, b._key), 4) AS match_score
-        FROM k a JOIN k b ON a._rn < b._rn AND jaro_winkler_similarity(a._key, b._key) >= {_T}""",
+    f"""SELECT x.p_partkey, x.p_name, lower(y.p_name) AS matched_key,
+               round(jaro_winkler_similarity(lower(x.p_name), lower(y.p_name)), 4) AS match_score
+        FROM part x JOIN part y ON {_LATER} WHERE jaro_winkler_similarity(lower(x.p_name), lower(y.p_name)) >= {_T}""",
 )
 def q_record_match(spark, d):
     p = Tables(spark, d).part.select("p_partkey", "p_name")
@@ -28,12 +31,10 @@ def q_record_match(spark, d):
 
 @query(
     "record_match_levenshtein",
-    """WITH k AS (SELECT p_partkey, p_name, lower(concat_ws(' ', p_name)) AS _key,
-                      row_number() OVER (ORDER BY lower(concat_ws(' ', p_name)), p_partkey, p_name) AS _rn FROM part),
-            s AS (SELECT a.p_partkey, a.p_name, b._key AS matched_key,
-                         1.0 - levenshtein(a._key, b._key)::DOUBLE / GREATEST(length(a._key), length(b._key), 1) AS sc
-                  FROM k a JOIN k b ON a._rn < b._rn)
-       SELECT p_partkey, p_name, matched_key, round(sc, 4) AS match_score FROM s WHERE sc >= 0.75""",
+    f"""SELECT x.p_partkey, x.p_name, lower(y.p_name) AS matched_key, round(score, 4) AS match_score
+        FROM part x JOIN part y ON {_LATER},
+             LATERAL (SELECT 1.0 - levenshtein(lower(x.p_name), lower(y.p_name))::DOUBLE / GREATEST(length(x.p_name), length(y.p_name), 1) AS score)
+        WHERE score >= 0.75""",
 )
 def q_record_match_lev(spark, d):
     p = Tables(spark, d).part.select("p_partkey", "p_name")
@@ -42,10 +43,10 @@ def q_record_match_lev(spark, d):
 
 @query(
     "record_link",
-    f"""WITH a AS (SELECT concat_ws(' ', p_name) AS _show, lower(concat_ws(' ', p_name)) AS _key FROM part WHERE p_size > 25),
-             b AS (SELECT concat_ws(' ', p_name, p_brand) AS _show, lower(concat_ws(' ', p_name, p_brand)) AS _key FROM part WHERE p_size <= 25)
-        SELECT a._show AS left_key, b._show AS right_key, round(jaro_winkler_similarity(a._key, b._key), 4) AS score
-        FROM a CROSS JOIN b WHERE jaro_winkler_similarity(a._key, b._key) >= 0.85""",
+    """SELECT small.p_name AS left_key, named.p_name || ' ' || named.p_brand AS right_key, round(score, 4) AS score
+       FROM part small, part named,
+            LATERAL (SELECT jaro_winkler_similarity(lower(small.p_name), lower(named.p_name || ' ' || named.p_brand)) AS score)
+       WHERE small.p_size > 25 AND named.p_size <= 25 AND score >= 0.85""",
 )
 def q_record_link(spark, d):
     p = Tables(spark, d).part
@@ -55,10 +56,9 @@ def q_record_link(spark, d):
 
 @query(
     "fuzzy_dedupe",
-    f"""WITH r AS (SELECT p_partkey, p_name, lower(concat_ws(' ', p_name)) AS _key,
-                       row_number() OVER (ORDER BY lower(concat_ws(' ', p_name)), p_partkey, p_name) AS _rn FROM part)
-        SELECT a.p_partkey, a.p_name FROM r a
-        WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b._rn < a._rn AND jaro_winkler_similarity(a._key, b._key) >= {_T})""",
+    f"""SELECT y.p_partkey, y.p_name
+        FROM part y LEFT JOIN part x ON {_LATER} AND jaro_winkler_similarity(lower(x.p_name), lower(y.p_name)) >= {_T}
+        GROUP BY y.p_partkey, y.p_name HAVING COUNT(x.p_partkey) = 0""",
 )
 def q_fuzzy_dedupe(spark, d):
     p = Tables(spark, d).part.select("p_partkey", "p_name")
@@ -73,15 +73,11 @@ def _order_chain(spark, d):
     return o.select(F.lag("o_orderkey").over(w).alias("id_a"), F.col("o_orderkey").alias("id_b"))
 
 
+# The edges chain each customer's orders, so a customer with two orders or more is a component.
 @query(
     "match_groups",
-    """WITH RECURSIVE e0 AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS id_a,
-                                    o_orderkey AS id_b FROM orders),
-       edges AS (SELECT CAST(id_a AS VARCHAR) AS s, CAST(id_b AS VARCHAR) AS t FROM e0 WHERE id_a IS NOT NULL AND id_b IS NOT NULL
-                 UNION SELECT CAST(id_b AS VARCHAR), CAST(id_a AS VARCHAR) FROM e0 WHERE id_a IS NOT NULL AND id_b IS NOT NULL),
-       nodes AS (SELECT s AS id FROM edges UNION SELECT t FROM edges),
-       reach(id, rep) AS (SELECT id, id FROM nodes UNION SELECT e.t, r.rep FROM reach r JOIN edges e ON e.s = r.id)
-       SELECT id, MIN(rep) AS cluster_id FROM reach GROUP BY id""",
+    """SELECT o_orderkey::VARCHAR AS id, MIN(o_orderkey::VARCHAR) OVER (PARTITION BY o_custkey) AS cluster_id
+       FROM orders QUALIFY COUNT(*) OVER (PARTITION BY o_custkey) > 1""",
 )
 def q_match_groups(spark, d):
     return graph.match_groups(_order_chain(spark, d), "id_a", "id_b")

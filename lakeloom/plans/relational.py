@@ -547,18 +547,19 @@ def q_ref_reject(spark, d):
     return jn.ref_integrity(t.lineitem, t.part.where("p_size > 10"), "l_partkey", "p_partkey").rejected
 
 
+# The target is the source without status P, so one row per key holds both sides.
 RECONCILE_SQL = """
-WITH s AS (SELECT o_custkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amt FROM orders),
-     t AS (SELECT o_custkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amt FROM orders WHERE o_orderstatus <> 'P'),
-     j AS (SELECT s.k AS sk, t.k AS tk, s.k IS NOT NULL AS sp, t.k IS NOT NULL AS tp FROM s FULL JOIN t ON s.k IS NOT DISTINCT FROM t.k)
-SELECT 'source_rows' AS metric, CAST((SELECT COUNT(*) FROM s) AS DOUBLE) AS value
-UNION ALL SELECT 'target_rows', CAST((SELECT COUNT(*) FROM t) AS DOUBLE)
-UNION ALL SELECT 'rows_only_in_source', CAST((SELECT COUNT(*) FROM j WHERE sk IS NOT NULL AND tk IS NULL) AS DOUBLE)
-UNION ALL SELECT 'rows_only_in_target', CAST((SELECT COUNT(*) FROM j WHERE tk IS NOT NULL AND sk IS NULL) AS DOUBLE)
-UNION ALL SELECT 'keys_matched', CAST((SELECT COUNT(*) FROM j WHERE sk IS NOT NULL AND tk IS NOT NULL) AS DOUBLE)
-UNION ALL SELECT 'amt_source_sum', CAST((SELECT SUM(amt) FROM s) AS DOUBLE)
-UNION ALL SELECT 'amt_target_sum', CAST((SELECT SUM(amt) FROM t) AS DOUBLE)
-UNION ALL SELECT 'amt_difference', CAST((SELECT SUM(amt) FROM s) AS DOUBLE) - CAST((SELECT SUM(amt) FROM t) AS DOUBLE)
+WITH sides AS (
+  SELECT COUNT(*) AS s, COUNT(*) FILTER (o_orderstatus <> 'P') AS t, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS s_amt,
+         SUM(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderstatus <> 'P') AS t_amt
+  FROM orders GROUP BY o_custkey),
+wide AS (
+  SELECT SUM(s)::DOUBLE AS source_rows, SUM(t)::DOUBLE AS target_rows, COALESCE(SUM(s) FILTER (t = 0), 0)::DOUBLE AS rows_only_in_source,
+         COALESCE(SUM(t) FILTER (s = 0), 0)::DOUBLE AS rows_only_in_target, SUM(s * t)::DOUBLE AS keys_matched,
+         SUM(s_amt)::DOUBLE AS amt_source_sum, SUM(t_amt)::DOUBLE AS amt_target_sum,
+         SUM(s_amt)::DOUBLE - SUM(t_amt)::DOUBLE AS amt_difference
+  FROM sides)
+UNPIVOT wide ON COLUMNS(*) INTO NAME metric VALUE value
 """
 
 
@@ -740,20 +741,26 @@ def q_bfill_global(spark, d):
     return win.fill_backward(_events_with_gaps(spark, d), "value", ["ts", "event_id"])
 
 
-SESSIONIZE_SQL = """
-WITH g AS (
-  SELECT event_id, ts, user_id,
-         CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
-                OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 30 * 60 * 1000000
-              THEN 1 ELSE 0 END AS brk
-  FROM events),
-s AS (SELECT event_id, ts, user_id,
-             CAST(SUM(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_id
-      FROM g)
-SELECT *, CAST(row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts) AS BIGINT) AS session_seq FROM s
+def session_sql(key: str | None, gap: str, extra: str = "") -> str:
+    """A session begins at a time with no event of the key in the gap before it;
+    an event belongs to the last session begun by its time."""
+    by, part = (f"{key}, ", f"PARTITION BY {key} ") if key else ("", "")
+    same = f"e.{key} = b.{key} AND " if key else ""
+    return f"""
+WITH moments AS (SELECT DISTINCT {by}ts FROM events),
+begun AS (
+  SELECT {by}ts, row_number() OVER ({part}ORDER BY ts) AS no
+  FROM (FROM moments SELECT *, ts - lag(ts) OVER ({part}ORDER BY ts) AS pause)
+  WHERE pause IS NULL OR pause > INTERVAL {gap})
+SELECT e.event_id, e.ts, {f"e.{key}, " if key else ""}b.no AS session_id,
+       row_number() OVER (PARTITION BY {f"e.{key}, " if key else ""}b.no ORDER BY e.ts) AS session_seq
+FROM events e ASOF JOIN begun b ON {same}e.ts >= b.ts
 """
 
 
+SESSIONIZE_SQL = session_sql("user_id", "30 MINUTE")
+
+
 @query("sessionize", SESSIONIZE_SQL)
 def q_sessionize(spark, d):
     e = Tables(spark, d).events.select("event_id", "ts", "user_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import windows as win
 from lakeloom.plans.registry import Tables, query
+from lakeloom.plans.relational import session_sql
 
 
 @query(
@@ -75,14 +76,7 @@ def q_lead_skew(spark, d):
     return win.lead_lag(e, "lead", "event_id", 1, "event_type", ["ts", "event_id"], skew_safe=True)
 
 
-_SESS = """
-WITH g AS (SELECT event_id, ts, event_type,
-                  CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 2 * 60 * 1000000 THEN 1 ELSE 0 END AS brk
-           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-s AS (SELECT event_id, ts, event_type,
-             CAST(SUM(brk) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_id FROM g)
-SELECT *, CAST(row_number() OVER (PARTITION BY event_type, session_id ORDER BY ts) AS BIGINT) AS session_seq FROM s
-"""
+_SESS = session_sql("event_type", "2 MINUTE")
 
 
 @query("sessionize_skew_safe", _SESS)
@@ -109,14 +103,7 @@ def q_ntile_skew(spark, d):
     return win.rank_rows(o, "ntile", "o_orderstatus", "o_orderkey", ntile_buckets=5, skew_safe=True)
 
 
-_SESS_GLOBAL = """
-WITH g AS (SELECT event_id, ts,
-                  CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 15 * 1000000 THEN 1 ELSE 0 END AS brk
-           FROM events WINDOW w AS (ORDER BY ts)),
-s AS (SELECT event_id, ts,
-             CAST(SUM(brk) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_id FROM g)
-SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts) AS BIGINT) AS session_seq FROM s
-"""
+_SESS_GLOBAL = session_sql(None, "15 SECOND")
 
 
 @query("sessionize_global", _SESS_GLOBAL)
