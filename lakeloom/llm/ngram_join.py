@@ -31,7 +31,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, staged
@@ -76,35 +76,39 @@ def shingles(offsets, data, k):
     return h, first, g, gram_first
 
 
+def sequence_hashes(h, first) -> np.ndarray:
+    """A 128-bit hash of each text's words in their order (0, 0 for no words)."""
+    out = np.zeros((len(first) - 1, 2), _U)
+    some, at = spans(first)
+    if len(some):
+        place = np.arange(len(h), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)
+        for j, salt in enumerate((_U(0x51), _U(0xA7))):
+            out[some, j] = np.add.reduceat(mix64(h ^ mix64(place + (salt << _U(40)))), at)
+    return out
+
+
 def signature_batches(k: int, bands: int, rows: int, seed: int):
     rng = np.random.default_rng(seed)
     odd = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * _U(2) + _U(1)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            sig = np.zeros((n, 2), _U)
-            band = np.zeros((n, bands), _U)
-            for row, off, data in text_slices(texts):
+            n = len(batch)
+            sig, band = np.zeros((n, 2), _U), np.zeros((n, bands), _U)
+            for row, off, data in text_slices(batch.column("text")):
                 h, first, g, gram_first = shingles(off, data, k)
-                some, at = spans(first)
-                if not len(some):
-                    continue
-                place = np.arange(len(h), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)
-                for j, salt in enumerate((_U(0x51), _U(0xA7))):
-                    sig[row + some, j] = np.add.reduceat(mix64(h ^ mix64(place + (salt << _U(40)))), at)
+                sig[row:row + len(off) - 1] = sequence_hashes(h, first)
                 some, at = spans(gram_first)
-                for b in range(bands):
+                for b in range(bands if len(some) else 0):
                     acc = np.zeros(len(some), _U)
                     for r in range(rows):
                         low = np.minimum.reduceat((g * odd[b * rows + r]) >> _U(24), at)
                         acc = mix64(acc * _U(31) + low)
                     band[row + some, b] = acc
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)),
+                [batch.column("id"), pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)),
                  pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), band.reshape(-1).view(np.int64))],
-                names=["rid", "c1", "c2", "bands"])
+                names=["id", "c1", "c2", "bands"])
 
     return run
 
@@ -112,15 +116,33 @@ def signature_batches(k: int, bands: int, rows: int, seed: int):
 def set_batches(k: int):
     def run(batches):
         for batch in batches:
-            sets = []
+            sets, sig = [], []
             for _, off, data in text_slices(batch.column("text")):
-                _, _, g, gram_first = shingles(off, data, k)
+                h, first, g, gram_first = shingles(off, data, k)
+                sig.append(sequence_hashes(h, first))
                 sets += [np.unique(g[a:b]).tobytes() for a, b in zip(gram_first[:-1], gram_first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], names=["cid", "shingles"])
+            if sets:
+                sig = np.concatenate(sig).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.array(sets, pa.binary())],
+                                                 names=["c1", "c2", "shingles"])
 
     return run
 
 
+def hash_batches(batches):
+    """Every batch with the hashes of its texts' words, as __c1 and __c2."""
+    for batch in batches:
+        sig = []
+        for _, off, data in text_slices(batch.column("text")):
+            low = LOWER[data]
+            starts, ends, first = words(off, low, NON_SPACE)
+            sig.append(sequence_hashes(word_hashes(low, starts, ends), first))
+        if sig:
+            sig = np.concatenate(sig).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig[:, 0]), pa.array(sig[:, 1])],
+                                             names=[*batch.schema.names, "__c1", "__c2"])
+
+
 def intersections(sets: list[np.ndarray], slice_cols: int = 8192) -> np.ndarray:
     """Matrix of the sizes of all intersections, by products of 0/1 matrices over
     the shingles that two sets or more hold."""
@@ -181,71 +203,72 @@ def verify_chunks(threshold: float):
 
 def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, target_recall: float = 0.9995,
                    max_hashes: int = 104, seed: int = 5) -> DataFrame:
-    """``docs``: stored (rid, id, text), rid unique. Returns a row for each rid:
-    ``n_links`` (other documents linked directly), ``class_id`` (smallest id in
-    the component) and ``copies`` (documents with the same words)."""
+    """``docs``: (id, text). Returns a row for each row of it: ``id``, the hash of its
+    words (``c1``, ``c2``), ``n_links`` (other documents linked directly),
+    ``component_id``, ``class_id`` (smallest id in the component) and ``copies``
+    (documents with the same words)."""
     bands, rows = choose_bands(threshold, target_recall, max_hashes)
-    signed = docs.select("rid", "text").mapInArrow(signature_batches(k, bands, rows, seed),
-                                                   "rid long, c1 long, c2 long, bands array<long>")
-    signed = staged(signed, "signatures")
-    ids = docs.select("rid", "id")
-    member = signed.select("rid", "c1", "c2").join(ids, "rid")
-    classes = (member.groupBy("c1", "c2").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"),
-                                              F.min("rid").alias("cid")))
-    classes = staged(classes, "classes")
-
-    banded = (signed.join(classes.select(F.col("cid").alias("rid"), "copies"), "rid")
-              .where("c1 <> 0 or c2 <> 0")  # no words: nothing to link but the class itself
-              .select(F.col("rid").alias("cid"), "copies", F.posexplode("bands").alias("band", "hash")))
-    buckets = (banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"),
-                                                  F.sum(F.xxhash64(F.lit(1), "cid").cast("decimal(38,0)")).alias("s2"))
-               .where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "hash")).alias("b"))
-               .select("n", "b.band", "b.hash", F.monotonically_increasing_id().alias("bucket")))
+    signed = staged(docs.select("id", "text").mapInArrow(signature_batches(k, bands, rows, seed),
+                                                         "id long, c1 long, c2 long, bands array<long>"), "signatures")
+    classes = signed.groupBy("c1", "c2").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"),
+                                             F.min("bands").alias("bands"))
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    banded = (classes.where("c1 <> 0 or c2 <> 0")  # no words: nothing to link but the class itself
+              .select("cid", F.posexplode("bands").alias("band", "hash")))
+    buckets = (banded.groupBy("band", "hash").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("s2"))
+        .where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "hash")).alias("b"))
+        .select("n", "b.band", "b.hash", F.monotonically_increasing_id().alias("bucket")))
     buckets = staged(buckets, "buckets")
-    held = staged(banded.join(buckets, ["band", "hash"]).select("cid", "copies", "bucket", "n"), "held")
-    lists = held.groupBy("cid").agg(F.collect_list("bucket").alias("buckets"))
-    texts = (docs.join(lists.select(F.col("cid").alias("rid")), "rid", "left_semi")
-             .select(F.col("rid").alias("cid"), "text").mapInArrow(set_batches(k), "cid long, shingles binary"))
-    sets = staged(texts.join(lists, "cid"), "sets")
+    # The sides of these joins grow with the corpus: sort-merge at every size.
+    held = staged(banded.join(buckets.hint("merge"), ["band", "hash"]).select("cid", "bucket", "n"), "held")
+    lists = (held.groupBy("cid").agg(F.collect_list("bucket").alias("buckets"))
+             .join(classes.select("cid", "c1", "c2", "min_id", "copies"), "cid"))
+    lists = staged(lists, "lists")
+    wanted = lists.select(F.col("min_id").alias("rep")).distinct()
+    texts = (docs.select("id", "text").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+             .mapInArrow(set_batches(k), "c1 long, c2 long, shingles binary"))
+    # an id may stand on other rows too, and a row may be repeated
+    sets = (texts.join(lists.hint("merge"), ["c1", "c2"]).groupBy("c1", "c2", "cid", "copies", "buckets")
+            .agg(F.min("shingles").alias("shingles")).select("cid", "copies", "buckets", "shingles"))
+    sets = staged(sets, "sets")
 
     n_chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows_ = (held.withColumn("chunk", F.pmod(F.xxhash64("cid"), n_chunks).cast("int"))
+    pairs = (held.withColumn("chunk", F.pmod(F.xxhash64("cid"), n_chunks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
-             .select("cid", "copies", "bucket", "chunk", F.least("chunk", "other").alias("i"),
-                     F.greatest("chunk", "other").alias("j")))
-    found = (rows_.join(sets, "cid").groupBy("bucket", "i", "j")
+             .select("cid", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")))
+    found = (pairs.join(sets.hint("merge"), "cid").groupBy("bucket", "i", "j")
              .applyInPandas(verify_chunks(threshold), "cid long, links long, label long"))
     found = staged(found, "links")
 
     component = connected_components(found.select(F.col("cid").alias("a"), F.col("label").alias("b")))
-    per = (classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
+    per = (classes.drop("bands").join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
            .join(component.withColumnRenamed("id", "cid"), "cid", "left")
            .withColumn("component_id", F.coalesce("component_id", "cid")))
     least = per.groupBy("component_id").agg(F.min("min_id").alias("class_id"))
     per = per.join(least, "component_id").select(
         "c1", "c2", "class_id", "component_id", "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("rid", "c1", "c2").join(per, ["c1", "c2"]).drop("c1", "c2")
-
-
-def _stored(docs: DataFrame) -> DataFrame:
-    return staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "docs")
+    return signed.select("id", "c1", "c2").join(per, ["c1", "c2"])
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the
-    smallest doc_id stays (the first such row, if the id repeats)."""
-    stored = _stored(docs)
-    groups = jaccard_groups(stored.select(F.col("__rid").alias("rid"), F.col("doc_id").alias("id"), "text"))
-    best = (groups.join(stored.select(F.col("__rid").alias("rid"), "doc_id"), "rid").groupBy("component_id")
-            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("b")))
-    return stored.join(best.select(F.col("b.rid").alias("__rid")), "__rid", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of near copies the document with the smallest
+    doc_id stays, once (a null id only if the group has no other)."""
+    groups = jaccard_groups(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
+    best = (groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "c1", "c2")).alias("b"))
+            .select(F.col("b.id").alias("__id"), F.col("b.c1").alias("__b1"), F.col("b.c2").alias("__b2")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    hashed = docs.mapInArrow(hash_batches, f"{fields}, __c1 long, __c2 long")
+    kept = hashed.join(best.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c1") == F.col("__b1"))
+                       & (F.col("__c2") == F.col("__b2")), "left_semi")
+    once = Window.partitionBy("doc_id", "__c1", "__c2").orderBy("text")
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
 
 
 @query("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark, d):
-    stored = staged(table(spark, d, "documents").select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("id"), "text"), "docs")
-    return (jaccard_groups(stored).join(stored.select("rid", F.col("id").alias("doc_id")), "rid")
-            .select("doc_id", "class_id", F.col("n_links").cast("long"), (F.col("copies") - 1).alias("exact_copies")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return jaccard_groups(docs).select(F.col("id").alias("doc_id"), "class_id", F.col("n_links").cast("long"),
+                                       (F.col("copies") - 1).alias("exact_copies"))
