@@ -145,10 +145,12 @@ def range_numbered(
         # row_number may order ties arbitrarily: a row hash as last key lets
         # one hot key spread over several range partitions.
         ordered = ordered + [F.xxhash64(*[F.col(c) for c in df.columns])]
-    ranged = df.repartitionByRange(n, *ordered).withColumn("__pid", F.spark_partition_id())
-    ranged = ranged.checkpoint(eager=True)
-    w = Window.partitionBy("__pid").orderBy(*ordered)
-    return ranged.withColumn("__lrn", F.row_number().over(w))
+    # Sorted partitions are stored; a monotonic id then holds the partition in its
+    # upper bits and the place in it in the lower 33: no second shuffle.
+    ranged = df.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
+    ranged = ranged.withColumn("__at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    return (ranged.withColumn("__pid", F.shiftright("__at", 33).cast("int"))
+            .withColumn("__lrn", (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("__at"))
 
 
 def partition_offsets(numbered: DataFrame, extra_aggs: dict | None = None) -> DataFrame:

@@ -79,13 +79,14 @@ def split(df: DataFrame, column: str, separator: str, output: str | None = None)
 
 
 def _escape_stray_percents(pattern: str) -> str:
-    spec = re.compile(r"%(?:%|[-+ #0]*\d*(?:\.\d+)?[sdifeEgGxXocb])")
+    # no space flag: "50% off" is text; Java knows %d only for %i and %u
+    spec = re.compile(r"%(?:%|[-+#0]*\d*(?:\.\d+)?[sdiufeEgGxXocb])")
     out, i = [], 0
     while i < len(pattern):
         if pattern[i] == "%":
             m = spec.match(pattern, i)
             if m:
-                out.append(m.group(0))
+                out.append(re.sub("[iu]$", "d", m.group(0)))
                 i = m.end()
                 continue
             out.append("%%")

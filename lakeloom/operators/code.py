@@ -6,8 +6,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _READ_ONLY = re.compile(r"^\s*(with|select|values|from|\()", re.I)
@@ -51,15 +52,16 @@ def sql_routine(spark: SparkSession, name: str, params: list[str], body: str) ->
 
 def python_rows(df: DataFrame, process: Callable[[dict], dict | None], schema: StructType | str) -> DataFrame:
     """Apply ``process(row_dict) -> dict | None`` to each row; ``None`` drops
-    the row. Runs per partition over Arrow batches (``mapInPandas``)."""
+    the row. Runs per partition over Arrow batches, so NULLs reach ``process``
+    as ``None`` and integers as integers."""
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [r for r in (process(rec) for rec in pdf.to_dict("records")) if r is not None]
-            cols = schema.fieldNames() if isinstance(schema, StructType) else None
-            yield pd.DataFrame(out, columns=cols) if out else pd.DataFrame(columns=cols or [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [r for r in map(process, batch.to_pylist()) if r is not None]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[list], list], input_column: str, output_column: str,
@@ -82,14 +84,15 @@ def map_batches(df: DataFrame, fn: Callable[[list], list], input_column: str, ou
                     raise
         return []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    result = to_arrow_schema(schema).field(len(schema) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             results: list = []
-            vals = pdf[input_column].tolist()
+            vals = batch.column(input_column).to_pylist()
             for i in range(0, len(vals), batch_size):
                 results.extend(call(vals[i:i + batch_size]))
-            pdf = pdf.copy()
-            pdf[output_column] = results
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, result.type)],
+                                             names=[*batch.schema.names, output_column])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -82,6 +82,11 @@ def rename(df: DataFrame, mapping) -> DataFrame:
 
 def _cast_expr(c: Column, target: str, fmt: str | None, strict: bool) -> Column:
     t = spark_type(target)
+    if fmt == "excel" and t in ("timestamp_ntz", "timestamp", "date"):
+        # day serials; the fraction is the time of day
+        days = c.cast("string").cast("double") if strict else c.cast("string").try_cast("double")
+        moment = F.lit("1899-12-30").cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(days * 86400, 6).cast("decimal(18,6)"))
+        return moment.cast(t)
     if fmt and t in ("timestamp_ntz", "timestamp", "date"):
         java = strptime_to_java(fmt)
         if strict:
@@ -89,10 +94,6 @@ def _cast_expr(c: Column, target: str, fmt: str | None, strict: bool) -> Column:
         else:
             parsed = F.try_to_timestamp(c.cast("string"), F.lit(java)).cast("timestamp_ntz")
         return parsed.cast("date") if t == "date" else parsed
-    if fmt == "excel" and t in ("timestamp_ntz", "date"):
-        days = c.cast("int")
-        d = F.date_add(F.lit("1899-12-30").cast("date"), days)
-        return d if t == "date" else d.cast("timestamp_ntz")
     if strict:
         return c.cast(t)
     if t in ("int", "bigint", "smallint", "tinyint"):

@@ -20,13 +20,14 @@ def point_y(wkt: Column) -> Column:
     return F.regexp_extract(wkt, POINT_RE, 2).try_cast("double")
 
 
-def parse_polygon(wkt: str) -> list[tuple[float, float]]:
-    """Outer ring of a WKT POLYGON literal (driver-side, one literal)."""
-    m = re.search(r"POLYGON\s*\(\(\s*(.*?)\s*\)", wkt, re.I | re.S)
-    if not m:
+def parse_polygon(wkt: str) -> list[list[tuple[float, float]]]:
+    """All rings of a WKT POLYGON or MULTIPOLYGON literal (driver-side, one literal)."""
+    if not re.match(r"\s*(MULTI)?POLYGON\b", wkt, re.I):
+        raise ValueError(f"not a POLYGON: {wkt[:60]!r}")
+    rings = [[tuple(float(v) for v in p.split()[:2]) for p in ring.split(",")] for ring in re.findall(r"\(([^()]+)\)", wkt)]
+    if not rings:
         raise ValueError(f"not a POLYGON: {wkt[:60]!r}")
-    pts = [tuple(float(v) for v in p.split()) for p in m.group(1).split(",")]
-    return [(p[0], p[1]) for p in pts]
+    return rings
 
 
 def parse_point(wkt: str) -> tuple[float, float]:
@@ -47,42 +48,44 @@ def geo_within_distance(df: DataFrame, geom_column: str, target_wkt: str, distan
     return geo_distance(df, geom_column, target_wkt, "__d").withColumn(output, F.col("__d") <= float(distance)).drop("__d")
 
 
-def _ray_cast(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule over the ring's edges as an array aggregate; ``ring`` is
-    an array of struct(x, y) with the first point repeated at the end."""
-    n = F.size(ring)
-    edges = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(ring[i]["x"].alias("x1"), ring[i]["y"].alias("y1"),
-                                                                         ring[i + 1]["x"].alias("x2"), ring[i + 1]["y"].alias("y2")))
+def _ray_cast(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule over the edges of all rings (an array of arrays of
+    struct(x, y), each closed): a hole's edges count like any other, and so do
+    the parts of a multipolygon."""
+
+    def crossed(ring):
+        edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: (
+            ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"])))
+        return F.aggregate(edges, F.lit(False), lambda acc, e: acc != F.coalesce(e, F.lit(False)))
 
-    def crosses(e):
-        return (((e["y1"] > y) != (e["y2"] > y))
-                & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+    return F.aggregate(rings, F.lit(False), lambda acc, ring: acc != crossed(ring))
 
-    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != F.coalesce(crosses(e), F.lit(False)))
 
+def _rings_col(rings: list[list[tuple[float, float]]]) -> Column:
+    def one(pts):
+        pts = pts if pts[0] == pts[-1] else pts + pts[:1]
+        return F.array(*[F.struct(F.lit(px).alias("x"), F.lit(py).alias("y")) for px, py in pts])
 
-def _ring_col(ring: list[tuple[float, float]]) -> Column:
-    pts = list(ring)
-    if pts[0] != pts[-1]:
-        pts.append(pts[0])
-    return F.array(*[F.struct(F.lit(px).alias("x"), F.lit(py).alias("y")) for px, py in pts])
+    return F.array(*[one(r) for r in rings])
 
 
 def geo_intersects(df: DataFrame, geom_column: str, target_wkt: str, output: str = "intersects") -> DataFrame:
-    """POINT-in-POLYGON flag against one polygon literal."""
+    """POINT-in-POLYGON flag against one polygon or multipolygon literal."""
     g = F.col(geom_column)
-    return df.withColumn(output, _ray_cast(point_x(g), point_y(g), _ring_col(parse_polygon(target_wkt))))
+    return df.withColumn(output, _ray_cast(point_x(g), point_y(g), _rings_col(parse_polygon(target_wkt))))
 
 
-_RING_RE = r"POLYGON\s*\(\(\s*(.*?)\s*\)"
+def polygon_rings(wkt: Column) -> Column:
+    """WKT POLYGON or MULTIPOLYGON text → array of closed rings, each an
+    array<struct<x,y>>; other text gives no rings."""
 
+    def points(ring):
+        return F.transform(F.split(F.trim(ring), r"\s*,\s*"), lambda p: F.struct(
+            F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
 
-def polygon_ring(wkt: Column) -> Column:
-    """WKT POLYGON text → array<struct<x,y>> (outer ring, closed)."""
-    body = F.regexp_extract(wkt, _RING_RE, 1)
-    pts = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.struct(
-        F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
-    return F.when(pts[0] == F.element_at(pts, -1), pts).otherwise(F.concat(pts, F.array(pts[0])))
+    found = F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)), points)
+    closed = F.transform(found, lambda r: F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(r[0]))))
+    return F.when(wkt.rlike(r"(?i)\A\s*(MULTI)?POLYGON\b"), closed)
 
 
 def join_spatial(points: DataFrame, polygons: DataFrame, left_geom_column: str, right_geom_column: str,
@@ -97,21 +100,14 @@ def join_spatial(points: DataFrame, polygons: DataFrame, left_geom_column: str,
         raise ValueError(f"join_spatial: unsupported relation {relation!r}")
     p = points.withColumn("__x", point_x(F.col(left_geom_column))).withColumn("__y", point_y(F.col(left_geom_column)))
     p = p.withColumn("__cx", F.floor(F.col("__x") / cell).cast("bigint")).withColumn("__cy", F.floor(F.col("__y") / cell).cast("bigint"))
-    p = p.withColumn("__pid", F.monotonically_increasing_id())
-    ring = polygon_ring(F.col(right_geom_column))
-    g = polygons.withColumn("__ring", ring)
-    xs = F.transform("__ring", lambda q: q["x"])
-    ys = F.transform("__ring", lambda q: q["y"])
+    g = polygons.withColumn("__rings", polygon_rings(F.col(right_geom_column)))
+    points_ = F.flatten("__rings")
+    xs, ys = F.transform(points_, lambda q: q["x"]), F.transform(points_, lambda q: q["y"])
     g = g.withColumns({"__x0": F.floor(F.array_min(xs) / cell).cast("bigint"), "__x1": F.floor(F.array_max(xs) / cell).cast("bigint"),
                        "__y0": F.floor(F.array_min(ys) / cell).cast("bigint"), "__y1": F.floor(F.array_max(ys) / cell).cast("bigint")})
-    g = g.withColumn("__cx", F.explode(F.sequence("__x0", "__x1"))).withColumn("__cy", F.explode(F.sequence("__y0", "__y1")))
-    right_cols = [c for c in polygons.columns]
-    cand = p.join(g.select("__cx", "__cy", "__ring", *[F.col(f"`{c}`") for c in right_cols]), ["__cx", "__cy"])
-    hit = cand.where(_ray_cast(F.col("__x"), F.col("__y"), F.col("__ring")))
-    left_cols = [F.col(f"`{c}`") for c in points.columns]
-    inner = hit.select(*left_cols, *[F.col(f"`{c}`") for c in right_cols])
-    if join_type == "inner":
-        return inner
-    matched = hit.select("__pid").distinct()
-    unmatched = p.join(matched, "__pid", "left_anti").select(*left_cols, *[F.lit(None).cast(t).alias(c) for c, t in polygons.dtypes])
-    return inner.unionByName(unmatched)
+    g = (g.withColumn("__gx", F.explode(F.sequence("__x0", "__x1"))).withColumn("__gy", F.explode(F.sequence("__y0", "__y1")))
+         .select("__gx", "__gy", "__rings", *[F.col(f"`{c}`") for c in polygons.columns]))
+    # a point lies in one cell, so the left form is one left join
+    on = ((p["__cx"] == g["__gx"]) & (p["__cy"] == g["__gy"]) & _ray_cast(p["__x"], p["__y"], g["__rings"]))
+    return p.join(g, on, "inner" if join_type == "inner" else "left").select(
+        *[p[f"`{c}`"] for c in points.columns], *[g[f"`{c}`"] for c in polygons.columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from lakeloom.core import col_list, global_row_number, require_cols
 
@@ -42,26 +43,19 @@ def limit_rows(df: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def top_n(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
-    """ORDER BY … LIMIT n → TakeOrderedAndProject (per-partition top-n, then
-    merge) for small n; a large n is numbered over range partitions."""
+    """ORDER BY … LIMIT n: a top-n per partition, then their merge. Ties at the
+    edge fall in the order of all columns."""
     spec = order_spec(order_by)
-    if spec and int(n) > TOPK_IN_ONE_TASK:
-        return global_row_number(df, spec, "__rn").where(F.col("__rn") <= int(n)).drop("__rn")
-    return (df.orderBy(*spec) if spec else df).limit(int(n))
+    return (df.orderBy(*spec, *_sortable(df)) if spec else df).limit(int(n))
 
 
-# Above this many rows a top-k is not gathered in one task: rows are
-# numbered over range partitions and filtered instead.
-TOPK_IN_ONE_TASK = 100_000
+def _sortable(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
 
 
 def _first_k_by(df: DataFrame, key: Column, k: int) -> DataFrame:
-    """The ``k`` rows with the smallest ``key``: a distributed top-k for small
-    k, range-partitioned numbering for large k (no single task)."""
-    if k <= TOPK_IN_ONE_TASK:
-        return df.orderBy(key).limit(k)
-    numbered = global_row_number(df.withColumn("__key", key), ["__key"], "__rn")
-    return numbered.where(F.col("__rn") <= k).drop("__key", "__rn")
+    """The ``k`` rows with the smallest ``key``, equal keys in the order of all columns."""
+    return df.orderBy(key, *_sortable(df)).limit(k)
 
 
 def skip_rows(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
@@ -164,15 +158,21 @@ def distinct_on(df: DataFrame, columns, order_by=None) -> DataFrame:
 
 
 def rank_filter(df: DataFrame, partition_by, order_by, n: int = 10, desc: bool = True) -> DataFrame:
-    """Top ``n`` rows per group by ``row_number``.
+    """Top ``n`` rows per group by ``row_number``. ``order_by`` may give a
+    direction per column (``"price desc, id asc"``); columns without one follow
+    ``desc``.
 
     Spark plans a partial WindowGroupLimit before the shuffle, so each map
     task forwards at most ``n`` rows per key (skew-safe); without a partition
     this is a distributed top-n."""
     keys = col_list(partition_by)
-    ocols = col_list(order_by)
-    spec = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c in ocols]
+    items = [p for p in order_by.split(",") if p.strip()] if isinstance(order_by, str) else order_by
+    spec = []
+    for item in items:
+        name, *way = item.split() if isinstance(item, str) else item
+        down = str(way[0]).lower().startswith("desc") if way else desc
+        spec.append(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last())
     if not keys:
-        return df.orderBy(*spec).limit(int(n))
+        return df.orderBy(*spec, *_sortable(df)).limit(int(n))
     w = Window.partitionBy(*keys).orderBy(*spec)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= int(n)).drop("__rn")

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DecimalType, IntegerType, StructField, StructType
 
 from lakeloom.core import col_list, range_numbered
 
@@ -39,8 +40,6 @@ def _tails(numbered: DataFrame, keys: list[str], aggs: dict[str, Column], revers
 def _edge_frame(df: DataFrame, keys: list[str], tails: list, edge: str) -> DataFrame:
     """(__pid, __e_<key>...) with each partition's first (``fk``) or last
     (``lk``) key, typed like the keys."""
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
     fields = [StructField("__pid", IntegerType())] + [
         StructField(f"__e_{k}", df.schema[k].dataType, True) for k in keys]
     rows = [(t["__pid"], *[x[1] for x in t[edge]]) for t in tails]
@@ -93,44 +92,90 @@ def keyed_row_number(df: DataFrame, keys, order, output: str = "row_number") ->
     return out.select(*df.columns, output)
 
 
+def _before(a, b):
+    """The smaller of two values in Spark's order (NaN above all numbers)."""
+    return a if (a != a, a if a == a else 0) <= (b != b, b if b == b else 0) else b
+
+
+_COMBINE = {
+    "sum": lambda a, b: a + b, "count": lambda a, b: a + b,
+    "min": _before, "max": lambda a, b: b if _before(a, b) == a or a == b else a,
+}
+_LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def _carried(numbered: DataFrame, keys: list[str], value: Column, function: str, output: str) -> DataFrame:
+    """Running ``function`` of ``value`` per key over the stored row order, in the
+    function's own type: the local running value joined with the carry of the
+    key's earlier slices."""
+    w = Window.partitionBy("__pid", *keys).orderBy("__lrn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = _LOCAL[function]
+    local = numbered.withColumn("__l", f(value).over(w))
+    tails = _tails(numbered, keys, {"v": f(value)})
+
+    def combine(acc, tail):
+        return tail["v"] if acc is None else acc if tail["v"] is None else _COMBINE[function](acc, tail["v"])
+
+    carry = StructType([StructField("__pid", IntegerType()), StructField("__c", local.schema["__l"].dataType)])
+    frame = numbered.sparkSession.createDataFrame(_carry_rows(tails, combine, None), carry)
+    j = local.join(F.broadcast(frame), "__pid").join(F.broadcast(_edge_frame(numbered, keys, tails, "fk")), "__pid")
+    c, own = F.when(_at_edge(keys), F.col("__c")), F.col("__l")
+    both = {"sum": own + c, "count": own + c, "min": F.least(own, c), "max": F.greatest(own, c)}[function]
+    total = F.when(c.isNull(), own).when(own.isNull(), c).otherwise(both).cast(local.schema["__l"].dataType)
+    return j.withColumn(output, total).select(*numbered.columns, output)
+
+
+def _previous(numbered: DataFrame, keys: list[str], column: str, output: str, is_first: str) -> DataFrame:
+    """The value of the row before, within the key, over the stored row order;
+    ``is_first`` marks the rows that have none before them."""
+    w = Window.partitionBy("__pid", *keys).orderBy("__lrn")
+    local = numbered.withColumn("__l", F.lag(column).over(w)).withColumn("__head", F.row_number().over(w) == 1)
+    tails = _tails(numbered, keys, {"v": F.max_by(F.struct(F.col(column)), F.col("__lrn"))})
+    carry = StructType([StructField("__pid", IntegerType()), StructField("__c", numbered.schema[column].dataType), StructField("__any", BooleanType())])
+    rows = [(pid, got[0] if got is not None else None, got is not None)
+            for pid, got in _carry_rows(tails, lambda acc, t: acc if acc is not None else t["v"], None)]
+    frame = numbered.sparkSession.createDataFrame(rows, carry)
+    j = local.join(F.broadcast(frame), "__pid").join(F.broadcast(_edge_frame(numbered, keys, tails, "fk")), "__pid")
+    inherits = F.col("__head") & _at_edge(keys) & F.col("__any")
+    return (j.withColumn(output, F.when(inherits, F.col("__c")).otherwise(F.col("__l")))
+            .withColumn(is_first, F.col("__head") & ~inherits).select(*numbered.columns, output, is_first))
+
+
 def keyed_running(df: DataFrame, keys, order, column: str, function: str = "sum", output: str | None = None) -> DataFrame:
-    """Running sum / count / min / max / avg per key (ROWS frame), skew-safe."""
+    """Running sum / count / min / max / avg per key (ROWS frame), skew-safe, in
+    the type Spark's window gives. Without keys: over the whole frame."""
     ks, od = col_list(keys), col_list(order)
     out = output or f"{column}_running_{function}"
-    numbered = range_numbered(df, ks + od, split_ties=True)
-    w = (Window.partitionBy("__pid", *ks).orderBy(*_asc(od), F.col("__lrn"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    base = df if ks else df.withColumn("__all", F.lit(0))
+    numbered = range_numbered(base, ks + od, split_ties=True)
+    ks = ks or ["__all"]
     v = F.col(column)
-    local = numbered.withColumns({"__ls": F.sum(v).over(w), "__lc": F.count(v).over(w),
-                                  "__lmin": F.min(v).over(w), "__lmax": F.max(v).over(w)})
-    tails = _tails(numbered, ks, {"s": F.sum(v).cast("double"), "c": F.count(v), "mn": F.min(v).cast("double"),
-                                  "mx": F.max(v).cast("double")})
-
-    def comb(acc, t):
-        s, c, mn, mx = acc
-        def add(a, b):
-            return b if a is None else a if b is None else a + b
-        def lo(a, b):
-            return b if a is None else a if b is None else min(a, b)
-        def hi(a, b):
-            return b if a is None else a if b is None else max(a, b)
-        return add(s, t["s"]), c + t["c"], lo(mn, t["mn"]), hi(mx, t["mx"])
-
-    carry = _carry_rows(tails, comb, (None, 0, None, None))
-    spark = df.sparkSession
-    cf = spark.createDataFrame([(p, *c) for p, c in carry], "__pid int, __cs double, __cc bigint, __cmin double, __cmax double")
-    j = local.join(F.broadcast(cf), "__pid").join(F.broadcast(_edge_frame(df, ks, tails, "fk")), "__pid")
-    first = _at_edge(ks)
-    cs = F.when(first, F.col("__cs"))
-    cc = F.when(first, F.col("__cc")).otherwise(F.lit(0))
-    s = F.when(cs.isNull(), F.col("__ls")).when(F.col("__ls").isNull(), cs).otherwise(F.col("__ls") + cs)
-    c = F.col("__lc") + cc
-    e = {"sum": s, "count": c, "avg": s / F.when(c > 0, c),
-         "min": F.least(F.col("__lmin"), F.when(first, F.col("__cmin"))),
-         "max": F.greatest(F.col("__lmax"), F.when(first, F.col("__cmax")))}[function]
-    if function == "sum" and dict(df.dtypes)[column] in ("int", "bigint", "smallint", "tinyint"):
-        e = e.cast("bigint")
-    return j.withColumn(out, e).select(*df.columns, out)
+    if function != "avg":
+        return _carried(numbered, ks, v, function, out).select(*df.columns, out)
+    result = df.select(F.avg(v).alias("a")).schema["a"].dataType
+    addend = v if isinstance(result, DecimalType) else v.cast("double")
+    total = _carried(_carried(numbered, ks, addend, "sum", "__s"), ks, v, "count", "__n")
+    return total.withColumn(out, (F.col("__s") / F.nullif(F.col("__n"), F.lit(0))).cast(result)).select(*df.columns, out)
+
+
+def keyed_sessions(df: DataFrame, keys, order: str, micros: int, session_column: str, seq_column: str | None) -> DataFrame:
+    """Sessions per key from one stored row order: the gap to the row before, the
+    running count of breaks, and the place since the last break. Rows of equal
+    time fall in one session whichever of them comes first."""
+    ks = col_list(keys)
+    n = range_numbered(df, ks + [order], split_ties=True)
+    n = _previous(n, ks, order, "__prev", "__first")
+    gap = F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.col("__prev").cast("timestamp"))
+    n = n.withColumn("__brk", F.when(F.col("__first") | F.col("__prev").isNull() | (gap > micros), 1).otherwise(0)).checkpoint(eager=True)
+    n = _carried(n, ks, F.col("__brk"), "sum", session_column)
+    out = [*df.columns, session_column]
+    if seq_column:
+        n = _carried(n, ks, F.lit(1), "count", "__row")
+        n = n.checkpoint(eager=True)
+        n = _carried(n, ks, F.when(F.col("__brk") == 1, F.col("__row")), "max", "__start")
+        n = n.withColumn(seq_column, F.col("__row") - F.col("__start") + 1)
+        out.append(seq_column)
+    return n.select(*out)
 
 
 def keyed_fill(df: DataFrame, keys, order, column: str, backward: bool = False) -> DataFrame:

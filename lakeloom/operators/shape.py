@@ -47,14 +47,12 @@ def _literal(sep: str) -> str:
     return re.escape(sep)
 
 
-def transpose(df: DataFrame, order_by, max_rows: int = 1000) -> DataFrame:
+def transpose(df: DataFrame, order_by) -> DataFrame:
     """Columns → rows ``column_name, r1, r2, …`` with rows ordered by
-    ``order_by``. Every input row becomes an output COLUMN, so the input
-    must be small; a larger input raises instead of being truncated."""
+    ``order_by``. Every input row becomes an output COLUMN, so the input is as
+    long as a plan can be wide."""
     order = col_list(order_by)
     n = df.count()
-    if n > max_rows:
-        raise ValueError(f"transpose: {n} rows would become {n} columns (limit {max_rows})")
     from lakeloom.core import global_row_number
 
     numbered = global_row_number(df, order, "__r")

@@ -19,17 +19,6 @@ def _asc(cols: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
-def _use_skew_path(df: DataFrame, keys: list[str], skew_safe) -> bool:
-    """``skew_safe``: True / False, or ``"auto"``: one grouped count (reduced
-    map-side) decides — the range-split path is taken when the largest key
-    holds more rows than two average shuffle partitions would."""
-    if skew_safe != "auto":
-        return bool(skew_safe)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stats = df.groupBy(*keys).count().agg(F.max("count").alias("top"), F.sum("count").alias("total")).collect()[0]
-    return bool(stats["top"]) and stats["top"] > 2 * stats["total"] / max(n, 1)
-
-
 def global_rank(df: DataFrame, order: list[str], output: str = "rank", dense: bool = False) -> DataFrame:
     """Exact ``rank``/``dense_rank`` over the whole frame without one task:
     ties share a range partition, so a partition-local rank plus the count
@@ -55,7 +44,7 @@ def global_dense_rank(df: DataFrame, order: list[str], output: str) -> DataFrame
 
 def rank_rows(
     df: DataFrame, func: str = "row_number", partition_by=None, order_by=None, ntile_buckets: int = 4,
-    output: str | None = None, skew_safe: bool | str = "auto",
+    output: str | None = None, skew_safe: bool = True,
 ) -> DataFrame:
     """row_number / rank / dense_rank / ntile, ascending, result as BIGINT.
     ``skew_safe`` row_number splits hot keys over range partitions."""
@@ -63,7 +52,7 @@ def rank_rows(
     if not order:
         raise ValueError(f"{func}: order_by is required")
     out = output or func
-    if keys and _use_skew_path(df, keys, skew_safe):
+    if keys and skew_safe:
         from lakeloom.operators import segmented as seg
 
         if func == "row_number":
@@ -93,12 +82,12 @@ def rank_rows(
 
 def lead_lag(
     df: DataFrame, func: str, target_column: str, offset: int = 1, partition_by=None, order_by=None,
-    output: str | None = None, skew_safe: bool | str = "auto",
+    output: str | None = None, skew_safe: bool = True,
 ) -> DataFrame:
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or func
     f = F.lead if func == "lead" else F.lag
-    if keys and _use_skew_path(df, keys, skew_safe):
+    if keys and skew_safe:
         from lakeloom.operators.segmented import keyed_shift
 
         return keyed_shift(df, keys, order, target_column, int(offset) if func == "lag" else -int(offset), out)
@@ -156,44 +145,23 @@ _CUM = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max
 
 
 def cumulative(df: DataFrame, column: str, order_by, function: str = "sum", partition_by=None,
-               output: str | None = None, skew_safe: bool | str = "auto") -> DataFrame:
+               output: str | None = None, skew_safe: bool = True) -> DataFrame:
     """Running aggregate, ROWS frame, ``{col}_running_{fn}``."""
     keys, order = col_list(partition_by), col_list(order_by)
     out = output or f"{column}_running_{function}"
     f = _CUM[function]
-    if keys and _use_skew_path(df, keys, skew_safe):
+    if skew_safe or not keys:
         from lakeloom.operators.segmented import keyed_running
 
         return keyed_running(df, keys, order, column, function, out)
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, f(F.col(column)).over(w))
-    # Global running aggregate: local running value + carry from earlier
-    # partitions (one row per partition).
-    numbered = range_numbered(df, order, split_ties=True)
-    w = Window.partitionBy("__pid").orderBy(*_asc(order), F.col("__lrn")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col(column)
-    local = numbered.withColumns({"__ls": F.sum(v).over(w), "__lc": F.count(v).over(w),
-                                  "__lmin": F.min(v).over(w), "__lmax": F.max(v).over(w)})
-    per = numbered.groupBy("__pid").agg(F.sum(v).alias("__ps"), F.count(v).alias("__pc"),
-                                        F.min(v).alias("__pmin"), F.max(v).alias("__pmax"))
-    wp = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select("__pid", F.sum("__ps").over(wp).alias("__cs"), F.coalesce(F.sum("__pc").over(wp), F.lit(0)).alias("__cc"),
-                       F.min("__pmin").over(wp).alias("__cmin"), F.max("__pmax").over(wp).alias("__cmax"))
-    j = local.join(F.broadcast(carry), "__pid")
-    s = F.when(F.col("__ls").isNull(), F.col("__cs")).when(F.col("__cs").isNull(), F.col("__ls")).otherwise(F.col("__ls") + F.col("__cs"))
-    c = F.col("__lc") + F.col("__cc")
-    e = {
-        "sum": s, "count": c, "avg": s / F.when(c > 0, c),
-        "min": F.least(F.col("__lmin"), F.col("__cmin")), "max": F.greatest(F.col("__lmax"), F.col("__cmax")),
-    }[function]
-    return j.withColumn(out, e).drop(*[x for x in j.columns if x.startswith("__")])
+    w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, f(F.col(column)).over(w))
 
 
-def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool | str = "auto") -> DataFrame:
+def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = True) -> DataFrame:
     """Last non-NULL value up to the current row, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
-    if keys and _use_skew_path(df, keys, skew_safe):
+    if keys and skew_safe:
         from lakeloom.operators.segmented import keyed_fill
 
         return keyed_fill(df, keys, order, column)
@@ -210,10 +178,10 @@ def fill_forward(df: DataFrame, column: str, order_by, partition_by=None, skew_s
     return j.withColumn(column, F.coalesce(F.col("__f"), F.col("__carry"))).select(*df.columns)
 
 
-def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool | str = "auto") -> DataFrame:
+def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_safe: bool = True) -> DataFrame:
     """First non-NULL value from the current row on, in place."""
     keys, order = col_list(partition_by), col_list(order_by)
-    if keys and _use_skew_path(df, keys, skew_safe):
+    if keys and skew_safe:
         from lakeloom.operators.segmented import keyed_fill
 
         return keyed_fill(df, keys, order, column, backward=True)
@@ -238,12 +206,12 @@ _UNIT_SECONDS = {"seconds": 1, "second": 1, "minutes": 60, "minute": 60, "hours"
 def sessionize(
     df: DataFrame, partition_by, order_by: str, gap: float, gap_unit: str = "minutes",
     session_column: str = "session_id", emit_seq: bool = True, seq_column: str = "session_seq",
-    skew_safe: bool | str = "auto",
+    skew_safe: bool = True,
 ) -> DataFrame:
     """New session when the gap to the previous event is strictly greater
     than the threshold; ids run 1.. per partition; seq restarts per session.
-    ``skew_safe`` builds it from the range-partitioned keyed primitives
-    (lag as an equi-join, session ids as a carried running sum)."""
+    Rows of equal time share a session. ``skew_safe`` (default) cuts hot keys
+    into range partitions; False uses Spark's window per key, same results."""
     keys = col_list(partition_by)
     if not keys:
         # One global event stream: a constant key is the hottest key there
@@ -253,17 +221,10 @@ def sessionize(
         return out.drop("__all")
     micros = int(float(gap) * _UNIT_SECONDS[gap_unit] * 1_000_000)
     ts = F.col(order_by)
-    if _use_skew_path(df, keys, skew_safe):
-        from lakeloom.operators.segmented import keyed_row_number, keyed_running, keyed_shift
-
-        prev = keyed_shift(df, keys, order_by, order_by, 1, "__prev")
-        gap_us = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.col("__prev").cast("timestamp"))
-        flagged = prev.withColumn("__brk", F.when(F.col("__prev").isNull() | (gap_us > micros), 1).otherwise(0)).drop("__prev")
-        out = keyed_running(flagged, keys, order_by, "__brk", "sum", session_column)
-        out = out.withColumn(session_column, F.col(session_column).cast("bigint")).drop("__brk")
-        if emit_seq:
-            out = keyed_row_number(out, keys + [session_column], order_by, seq_column)
-        return out
+    if skew_safe:
+        from lakeloom.operators.segmented import keyed_sessions
+
+        return keyed_sessions(df, keys, order_by, micros, session_column, seq_column if emit_seq else None)
     w = Window.partitionBy(*keys).orderBy(ts.asc_nulls_last())
     prev = F.lag(ts).over(w)
     gap_us = F.unix_micros(ts.cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))

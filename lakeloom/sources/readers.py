@@ -3,6 +3,7 @@ selection reach the scan (PushedFilters / ReadSchema in the plan)."""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -234,19 +235,32 @@ def read_avro(spark: SparkSession, path: str) -> DataFrame:
 def read_kafka(spark: SparkSession, bootstrap: str, topic: str, start_offset: int = -2,
                max_records: int | None = None, partition: int | None = None) -> DataFrame:
     """Bounded Kafka read shaped as ``offset, timestamp_ms, key, value``.
-    ``start_offset``: -2 earliest, -1 latest, n ≥ 0 that offset."""
-    r = spark.read.format("kafka").option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic)
-    if start_offset >= 0 and partition is not None:
-        r = r.option("startingOffsets", f'{{"{topic}":{{"{partition}":{start_offset}}}}}')
-    else:
-        r = r.option("startingOffsets", "earliest" if start_offset == -2 else "latest")
-    return shape_kafka(r.load(), partition, max_records)
+    ``start_offset``: -2 earliest, -1 latest (a bounded read has nothing after
+    it), n ≥ 0 from that offset in every partition read."""
+    r = spark.read.format("kafka").options(**kafka_options(bootstrap, topic, start_offset, partition))
+    return shape_kafka(r.load(), partition, max_records, start_offset)
+
+
+def kafka_options(bootstrap: str, topic: str, start_offset: int = -2, partition: int | None = None) -> dict[str, str]:
+    """Options of the bounded read. An offset map must name every partition
+    read, so it is given only when one partition is assigned."""
+    out = {"kafka.bootstrap.servers": bootstrap, "startingOffsets": "earliest"}
+    if partition is None:
+        return out | {"subscribe": topic}
+    out["assign"] = json.dumps({topic: [partition]})
+    if start_offset >= 0:
+        out["startingOffsets"] = json.dumps({topic: {str(partition): start_offset}})
+    return out
 
 
-def shape_kafka(raw: DataFrame, partition: int | None = None, max_records: int | None = None) -> DataFrame:
+def shape_kafka(raw: DataFrame, partition: int | None = None, max_records: int | None = None, start_offset: int = -2) -> DataFrame:
     df = raw
     if partition is not None:
         df = df.where(F.col("partition") == partition)
+    if start_offset == -1:
+        df = df.where(F.lit(False))
+    elif start_offset >= 0:
+        df = df.where(F.col("offset") >= start_offset)
     df = df.select(
         F.col("offset"),
         (F.unix_millis(F.col("timestamp"))).alias("timestamp_ms"),
