@@ -62,6 +62,12 @@ def source_targets(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, passe
     return per.select("source", "n_docs", "source_size", "rank", target.alias("target"))
 
 
+def bind(value, use):
+    """``use(value)`` with the value computed once: higher-order functions would
+    otherwise compute it again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hypergeometric(n_all, n_marked, n_drawn, u):
     """Number of marked among ``n_drawn`` of ``n_all`` without replacement, by
     inversion of ``u``: the probabilities follow from their ratio."""
@@ -70,18 +76,22 @@ def hypergeometric(n_all, n_marked, n_drawn, u):
     sd = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / a) * (a - n) / F.greatest(F.lit(1.0), a - 1)))
     low = F.greatest(F.lit(0.0), n + k - a, F.floor(mean - 8 * sd - 8).cast("double")).cast("long")
     high = F.least(k, n, F.ceil(mean + 8 * sd + 8).cast("double")).cast("long")
-    span = F.sequence(low, high)
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("at"))
 
-    def following(w, x):
+    def following(p, w, x):
         x = x.cast("double")
-        return w * (k - x) * (n - x) / ((x + 1) * (a - k - n + x + 1))
+        return w * (p["k"] - x) * (p["n"] - x) / ((x + 1) * (p["a"] - p["k"] - p["n"] + x + 1))
+
+    def step(p, s, x, at):
+        return F.struct(following(p, s["w"], x).alias("w"), (s["sum"] + s["w"]).alias("sum"), at.alias("at"))
+
+    def invert(p):
+        total = F.aggregate(p["span"], start, lambda s, x: step(p, s, x, s["at"]))["sum"]
+        return bind(total * p["u"], lambda goal: F.aggregate(
+            p["span"], start, lambda s, x: step(p, s, x, F.when(s["sum"] <= goal, x).otherwise(s["at"])))["at"])
 
-    total = F.aggregate(span, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")),
-                        lambda s, x: F.struct(following(s["w"], x).alias("w"), (s["sum"] + s["w"]).alias("sum")))["sum"]
-    drawn = F.aggregate(span, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), low.alias("at")),
-                        lambda s, x: F.struct(following(s["w"], x).alias("w"), (s["sum"] + s["w"]).alias("sum"),
-                                              F.when(s["sum"] <= u * total, x).otherwise(s["at"]).alias("at")))["at"]
-    return F.when(n_all <= 0, F.lit(0).cast("long")).otherwise(drawn)
+    given = F.struct(F.sequence(low, high).alias("span"), a.alias("a"), k.alias("k"), n.alias("n"), u.alias("u"))
+    return F.when(n_all <= 0, F.lit(0).cast("long")).otherwise(bind(given, invert))
 
 
 def split_quotas(targets: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -98,9 +108,10 @@ def split_quotas(targets: DataFrame, depth: int, seed: int) -> DataFrame:
         at_level = F.lit(level)
 
         def draw(s, x):
-            got = hypergeometric(s["all"], x["q"], s["n"], uniform(F.lit(seed), at_level, F.col("node"), x["rank"]))
-            return F.struct((s["all"] - x["q"]).alias("all"), (s["n"] - got).alias("n"),
-                            F.concat(s["out"], F.array(F.struct(x["rank"].alias("rank"), got.alias("q")))).alias("out"))
+            drawn = hypergeometric(s["all"], x["q"], s["n"], uniform(F.lit(seed), at_level, F.col("node"), x["rank"]))
+            return bind(drawn, lambda got: F.struct(
+                (s["all"] - x["q"]).alias("all"), (s["n"] - got).alias("n"),
+                F.concat(s["out"], F.array(F.struct(x["rank"].alias("rank"), got.alias("q")))).alias("out")))
 
         left = F.aggregate("quotas", F.struct(F.col("total").alias("all"), F.expr("total div 2").alias("n"),
                                               F.array().cast(f"array<{item}>").alias("out")), draw)["out"]
@@ -184,13 +195,13 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = pieces.groupBy("rid", "pass").agg(
         F.sort_array(F.collect_list(F.struct("start", "words"))).alias("__cuts"), F.sum("words").alias("__words"),
         F.min(F.struct("ordering", "shard")).alias("__at"))
-    taken = taken.join(rows.select("rid", "size"), "rid").withColumnRenamed("rid", "__rid")
+    taken = taken.join(rows.select("rid", F.col("size").alias("__size")), "rid").withColumnRenamed("rid", "__rid").drop("pass")
     # every match is a word with the space around it: together they are the text
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.transform("__cuts", lambda c: F.array_join(
         F.slice(words, (c["start"] + 1).cast("int"), c["words"].cast("int")), "")), "")
     out = stored.join(taken, "__rid").withColumn(
-        "text", F.when(F.col("__words") == F.col("size"), F.col("text")).otherwise(part))
+        "text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     out = out.repartition(F.col("__at.shard")).sortWithinPartitions("__at.shard", "__at.ordering")
