@@ -131,7 +131,14 @@ def q_upsert_table(spark, d):
     path = scratch(spark, "upsert")
     tables.write_table(_prev(spark, d), path, "overwrite")
     tables.upsert_table(_src(spark, d), path, "o_orderkey", delete_column="op")
-    return tables.read_as_of(spark, path)
+    return spark.read.parquet(path)
+
+
+@query("upsert_rows_first_load", f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {_SRC_SQL} WHERE op <> 'delete'")
+def q_upsert_first(spark, d):
+    path = scratch(spark, "upsert-first")
+    tables.upsert_table(_src(spark, d), path, "o_orderkey", delete_column="op")
+    return spark.read.parquet(path)
 
 
 @query(
@@ -148,7 +155,7 @@ def q_merge_table(spark, d):
     tables.write_table(_prev(spark, d), path, "overwrite")
     src = _src(spark, d).drop("o_totalprice")  # merge updates only the columns the source carries
     tables.merge_table(src, path, "o_orderkey", delete_column="op")
-    return tables.read_as_of(spark, path)
+    return spark.read.parquet(path)
 
 
 @query("write_table_append", f"SELECT * FROM {_PREV_SQL} UNION ALL SELECT * FROM {_PREV_SQL}")
@@ -156,7 +163,7 @@ def q_write_append(spark, d):
     path = scratch(spark, "append")
     tables.write_table(_prev(spark, d), path, "overwrite")
     tables.write_table(_prev(spark, d), path, "append")
-    return tables.read_as_of(spark, path)
+    return spark.read.parquet(path)
 
 
 _V1, _V2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
@@ -164,9 +171,9 @@ _V1, _V2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
 
 def _two_versions(spark, d):
     path = scratch(spark, "versions")
-    tables.write_snapshot(_prev(spark, d), path, when=_V1)
+    tables.write_snapshot(_prev(spark, d), path, _V1)
     cur = Tables(spark, d).orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    tables.write_snapshot(cur, path, when=_V2)
+    tables.write_snapshot(cur, path, _V2)
     return path
 
 
@@ -193,7 +200,7 @@ UNION ALL SELECT ok, oc, os, op, 'delete' FROM j WHERE in_o AND NOT in_n
 @query("read_changes", _CHANGES_SQL)
 def q_read_changes(spark, d):
     path = _two_versions(spark, d)
-    return tables.read_changes(spark, path, "o_orderkey", 1, 2)
+    return tables.read_changes(spark, path, "o_orderkey", _V1, _V2)
 
 
 @query(
@@ -207,12 +214,11 @@ def q_read_changes(spark, d):
 )
 def q_diff_summary(spark, d):
     path = _two_versions(spark, d)
-    return agg.diff_summary(tables.read_changes(spark, path, "o_orderkey", 1, 2))
+    return agg.diff_summary(tables.read_changes(spark, path, "o_orderkey", _V1, _V2))
 
 
 @query("read_changes_incremental", _CHANGES_SQL)
 def q_read_changes_incremental(spark, d):
     path = _two_versions(spark, d)
-    consumer = tables.ChangeConsumer(spark, path, "o_orderkey", scratch(spark, "feedstate"), initial_version=1)
-    feed, version = consumer.pending()
+    feed, _ = tables.read_changes_incremental(spark, path, "o_orderkey", _V1)
     return feed

@@ -3,8 +3,6 @@ code surface (§2.12)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakeloom.operators import code
@@ -19,8 +17,8 @@ def _event_stream(spark, d):
     return st.stream_files(spark, f"{d}/events*.parquet", schema)
 
 
-def _name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+def _drained(spark, df, name: str):
+    return st.run_to_files(df, scratch(spark, name), scratch(spark, f"{name}-ckpt"))
 
 
 @query(
@@ -33,7 +31,7 @@ def _name(prefix: str) -> str:
 )
 def q_stream_time_bin(spark, d):
     agg = st.stream_time_bin(_event_stream(spark, d), "ts", "event_type", "5 minutes", None, "10 minutes", "value")
-    out = st.run_to_memory(agg, _name("time_bin"))
+    out = _drained(spark, agg, "time_bin")
     return out.withColumn("sum_value", F.round("sum_value", 6))
 
 
@@ -49,27 +47,27 @@ SELECT * FROM r WHERE session_end <= (SELECT MAX(ts) FROM events) - INTERVAL '1
 @query("stream_sessionize", _SESS_SQL)
 def q_stream_sessionize(spark, d):
     s = st.stream_sessionize(_event_stream(spark, d), "ts", "user_id", "30 minutes", "1 hour")
-    return st.run_to_memory(s, _name("sessions"))
+    return _drained(spark, s, "sessions")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def q_stream_dedupe(spark, d):
     s = st.stream_dedupe(_event_stream(spark, d), ["user_id", "event_type"], "ts", "1 hour")
-    return st.run_to_memory(s.select("user_id", "event_type"), _name("dedupe"))
+    return _drained(spark, s.select("user_id", "event_type"), "dedupe")
 
 
 @query("stream_enrich", "SELECT e.event_id, e.user_id, c.c_name, c.c_mktsegment FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
 def q_stream_enrich(spark, d):
     c = Tables(spark, d).customer.select("c_custkey", "c_name", "c_mktsegment")
     s = st.stream_enrich(_event_stream(spark, d), c, "user_id", "c_custkey")
-    return st.run_to_memory(s.select("event_id", "user_id", "c_name", "c_mktsegment"), _name("enrich"))
+    return _drained(spark, s.select("event_id", "user_id", "c_name", "c_mktsegment"), "enrich")
 
 
 @query("stream_quality_split", "SELECT * FROM events WHERE COALESCE(value >= 5, FALSE)")
 def q_stream_quality_split(spark, d):
     ok, bad = scratch(spark, "stream-pass"), scratch(spark, "stream-reject")
     st.stream_quality_split(_event_stream(spark, d), "value >= 5", ok, bad, scratch(spark, "stream-ckpt"))
-    return spark.read.parquet(ok)
+    return spark.read.parquet(ok).drop("batch")
 
 
 @query("stream_incremental", "SELECT * FROM orders")
@@ -94,15 +92,13 @@ _SRC_SQL = ("(SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, o_totalprice *
 )
 def q_stream_upsert(spark, d):
     from lakeloom.plans.io import _prev, _src
-    from lakeloom.sources import tables
 
-    table, changes = scratch(spark, "su-table"), scratch(spark, "su-changes")
-    tables.write_table(_prev(spark, d), table, "overwrite")
+    log, changes = scratch(spark, "su-log"), scratch(spark, "su-changes")
     src = _src(spark, d)
     src.write.mode("overwrite").parquet(changes)
     stream = spark.readStream.schema(src.schema).parquet(changes)
-    st.stream_upsert(stream, table, "o_orderkey", scratch(spark, "su-ckpt"), delete_column="op")
-    return tables.read_as_of(spark, table)
+    st.stream_upsert(stream, log, scratch(spark, "su-ckpt"))
+    return st.upserted(_prev(spark, d), log, "o_orderkey", spark, delete_column="op")
 
 
 # ----------------------------------------------------------- SQL and code

@@ -1,13 +1,10 @@
-"""Table sinks with modes (overwrite / append / truncate / upsert / merge),
-point-in-time reads and snapshot change feeds on a plain directory of
-versioned parquet snapshots.
+"""Table modes, point-in-time reads and change feeds as DataFrame operations
+over plain Parquet.
 
-Layout: ``<table>/_v=<n>/`` holds the complete snapshot of version ``n``;
-``<table>/_commits/<n>`` records the commit time. A version is written to
-a staging directory and renamed into place, so readers only ever see whole
-versions and a failed write leaves the table unchanged. With Delta or
-Iceberg on the classpath, use ``MERGE INTO`` / ``VERSION AS OF`` instead —
-the operator semantics below are the same."""
+``upsert_rows``, ``merge_rows`` and ``change_feed`` work on frames: what they
+return can be written with any Spark writer, or handed to ``MERGE INTO`` where a
+table format is on the classpath. Snapshots are one Parquet dataset partitioned by
+the time of the snapshot."""
 
 from __future__ import annotations
 
@@ -18,91 +15,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.core import col_list
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        fs, p, _ = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("_v="):
-                out.append(int(name[3:]))
-        return sorted(out)
-
-    def current(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
-
-    def parts(self, version: int) -> list[int]:
-        """Data directories that make up ``version``: its own, preceded by
-        those of the versions it appended to."""
-        try:
-            rows = self.spark.read.text(f"{self.path}/_manifest/{version}").collect()  # one line per part
-            return [int(r[0]) for r in rows if r[0].strip()]
-        except Exception:  # noqa: BLE001 - no manifest: a self-contained version
-            return [version]
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.current() if version is None else version
-        if v is None:
-            raise FileNotFoundError(f"table {self.path} has no versions")
-        dirs = [f"{self.path}/_v={p}" for p in self.parts(v)]
-        return self.spark.read.option("mergeSchema", "true").parquet(*dirs)
-
-    def commit_time(self, version: int) -> _dt.datetime:
-        t = self.spark.read.text(f"{self.path}/_commits/{version}").collect()[0][0]  # one line
-        return _dt.datetime.fromisoformat(t)
-
-    def version_as_of(self, ts: _dt.datetime) -> int:
-        ok = [v for v in self.versions() if self.commit_time(v) <= ts]
-        if not ok:
-            raise ValueError(f"no version of {self.path} at or before {ts}")
-        return ok[-1]
-
-    def read_parts(self, parts: list[int]) -> DataFrame:
-        if not parts:
-            return self.read().limit(0)
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/_v={p}" for p in parts])
-
-    def commit(self, df: DataFrame, when: _dt.datetime | None = None, append: bool = False,
-               keep_parts: list[int] | None = None) -> int:
-        """Write ``df`` as the next version (staged, then renamed). With
-        ``append`` the new version is the previous one plus ``df``: only the
-        new rows are written, the manifest lists the earlier directories.
-        ``keep_parts`` carries the listed data directories over unchanged."""
-        cur = self.current()
-        nxt = (cur or 0) + 1
-        carried = self.parts(cur) if append and cur is not None else list(keep_parts or [])
-        parts = carried + [nxt]
-        stage = f"{self.path}/_staging-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(stage)
-        fs, _, jvm = _fs(self.spark, self.path)
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_v={nxt}")
-        if fs.exists(target) or not fs.rename(jvm.org.apache.hadoop.fs.Path(stage), target):
-            raise RuntimeError(f"concurrent commit to {self.path} (version {nxt})")
-        stamp = (when or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)).isoformat()
-        for sub, text in (("_manifest", "\n".join(str(p) for p in parts) + "\n"), ("_commits", stamp)):
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{sub}/{nxt}"), True)
-            out.write(bytearray(text.encode()))
-            out.close()
-        return nxt
-
-
-def write_snapshot(df: DataFrame, path: str, when: _dt.datetime | None = None) -> int:
-    return VersionedTable(df.sparkSession, path).commit(df, when)
+from lakeloom.core import checkpoint_dir, col_list
+
+SNAPSHOT = "snapshot_time"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Only a missing path counts as no data; any other error is raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def _check_keys(source: DataFrame, keys: list[str], on_duplicate: str, order_column: str | None) -> DataFrame:
@@ -121,31 +42,43 @@ def _check_keys(source: DataFrame, keys: list[str], on_duplicate: str, order_col
     return source
 
 
-def upsert_rows(target: DataFrame, source: DataFrame, conflict_columns, delete_column: str | None = None,
+def _live(source: DataFrame, delete_column: str | None, delete_value: str) -> DataFrame:
+    """Source rows that are not flagged for delete, without the flag."""
+    if not delete_column:
+        return source
+    flag = F.col(delete_column)
+    return source.where(flag.isNull() | (flag.cast("string") != delete_value)).drop(delete_column)
+
+
+def upsert_rows(target: DataFrame | None, source: DataFrame, conflict_columns, delete_column: str | None = None,
                 delete_value: str = "delete", on_duplicate: str = "all", order_column: str | None = None) -> DataFrame:
     """Rows of the upserted table: target rows whose key is not in the source,
-    plus source rows not flagged for delete (flag column dropped)."""
+    plus source rows not flagged for delete (flag column dropped). Without a
+    target (first load) only the latter."""
     keys = col_list(conflict_columns)
     if not keys:
         raise ValueError("upsert: conflict columns are required")
     src = _check_keys(source, keys, on_duplicate, order_column)
+    live = _live(src, delete_column, delete_value)
+    if target is None:
+        return live
     kept = target.join(src.select(*keys).distinct(), keys, "left_anti")
-    ins = src
-    if delete_column:
-        ins = src.where(F.col(delete_column).isNull() | (F.col(delete_column).cast("string") != delete_value)).drop(delete_column)
-    return kept.unionByName(ins, allowMissingColumns=True).select(*target.columns)
+    return kept.unionByName(live, allowMissingColumns=True).select(*target.columns)
 
 
-def merge_rows(target: DataFrame, source: DataFrame, conflict_columns, delete_column: str | None = None,
+def merge_rows(target: DataFrame | None, source: DataFrame, conflict_columns, delete_column: str | None = None,
                delete_value: str = "delete") -> DataFrame:
     """MERGE INTO semantics in one full outer join: matched rows take the
     source's value for every column the source carries (others keep the
     target's), unmatched source rows are inserted, matched rows flagged for
-    delete are removed, flagged unmatched rows are skipped."""
+    delete are removed, flagged unmatched rows are skipped. Without a target
+    (first load) the unflagged source rows."""
     keys = col_list(conflict_columns)
     if not keys:
         raise ValueError("merge: conflict columns are required")
     _check_keys(source, keys, "error", None)
+    if target is None:
+        return _live(source, delete_column, delete_value)
     t, s = target.alias("t"), source.alias("s")
     cond = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     j = t.join(s.withColumn("__src", F.lit(True)), cond, "full")
@@ -164,79 +97,55 @@ def merge_rows(target: DataFrame, source: DataFrame, conflict_columns, delete_co
     return out.select(*cols)
 
 
-def _touched_parts(tbl: VersionedTable, parts: list[int], source: DataFrame, keys: list[str]) -> set[int]:
-    """Data directories that hold at least one of the source keys: one
-    semi-join; the result has at most one row per directory."""
-    cur = tbl.read_parts(parts).withColumn(
-        "__part", F.regexp_extract(F.col("_metadata.file_path"), r"/_v=(\d+)/", 1).cast("int"))
-    hit = cur.join(source.select(*keys).distinct(), keys, "left_semi").select("__part").distinct()
-    return {r[0] for r in hit.collect()}
-
-
-def write_table(df: DataFrame, path: str, mode: str = "overwrite", conflict_columns=None, delete_column: str | None = None,
-                delete_value: str = "delete", on_duplicate: str = "all", order_column: str | None = None,
-                when: _dt.datetime | None = None) -> int:
-    """Write to a versioned table directory; returns the new version."""
-    tbl = VersionedTable(df.sparkSession, path)
-    exists = tbl.current() is not None
-    if mode == "overwrite":
-        new = df
-    elif mode == "append":
-        # only the new rows are written; the version's manifest chains them
-        # onto the previous version's data directories
-        return tbl.commit(df, when, append=True)
-    elif mode == "truncate":
-        if exists:
-            cur = tbl.read()
-            new = df.select(*[F.col(c).cast(t).alias(c) for c, t in cur.dtypes])
-        else:
-            new = df
-    elif mode == "upsert":
-        if not exists:
-            new = df
-        else:
-            parts = tbl.parts(tbl.current())
-            touched = _touched_parts(tbl, parts, df, col_list(conflict_columns)) if len(parts) > 1 else set(parts)
-            keep = [p for p in parts if p not in touched]
-            # only directories holding an upserted key are rewritten; the
-            # others are carried over by the manifest
-            target = tbl.read_parts([p for p in parts if p in touched]) if keep else tbl.read()
-            new = upsert_rows(target, df, conflict_columns, delete_column, delete_value, on_duplicate, order_column)
-            return tbl.commit(new, when, keep_parts=keep)
-    elif mode == "merge":
-        if not exists:
-            new = df
-        else:
-            # same directory pruning as upsert: a directory without a merged
-            # key keeps every row unchanged
-            parts = tbl.parts(tbl.current())
-            touched = _touched_parts(tbl, parts, df, col_list(conflict_columns)) if len(parts) > 1 else set(parts)
-            keep = [p for p in parts if p not in touched]
-            target = tbl.read_parts([p for p in parts if p in touched]) if keep else tbl.read()
-            new = merge_rows(target, df, conflict_columns, delete_column, delete_value)
-            return tbl.commit(new, when, keep_parts=keep)
-    else:
-        raise ValueError(f"write_table: unknown mode {mode!r} (overwrite | append | truncate | upsert | merge)")
-    return tbl.commit(new, when)
+def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``overwrite``, ``append``, or ``truncate``: overwrite that keeps the
+    columns and types the table has."""
+    if mode == "truncate" and path_exists(df.sparkSession, path):
+        df = df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in df.sparkSession.read.parquet(path).dtypes])
+    elif mode not in ("overwrite", "append", "truncate"):
+        raise ValueError(f"write_table: unknown mode {mode!r} (overwrite | append | truncate)")
+    df.write.mode("append" if mode == "append" else "overwrite").parquet(path)
+
 
+def _rewrite(spark: SparkSession, path: str, change) -> None:
+    """Replace the table at ``path`` by ``change(current or None)``. The new rows
+    are stored in the shared folder first, because the table is read by them."""
+    new = change(spark.read.parquet(path) if path_exists(spark, path) else None)
+    stored = f"{checkpoint_dir(spark).rstrip('/')}/rewrite-{uuid.uuid4().hex}"
+    new.write.parquet(stored)
+    spark.read.schema(new.schema).parquet(stored).write.mode("overwrite").parquet(path)
 
-def upsert_table(df: DataFrame, path: str, conflict_columns, delete_column: str | None = None, **kw) -> int:
-    return write_table(df, path, "upsert", conflict_columns, delete_column, **kw)
 
+def upsert_table(df: DataFrame, path: str, conflict_columns, delete_column: str | None = None, **kw) -> None:
+    _rewrite(df.sparkSession, path, lambda t: upsert_rows(t, df, conflict_columns, delete_column, **kw))
 
-def merge_table(df: DataFrame, path: str, conflict_columns, delete_column: str | None = None, **kw) -> int:
-    return write_table(df, path, "merge", conflict_columns, delete_column, **kw)
 
+def merge_table(df: DataFrame, path: str, conflict_columns, delete_column: str | None = None, **kw) -> None:
+    _rewrite(df.sparkSession, path, lambda t: merge_rows(t, df, conflict_columns, delete_column, **kw))
 
-def read_as_of(spark: SparkSession, path: str, as_of_version: int | None = None,
-               as_of_timestamp: _dt.datetime | None = None) -> DataFrame:
-    """Point-in-time read; a version wins over a timestamp."""
-    tbl = VersionedTable(spark, path)
-    if as_of_version is not None:
-        return tbl.read(as_of_version)
-    if as_of_timestamp is not None:
-        return tbl.read(tbl.version_as_of(as_of_timestamp))
-    return tbl.read()
+
+def write_snapshot(df: DataFrame, path: str, when: _dt.datetime) -> None:
+    """Add the rows of ``df`` as the snapshot of ``when``."""
+    stamp = F.lit(when.isoformat(sep=" ")).alias(SNAPSHOT)
+    df.select("*", stamp).write.mode("append").partitionBy(SNAPSHOT).parquet(path)
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All snapshots with their time (a TIMESTAMP_NTZ partition column)."""
+    df = spark.read.parquet(path)
+    return df.withColumn(SNAPSHOT, F.col(SNAPSHOT).cast("timestamp_ntz"))
+
+
+def _newest(all_rows: DataFrame, as_of: _dt.datetime | None) -> _dt.datetime | None:
+    until = all_rows if as_of is None else all_rows.where(F.col(SNAPSHOT) <= F.lit(as_of).cast("timestamp_ntz"))
+    return until.agg(F.max(SNAPSHOT)).first()[0]  # one value
+
+
+def read_as_of(spark: SparkSession, path: str, as_of_timestamp: _dt.datetime | None = None) -> DataFrame:
+    """The newest snapshot not after the given time (or of all)."""
+    rows = snapshots(spark, path)
+    when = _newest(rows, as_of_timestamp)
+    return rows.where(F.col(SNAPSHOT) == F.lit(when).cast("timestamp_ntz")).drop(SNAPSHOT)
 
 
 def change_feed(old: DataFrame, new: DataFrame, keys) -> DataFrame:
@@ -260,38 +169,19 @@ def change_feed(old: DataFrame, new: DataFrame, keys) -> DataFrame:
     return changed.select(F.explode(acts).alias("a")).select("a.r.*", F.col("a.t").alias("change_type"))
 
 
-def read_changes(spark: SparkSession, path: str, keys, from_version: int, to_version: int) -> DataFrame:
-    tbl = VersionedTable(spark, path)
-    return change_feed(tbl.read(from_version), tbl.read(to_version), keys)
-
-
-class ChangeConsumer:
-    """Incremental change feed: ``pending()`` returns the changes since the
-    last consumed version (boundary excluded; an empty feed keeps the
-    schema); ``commit()`` records the version after the sink committed."""
-
-    def __init__(self, spark: SparkSession, path: str, keys, state_path: str, initial_version: int = 0,
-                 inserts_only: bool = False):
-        self.spark, self.tbl, self.keys = spark, VersionedTable(spark, path), keys
-        self.state_path, self.initial, self.inserts_only = state_path, initial_version, inserts_only
-
-    def last(self) -> int:
-        try:
-            r = self.spark.read.parquet(self.state_path).agg(F.max("version")).collect()[0][0]
-        except Exception:  # noqa: BLE001 - no state yet
-            r = None
-        return self.initial if r is None else int(r)
-
-    def pending(self) -> tuple[DataFrame, int]:
-        last, cur = self.last(), self.tbl.current()
-        if cur is None or cur <= last:
-            empty = self.tbl.read(cur).limit(0).withColumn("change_type", F.lit(None).cast("string")) if cur else None
-            return empty, last
-        old = self.tbl.read(last) if last in self.tbl.versions() else self.tbl.read(cur).limit(0)
-        feed = change_feed(old, self.tbl.read(cur), self.keys)
-        if self.inserts_only:
-            feed = feed.where(F.col("change_type") == "insert")
-        return feed, cur
-
-    def commit(self, version: int) -> None:
-        self.spark.createDataFrame([(int(version),)], "version bigint").write.mode("append").parquet(self.state_path)
+def read_changes(spark: SparkSession, path: str, keys, since: _dt.datetime, until: _dt.datetime | None = None) -> DataFrame:
+    """Changes between the snapshots of two times."""
+    return change_feed(read_as_of(spark, path, since), read_as_of(spark, path, until), keys)
+
+
+def read_changes_incremental(spark: SparkSession, path: str, keys, last: _dt.datetime | None,
+                             inserts_only: bool = False) -> tuple[DataFrame, _dt.datetime | None]:
+    """(changes since the snapshot of ``last``, time of the newest snapshot). The
+    caller keeps the time once its sink has committed; with no newer snapshot the
+    feed is empty, with ``last`` None every row is an insert."""
+    rows = snapshots(spark, path)
+    now = _newest(rows, None)
+    new = read_as_of(spark, path, now)
+    old = new.limit(0) if last is None else read_as_of(spark, path, last)
+    feed = change_feed(old, new, keys)
+    return (feed.where("change_type = 'insert'") if inserts_only else feed), now

@@ -73,29 +73,33 @@ def stream_dedupe(events: DataFrame, keys, ts_column: str, watermark: str = "1 h
     return event_time(events, ts_column).withWatermark(ts_column, watermark).dropDuplicatesWithinWatermark(col_list(keys))
 
 
-def stream_upsert(changes: DataFrame, table_path: str, keys, checkpoint: str, delete_column: str | None = None,
-                  delete_value: str = "delete", trigger_once: bool = True):
-    """Apply each micro-batch of a change stream to a versioned table with
-    ``upsert`` semantics. The batch id is recorded with the version, so a
-    replayed batch (after a failure between commit and checkpoint) is not
-    applied twice."""
+def stream_upsert(changes: DataFrame, log_path: str, checkpoint: str, stream: str = "changes", trigger_once: bool = True):
+    """Store every micro-batch of a change stream under ``log_path``, by stream
+    name and batch id. A replayed batch overwrites its own folder, so it counts
+    once; other streams and new checkpoints take other names and lose nothing.
+    ``upserted`` gives the current rows."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("arrived", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{log_path.rstrip('/')}/stream={stream}/batch={batch_id}")
+
+    return _drain(changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), trigger_once)
+
+
+def upserted(target: DataFrame | None, log_path: str, keys, spark: SparkSession, delete_column: str | None = None,
+             delete_value: str = "delete") -> DataFrame:
+    """``target`` with the stored changes applied, the latest change of a key last."""
     from lakeloom.sources import tables
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marker = f"{table_path.rstrip('/')}/_batches/{batch_id}"
-        try:
-            spark.read.text(marker).limit(1).collect()
-            return  # already applied
-        except Exception:  # noqa: BLE001 - marker absent
-            pass
-        tables.write_table(batch, table_path, "upsert", keys, delete_column, delete_value, on_duplicate="all")
-        spark.createDataFrame([(str(batch_id),)], "value string").write.mode("overwrite").text(marker)
-
-    w = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    log = spark.read.parquet(log_path).withColumn("__order", F.struct("arrived", "stream", "batch")).drop("arrived", "stream", "batch")
+    out = tables.upsert_rows(target, log, keys, delete_column, delete_value, on_duplicate="last", order_column="__order")
+    return out.drop("__order")
+
+
+def _drain(writer, trigger_once: bool):
     if trigger_once:
-        w = w.trigger(availableNow=True)
-    q = w.start()
+        writer = writer.trigger(availableNow=True)
+    q = writer.start()
     if trigger_once:
         q.awaitTermination()
     return q
@@ -103,25 +107,19 @@ def stream_upsert(changes: DataFrame, table_path: str, keys, checkpoint: str, de
 
 def stream_quality_split(events: DataFrame, predicate, passed_path: str, rejected_path: str, checkpoint: str,
                          trigger_once: bool = True):
-    """Write passing and rejected rows of each micro-batch from ONE
-    persisted batch (the batch is computed once)."""
+    """Write passing and rejected rows of each micro-batch from ONE persisted
+    batch, to a folder per batch id: a replay overwrites instead of adding."""
     p = F.coalesce(F.expr(predicate) if isinstance(predicate, str) else predicate, F.lit(False))
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def split(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("__ok", p).persist()
         try:
-            b.where("__ok").drop("__ok").write.mode("append").parquet(passed_path)
-            b.where("NOT __ok").drop("__ok").write.mode("append").parquet(rejected_path)
+            for path, rows in ((passed_path, b.where("__ok")), (rejected_path, b.where("NOT __ok"))):
+                rows.drop("__ok").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
         finally:
             b.unpersist()
 
-    w = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    if trigger_once:
-        w = w.trigger(availableNow=True)
-    q = w.start()
-    if trigger_once:
-        q.awaitTermination()
-    return q
+    return _drain(events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint), trigger_once)
 
 
 def stream_enrich(events: DataFrame, dim: DataFrame, left_key, right_key=None, how: str = "left") -> DataFrame:
@@ -136,9 +134,8 @@ def stream_enrich(events: DataFrame, dim: DataFrame, left_key, right_key=None, h
     return events.join(dim, cond, how)
 
 
-def run_to_memory(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain a streaming frame into an in-memory table and return it as a
-    batch frame (for tests and small interactive checks)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(output_mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain a streaming frame into Parquet files (append mode, exactly once) and
+    return them as a batch frame."""
+    _drain(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint), True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

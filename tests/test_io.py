@@ -46,12 +46,18 @@ def test_upsert_fixture(spark, tmp_dir):
     path = os.path.join(tmp_dir, "t")
     tables.write_table(spark.createDataFrame([(1, "alice"), (2, "bob"), (3, "carol")], "id int, name string"), path)
     src = spark.createDataFrame([(2, "BOB", "update"), (3, "carol", "delete"), (4, "dave", "insert")], "id int, name string, op string")
-    tables.upsert_table(src, path, "id", delete_column="op")
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "alice"), (2, "BOB"), (4, "dave")]
-    # idempotent: applying the same batch again gives the same table
-    tables.upsert_table(src, path, "id", delete_column="op")
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "alice"), (2, "BOB"), (4, "dave")]
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path, as_of_version=1).collect()) == [(1, "alice"), (2, "bob"), (3, "carol")]
+    for _ in range(2):  # applying the same batch again gives the same table
+        tables.upsert_table(src, path, "id", delete_column="op")
+        assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "alice"), (2, "BOB"), (4, "dave")]
+
+
+def test_first_load_drops_flagged_rows_and_the_flag(spark, tmp_dir):
+    src = spark.createDataFrame([(1, "a", None), (2, "b", "delete")], "id int, name string, op string")
+    for i, write in enumerate((tables.upsert_table, tables.merge_table)):
+        path = os.path.join(tmp_dir, f"first{i}")
+        write(src, path, "id", delete_column="op")
+        got = spark.read.parquet(path)
+        assert got.columns == ["id", "name"] and [tuple(r) for r in got.collect()] == [(1, "a")]
 
 
 def test_merge_updates_only_source_columns(spark, tmp_dir):
@@ -59,7 +65,7 @@ def test_merge_updates_only_source_columns(spark, tmp_dir):
     tables.write_table(spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, name string, amt int"), path)
     src = spark.createDataFrame([(1, "A", None), (3, "c", None), (2, "x", "delete"), (9, "z", "delete")], "id int, name string, op string")
     tables.merge_table(src, path, "id", delete_column="op")
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "A", 10), (3, "c", None)]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "A", 10), (3, "c", None)]
 
 
 def test_duplicate_keys_refused(spark, tmp_dir):
@@ -69,19 +75,44 @@ def test_duplicate_keys_refused(spark, tmp_dir):
         tables.upsert_table(spark.createDataFrame([(2, "x"), (2, "y")], "id int, v string"), path, "id", on_duplicate="error")
 
 
+def test_truncate_keeps_types(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "tr")
+    tables.write_table(spark.createDataFrame([(1, "a")], "id int, v string"), path, "truncate")
+    tables.write_table(spark.createDataFrame([("b", 2)], "v string, id long"), path, "truncate")
+    got = spark.read.parquet(path)
+    assert got.dtypes == [("id", "int"), ("v", "string")] and [tuple(r) for r in got.collect()] == [(2, "b")]
+    with pytest.raises(ValueError, match="mode"):
+        tables.write_table(got, path, "upsert")
+
+
 def test_change_feed(spark, tmp_dir):
-    path = os.path.join(tmp_dir, "cf")
-    tables.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "id int, v string"), path, dt.datetime(2024, 1, 1))
-    tables.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b2"), (3, "c")], "id int, v string"), path, dt.datetime(2024, 2, 1))
-    feed = sorted((r.id, r.v, r.change_type) for r in tables.read_changes(spark, path, "id", 1, 2).collect())
-    assert feed == [(2, "b", "update_preimage"), (2, "b2", "update_postimage"), (3, "c", "insert"), (4, "d", "delete")]
-    assert tables.read_as_of(spark, path, as_of_timestamp=dt.datetime(2024, 1, 15)).count() == 3
-    consumer = tables.ChangeConsumer(spark, path, "id", os.path.join(tmp_dir, "state"), initial_version=1)
-    f, v = consumer.pending()
-    assert f.count() == 4 and v == 2
-    consumer.commit(v)
-    f2, _ = consumer.pending()
-    assert f2.count() == 0 and "change_type" in f2.columns
+    path, jan, feb = os.path.join(tmp_dir, "cf"), dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    tables.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "id int, v string"), path, jan)
+    tables.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b2"), (3, "c")], "id int, v string"), path, feb)
+    want = [(2, "b", "update_preimage"), (2, "b2", "update_postimage"), (3, "c", "insert"), (4, "d", "delete")]
+    assert sorted((r.id, r.v, r.change_type) for r in tables.read_changes(spark, path, "id", jan, feb).collect()) == want
+    assert sorted(r.v for r in tables.read_as_of(spark, path, dt.datetime(2024, 1, 15)).collect()) == ["a", "b", "d"]
+    feed, now = tables.read_changes_incremental(spark, path, "id", jan)
+    assert sorted((r.id, r.v, r.change_type) for r in feed.collect()) == want and now == feb
+    assert tables.read_changes_incremental(spark, path, "id", now)[0].count() == 0
+    first, _ = tables.read_changes_incremental(spark, path, "id", None, inserts_only=True)
+    assert first.count() == 3
+
+
+def test_stream_upsert_loses_no_batch(spark, tmp_dir):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    log = os.path.join(tmp_dir, "log")
+
+    def run(name, rows, ckpt):
+        src = os.path.join(tmp_dir, f"src-{name}")
+        spark.createDataFrame(rows, "id int, v string, op string").write.mode("overwrite").parquet(src)
+        st.stream_upsert(spark.readStream.schema("id int, v string, op string").parquet(src), log, os.path.join(tmp_dir, ckpt), stream=name)
+
+    run("one", [(2, "B", None), (3, "c", None)], "c1")
+    run("two", [(4, "d", None), (1, "x", "delete")], "c2")  # a second stream with its own checkpoint
+    run("two", [(4, "d", None), (1, "x", "delete")], "c3")  # the same batch replayed
+    got = sorted(tuple(r) for r in st.upserted(target, log, "id", spark, delete_column="op").collect())
+    assert got == [(2, "B"), (3, "c"), (4, "d")]
 
 
 def test_pii_guard(spark):
@@ -108,9 +139,10 @@ def test_streams(spark, tmp_dir):
     ev = spark.createDataFrame(rows, "id int, ts timestamp_ntz, user_id string, value double")
     ev.write.parquet(src)
     stream = st.stream_files(spark, src, ev.schema)
-    bins = st.run_to_memory(st.stream_time_bin(stream, "ts", None, "1 hour", watermark="0 seconds"), "bins_t")
+    bins = st.run_to_files(st.stream_time_bin(stream, "ts", None, "1 hour", watermark="0 seconds"), os.path.join(tmp_dir, "b"), os.path.join(tmp_dir, "bc"))
     assert bins.agg(F.sum("events")).collect()[0][0] <= 40 and bins.count() > 0
-    s = st.run_to_memory(st.stream_sessionize(st.stream_files(spark, src, ev.schema), "ts", "user_id", "10 minutes", "0 seconds"), "sess_t")
+    s = st.run_to_files(st.stream_sessionize(st.stream_files(spark, src, ev.schema), "ts", "user_id", "10 minutes", "0 seconds"),
+                        os.path.join(tmp_dir, "s"), os.path.join(tmp_dir, "sc"))
     assert s.count() > 0
     ok, bad = os.path.join(tmp_dir, "ok"), os.path.join(tmp_dir, "bad")
     st.stream_quality_split(st.stream_files(spark, src, ev.schema), "value >= 10", ok, bad, os.path.join(tmp_dir, "ck"))
@@ -137,42 +169,3 @@ def test_write_json_array_document(spark, tmp_dir):
     writers.write_json(df, os.path.join(tmp_dir, "arr"), "array")
     text = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(tmp_dir, "arr", "part-*"))))
     assert sorted(r["id"] for r in json.loads(text)) == list(range(30))
-
-
-def test_append_writes_only_new_rows(spark, tmp_dir):
-    path = os.path.join(tmp_dir, "ap")
-    tables.write_table(spark.createDataFrame([(1, "a")], "id int, v string"), path)
-    tables.write_table(spark.createDataFrame([(2, "b")], "id int, v string"), path, "append")
-    tables.write_table(spark.createDataFrame([(3, "c", 9)], "id int, v string, extra int"), path, "append")
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).select("id", "v").collect()) == [(1, "a"), (2, "b"), (3, "c")]
-    assert tables.read_as_of(spark, path, as_of_version=1).count() == 1
-    assert spark.read.parquet(os.path.join(path, "_v=3")).count() == 1  # the new version holds only its rows
-
-
-def test_upsert_rewrites_only_touched_directories(spark, tmp_dir):
-    path = os.path.join(tmp_dir, "up")
-    tables.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), path)
-    tables.write_table(spark.createDataFrame([(3, "c"), (4, "d")], "id int, v string"), path, "append")
-    tables.write_table(spark.createDataFrame([(5, "e")], "id int, v string"), path, "append")
-    src = spark.createDataFrame([(3, "C", None), (4, "x", "delete"), (9, "z", None)], "id int, v string, op string")
-    v = tables.upsert_table(src, path, "id", delete_column="op")
-    tbl = tables.VersionedTable(spark, path)
-    assert tbl.parts(v) == [1, 3, v]  # directories 1 and 3 carried over, 2 rewritten
-    got = sorted(tuple(r) for r in tables.read_as_of(spark, path).collect())
-    assert got == [(1, "a"), (2, "b"), (3, "C"), (5, "e"), (9, "z")]
-
-
-def test_merge_rewrites_only_touched_directories(spark, tmp_dir):
-    path = os.path.join(tmp_dir, "mg")
-    tables.write_table(spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, name string, amt int"), path)
-    tables.write_table(spark.createDataFrame([(3, "c", 30)], "id int, name string, amt int"), path, "append")
-    src = spark.createDataFrame([(3, "C", None), (7, "g", None), (2, "x", "delete")], "id int, name string, op string")
-    v = tables.merge_table(src, path, "id", delete_column="op")
-    assert tables.VersionedTable(spark, path).parts(v) == [v]  # both directories held a merged key
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "a", 10), (3, "C", 30), (7, "g", None)]
-    src2 = spark.createDataFrame([(7, "G", None)], "id int, name string, op string")
-    tables.write_table(spark.createDataFrame([(8, "h", 80)], "id int, name string, amt int"), path, "append")
-    v2 = tables.merge_table(src2, path, "id", delete_column="op")
-    parts = tables.VersionedTable(spark, path).parts(v2)
-    assert len(parts) == 2 and parts[-1] == v2
-    assert sorted(tuple(r) for r in tables.read_as_of(spark, path).collect()) == [(1, "a", 10), (3, "C", 30), (7, "G", None), (8, "h", 80)]
