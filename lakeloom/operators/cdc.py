@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.core import col_list
+from lakeloom.sources.tables import path_exists
 
 
 def _and(cs: list[Column]) -> Column:
@@ -129,10 +130,9 @@ class IncrementalLoad:
         self.spark, self.state_path, self.column, self.initial = spark, state_path.rstrip("/"), column, initial_value
 
     def mark(self):
-        try:
-            rows = self.spark.read.parquet(self.state_path).orderBy(F.col("version").desc()).limit(1).collect()
-        except Exception:  # noqa: BLE001 - no state yet
-            rows = []
+        if not path_exists(self.spark, self.state_path):  # any other error must not reload everything
+            return self.initial
+        rows = self.spark.read.parquet(self.state_path).orderBy(F.col("version").desc()).limit(1).collect()
         return rows[0]["mark"] if rows else self.initial
 
     def pending(self, df: DataFrame) -> DataFrame:

@@ -422,14 +422,12 @@ def q_join_inner(spark, d):
 
 @query(
     "join_left",
-    """SELECT c.*, o.o_orderkey, o.o_totalprice FROM customer c
-       LEFT JOIN (SELECT o_custkey AS c_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F') o
-       USING (c_custkey)""",
+    """SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic
+       FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
 def q_join_left(spark, d):
-    t = Tables(spark, d)
-    o = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return jn.join_left(t.customer, o, "c_custkey")
+    t = Tables(spark, d)  # labels cover only some documents
+    return jn.join_left(t.documents.select("doc_id", "lang", "source"), t.labels, "doc_id")
 
 
 @query(
@@ -444,15 +442,12 @@ def q_join_right(spark, d):
 
 @query(
     "join_full",
-    """SELECT COALESCE(a.c_custkey, b.o_custkey) AS c_custkey, a.c_name, b.orders
-       FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) a
-       FULL JOIN (SELECT o_custkey, COUNT(*) AS orders FROM orders GROUP BY o_custkey) b ON a.c_custkey = b.o_custkey""",
+    """SELECT COALESCE(s.s_suppkey, c.c_custkey) AS s_suppkey, s.s_name, c.c_name
+       FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey""",
 )
 def q_join_full(spark, d):
     t = Tables(spark, d)
-    a = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name")
-    b = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
-    return jn.join_full(a, b, "c_custkey", "o_custkey")
+    return jn.join_full(t.supplier.select("s_suppkey", "s_name"), t.customer.select("c_custkey", "c_name"), "s_suppkey", "c_custkey")
 
 
 @query(
@@ -471,16 +466,16 @@ def q_cross(spark, d):
     return jn.join_cross(t.customer, t.region)
 
 
-@query("join_semi", "SELECT * FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')")
+@query("join_semi", "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q_semi(spark, d):
     t = Tables(spark, d)
-    return jn.join_semi(t.customer, t.orders.where("o_orderstatus = 'O'"), "c_custkey", "o_custkey")
+    return jn.join_semi(t.documents.select("doc_id", "lang", "source"), t.labels, "doc_id", "doc_id")
 
 
-@query("join_anti", "SELECT * FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')")
+@query("join_anti", "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def q_anti(spark, d):
     t = Tables(spark, d)
-    return jn.join_anti(t.customer, t.orders.where("o_orderstatus = 'O'"), "c_custkey", "o_custkey")
+    return jn.join_anti(t.documents.select("doc_id", "lang", "source"), t.labels, "doc_id", "doc_id")
 
 
 @query(
@@ -507,12 +502,13 @@ def q_union_distinct(spark, d):
 
 @query(
     "merge_streams",
-    """SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click'
-       UNION ALL SELECT event_id, user_id, event_type FROM events WHERE event_type = 'view'""",
+    """SELECT c_custkey AS id, c_name AS name FROM customer
+       UNION ALL SELECT s_suppkey, s_name FROM supplier""",
 )
 def q_merge_streams(spark, d):
-    e = Tables(spark, d).events.select("event_id", "user_id", "event_type")
-    return jn.merge_streams(e.where("event_type = 'click'"), e.where("event_type = 'view'"))
+    t = Tables(spark, d)
+    return jn.merge_streams(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+                            t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
 @query(
@@ -527,24 +523,23 @@ def q_intersect(spark, d):
 
 @query(
     "except_rows",
-    "SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
 )
 def q_except(spark, d):
     t = Tables(spark, d)
-    return jn.except_rows(t.customer.select(F.col("c_custkey").alias("custkey")),
-                          t.orders.select(F.col("o_custkey").alias("custkey")))
+    return jn.except_rows(t.documents.select("doc_id"), t.labels.select("doc_id"))
 
 
-@query("ref_integrity", "SELECT * FROM lineitem l WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size > 10)")
+@query("ref_integrity", "SELECT doc_id, source FROM documents SEMI JOIN labels USING (doc_id)")
 def q_ref_pass(spark, d):
     t = Tables(spark, d)
-    return jn.ref_integrity(t.lineitem, t.part.where("p_size > 10"), "l_partkey", "p_partkey").passed
+    return jn.ref_integrity(t.documents.select("doc_id", "source"), t.labels, "doc_id", "doc_id").passed
 
 
-@query("ref_integrity_reject", "SELECT * FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size > 10)")
+@query("ref_integrity_reject", "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
 def q_ref_reject(spark, d):
     t = Tables(spark, d)
-    return jn.ref_integrity(t.lineitem, t.part.where("p_size > 10"), "l_partkey", "p_partkey").rejected
+    return jn.ref_integrity(t.documents.select("doc_id", "source"), t.labels, "doc_id", "doc_id").rejected
 
 
 # The target is the source without status P, so one row per key holds both sides.
@@ -791,10 +786,13 @@ def q_outlier(spark, d):
     return win.outlier(li, "l_extendedprice", "iqr").passed
 
 
-@query("outlier_reject", OUTLIER_IQR.format(neg="NOT"))
+@query(
+    "outlier_reject",
+    """SELECT doc_id, n_chars FROM documents, (SELECT quantile_cont(n_chars, [0.25, 0.75]) AS q FROM documents)
+       WHERE n_chars > q[2] + 1.5 * (q[2] - q[1]) OR n_chars < q[1] - 1.5 * (q[2] - q[1])""",
+)
 def q_outlier_reject(spark, d):
-    li = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return win.outlier(li, "l_extendedprice", "iqr").rejected
+    return win.outlier(Tables(spark, d).documents.select("doc_id", "n_chars"), "n_chars", "iqr").rejected
 
 
 @query(

@@ -450,7 +450,8 @@ def q_arrays(spark, d):
 
 @query(
     "pivot",
-    "PIVOT (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) ON o_orderstatus USING count(o_orderkey) GROUP BY o_orderpriority",
+    """SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus = 'F') AS "F", COUNT(*) FILTER (o_orderstatus = 'O') AS "O",
+              COUNT(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_orderpriority""",
 )
 def q_pivot(spark, d):
     o = Tables(spark, d).orders.select("o_orderpriority", "o_orderstatus", "o_orderkey")

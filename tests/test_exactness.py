@@ -139,3 +139,15 @@ def test_rank_filter_takes_a_direction_per_column(spark):
 def test_hash_is_not_a_limit(spark):
     df = spark.range(50).withColumn("m", F.lit(1))
     assert rows.sample_rows(df, 7).count() == 7 and rows.sample_percent(df, 20).count() == 10
+
+
+def test_equal_names_in_two_tables(spark):
+    from lakeloom.operators import similarity
+
+    many = spark.range(60_000).select(F.lit("Acme Limited").alias("name"))
+    got = similarity.record_link(many, many, "name", "name", expand=False).collect()
+    assert [(r.left_key, r.n_pairs) for r in got] == [("Acme Limited", 60_000 ** 2)]
+    few = many.limit(3)
+    assert similarity.record_link(few, few, "name", "name").count() == 9
+    with pytest.raises(ValueError, match="every pair"):
+        similarity.fuzzy_dedupe(few, "name", "jaro-winkler", 0.5)
