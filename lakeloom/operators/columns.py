@@ -71,8 +71,22 @@ def parse_rename_pairs(mapping) -> list[tuple[str, str]]:
     return out
 
 
-def rename(df: DataFrame, mapping) -> DataFrame:
-    """Rename old→new; renamed columns move to the end, others keep order."""
+def read_rename_file(spark, path: str):
+    """Pairs from a small mapping file: JSON, CSV rows ``old,new`` or YAML lines
+    ``old: new``, by the file's ending."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if path.lower().endswith(".json"):
+        return json.loads(text)
+    mark = "," if path.lower().endswith(".csv") else ":"
+    lines = [x for x in text.splitlines() if mark in x and not x.lstrip().startswith("#")]
+    return [tuple(p.strip().strip("'\"") for p in x.split(mark, 1)) for x in lines]
+
+
+def rename(df: DataFrame, mapping=None, mapping_file: str | None = None) -> DataFrame:
+    """Rename old→new, by a mapping or a mapping file; renamed columns move to
+    the end, others keep order."""
+    if mapping_file is not None:
+        mapping = read_rename_file(df.sparkSession, mapping_file)
     pairs = [(o, n) for o, n in parse_rename_pairs(mapping) if o in df.columns]
     renamed = dict(pairs)
     keep = [F.col(c) for c in df.columns if c not in renamed]

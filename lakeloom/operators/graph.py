@@ -2,77 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_EVERY = 1  # the per-round plan references the edge set several times: truncate every round
-
-
-def _both_ways(e: DataFrame) -> DataFrame:
-    return (e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            .where(F.col("u") != F.col("v")).distinct())
-
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Every node hands its larger neighbours to its smallest neighbour."""
-    m = e.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
-    out = e.join(m, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _both_ways(out)
+    """Every node hands its larger neighbours to the smallest of its neighbours
+    and itself. ``e`` holds each edge once (u > v)."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    """Every node links itself and its smaller neighbours to the smallest of them."""
-    low = e.where(F.col("v") < F.col("u"))
-    m = low.groupBy("u").agg(F.min("v").alias("m"))
-    linked = low.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = m.select("u", F.col("m").alias("v"))
-    # an edge to a larger neighbour is re-emitted by that neighbour, whose
-    # smaller-neighbour set contains this node: nothing else to keep
-    return _both_ways(linked.unionByName(own))
+    """Every node links its smaller neighbours and itself to the smallest of them."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    linked = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def match_groups(df: DataFrame, left_key: str = "id_a", right_key: str = "id_b", max_rounds: int = 200) -> DataFrame:
+def match_groups(df: DataFrame, left_key: str = "id_a", right_key: str = "id_b") -> DataFrame:
     """``id, cluster_id``: every node's cluster id is the smallest member id
     (compared as text). Edges with a NULL end are dropped.
 
     Alternating large-star / small-star rounds (each a grouped min plus an
     equi-join over the edge list, no per-component collection) turn every
     component into a star around its smallest node in a logarithmic number
-    of rounds; a round that leaves the edge set unchanged ends the loop.
-    Edge sets are persisted per round and checkpointed to the session's
-    checkpoint directory every few rounds, so lineage stays short and a
-    lost executor recomputes at most a few rounds."""
+    of rounds; a round that leaves the edge set unchanged ends the loop. Each
+    round is checkpointed, so lineage stays short and a lost executor
+    recomputes at most a round."""
     a, b = F.col(left_key).cast("string"), F.col(right_key).cast("string")
-    raw = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("u"), b.alias("v"))
-    nodes = raw.select(F.col("u").alias("id")).unionByName(raw.select(F.col("v").alias("id"))).distinct()
-    e = _both_ways(raw).checkpoint(eager=True)
+    raw = df.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    raw = raw.distinct().checkpoint(eager=True)
+    e = raw.where("u <> v")
 
     def signature(x: DataFrame):
-        r = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
+        r = x.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         return r["n"], r["h"]
 
-    sig = signature(e)
-    persisted = []
-    for rnd in range(1, max_rounds + 1):
-        nxt = _small_star(_large_star(e))
-        if rnd % CHECKPOINT_EVERY == 0:
-            nxt = nxt.checkpoint(eager=True)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-            persisted.append(nxt)
-        new_sig = signature(nxt)
-        e = nxt
-        if new_sig == sig:
+    before = signature(e)
+    while before[0]:
+        e = _small_star(_large_star(e)).checkpoint(eager=True)
+        after = signature(e)
+        if after == before:
             break
-        sig = new_sig
-    else:
-        raise RuntimeError(f"match_groups: no convergence after {max_rounds} rounds")
-    # converged: each component is a star centred on its smallest node
-    centre = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
-    out = (nodes.join(centre, "id", "left")
-           .select("id", F.least(F.col("id"), F.coalesce(F.col("m"), F.col("id"))).alias("cluster_id"))
-           .checkpoint(eager=True))
-    for p in persisted:
-        p.unpersist()
-    return out
+        before = after
+    centre = e.select(F.col("u").alias("id"), F.col("v").alias("cluster_id"))
+    alone = raw.select(F.col("v").alias("id"), F.col("v").alias("cluster_id"))  # centres, and nodes with only a self loop
+    return centre.unionByName(alone.join(centre.select("id"), "id", "left_anti").distinct())

@@ -145,44 +145,54 @@ def _block_pairs(t: float):
     return run
 
 
-def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 1) -> DataFrame:
+def _assign(pivots: np.ndarray):
+    def run(batches):
+        for pdf in batches:
+            u = np.stack(pdf["u"].to_numpy()) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            d = np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * u @ pivots.T, 0.0))
+            cell = d.argmin(axis=1) if len(u) else np.zeros(0, int)
+            yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(u)), cell])
+    return run
+
+
+def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 64) -> DataFrame:
     """All pairs ``(i, j)`` with ``i < j`` and cosine ≥ threshold, exactly.
 
-    Unit vectors with cosine ≥ t lie within r = sqrt(2 − 2t) of each other,
-    so their distances to a pivot vector differ by at most r (triangle
-    inequality): rings of width r around the pivot mean only vectors in the
-    same or adjacent rings can match — an equi-join key. Inside a ring,
-    vectors are cut into blocks of at most ``BLOCK``; each candidate block
-    pair is verified with one numpy matrix product and only pairs above the
-    threshold leave the task. Every candidate is checked; none is capped."""
+    Unit vectors with cosine ≥ t lie within r = sqrt(2 − 2t) of each other.
+    Every vector joins the cell of the nearest of ``n_pivots`` pivot vectors; two
+    cells can hold a pair only if their pivots are at most r plus both cells'
+    radii apart (triangle inequality). Cells are cut into blocks of about
+    ``BLOCK`` vectors; each block pair of two such cells is verified with one
+    numpy matrix product and only pairs above the threshold leave the task.
+    The driver sees the pivots and one row per cell."""
     t = float(threshold)
+    spark = df.sparkSession
     r = math.sqrt(max(2.0 - 2.0 * t, 0.0))
     v = F.col(vector_column)
     unit = df.where(v.isNotNull() & (F.size(v) > 0)).select(
         F.col(id_column).cast("bigint").alias("id"), v.alias("v")).withColumn("n", _norm(F.col("v"))).where(F.col("n") > 0) \
         .select("id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("u"))
-    pivots = unit.orderBy("id").limit(n_pivots).select(F.col("u").alias("p")).collect()  # ≤ n_pivots vectors
-    if not pivots:
-        return df.sparkSession.createDataFrame([], "i long, j long, score double")
-    p0 = F.array(*[F.lit(float(x)) for x in pivots[0]["p"]])
-    width = r if r > 0 else 1e-9
-    d0 = F.sqrt(F.aggregate(F.zip_with(F.col("u"), p0, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z))
-    feats = unit.withColumn("ring", F.floor(d0 / width).cast("bigint"))
-    counts = {row["ring"]: row["count"] for row in feats.groupBy("ring").count().collect()}  # one row per ring
-    nb = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(max(1, -(-c // BLOCK))))])
-    blocks = (feats.withColumn("blk", F.pmod(F.xxhash64("id"), F.element_at(nb, F.col("ring"))))
-              .groupBy("ring", "blk").agg(F.collect_list(F.struct("id", "u")).alias("rows")))  # ≤ BLOCK rows each
-    a = blocks.select(F.col("ring").alias("ar"), F.col("blk").alias("ab"), F.col("rows").alias("ra"))
-    b = blocks.select(F.col("ring").alias("br"), F.col("blk").alias("bb"), F.col("rows").alias("rb")) \
-        .withColumn("key", F.explode(F.array(F.col("br"), F.col("br") - 1)))
-    pairs = a.join(b, F.col("ar") == F.col("key")).where(
-        ((F.col("br") == F.col("ar")) & (F.col("ab") <= F.col("bb"))) | (F.col("br") == F.col("ar") + 1))
-    pairs = pairs.select("ra", "rb", ((F.col("br") == F.col("ar")) & (F.col("ab") == F.col("bb"))).alias("same"))
+    picked = unit.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("u").collect()  # ≤ n_pivots vectors
+    if not picked:
+        return spark.createDataFrame([], "i long, j long, score double")
+    pivots = np.array([row["u"] for row in picked], float)
+    feats = unit.mapInPandas(_assign(pivots), "id long, u array<double>, cell long, dist double").checkpoint(eager=True)
+    cells = feats.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()  # one row per cell
+    radius = {c["cell"]: c["radius"] for c in cells}
+    near = [(x, y) for x in radius for y in radius if x <= y
+            and np.sqrt(((pivots[x] - pivots[y]) ** 2).sum()) <= r + radius[x] + radius[y] + 1e-6]
+    meets = spark.createDataFrame(near, "x long, y long")  # ≤ n_pivots² rows
+    nb = F.create_map(*[x for c in cells for x in (F.lit(c["cell"]), F.lit(max(1, -(-c["n"] // BLOCK))))])
+    blocks = (feats.withColumn("blk", F.pmod(F.xxhash64("id"), F.element_at(nb, F.col("cell"))))
+              .groupBy("cell", "blk").agg(F.collect_list(F.struct("id", "u")).alias("rows")))  # about BLOCK rows each
+    a = blocks.select(F.col("cell").alias("x"), F.col("blk").alias("ab"), F.col("rows").alias("ra")).join(F.broadcast(meets), "x")
+    b = blocks.select(F.col("cell").alias("y"), F.col("blk").alias("bb"), F.col("rows").alias("rb"))
+    pairs = a.join(b, "y").where((F.col("x") < F.col("y")) | (F.col("ab") <= F.col("bb")))
+    pairs = pairs.select("ra", "rb", ((F.col("x") == F.col("y")) & (F.col("ab") == F.col("bb"))).alias("same"))
     return pairs.mapInPandas(_block_pairs(t), "i long, j long, score double")
 
 
-def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95,
-                    max_rounds: int = 1000) -> DataFrame:
+def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """Greedy in ``id`` order: keep a row unless an earlier KEPT row has
     cosine ≥ threshold. Rows with a missing or zero embedding are kept.
 
@@ -193,10 +203,7 @@ def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embe
     edges = cosine_pairs(df, id_column, embedding_column, threshold).select("i", "j").checkpoint(eager=True)
     nodes = edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct()
     state = nodes.withColumn("st", F.lit(0)).checkpoint(eager=True)  # 0 undecided, 1 kept, 2 dropped
-    for _ in range(max_rounds):
-        und = state.where("st = 0").count()
-        if und == 0:
-            break
+    while state.where("st = 0").limit(1).count():  # the smallest undecided node is decided in every round
         e = edges.join(state.select(F.col("id").alias("i"), F.col("st").alias("si")), "i")
         per = e.groupBy(F.col("j").alias("id")).agg(
             F.max(F.when(F.col("si") == 0, 1).otherwise(0)).alias("blocked"),

@@ -41,11 +41,13 @@ def read_csv(
     null_value: str | None = None, skip_lines: int = 0, encoding: str = "UTF-8", ignore_errors: bool = False,
     filename: bool = False, date_format: str | None = None, timestamp_format: str | None = None,
     schema: StructType | str | None = None, columns: list[dict] | None = None, read_options: dict | None = None,
+    null_padding: bool = False,
 ) -> DataFrame:
     """Delimited text. ``ignore_errors`` drops malformed rows, else the read
-    fails fast. ``skip_lines`` skips leading lines of each file."""
+    fails fast; ``null_padding`` fills the missing fields of short rows with
+    NULL. ``skip_lines`` skips leading lines of each file."""
     r = spark.read.option("header", has_header).option("sep", delimiter).option("quote", quote_char)
-    r = r.option("encoding", encoding).option("mode", "DROPMALFORMED" if ignore_errors else "FAILFAST")
+    r = r.option("encoding", encoding).option("mode", "PERMISSIVE" if null_padding else "DROPMALFORMED" if ignore_errors else "FAILFAST")
     if null_value is not None:
         r = r.option("nullValue", null_value)
     if date_format:
@@ -151,9 +153,14 @@ def read_json(
 
 
 def _looks_like_json_document(spark: SparkSession, path: str) -> bool:
-    # One tiny read of the first line decides array/object vs lines.
-    first = spark.read.text(path).limit(1).collect()
-    return bool(first) and first[0][0].lstrip().startswith("[")
+    # One tiny read: a first line that is a whole JSON object means JSON lines.
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not first:
+        return False
+    try:
+        return not isinstance(json.loads(first[0][0]), dict)
+    except ValueError:
+        return True
 
 
 def read_fixedwidth(spark: SparkSession, path: str, columns: list[dict], trim: bool = True) -> DataFrame:

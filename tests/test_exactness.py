@@ -151,3 +151,41 @@ def test_equal_names_in_two_tables(spark):
     assert similarity.record_link(few, few, "name", "name").count() == 9
     with pytest.raises(ValueError, match="every pair"):
         similarity.fuzzy_dedupe(few, "name", "jaro-winkler", 0.5)
+
+
+def test_short_rows_are_padded(spark, tmp_dir):
+    path = f"{tmp_dir}/short.csv"
+    with open(path, "w") as f:
+        f.write("a,b,c\n1,2,3\n4,5\n")
+    got = readers.read_csv(spark, path, schema="a int, b int, c int", null_padding=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 3), (4, 5, None)]
+
+
+def test_json_format_is_found(spark, tmp_dir):
+    for name, text, want in (("lines", '\n{"a": 1}\n{"a": 2}\n', [1, 2]), ("array", '[\n{"a": 1}]', [1]), ("object", '{\n  "a": 3\n}', [3])):
+        with open(f"{tmp_dir}/{name}.json", "w") as f:
+            f.write(text)
+        assert sorted(r.a for r in readers.read_json(spark, f"{tmp_dir}/{name}.json").collect()) == want
+
+
+def test_rename_from_a_file(spark, tmp_dir):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    for name, text in (("m.json", '{"a": "x", "c": "z"}'), ("m.csv", "a,x\nc,z\n"), ("m.yaml", "# names\na: x\nc: 'z'\n")):
+        with open(f"{tmp_dir}/{name}", "w") as f:
+            f.write(text)
+        assert columns.rename(df, mapping_file=f"{tmp_dir}/{name}").columns == ["b", "x", "z"]
+
+
+def test_near_vectors_without_all_pairs(spark):
+    import numpy as np
+
+    from lakeloom.operators import search
+
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(30, 12)), 20, axis=0) + rng.normal(0, 0.25, (600, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, e array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(u @ u.T, 1)
+    for t in (0.4, 0.95):
+        got = {(r.i, r.j) for r in search.cosine_pairs(df, "id", "e", t).collect()}
+        assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= t))}
