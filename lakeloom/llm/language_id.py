@@ -31,6 +31,7 @@ from .textbytes import ALNUM, LOWER, text_slices
 BITS = 15
 BUCKETS = 1 << BITS
 DIM = 16
+SLICE = 500_000  # bytes of text whose subwords are held at once
 LETTERS = ALNUM.copy()
 LETTERS[0x30:0x3A] = False
 HAS_LETTER = regex.compile(r"\p{L}")
@@ -72,17 +73,17 @@ def subwords(offsets: np.ndarray, data: np.ndarray):
 
 
 def count_batches(batches):
-    """Sparse bucket counts of labelled texts."""
+    """Sparse bucket counts of labelled texts: bytes of int32 buckets and float32 counts."""
     for batch in batches:
         idx, cnt = [], []
-        for _, off, data in text_slices(batch.column("text")):
+        for _, off, data in text_slices(batch.column("text"), SLICE):
             s, first = subwords(off, data)
             for a, b in zip(first[:-1], first[1:]):
                 u, c = np.unique(s[a:b], return_counts=True)
-                idx.append(u.astype(np.int32))
-                cnt.append(c.astype(np.float32))
+                idx.append(u.astype(np.int32).tobytes())
+                cnt.append(c.astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("valid"), pa.array(idx, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.float32()))],
+            [batch.column("lang"), batch.column("valid"), pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())],
             names=["lang", "valid", "idx", "cnt"])
 
 
@@ -121,7 +122,8 @@ def train(sample, epochs: int = 12, rate: float = 2.0, batch: int = 64, reject_r
     rng = np.random.default_rng(seed)
     model = Model(langs, rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
                   np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32))
-    sample = [r for r in sample if len(r["idx"])]
+    # the rows come in any order; the model must not depend on it
+    sample = sorted((r for r in sample if len(r["idx"])), key=lambda r: (r["lang"], r["valid"], bytes(r["idx"]), bytes(r["cnt"])))
     number = {x: i for i, x in enumerate(langs)}
     fit = [r for r in sample if not r["valid"]] or sample
     held = [r for r in sample if r["valid"]] or fit
@@ -129,7 +131,8 @@ def train(sample, epochs: int = 12, rate: float = 2.0, batch: int = 64, reject_r
     def rows(part):
         x = np.zeros((len(part), BUCKETS), np.float32)
         for i, r in enumerate(part):
-            x[i, r["idx"]] = np.asarray(r["cnt"], np.float32) / np.sum(r["cnt"])
+            count = np.frombuffer(r["cnt"], np.float32)
+            x[i, np.frombuffer(r["idx"], np.int32)] = count / count.sum()
         return x, np.array([number[r["lang"]] for r in part])
 
     steps = epochs * -(-len(fit) // batch)
@@ -169,27 +172,29 @@ def train(sample, epochs: int = 12, rate: float = 2.0, batch: int = 64, reject_r
     return model
 
 
-def predict_batches(model: Model):
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            for row, off, data in text_slices(texts):
-                if model.langs:
-                    p = model.scores(off, data)
-                    best = p.argmax(axis=1)
-                    lang[row:row + len(best)] = np.array(model.langs, object)[best]
-                    score[row:row + len(best)] = p[np.arange(len(best)), best]
-            for i, text in enumerate(texts):
-                if not text.is_valid or not HAS_LETTER.search(text.as_py()):
-                    lang[i], score[i] = "und", 0.0
-            rejected = (lang == "und") | (score < model.threshold)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected.astype(bool))],
-                names=[*batch.schema.names, "__lang", "__score", "__rejected"])
-
-    return run
+PREDICTION = "struct<lang:string,score:double,rejected:boolean>"
+
+
+def predictor(model: Model):
+    """Arrow function of texts: lang, score, rejected. Only the texts go to Python."""
+
+    @F.arrow_udf(PREDICTION)
+    def predict(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        lang, score = np.full(n, "und", object), np.zeros(n)
+        for row, off, data in text_slices(texts, SLICE) if model.langs else ():
+            p = model.scores(off, data)
+            best = p.argmax(axis=1)
+            lang[row:row + len(best)] = np.array(model.langs, object)[best]
+            score[row:row + len(best)] = p[np.arange(len(best)), best]
+        for i, text in enumerate(texts):
+            if not text.is_valid or not HAS_LETTER.search(text.as_py()):
+                lang[i], score[i] = "und", 0.0
+        rejected = (lang == "und") | (score < model.threshold)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected.astype(bool))],
+                                          names=["lang", "score", "rejected"])
+
+    return predict
 
 
 def held_out(id_col: str = "doc_id"):
@@ -197,23 +202,27 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, train_rows: int = 2400, valid_share: float = 0.25, seed: int = 1) -> Model:
-    """Train on at most ``train_rows`` labelled rows (doc_id, text, lang) that are
-    not held out. A row's key is its hash times the number of rows of its
-    language; the smallest keys make the sample, so languages come evenly."""
-    pool = (docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out()
-                                                       & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    per = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sample = (pool.join(per, "lang").withColumn("key", uniform(F.lit(seed), "doc_id") * F.col("n"))
-              .orderBy("key", "doc_id").limit(train_rows)
-              .select("lang", (uniform(F.lit(seed + 1), "doc_id") < valid_share).alias("valid"), "text"))
-    rows = sample.mapInArrow(count_batches, "lang string, valid boolean, idx array<int>, cnt array<float>").collect()
+    """Train on at most ``train_rows`` labelled documents (doc_id, text, lang) that
+    are not held out. A document's key is its hash times the number of documents of
+    its language; the smallest keys make the sample, so languages come evenly. The
+    sample is drawn from ids and labels; only its own texts are moved. Of rows
+    sharing an id the smallest label, then the smallest text counts."""
+    pool = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull())
+    ids = pool.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    per = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sample = (ids.join(per, "lang").withColumn("key", uniform(F.lit(seed), "doc_id") * F.col("n"))
+              .orderBy("key", "doc_id").limit(train_rows).select("doc_id", "lang"))
+    texts = (pool.join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang")  # at most train_rows ids
+             .agg(F.min("text").alias("text")).where(F.col("text").isNotNull())
+             .select("lang", (uniform(F.lit(seed + 1), "doc_id") < valid_share).alias("valid"), "text"))
+    rows = texts.mapInArrow(count_batches, "lang string, valid boolean, idx binary, cnt binary").collect()
     return train(rows, seed=seed)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a column text) and ``__lang``, ``__score``, ``__rejected``."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict_batches(model), f"{fields}, __lang string, __score double, __rejected boolean")
+    return docs.withColumn("__p", predictor(model)(F.col("text"))).select(
+        *docs.columns, F.col("__p.lang").alias("__lang"), F.col("__p.score").alias("__score"), F.col("__p.rejected").alias("__rejected"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

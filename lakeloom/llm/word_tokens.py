@@ -23,7 +23,7 @@ from .textbytes import word_hashes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 CACHE_WORDS = 400_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 750_000
 COVERED = 0x300
 SPACE, LETTER, DIGIT, OTHER, UNSAFE = range(5)
 
