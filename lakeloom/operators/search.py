@@ -145,13 +145,19 @@ def _block_pairs(t: float):
     return run
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    big = np.abs(x).max(axis=1, keepdims=True)
+    x = np.where((big > 1e-100) & (big < 1e100), x, x / big)  # where squares would overflow or vanish
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _assign(pivots: np.ndarray):
     def run(batches):
         for pdf in batches:
-            u = np.stack(pdf["u"].to_numpy()) if len(pdf) else np.zeros((0, pivots.shape[1]))
+            u = _unit(np.stack(pdf["u"].to_numpy())) if len(pdf) else np.zeros((0, pivots.shape[1]))
             d = np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * u @ pivots.T, 0.0))
             cell = d.argmin(axis=1) if len(u) else np.zeros(0, int)
-            yield pdf.assign(cell=cell.astype("int64"), dist=d[np.arange(len(u)), cell])
+            yield pdf.assign(u=list(u), cell=cell.astype("int64"), dist=d[np.arange(len(u)), cell])
     return run
 
 
@@ -164,18 +170,19 @@ def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: f
     radii apart (triangle inequality). Cells are cut into blocks of about
     ``BLOCK`` vectors; each block pair of two such cells is verified with one
     numpy matrix product and only pairs above the threshold leave the task.
-    The driver sees the pivots and one row per cell."""
+    The driver sees the pivots and one row per cell. A missing, empty or zero
+    vector, or one holding a null, NaN or infinity, pairs with nothing."""
     t = float(threshold)
     spark = df.sparkSession
     r = math.sqrt(max(2.0 - 2.0 * t, 0.0))
     v = F.col(vector_column)
-    unit = df.where(v.isNotNull() & (F.size(v) > 0)).select(
-        F.col(id_column).cast("bigint").alias("id"), v.alias("v")).withColumn("n", _norm(F.col("v"))).where(F.col("n") > 0) \
-        .select("id", F.transform("v", lambda x: x.cast("double") / F.col("n")).alias("u"))
+    x = F.transform(v, lambda e: e.cast("double"))
+    usable = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
+    unit = df.where(usable).select(F.col(id_column).cast("bigint").alias("id"), x.alias("u"))
     picked = unit.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("u").collect()  # ≤ n_pivots vectors
     if not picked:
         return spark.createDataFrame([], "i long, j long, score double")
-    pivots = np.array([row["u"] for row in picked], float)
+    pivots = _unit(np.array([row["u"] for row in picked], float))
     feats = unit.mapInPandas(_assign(pivots), "id long, u array<double>, cell long, dist double").checkpoint(eager=True)
     cells = feats.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()  # one row per cell
     radius = {c["cell"]: c["radius"] for c in cells}
@@ -194,7 +201,8 @@ def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: f
 
 def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """Greedy in ``id`` order: keep a row unless an earlier KEPT row has
-    cosine ≥ threshold. Rows with a missing or zero embedding are kept.
+    cosine ≥ threshold. Rows with a missing or zero embedding, or one that
+    holds NaN or infinity, are kept.
 
     The greedy result is the lexicographically-first independent set of the
     similarity graph; it is computed in rounds over the edge list: a node is
