@@ -2,10 +2,17 @@
 
 A document's ids are those of its text plus the end-of-document id. Whole windows of
 a long document are sequences of their own; what is left of every document (less
-than a window) is dealt to shards of about ``shard_tokens`` ids. A shard's task
-builds a BM25 inverted index over its documents. A window starts with a seed
-document; the index returns the unused documents in falling BM25 score against the
-seed, and they fill the window one after the other. The document that meets the end
+than a window) is packed. Document frequencies, document count and mean length are
+those of all documents. Every document is scored by BM25 against the same
+``LEADERS`` documents drawn from the whole table; its key is its best leaders, best
+first, and leaders alike have numbers side by side. The documents in the order of
+the key are cut into shards of about ``shard_tokens`` ids, so that copies and
+documents of a topic meet wherever they lie in the table. A shard's task builds a
+BM25 inverted index over its documents. A window starts with a seed document; the
+index returns the shard's unused documents in falling BM25 score against the seed,
+and they fill the window one after the other. Up to ``shard_tokens`` ids the search
+covers every document; beyond that a neighbour whose key lies in another shard is
+not seen. The document that meets the end
 of the window is cut; its rest is the next seed. When a shard runs out, the ids of
 its last window are cut into sequences of power-of-two lengths, so nothing is
 padded.
@@ -19,6 +26,7 @@ piece.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -27,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.core import range_numbered
+
 from .common import staged
 from .registry import query, table
 from .word_tokens import tokenizer_for
@@ -36,6 +46,7 @@ END_ID = 2
 WINDOW = 4096
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
+LEADERS, DEPTH = 256, 6  # a key holds DEPTH leader numbers of one byte
 
 
 def id_type(size: int):
@@ -54,10 +65,50 @@ def token_batches(vocabulary: str, end_id: int):
     return run
 
 
+class CorpusStats:
+    """BM25 statistics of all documents: idf by id, and the mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, total: int):
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.mean = total / n if n else 1.0
+
+
+def rest_of(ids: np.ndarray, window: int) -> np.ndarray:
+    """What whole windows leave of a document."""
+    return ids[len(ids) // window * window:]
+
+
+def count_terms(kind: str, size: int, window: int):
+    """Partial sums of a task: (id, documents), (-1, documents), (-2, ids)."""
+
+    def run(batches):
+        df, n, total = np.zeros(size, np.int64), 0, 0
+        for batch in batches:
+            for x in batch.column("ids"):
+                ids = rest_of(np.frombuffer(x.as_buffer(), kind), window)
+                if len(ids):
+                    df[np.unique(ids)] += 1
+                    n, total = n + 1, total + len(ids)
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, total]))], names=["term", "n"])
+
+    return run
+
+
+def corpus_stats(tokens: DataFrame, kind: np.dtype, size: int, window: int) -> CorpusStats:
+    counted = tokens.select("ids").mapInArrow(count_terms(kind.str, size, window), "term long, n long")
+    found = dict(map(tuple, counted.groupBy("term").agg(F.sum("n")).collect()))  # at most one row per id of the vocabulary
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(size)
+    df[list(found)] = list(found.values())
+    return CorpusStats(df, n, total)
+
+
 class ShardIndex:
-    """BM25 inverted index over the ids of a shard's documents."""
+    """BM25 inverted index over the ids of a shard's documents; without the
+    statistics of all documents it takes those of its own."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: CorpusStats | None = None):
         n = self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
@@ -66,8 +117,8 @@ class ShardIndex:
         self.terms, self.first = np.unique(term, return_index=True)
         self.first = np.append(self.first, len(term))
         df = np.diff(self.first)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
+        idf = stats.idf[self.terms] if stats else np.log(1 + (n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / (stats.mean if stats else sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
@@ -79,9 +130,97 @@ class ShardIndex:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def fill_windows(docs: list[np.ndarray], window: int):
+class Leaders:
+    """BM25 of any document against the leaders, as a table over their ids."""
+
+    def __init__(self, docs: list[np.ndarray], stats: CorpusStats):
+        index = ShardIndex(docs, stats)
+        self.row = np.zeros(len(stats.idf), np.int32)  # row 0: ids of no leader
+        self.row[index.terms] = np.arange(1, len(index.terms) + 1)
+        self.table = np.zeros((len(index.terms) + 1, len(docs)), np.float32)
+        self.table[np.repeat(np.arange(1, len(index.terms) + 1), np.diff(index.first)), index.doc] = index.weight
+        # numbered along a chain, each followed by the free one most like it
+        like, chain = np.stack([self.scores(d) for d in docs]), [0]
+        like[:, 0] = -1
+        while len(chain) < len(docs):
+            chain.append(int(like[chain[-1]].argmax()))
+            like[:, chain[-1]] = -1
+        self.table = np.ascontiguousarray(self.table[:, chain])
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        return self.table[self.row[np.unique(ids)]].sum(axis=0)
+
+    def key(self, ids: np.ndarray) -> int:
+        if not len(ids):
+            return 0
+        best = np.argsort(-self.scores(ids), kind="stable")[:DEPTH]
+        return int.from_bytes(best.astype(np.uint8).tobytes().ljust(DEPTH, b"\0"), "big")
+
+
+def draw_leaders(tokens: DataFrame, kind: np.dtype, window: int) -> list[np.ndarray]:
+    """The rests with the smallest hashes, equal ones once: at most LEADERS rows
+    of less than a window reach the driver."""
+    size = F.length("ids")
+    rest = tokens.withColumn("at", size - size % F.lit(window * kind.itemsize)).where(size > F.col("at")) \
+        .select(F.expr("substring(ids, at + 1)").alias("rest")).withColumn("h", F.xxhash64("rest"))
+    hashes = [r["h"] for r in rest.select("h").distinct().orderBy("h").limit(LEADERS).collect()]
+    found = rest.where(F.col("h").isin(hashes)).groupBy("h").agg(F.min("rest").alias("rest")).orderBy("h").collect()
+    return [np.frombuffer(bytes(r["rest"]), kind) for r in found]
+
+
+def keyed(kind: str, window: int, docs: list[np.ndarray], stats: CorpusStats, bounds: list[tuple[int, int]] | None = None):
+    """(rid, key, n) of every document or, with the shards' first (key, rid), its row with its shard."""
+
+    def run(batches):
+        leaders = Leaders(docs, stats) if docs else None  # none if the documents are whole windows only
+        for batch in batches:
+            rid = batch.column("rid").to_pylist()
+            key = [leaders.key(rest_of(np.frombuffer(x.as_buffer(), kind), window)) if leaders else 0 for x in batch.column("ids")]
+            if bounds is None:
+                n = [len(x.as_buffer()) // np.dtype(kind).itemsize for x in batch.column("ids")]
+                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["rid", "key", "n"])
+            else:
+                shard = [max(bisect_right(bounds, at) - 1, 0) for at in zip(key, rid)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=[*batch.schema.names, "shard"])
+
+    return run
+
+
+def shard_starts(before: dict[int, int], per_shard: int):
+    """The first row of every shard, and of every range of the ordered rows."""
+
+    def run(batches):
+        at, last = None, None
+        for batch in batches:
+            out = []
+            for pid, key, rid, n in zip(*(batch.column(c).to_pylist() for c in ("__pid", "key", "rid", "n"))):
+                at = before[pid] if at is None else at
+                if at // per_shard != last:
+                    last = at // per_shard
+                    out.append((last, key, rid))
+                at += n
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["shard", "key", "rid"])
+
+    return run
+
+
+def shard_bounds(small: DataFrame, total: int, shards: int) -> list[tuple[int, int]]:
+    """First (key, rid) of every shard: the rows in order, cut by their running ids.
+    The driver sees one row per range and one per shard and range."""
+    ordered = range_numbered(small, ["key", "rid"]).select("__pid", "key", "rid", "n")
+    before, at = {}, 0
+    for r in sorted(ordered.groupBy("__pid").agg(F.sum("n").alias("n")).collect()):
+        before[r["__pid"]], at = at, at + r["n"]
+    starts: dict[int, tuple[int, int]] = {}
+    for r in ordered.mapInArrow(shard_starts(before, -(-total // shards)), "shard long, key long, rid long").collect():
+        starts[r["shard"]] = min(starts.get(r["shard"], (r["key"], r["rid"])), (r["key"], r["rid"]))
+    return sorted(starts.values())
+
+
+def fill_windows(docs: list[np.ndarray], window: int, stats: CorpusStats | None = None):
     """Yield (document, start, length, sequence, offset) over a shard's documents."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, stats)
     unused = np.ones(len(docs), bool)
     lowest, sequence, carried = 0, 0, None
     while True:
@@ -138,7 +277,7 @@ def fill_windows(docs: list[np.ndarray], window: int):
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def pack_shard(window: int, kind: str, with_ids: bool):
+def pack_shard(window: int, kind: str, with_ids: bool, stats: CorpusStats):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid")
         docs = [np.frombuffer(x, kind) for x in pdf["ids"]]
@@ -156,7 +295,7 @@ def pack_shard(window: int, kind: str, with_ids: bool):
                 add(doc, start, window, sequence, 0)
                 sequence += 1
         left = [i for i, d in enumerate(docs) if whole[i] < len(d)]
-        for doc, start, size, seq, offset in fill_windows([docs[i][whole[i]:] for i in left], window) if left else ():
+        for doc, start, size, seq, offset in fill_windows([docs[i][whole[i]:] for i in left], window, stats) if left else ():
             add(left[doc], whole[left[doc]] + start, size, sequence + seq, offset)
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
         out["doc_id"] = pd.array([r[0] for r in rows], "Int64")  # a null must not turn ids into floats
@@ -169,16 +308,22 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int = W
          shard_tokens: int = SHARD_TOKENS, with_ids: bool = True) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, on request, the ids (little-endian unsigned 32-bit)."""
-    kind = id_type(tokenizer_for(vocabulary).size)
-    tokens = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        token_batches(vocabulary, end_id), "doc_id long, ids binary"), "token_ids")
-    # rows are stored: their places give every row a shard of its own draw
-    total = tokens.agg(F.sum(F.length("ids"))).first()[0] or 0
-    shards = max(1, -(-total // kind.itemsize // shard_tokens))
-    rows = tokens.withColumn("rid", F.monotonically_increasing_id())
-    rows = rows.select("rid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "ids",
-                       F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"))
-    out = rows.groupBy("shard").applyInPandas(pack_shard(window, kind.str, with_ids), PIECES)
+    size = tokenizer_for(vocabulary).size
+    kind = id_type(size)
+    size = max(size, end_id + 1)
+    tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_batches(vocabulary, end_id), "doc_id long, ids binary")
+    tokens = staged(tokens.withColumn("rid", F.monotonically_increasing_id()), "token_ids")
+    total = (tokens.agg(F.sum(F.length("ids"))).first()[0] or 0) // kind.itemsize
+    shards = max(1, -(-total // shard_tokens))
+    stats = corpus_stats(tokens, kind, size, window)
+    rows = tokens.withColumn("shard", F.lit(0).cast("long"))
+    if shards > 1:
+        leaders = draw_leaders(tokens, kind, window)
+        small = staged(tokens.mapInArrow(keyed(kind.str, window, leaders, stats), "rid long, key long, n long"), "keys")
+        bounds = shard_bounds(small, total, shards)
+        rows = tokens.mapInArrow(keyed(kind.str, window, leaders, stats, bounds), "doc_id long, ids binary, rid long, shard long")
+    rows = rows.select("rid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "ids", "shard")
+    out = rows.groupBy("shard").applyInPandas(pack_shard(window, kind.str, with_ids, stats), PIECES)
     return out if with_ids else out.drop("ids")
 
 

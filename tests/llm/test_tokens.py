@@ -121,3 +121,39 @@ def test_neighbours_come_in_order_of_bm25():
     for doc, start, size, seq, _ in packing.fill_windows(docs, 64):
         by_seq.setdefault(seq, []).append(doc % 4)
     assert by_seq[0] == [0, 0, 0, 0]  # a window holds the seed's own topic while there is any
+
+
+def test_statistics_are_those_of_all_documents(spark):
+    w = WordTokenizer(PATH)
+    rest = [packing.rest_of(np.append(w.encode([t or ""])[0], 2), 256) for _, t in ROWS]
+    rest = [r for r in rest if len(r)]
+    tokens = documents(spark, ROWS).repartition(5).mapInArrow(packing.token_batches(PATH, 2), "doc_id long, ids binary")
+    stats = packing.corpus_stats(tokens, packing.id_type(w.size), w.size, 256)
+    assert stats.mean == sum(map(len, rest)) / len(rest)
+    for term in {int(t) for r in rest for t in r}:
+        df = sum(term in r for r in rest)
+        assert np.isclose(stats.idf[term], np.log(1 + (len(rest) - df + 0.5) / (df + 0.5)))
+
+
+def test_neighbours_meet_wherever_they_lie(spark):
+    rnd = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    words = ["".join(rnd.choice(syllables) for _ in range(3)) for _ in range(600)]
+    topics = [words[i * 20:i * 20 + 20] for i in range(30)]
+    rows = []
+    for i in range(900):  # 30 topics, dealt in turn
+        rows.append((i, " ".join(rnd.choice(topics[i % 30] if rnd.random() < 0.7 else words) for _ in range(40))))
+    rows += [(1000 + i, rows[i][1] + " also") for i in range(300)]  # near copies, far from the first
+    got = packing.pack(documents(spark, rows).repartition(4), PATH, window=512, shard_tokens=12000).collect()
+    check_pieces([r.asDict() for r in got], rows, 512)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["sequence_id"] >> 40, set()).add(r["doc_id"])
+    assert len(shards) >= 8
+    of = {d: s for s, ds in shards.items() for d in ds}
+    assert sum(of[i] == of[1000 + i] for i in range(300)) >= 270
+    docs_in = {}
+    for r in got:
+        docs_in.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+    pairs = [(a % 1000 % 30 == b % 1000 % 30) for ds in docs_in.values() for a in ds for b in ds if a < b]
+    assert sum(pairs) >= 0.7 * len(pairs)
