@@ -33,6 +33,7 @@ K = 5
 LEAF = 128
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
+PLACES = 1 << 18  # of all queries searched together
 FACTOR = 0.8
 SLACK = 1e-7  # of distances: sqrt(2 - 2 cos) near 0 carries about half the digits
 
@@ -112,18 +113,35 @@ def search_shard(k: int, factor: float):
         distinct, inverse = np.unique(raw, axis=0, return_inverse=True)
         order = np.argsort(inverse.reshape(-1), kind="stable")
         first = np.searchsorted(inverse.reshape(-1)[order], np.arange(len(distinct) + 1))
-        # a few spare places: the last digits of the tree's distances differ from the scores
-        found, _ = VantageTree(unit(distinct)).search(unit(q_raw), k + 4, factor)
-        pairs = [(q, ids[i], p) for q in range(len(q_ids)) for p in found[q] if p >= 0
-                 for i in order[first[p]:min(first[p + 1], first[p] + k + 1)] if ids[i] != q_ids[q]]
-        if not pairs:
-            return out
-        q, v, p = (np.array(x) for x in zip(*pairs))
-        score = pair_cosines(q_raw[q], distinct[p])
-        best = np.lexsort((v, -score, q))
-        q, v, score = q[best], v[best], score[best]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-        return pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": v[keep], "score": score[keep]})
+        tree, q_unit = VantageTree(unit(distinct)), unit(q_raw)
+        parts = []
+
+        def score(asked_rows: np.ndarray, found: np.ndarray) -> None:
+            """Add the k best of each query among the points found."""
+            pairs = [(q, ids[i], p) for q, points in zip(asked_rows, found) for p in points if p >= 0
+                     for i in order[first[p]:min(first[p + 1], first[p] + k + 1)] if ids[i] != q_ids[q]]
+            if not pairs:
+                return
+            q, v, p = (np.array(x) for x in zip(*pairs))
+            cosine = pair_cosines(q_raw[q], distinct[p])
+            best = np.lexsort((v, -cosine, q))
+            q, v, cosine = q[best], v[best], cosine[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            parts.append(pd.DataFrame({"query_id": q_ids[q[keep]], "vec_id": v[keep], "score": cosine[keep]}))
+
+        # a few spare places: the last digits of the tree's distances differ from the
+        # scores. Where the last place still ties with the k-th beside the query itself,
+        # the query is asked again with more places.
+        places, open_ = k + 4, np.arange(len(q_ids))
+        while len(open_):
+            again, step = [], max(1, PLACES // places)
+            for rows in (open_[at:at + step] for at in range(0, len(open_), step)):
+                found, best = tree.search(q_unit[rows], places, factor)
+                tied = (best[:, -1] <= best[:, k] + SLACK) & np.isfinite(best[:, -1]) & (places < len(distinct))
+                score(rows[~tied], found[~tied])
+                again.append(rows[tied])
+            places, open_ = min(4 * places, len(distinct)), np.concatenate(again)
+        return pd.concat(parts, ignore_index=True) if parts else out
 
     return run
 

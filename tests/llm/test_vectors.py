@@ -165,3 +165,20 @@ def test_relaxed_search_prunes_and_keeps_recall():
         assert recall >= (1.0 if factor == 1.0 else 0.9)
         assert (np.diff(d, axis=1) >= 0).all()
     assert seen[vptree_search.FACTOR] <= seen[1.0] < 0.7 * x.shape[0] * len(q)
+
+
+def test_ties_of_many_multiples_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    base = np.abs(rng.normal(size=8)) + 0.1
+    x = np.concatenate([base * 2.0 ** np.arange(-40, 40)[:, None], rng.normal(size=(120, 8))])  # 80 equal directions
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x)]
+    got = sorted(tuple(r) for r in vptree_search.nearest(table(spark, rows), F.col("id") % 5 == 0, factor=1.0).collect())
+    want = []
+    vectors = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    for q in sorted(vectors):
+        if q % 5 == 0:
+            others = [i for i in sorted(vectors) if i != q]
+            score = pair_cosines(np.repeat(vectors[q][None, :], len(others), 0), np.stack([vectors[i] for i in others]))
+            best = np.lexsort((others, -score))[:5]
+            want += [(q, rank, others[b]) for rank, b in enumerate(best, 1)]
+    assert [g[:3] for g in got] == want
