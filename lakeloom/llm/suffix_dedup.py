@@ -11,7 +11,7 @@ have equal anchors at the same place, so all positions of a bucket meet where th
 anchor gram is sent. Neighbouring strings mostly share an anchor: the run of them is
 one context, and contexts are what moves.
 
-1. Blocks of documents send their distinct anchor hashes; those found once in the whole
+1. Blocks (following documents of a file) send their distinct anchor hashes; those found once in the whole
    table are dropped (most of them), the others return to their blocks.
 2. Blocks cut the contexts of repeated anchors. A context that its block holds already
    is removed on the spot; the first one is sent to its anchor's pack.
@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +110,29 @@ def by_pack(pack: np.ndarray):
             yield int(pack[order[a]]), order[a:b]
 
 
+def number_blocks(size: int):
+    """Following rows of a task in blocks of about ``size`` bytes."""
+
+    def run(batches):
+        block, held = 0, 0
+        for batch in batches:
+            out = []
+            for row, n in zip(batch.column("row").to_pylist(), pc.binary_length(batch.column("body")).to_pylist()):
+                if held and held + n > size:
+                    block, held = block + 1, 0
+                held += n
+                out.append((row >> 33 << 32) + block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "block"])
+
+    return run
+
+
 def send_anchors(length: int, packs: int):
-    """(pack, block, anchors, seen, distinct) of a block: how often each anchor hash
-    is seen, and with how many different contexts."""
+    """(pack, block, anchors, seen, distinct) of each run of a block's rows: how often each
+    anchor hash is seen, and with how many different contexts."""
 
-    def run(given: pa.Table) -> pa.Table:
-        found, whole = [], []
-        for _, _, off, data in pieces(as_strings(given.column("body")), length):
-            first, last, gram, sums = contexts(off, data, length)
-            found.append(gram)
-            whole.append(range_hashes(sums, first, last + length))
-        pairs = np.stack([np.concatenate(x) if x else np.zeros(0, _U) for x in (found, whole)], axis=1)
+    def send(block: int, found: list) -> pa.Table:
+        pairs = np.stack([np.concatenate(x) if x else np.zeros(0, _U) for x in list(zip(*found)) or ((), ())], axis=1)
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
         gram, whole = pairs[order, 0], pairs[order, 1]
         cut = runs(gram)
@@ -127,10 +140,22 @@ def send_anchors(length: int, packs: int):
         seen = np.diff(cut)
         distinct = np.add.reduceat(new.astype(np.int64), cut[:-1]) if len(gram) else seen
         gram = gram[cut[:-1]] if len(gram) else gram
-        block = given.column("block")[0].as_py()
-        rows = [(pack, block, gram[i].tobytes(), seen[i].astype("<u4").tobytes(), distinct[i].astype("<u4").tobytes())
-                for pack, i in by_pack((gram % _U(packs)).astype(np.int64))]
-        return table_of(rows, ANCHORS)
+        return table_of([(pack, block, gram[i].tobytes(), seen[i].astype("<u4").tobytes(), distinct[i].astype("<u4").tobytes())
+                         for pack, i in by_pack((gram % _U(packs)).astype(np.int64))], ANCHORS)
+
+    def run(batches):
+        now, found = None, []
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cut = runs(blocks)
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if blocks[a] != now:
+                    yield from send(now, found).to_batches()
+                    now, found = int(blocks[a]), []
+                for _, _, off, data in pieces(as_strings(batch.column("body").slice(a, b - a)), length):
+                    first, last, gram, sums = contexts(off, data, length)
+                    found.append((gram, range_hashes(sums, first, last + length)))
+        yield from send(now, found).to_batches()
 
     return run
 
@@ -415,16 +440,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body")) \
         .withColumn("row", F.monotonically_increasing_id())
-    given = staged(given, "bodies")
+    given = staged(given.mapInArrow(number_blocks(BLOCK_BYTES), "doc_id long, body binary, row long, block long"), "bodies")
     total = given.agg(F.sum(F.length("body"))).first()[0] or 0
-    blocks, packs = -(-total // BLOCK_BYTES) or 1, -(-total // PACK_BYTES) or 1
-    given = given.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))) \
-        .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    string_packs, packs = -(-total // BLOCK_BYTES) or 1, -(-total // PACK_BYTES) or 1
+    given = given.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
 
-    sent = given.select("block", "body").groupBy("block").applyInArrow(send_anchors(length, packs), ddl(ANCHORS))
+    sent = given.select("block", "body").mapInArrow(send_anchors(length, packs), ddl(ANCHORS))
     sets = staged(sent.groupBy("pack").applyInArrow(repeated_anchors(hot), ddl(REPEATED)), "repeated_anchors")
     out = given.select("block", "doc", "row", "body").groupBy("block").cogroup(sets.groupBy("block")) \
-        .applyInArrow(send_contexts(length, packs, blocks), ddl(SENT))
+        .applyInArrow(send_contexts(length, packs, string_packs), ddl(SENT))
     out = staged(out, "contexts", partition_by="kind")
     whole = out.where(F.col("kind") == WHOLE).drop("kind").groupBy("pack").applyInArrow(later_contexts(length), ddl(REMOVED))
     strings = out.where(F.col("kind") == STRINGS).drop("kind").groupBy("pack").applyInArrow(later_strings(length), ddl(REMOVED))
