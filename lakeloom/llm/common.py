@@ -4,6 +4,7 @@ session's shared folder, connected components over an edge table."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,28 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Jobs run inside hand their rows to Python in batches of at most ``size``."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged frame that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        at = files[0].index("/llm/") + len("/llm/")  # scratch() names the folder
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0][:files[0].index("/", at)])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def uniform(*parts) -> "F.Column":
     """Deterministic pseudo-random double in [0, 1) from the given columns."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)

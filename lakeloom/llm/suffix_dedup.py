@@ -11,10 +11,13 @@ have equal anchors at the same place, so all positions of a bucket meet where th
 anchor gram is sent. Neighbouring strings mostly share an anchor: the run of them is
 one context, and contexts are what moves.
 
-1. Blocks (following documents of a file) send their distinct anchor hashes; those found once in the whole
-   table are dropped (most of them), the others return to their blocks.
+1. Blocks (following documents of a file) send their distinct anchor hashes, with a hash
+   of the context; those found once in the whole table are dropped (most of them), the
+   others return to their blocks.
 2. Blocks cut the contexts of repeated anchors. A context that its block holds already
-   is removed on the spot; the first one is sent to its anchor's pack.
+   is removed on the spot; the first one is sent to its anchor's pack. Where an anchor
+   has one context in the whole table (whole copies: both hashes agree, 128 bits), only
+   the place is sent, and all but the earliest place are removed.
 3. A pack removes contexts that are the same, and sorts the positions of the rest by
    bucket-pointer refinement; of equal strings all but the earliest are removed.
 4. An anchor with more than ``HOT`` contexts is not gathered: each of its strings goes
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bucket_refine import equal_buckets, gram_hashes_at_all, prefix_sums, range_hashes, runs
-from .common import staged
+from .common import discard, staged
 from .registry import query, table
 from .textbytes import SLICE_BYTES, mix64, text_slices
 
@@ -52,6 +55,7 @@ HOT = 4_096
 CHUNK_BYTES = 2_000_000
 _U = np.uint64
 
+ANCHOR = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("distinct", "<u2"), ("again", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("size", "<i8")])  # where a range starts, and its bytes
 CONTEXT = np.dtype([("gram", "<u8"), *PLACE.descr])
 STRING = np.dtype([("h1", "<u8"), ("h2", "<u8"), *PLACE.descr])
@@ -128,8 +132,8 @@ def number_blocks(size: int):
 
 
 def send_anchors(length: int, packs: int):
-    """(pack, block, anchors, seen, distinct) of each run of a block's rows: how often each
-    anchor hash is seen, and with how many different contexts."""
+    """(pack, block, anchors) of each run of a block's rows: each anchor hash once, whether
+    it is seen again, with how many different contexts, and the smallest context hash."""
 
     def send(block: int, found: list) -> pa.Table:
         pairs = np.stack([np.concatenate(x) if x else np.zeros(0, _U) for x in list(zip(*found)) or ((), ())], axis=1)
@@ -137,11 +141,11 @@ def send_anchors(length: int, packs: int):
         gram, whole = pairs[order, 0], pairs[order, 1]
         cut = runs(gram)
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])])[:len(gram)]
-        seen = np.diff(cut)
-        distinct = np.add.reduceat(new.astype(np.int64), cut[:-1]) if len(gram) else seen
-        gram = gram[cut[:-1]] if len(gram) else gram
-        return table_of([(pack, block, gram[i].tobytes(), seen[i].astype("<u4").tobytes(), distinct[i].astype("<u4").tobytes())
-                         for pack, i in by_pack((gram % _U(packs)).astype(np.int64))], ANCHORS)
+        out = np.zeros(len(cut) - 1 if len(gram) else 0, ANCHOR)
+        if len(out):
+            out["gram"], out["whole"], out["again"] = gram[cut[:-1]], whole[cut[:-1]], np.diff(cut) > 1
+            out["distinct"] = np.minimum(np.add.reduceat(new.astype(np.int64), cut[:-1]), 0xFFFF)
+        return table_of([(pack, block, out[i].tobytes()) for pack, i in by_pack((out["gram"] % _U(packs)).astype(np.int64))], ANCHORS)
 
     def run(batches):
         now, found = None, []
@@ -160,12 +164,13 @@ def send_anchors(length: int, packs: int):
     return run
 
 
-ANCHORS = [("pack", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary()), ("seen", pa.binary()), ("distinct", pa.binary())]
-REPEATED = [("block", pa.int64()), ("anchors", pa.binary()), ("hot", pa.binary())]
+ANCHORS = [("pack", pa.int64()), ("block", pa.int64()), ("anchors", pa.binary())]
+REPEATED = [("block", pa.int64()), ("anchors", pa.binary()), ("way", pa.binary())]
 SENT = [("pack", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("places", pa.binary()), ("bytes", pa.binary())]
 REMOVED = [("block", pa.int64()), ("ranges", pa.binary())]
 CUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("removed", pa.list_(pa.list_(pa.int64())))]
-WHOLE, STRINGS, GONE = 0, 1, 2
+WHOLE, STRINGS, GONE, PLACES = range(4)  # kinds of what a block sends
+COLD, MANY, ONE = range(3)  # an anchor's way: by its contexts, by single strings, by places alone
 
 
 def table_of(rows: list, spec: list) -> pa.Table:
@@ -186,21 +191,21 @@ def repeated_anchors(hot: int):
     """The anchors seen more than once, back to each block that holds them."""
 
     def run(given: pa.Table) -> pa.Table:
-        parts = arrays(given.column("anchors"), "<u8")
-        gram = np.concatenate(parts)
+        parts = arrays(given.column("anchors"), ANCHOR)
+        found = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        seen = np.concatenate(arrays(given.column("seen"), "<u4")).astype(np.int64)
-        distinct = np.concatenate(arrays(given.column("distinct"), "<u4")).astype(np.int64)
-        order = np.argsort(gram, kind="stable")
-        cut = runs(gram[order])
+        order = np.argsort(found["gram"], kind="stable")
+        cut = runs(found["gram"][order])
         if len(cut) < 2:
             return table_of([], REPEATED)
-        size = np.diff(cut)
-        again = np.repeat(np.add.reduceat(seen[order], cut[:-1]) > 1, size)
-        many = np.repeat(np.add.reduceat(distinct[order], cut[:-1]) > hot, size)
-        order, many = order[again], many[again]
+        size, head = np.diff(cut), cut[:-1]
+        distinct, whole = found["distinct"][order].astype(np.int64), found["whole"][order]
+        again = np.repeat((size > 1) | (np.maximum.reduceat(found["again"][order], head) > 0), size)
+        one = (np.maximum.reduceat(distinct, head) == 1) & (np.minimum.reduceat(whole, head) == np.maximum.reduceat(whole, head))
+        way = np.repeat(np.where(one, ONE, np.where(np.add.reduceat(distinct, head) > hot, MANY, COLD)), size)
+        order, way = order[again], way[again].astype(np.uint8)
         blocks = given.column("block").to_pylist()
-        rows = [(blocks[p], gram[order[i]].tobytes(), many[i].astype(np.uint8).tobytes()) for p, i in by_pack(owner[order])]
+        rows = [(blocks[p], found["gram"][order[i]].tobytes(), way[i].tobytes()) for p, i in by_pack(owner[order])]
         return table_of(rows, REPEATED)
 
     return run
@@ -242,9 +247,9 @@ def send_contexts(length: int, packs: int, string_packs: int):
             return table_of([], SENT)
         block = docs.column("block")[0].as_py()
         wanted = np.concatenate(arrays(sets.column("anchors"), "<u8"))
-        hot = np.concatenate(arrays(sets.column("hot"), np.uint8)) > 0
+        way = np.concatenate(arrays(sets.column("way"), np.uint8))
         order = np.argsort(wanted)
-        wanted, hot = wanted[order], hot[order]
+        wanted, way = wanted[order], way[order]
         doc = docs.column("doc").to_numpy()
         rows = docs.column("row").to_numpy()
         order = np.lexsort((rows, doc))  # the block's first one is the earliest
@@ -264,20 +269,21 @@ def send_contexts(length: int, packs: int, string_packs: int):
             meta["size"] = last + length - first
             n = meta["size"]
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            gathered.append((meta, range_hashes(sums, first, last + length), hot[place], data[np.repeat(first, n) + inside]))
+            gathered.append((meta, range_hashes(sums, first, last + length), way[place], data[np.repeat(first, n) + inside]))
         if not gathered:
             return table_of([], SENT)
-        meta, whole, hot, text = (np.concatenate(x) for x in zip(*gathered))
+        meta, whole, way, text = (np.concatenate(x) for x in zip(*gathered))
         n = meta["size"]
         at = np.cumsum(n) - n
         later, _ = repeats((meta["gram"], whole, np.arange(len(meta))), text, at, n)
         out = [(block, block, GONE, meta[later][["row", "at", "size"]].astype(RANGE).tobytes(), None)] if len(later) else []
         left = np.ones(len(meta), bool)
         left[later] = False
-        for pack, i in by_pack(np.where(left & ~hot, (meta["gram"] % _U(packs)).astype(np.int64), -1)):
-            if pack >= 0:
-                out.append((pack, block, WHOLE, meta[i].tobytes(), take_ranges(text, at[i], n[i]).tobytes()))
-        i = np.flatnonzero(left & hot)
+        for kind, which in ((WHOLE, COLD), (PLACES, ONE)):
+            for pack, i in by_pack(np.where(left & (way == which), (meta["gram"] % _U(packs)).astype(np.int64), -1)):
+                if pack >= 0:
+                    out.append((pack, block, kind, meta[i].tobytes(), take_ranges(text, at[i], n[i]).tobytes() if kind == WHOLE else None))
+        i = np.flatnonzero(left & (way == MANY))
         if len(i):
             out += send_strings(meta[i], take_ranges(text, at[i], n[i]), length, string_packs, block)
         return table_of(out, SENT)
@@ -353,6 +359,18 @@ def later_strings(length: int):
     return run
 
 
+def later_places(given: pa.Table) -> pa.Table:
+    """Anchors with one context in the whole table: all places but the earliest are removed."""
+    parts = arrays(given.column("places"), CONTEXT)
+    found = np.concatenate(parts)
+    blocks = np.repeat(given.column("block").to_numpy(), [len(p) for p in parts])
+    order = np.lexsort((found["at"], found["row"], found["doc"], found["gram"]))
+    found, blocks = found[order], blocks[order]
+    later = np.zeros(len(found), bool)
+    later[1:] = found["gram"][1:] == found["gram"][:-1]
+    return by_block(blocks[later], found[later][["row", "at", "size"]].astype(RANGE))
+
+
 def later_contexts(length: int):
     """An anchors' pack: bucket-pointer refinement over whole anchors, some at a time."""
 
@@ -450,10 +468,13 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     out = given.select("block", "doc", "row", "body").groupBy("block").cogroup(sets.groupBy("block")) \
         .applyInArrow(send_contexts(length, packs, string_packs), ddl(SENT))
     out = staged(out, "contexts", partition_by="kind")
+    discard(sets)
     whole = out.where(F.col("kind") == WHOLE).drop("kind").groupBy("pack").applyInArrow(later_contexts(length), ddl(REMOVED))
     strings = out.where(F.col("kind") == STRINGS).drop("kind").groupBy("pack").applyInArrow(later_strings(length), ddl(REMOVED))
+    places = out.where(F.col("kind") == PLACES).drop("kind", "bytes").groupBy("pack").applyInArrow(later_places, ddl(REMOVED))
     gone = out.where(F.col("kind") == GONE).select("block", F.col("places").alias("ranges"))
-    removed = staged(gone.unionByName(whole).unionByName(strings), "removed")
+    removed = staged(gone.unionByName(whole).unionByName(places).unionByName(strings), "removed")
+    discard(out)
     return given.select("block", "doc_id", "row", "body").groupBy("block").cogroup(removed.groupBy("block")) \
         .applyInArrow(cut_documents, ddl(CUT))
 
