@@ -32,13 +32,16 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.core import range_numbered
 
-from .common import staged
+from .common import discard, small_batches, staged
 from .registry import query, table
+from .textbytes import tidy
 from .word_tokens import tokenizer_for
 
 VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +49,7 @@ END_ID = 2
 WINDOW = 4096
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
+SLICE_BYTES = 2_000_000
 LEADERS, DEPTH = 256, 6  # a key holds DEPTH leader numbers of one byte
 
 
@@ -54,13 +58,22 @@ def id_type(size: int):
 
 
 def token_batches(vocabulary: str, end_id: int):
+    """Ids of every text, some texts at a time: what a worker holds is bounded by
+    ``SLICE_BYTES`` (or one longer text)."""
+
     def run(batches):
         tokenizer = tokenizer_for(vocabulary)
         kind = id_type(tokenizer.size)
         for batch in batches:
-            ids = tokenizer.encode([t or "" for t in batch.column("text").to_pylist()])
-            rows = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+            ends, a = np.cumsum(size), 0
+            while a < len(size):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + SLICE_BYTES, "right")))
+                part = batch.slice(a, b - a)
+                ids = tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
+                rows = [np.append(x, end_id).astype(kind).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+                a = b
 
     return run
 
@@ -73,35 +86,61 @@ class CorpusStats:
         self.mean = total / n if n else 1.0
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids, sorted (for short arrays faster than ``np.unique``)."""
+    s = np.sort(ids)
+    keep = np.empty(len(s), bool)
+    keep[:1] = True
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
 def rest_of(ids: np.ndarray, window: int) -> np.ndarray:
     """What whole windows leave of a document."""
     return ids[len(ids) // window * window:]
 
 
-def count_terms(kind: str, size: int, window: int):
-    """Partial sums of a task: (id, documents), (-1, documents), (-2, ids)."""
+def survey(kind: str, size: int, window: int, leaders: int):
+    """What one pass learns from a task's documents: partial sums (id, documents), (-1,
+    documents), (-2, ids), and (-3, hash, rest) of the rests with the smallest hashes."""
 
     def run(batches):
-        df, n, total = np.zeros(size, np.int64), 0, 0
+        df, n, total, drawn = np.zeros(size, np.int64), 0, 0, {}
+        border = 1 << 63
         for batch in batches:
             for x in batch.column("ids"):
                 ids = rest_of(np.frombuffer(x.as_buffer(), kind), window)
                 if len(ids):
-                    df[np.unique(ids)] += 1
+                    df[distinct(ids)] += 1
                     n, total = n + 1, total + len(ids)
+                    raw = ids.tobytes()
+                    h = xxhash.xxh64_intdigest(raw) >> 1
+                    if h < border:
+                        drawn[h] = min(drawn.get(h, raw), raw)
+                        if len(drawn) >= 2 * leaders:
+                            drawn = dict(sorted(drawn.items())[:leaders])
+                            border = max(drawn)
         terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, total]))], names=["term", "n"])
+        first = sorted(drawn.items())[:leaders]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([terms, [-1, -2], np.full(len(first), -3)])),
+             pa.array(np.concatenate([df[terms], [n, total], np.array([h for h, _ in first], np.int64)])),
+             pa.array([None] * (len(terms) + 2) + [raw for _, raw in first], pa.binary())], names=["term", "n", "rest"])
 
     return run
 
 
-def corpus_stats(tokens: DataFrame, kind: np.dtype, size: int, window: int) -> CorpusStats:
-    counted = tokens.select("ids").mapInArrow(count_terms(kind.str, size, window), "term long, n long")
-    found = dict(map(tuple, counted.groupBy("term").agg(F.sum("n")).collect()))  # at most one row per id of the vocabulary
-    n, total = found.pop(-1, 0), found.pop(-2, 0)
+def corpus_survey(tokens: DataFrame, kind: np.dtype, size: int, window: int) -> tuple[CorpusStats, list[np.ndarray]]:
+    """Statistics of all documents, and the leaders: the rests with the smallest hashes,
+    equal ones once. A row per id of the vocabulary and LEADERS rests of less than a
+    window reach the driver."""
+    found = staged(tokens.select("ids").mapInArrow(tidy(survey(kind.str, size, window, LEADERS)), "term long, n long, rest binary"), "survey")
+    sums = dict(map(tuple, found.where("term > -3").groupBy("term").agg(F.sum("n")).collect()))
+    n, total = sums.pop(-1, 0), sums.pop(-2, 0)
     df = np.zeros(size)
-    df[list(found)] = list(found.values())
-    return CorpusStats(df, n, total)
+    df[list(sums)] = list(sums.values())
+    drawn = found.where("term = -3").groupBy("n").agg(F.min("rest").alias("rest")).orderBy("n").limit(LEADERS).collect()
+    return CorpusStats(df, n, total), [np.frombuffer(bytes(r["rest"]), kind) for r in drawn]
 
 
 class ShardIndex:
@@ -123,7 +162,7 @@ class ShardIndex:
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 of every document against the distinct terms of ``ids``."""
-        t = np.searchsorted(self.terms, np.unique(ids))
+        t = np.searchsorted(self.terms, distinct(ids))
         lo, n = self.first[t], self.first[t + 1] - self.first[t]
         cum = np.cumsum(n)
         at = np.repeat(lo - (cum - n), n) + np.arange(cum[-1])
@@ -148,7 +187,7 @@ class Leaders:
         self.table = np.ascontiguousarray(self.table[:, chain])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[self.row[np.unique(ids)]].sum(axis=0)
+        return self.table[self.row[distinct(ids)]].sum(axis=0)
 
     def key(self, ids: np.ndarray) -> int:
         if not len(ids):
@@ -157,31 +196,26 @@ class Leaders:
         return int.from_bytes(best.astype(np.uint8).tobytes().ljust(DEPTH, b"\0"), "big")
 
 
-def draw_leaders(tokens: DataFrame, kind: np.dtype, window: int) -> list[np.ndarray]:
-    """The rests with the smallest hashes, equal ones once: at most LEADERS rows
-    of less than a window reach the driver."""
-    size = F.length("ids")
-    rest = tokens.withColumn("at", size - size % F.lit(window * kind.itemsize)).where(size > F.col("at")) \
-        .select(F.expr("substring(ids, at + 1)").alias("rest")).withColumn("h", F.xxhash64("rest"))
-    hashes = [r["h"] for r in rest.select("h").distinct().orderBy("h").limit(LEADERS).collect()]
-    found = rest.where(F.col("h").isin(hashes)).groupBy("h").agg(F.min("rest").alias("rest")).orderBy("h").collect()
-    return [np.frombuffer(bytes(r["rest"]), kind) for r in found]
-
-
-def keyed(kind: str, window: int, docs: list[np.ndarray], stats: CorpusStats, bounds: list[tuple[int, int]] | None = None):
-    """(rid, key, n) of every document or, with the shards' first (key, rid), its row with its shard."""
+def keyed(kind: str, window: int, docs: list[np.ndarray], stats: CorpusStats):
+    """Every row with its key."""
 
     def run(batches):
         leaders = Leaders(docs, stats) if docs else None  # none if the documents are whole windows only
         for batch in batches:
-            rid = batch.column("rid").to_pylist()
             key = [leaders.key(rest_of(np.frombuffer(x.as_buffer(), kind), window)) if leaders else 0 for x in batch.column("ids")]
-            if bounds is None:
-                n = [len(x.as_buffer()) // np.dtype(kind).itemsize for x in batch.column("ids")]
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["rid", "key", "n"])
-            else:
-                shard = [max(bisect_right(bounds, at) - 1, 0) for at in zip(key, rid)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=[*batch.schema.names, "shard"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=[*batch.schema.names, "key"])
+
+    return run
+
+
+def dealt(bounds: list[tuple[int, int]]):
+    """Every row with its shard, from the shards' first (key, rid)."""
+
+    def run(batches):
+        for batch in batches:
+            at = zip(batch.column("key").to_pylist(), batch.column("rid").to_pylist())
+            shard = [max(bisect_right(bounds, x) - 1, 0) for x in at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=[*batch.schema.names, "shard"])
 
     return run
 
@@ -311,17 +345,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, window: int = W
     size = tokenizer_for(vocabulary).size
     kind = id_type(size)
     size = max(size, end_id + 1)
-    tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(token_batches(vocabulary, end_id), "doc_id long, ids binary")
-    tokens = staged(tokens.withColumn("rid", F.monotonically_increasing_id()), "token_ids")
+    with small_batches(docs.sparkSession):
+        tokens = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(token_batches(vocabulary, end_id)), "doc_id long, ids binary")
+        tokens = staged(tokens.withColumn("rid", F.monotonically_increasing_id()), "token_ids")
     total = (tokens.agg(F.sum(F.length("ids"))).first()[0] or 0) // kind.itemsize
     shards = max(1, -(-total // shard_tokens))
-    stats = corpus_stats(tokens, kind, size, window)
+    stats, leaders = corpus_survey(tokens, kind, size, window)
     rows = tokens.withColumn("shard", F.lit(0).cast("long"))
     if shards > 1:
-        leaders = draw_leaders(tokens, kind, window)
-        small = staged(tokens.mapInArrow(keyed(kind.str, window, leaders, stats), "rid long, key long, n long"), "keys")
-        bounds = shard_bounds(small, total, shards)
-        rows = tokens.mapInArrow(keyed(kind.str, window, leaders, stats, bounds), "doc_id long, ids binary, rid long, shard long")
+        types = "doc_id long, ids binary, rid long, key long"
+        with_key = staged(tokens.mapInArrow(tidy(keyed(kind.str, window, leaders, stats)), types), "keyed_ids")
+        discard(tokens)
+        small = with_key.select("rid", "key", F.floor(F.length("ids") / kind.itemsize).alias("n"))
+        rows = with_key.mapInArrow(dealt(shard_bounds(small, total, shards)), types + ", shard long")
     rows = rows.select("rid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "ids", "shard")
     out = rows.groupBy("shard").applyInPandas(pack_shard(window, kind.str, with_ids, stats), PIECES)
     return out if with_ids else out.drop("ids")

@@ -6,6 +6,8 @@ slices of a batch, so memory is bounded by the slice (or one longer text)."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,32 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
 
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library: its free memory stays with the worker
+    _libc = None
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers are kept for later tasks,
+    and what one stage needed must not stand beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def tidy(run):
+    """An Arrow function that begins and ends without unused memory."""
+
+    def tidied(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 9, 10, 11, 12, 13]] = True
 NON_SPACE = ~SPACE_BYTES

@@ -4,7 +4,7 @@ A `tokenizers` file whose normaliser and word pattern are those below cuts each
 text into words that are merged one by one, so ids depend on the word alone. Words
 are found for a whole batch at once in numpy over code points, hashed, and only
 words not seen before go through the tokenizer; their ids are kept in a bounded
-cache. Texts with a code point the numpy rules do not cover (U+0300 and above,
+cache (sorted arrays, 30 bytes a word or so). Texts with a code point the numpy rules do not cover (U+0300 and above,
 control characters, a few others), texts holding ``<|`` and other tokenizer files
 go through the tokenizer whole. The ids are those of ``encode`` either way."""
 
@@ -22,8 +22,8 @@ from .textbytes import word_hashes
 #: Fixed value: the word pattern the numpy rules reproduce.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-CACHE_WORDS = 400_000
-SLICE_CHARS = 750_000
+CACHE_WORDS = 1_000_000
+SLICE_CHARS = 500_000
 COVERED = 0x300
 SPACE, LETTER, DIGIT, OTHER, UNSAFE = range(5)
 
@@ -57,27 +57,45 @@ class WordTokenizer:
                             and [n["type"] for n in spec["normalizer"]["normalizers"]] == NORMALIZERS)
         except (KeyError, TypeError, IndexError):
             self.by_word = False
+        del spec
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
     def _clear(self):
-        self.known: dict[int, int] = {}
-        self.starts, self.pool, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
-
-    def _add(self, hashes: list[int], strings: list[str]) -> None:
+        self.known, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of known words in the cache, -1 for others."""
+        if not len(self.known):
+            return np.full(len(keys), -1)
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.searchsorted(self.known, keys[order])  # sorted keys keep to the cache
+        place[place == len(self.known)] = 0
+        return np.where(self.known[place] == keys, place, -1)
+
+    def _add(self, hashes: np.ndarray, strings: list[str]) -> None:
         """Encode new words, many at a time, and keep their ids."""
-        encoded = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
-        owner = np.array(encoded.word_ids, np.int64)
-        ids = np.array(encoded.ids, np.uint32)
-        counts = np.bincount(owner, minlength=len(strings))
-        if len(counts) != len(strings) or (counts == 0).any():
-            raise AssertionError("the tokenizer splits words otherwise than the pattern says")
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used:self.used + len(ids)] = ids
-        self.known.update(zip(hashes, range(len(self.starts) - 1, len(self.starts) - 1 + len(hashes))))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts)])
-        self.used += len(ids)
+        firsts, counts = [], []
+        for k in range(0, len(strings), 20_000):
+            part = strings[k:k + 20_000]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(encoded.ids, np.uint32)
+            n = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part))
+            if len(n) != len(part) or (n == 0).any():
+                raise AssertionError("the tokenizer splits words otherwise than the pattern says")
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used:self.used + len(ids)] = ids
+            firsts.append((self.used + np.cumsum(n) - n).astype(np.int32))
+            counts.append(n.astype(np.int32))
+            self.used += len(ids)
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.first = np.concatenate([self.first, *firsts])[order]
+        self.count = np.concatenate([self.count, *counts])[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -135,24 +153,19 @@ class WordTokenizer:
         counts = np.zeros(len(texts), np.int64)
         ids = np.zeros(0, np.uint32)
         if len(s):
-            codes, distinct = pd.factorize(word_hashes(low, s, e))
-            keys = distinct.tolist()
-            place = [self.known.get(k, -1) for k in keys]
-            new = [i for i, p in enumerate(place) if p < 0]
-            if new:
+            codes, keys = pd.factorize(word_hashes(low, s, e))
+            place = self._find(keys)
+            new = np.flatnonzero(place < 0)
+            if len(new):
                 if len(self.known) + len(new) > CACHE_WORDS:
                     self._clear()
-                    new = list(range(len(keys)))
+                    new = np.arange(len(keys))
                 seen = np.empty(len(keys), np.int64)
                 seen[codes[::-1]] = np.arange(len(codes))[::-1]
-                for k in range(0, len(new), 20_000):
-                    part = new[k:k + 20_000]
-                    at = seen[part]
-                    self._add([keys[i] for i in part], [joined[x:y] for x, y in zip(s[at].tolist(), e[at].tolist())])
-                place = [self.known[k] for k in keys]
-            place = np.array(place)
-            lo = self.starts[place][codes]
-            n = self.starts[place + 1][codes] - lo
+                at = seen[new]
+                self._add(keys[new], [joined[x:y] for x, y in zip(s[at].tolist(), e[at].tolist())])
+                place = self._find(keys)
+            lo, n = self.first[place][codes].astype(np.int64), self.count[place][codes]
             total = np.concatenate([[0], np.cumsum(n)])
             ids = self.pool[np.repeat(lo - total[:-1], n) + np.arange(total[-1])]
             counts = np.diff(total[np.searchsorted(s, first)])

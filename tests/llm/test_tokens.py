@@ -128,7 +128,7 @@ def test_statistics_are_those_of_all_documents(spark):
     rest = [packing.rest_of(np.append(w.encode([t or ""])[0], 2), 256) for _, t in ROWS]
     rest = [r for r in rest if len(r)]
     tokens = documents(spark, ROWS).repartition(5).mapInArrow(packing.token_batches(PATH, 2), "doc_id long, ids binary")
-    stats = packing.corpus_stats(tokens, packing.id_type(w.size), w.size, 256)
+    stats = packing.corpus_survey(tokens, packing.id_type(w.size), w.size, 256)[0]
     assert stats.mean == sum(map(len, rest)) / len(rest)
     for term in {int(t) for r in rest for t in r}:
         df = sum(term in r for r in rest)
