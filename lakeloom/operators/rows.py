@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import (
+    DateType, DecimalType, DoubleType, FloatType, IntegralType, LongType, MapType, TimestampNTZType, TimestampType, VariantType,
+)
 
 from lakeloom.core import col_list, global_row_number, require_cols
+from lakeloom.operators import selection
 
 
 def order_spec(order_by, nulls_last: bool = True) -> list[Column]:
@@ -42,11 +45,40 @@ def limit_rows(df: DataFrame, limit: int = 100) -> DataFrame:
     return df.limit(int(limit))
 
 
+#: Rows that a task may hold for a merge of top lists; beyond it rows are selected by counting.
+BUFFER = 100_000
+
+
 def top_n(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
-    """ORDER BY … LIMIT n: a top-n per partition, then their merge. Ties at the
-    edge fall in the order of all columns."""
+    """ORDER BY … LIMIT n. Ties at the edge fall in the order of all columns. Up to
+    ``BUFFER`` rows: a top-n per partition, then their merge; beyond it the n-th key is
+    found by counting (``selection``), and only the selected rows are sorted."""
     spec = order_spec(order_by)
-    return (df.orderBy(*spec, *_sortable(df)) if spec else df).limit(int(n))
+    named = _named_order(df, order_by)
+    if not spec or int(n) <= BUFFER or named is None:
+        return (df.orderBy(*spec, *_sortable(df)) if spec else df).limit(int(n))
+    return selection.first_rows(df, named + _by_all(df), int(n)).orderBy(*spec, *_sortable(df))
+
+
+def _named_order(df: DataFrame, order_by, down: bool = False) -> list | None:
+    """(column, type, descending) of an order given by names, or None."""
+    if isinstance(order_by, str):
+        order_by = [tuple(p.split()) for p in order_by.split(",") if p.strip()]
+    out = []
+    for item in order_by or []:
+        if isinstance(item, Column):
+            return None
+        name, way = (item, None) if isinstance(item, str) else (item["column"], item.get("direction")) if isinstance(item, dict) \
+            else (item[0], item[1] if len(item) > 1 else None)
+        kind = df.schema[name].dataType
+        if not selection.can_order(kind):
+            return None
+        out.append((F.col(f"`{name}`"), kind, str(way).lower().startswith("desc") if way else down))
+    return out
+
+
+def _by_all(df: DataFrame) -> list:
+    return [(F.col(f"`{f.name}`"), f.dataType, False) for f in df.schema.fields if selection.can_order(f.dataType)]
 
 
 def _sortable(df: DataFrame) -> list[Column]:
@@ -54,8 +86,10 @@ def _sortable(df: DataFrame) -> list[Column]:
 
 
 def _first_k_by(df: DataFrame, key: Column, k: int) -> DataFrame:
-    """The ``k`` rows with the smallest ``key``, equal keys in the order of all columns."""
-    return df.orderBy(key, *_sortable(df)).limit(k)
+    """The ``k`` rows with the smallest ``key`` (a bigint), equal keys in the order of all columns."""
+    if k <= BUFFER:
+        return df.orderBy(key, *_sortable(df)).limit(k)
+    return selection.first_rows(df, [(key, LongType(), False), *_by_all(df)], k)
 
 
 def skip_rows(df: DataFrame, n: int = 100, order_by=None) -> DataFrame:
@@ -78,8 +112,8 @@ def sample_percent(df: DataFrame, percent: float, method: str = "reservoir", see
 
     ``bernoulli``: keep a row when its seeded hash falls under the rate; the
     choice depends only on the row, not on partitioning.
-    ``reservoir``: exactly ``round(count * p)`` rows, the lowest seeded hashes
-    (one count job plus a distributed top-n)."""
+    ``reservoir``: exactly ``round(count * p)`` rows, the lowest seeded hashes, found
+    by counting passes over the hash (no sort, no buffer of the sample)."""
     p = float(percent) / 100.0
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
     if method == "bernoulli":
@@ -87,27 +121,31 @@ def sample_percent(df: DataFrame, percent: float, method: str = "reservoir", see
     if method != "reservoir":
         raise ValueError(f"sample_percent: unknown method {method!r}")
     k = int(round(df.count() * p))
-    return _first_k_by(df, h, k)
+    return selection.first_rows(df, [(h, LongType(), False), *_by_all(df)], k)
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def _sort_key(name: str, desc: bool, dtype: str) -> list[Column]:
-    """Struct fields that order like ``name ASC/DESC NULLS LAST`` under plain
-    ascending struct comparison."""
-    c = F.col(name)
-    if desc:
-        if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-            c = -c
-        elif dtype in ("timestamp_ntz", "timestamp"):
-            c = -F.unix_micros(c.cast("timestamp"))
-        elif dtype == "date":
-            c = -F.unix_date(c)
-        else:
-            return None  # type: ignore[return-value]
-    return [F.isnull(F.col(name)), c]
+def _sort_key(name: str, desc: bool, kind) -> list[Column] | None:
+    """Struct fields that order like ``name ASC/DESC NULLS LAST`` under plain ascending
+    struct comparison. Whole numbers are reversed by their complement, which the smallest
+    one has as well; among doubles NaN is the largest."""
+    c = F.col(f"`{name}`")
+    if not desc:
+        return [F.isnull(c), c]
+    if isinstance(kind, IntegralType):
+        return [F.isnull(c), F.bitwise_not(c)]
+    if isinstance(kind, (FloatType, DoubleType)):
+        return [F.isnull(c), ~F.isnan(c), -c]
+    if isinstance(kind, DecimalType):
+        return [F.isnull(c), -c]
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return [F.isnull(c), F.bitwise_not(F.unix_micros(c.cast("timestamp")))]
+    if isinstance(kind, DateType):
+        return [F.isnull(c), F.bitwise_not(F.unix_date(c))]
+    return None
 
 
 def distinct_on(df: DataFrame, columns, order_by=None) -> DataFrame:
@@ -121,7 +159,6 @@ def distinct_on(df: DataFrame, columns, order_by=None) -> DataFrame:
     if not keys:
         return df.distinct()
     require_cols(df, keys, "distinct_on")
-    dtypes = dict(df.dtypes)
     order = []
     if order_by:
         if isinstance(order_by, str):
@@ -129,32 +166,22 @@ def distinct_on(df: DataFrame, columns, order_by=None) -> DataFrame:
         for item in order_by:
             name, direction = (item, "asc") if isinstance(item, str) else (item[0], item[1] if len(item) > 1 else "asc")
             order.append((name, str(direction).lower().startswith("desc")))
+    # DESC on a type with no order-reversing map (e.g. text): narrow the rows column by
+    # column to each key's best value (a grouped max/min, which skips NULLs = NULLS LAST,
+    # joined back). Aggregations and joins only, so a hot key is never sorted by one task.
+    cur = df
+    last = max((i + 1 for i, (c, desc) in enumerate(order) if _sort_key(c, desc, df.schema[c].dataType) is None), default=0)
+    for name, desc in order[:last]:
+        best = (cur.groupBy(*keys).agg((F.max if desc else F.min)(F.col(name)).alias("__best"))
+                .select(*[F.col(k).alias(f"__bk{i}") for i, k in enumerate(keys)], "__best"))
+        cond = [F.col(k).eqNullSafe(F.col(f"__bk{i}")) for i, k in enumerate(keys)]
+        cur = (cur.join(best, cond).where(F.col(name).eqNullSafe(F.col("__best")))
+               .select(*[F.col(f"`{c}`") for c in df.columns]))
     rest = [c for c in df.columns if c not in keys]
-    fields = []
-    ok = True
-    for i, (name, desc) in enumerate(order + [(c, False) for c in rest]):
-        parts = _sort_key(name, desc, dtypes[name])
-        if parts is None:
-            ok = False
-            break
-        fields += [parts[0].alias(f"n{i}"), parts[1].alias(f"k{i}")]
-    if not ok:
-        # DESC on a type with no order-reversing map (e.g. text): narrow the
-        # rows column by column to each key's best value (a grouped max/min,
-        # which skips NULLs = NULLS LAST, joined back), then take the
-        # minimum of the remaining columns. Aggregations and joins only, so
-        # a hot key is never sorted by one task.
-        cur = df
-        for name, desc in order:
-            best = (cur.groupBy(*keys).agg((F.max if desc else F.min)(F.col(name)).alias("__best"))
-                    .select(*[F.col(k).alias(f"__bk{i}") for i, k in enumerate(keys)], "__best"))
-            cond = [F.col(k).eqNullSafe(F.col(f"__bk{i}")) for i, k in enumerate(keys)]
-            cur = (cur.join(best, cond).where(F.col(name).eqNullSafe(F.col("__best")))
-                   .select(*[F.col(f"`{c}`") for c in df.columns]))
-        return distinct_on(cur, keys)
-    packed = F.struct(*fields, F.struct(*[F.col(c) for c in rest]).alias("row"))
-    agg = df.groupBy(*keys).agg(F.min(packed).alias("__m"))
-    return agg.select(*keys, *[F.col(f"__m.row.{c}").alias(c) for c in rest]).select(*df.columns)
+    fields = [p for name, desc in order[last:] + [(c, False) for c in rest] for p in _sort_key(name, desc, df.schema[name].dataType)]
+    packed = F.struct(*[p.alias(f"k{i}") for i, p in enumerate(fields)], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    agg = cur.groupBy(*keys).agg(F.min(packed).alias("__m"))
+    return agg.select(*keys, *[F.col(f"__m.row.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 def rank_filter(df: DataFrame, partition_by, order_by, n: int = 10, desc: bool = True) -> DataFrame:
@@ -164,7 +191,7 @@ def rank_filter(df: DataFrame, partition_by, order_by, n: int = 10, desc: bool =
 
     Spark plans a partial WindowGroupLimit before the shuffle, so each map
     task forwards at most ``n`` rows per key (skew-safe); without a partition
-    this is a distributed top-n."""
+    this is ``top_n``."""
     keys = col_list(partition_by)
     items = [p for p in order_by.split(",") if p.strip()] if isinstance(order_by, str) else order_by
     spec = []
@@ -173,6 +200,9 @@ def rank_filter(df: DataFrame, partition_by, order_by, n: int = 10, desc: bool =
         down = str(way[0]).lower().startswith("desc") if way else desc
         spec.append(F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_last())
     if not keys:
-        return df.orderBy(*spec, *_sortable(df)).limit(int(n))
+        named = _named_order(df, items, desc)
+        if int(n) <= BUFFER or named is None:
+            return df.orderBy(*spec, *_sortable(df)).limit(int(n))
+        return selection.first_rows(df, named + _by_all(df), int(n))
     w = Window.partitionBy(*keys).orderBy(*spec)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= int(n)).drop("__rn")

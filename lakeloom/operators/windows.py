@@ -248,27 +248,12 @@ def zscore(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> DataFrame:
-    """Exact continuous quantiles (linear interpolation) as one row with
-    columns ``q0, q1, …``.
-
-    Values are numbered with range partitions (no single task, no per-value
-    memory); only the 2·len(qs) bracketing rows are pulled out by an equi
-    join on their rank."""
-    vals = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("__v"))
-    numbered = global_row_number(vals, ["__v"], "__r")
-    n = vals.agg(F.count(F.lit(1)).alias("__n"))
-    targets = []
-    for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (F.col("__n") - 1) + 1
-        targets.append(F.struct(F.lit(i).alias("i"), F.floor(pos).cast("bigint").alias("lo"),
-                                F.ceil(pos).cast("bigint").alias("hi"), (pos - F.floor(pos)).alias("frac")))
-    t = n.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    lo = t.join(numbered, t["lo"] == numbered["__r"]).select("i", "frac", F.col("__v").alias("vlo"))
-    hi = t.join(numbered, t["hi"] == numbered["__r"]).select("i", F.col("__v").alias("vhi"))
-    qv = lo.join(hi, "i").select("i", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("q"))
-    return qv.groupBy().pivot("i", list(range(len(qs)))).agg(F.first("q")).select(
-        *[F.col(str(i)).alias(f"q{i}") for i in range(len(qs))]
-    )
+    """Exact continuous quantiles (linear interpolation) as one row with columns ``q0,
+    q1, …``, found by counting passes over ranges of the value (``selection``)."""
+    from lakeloom.operators.selection import quantiles
+
+    values = quantiles(df, column, qs)
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"q{i} double" for i in range(len(qs))))
 
 
 def outlier(df: DataFrame, column: str, method: str = "iqr", sensitivity: float | None = None) -> Split:
