@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from lakeloom.core import with_result
+from lakeloom.functions import batch_similarity
 
 
 def _s(column: str) -> Column:
@@ -158,84 +159,19 @@ def hash_column(df: DataFrame, column: str, algorithm: str = "md5", output: str
 # Similarity scores
 # ---------------------------------------------------------------------------
 
-def jaro_winkler_py(a: str | None, b: str | None) -> float | None:
-    """Jaro-Winkler similarity (prefix scale 0.1, up to 4 chars)."""
-    if a is None or b is None:
-        return None
-    if a == b:
-        return 1.0
-    la, lb = len(a), len(b)
-    if la == 0 or lb == 0:
-        return 0.0
-    window = max(max(la, lb) // 2 - 1, 0)
-    ma, mb = [False] * la, [False] * lb
-    m = 0
-    for i, ch in enumerate(a):
-        lo, hi = max(0, i - window), min(lb, i + window + 1)
-        for j in range(lo, hi):
-            if not mb[j] and b[j] == ch:
-                ma[i] = mb[j] = True
-                m += 1
-                break
-    if m == 0:
-        return 0.0
-    t, k = 0, 0
-    for i in range(la):
-        if ma[i]:
-            while not mb[k]:
-                k += 1
-            if a[i] != b[k]:
-                t += 1
-            k += 1
-    jaro = (m / la + m / lb + (m - t // 2) / m) / 3  # whole transpositions
-    if jaro <= 0.7:
-        # Winkler's prefix boost applies only above the 0.7 threshold.
-        return jaro
-    p = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        p += 1
-    return jaro + p * 0.1 * (1 - jaro)
-
-
-def damerau_py(a: str | None, b: str | None) -> int | None:
-    """Unrestricted Damerau-Levenshtein distance (adjacent transpositions
-    may be edited again), as the SQL engine computes it."""
-    if a is None or b is None:
-        return None
-    la, lb = len(a), len(b)
-    big = la + lb
-    last_row: dict[str, int] = {}
-    d = [[0] * (lb + 2) for _ in range(la + 2)]
-    d[0][0] = big
-    for i in range(la + 1):
-        d[i + 1][0], d[i + 1][1] = big, i
-    for j in range(lb + 1):
-        d[0][j + 1], d[1][j + 1] = big, j
-    for i in range(1, la + 1):
-        last_col = 0
-        for j in range(1, lb + 1):
-            i1, j1 = last_row.get(b[j - 1], 0), last_col
-            cost = 1
-            if a[i - 1] == b[j - 1]:
-                cost, last_col = 0, j
-            d[i + 1][j + 1] = min(
-                d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1,
-                d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1),
-            )
-        last_row[a[i - 1]] = i
-    return d[la + 1][lb + 1]
-
-
 @F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_py(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Jaro-Winkler similarity (prefix scale 0.1 over up to 4 letters, above 0.7 only)."""
+    values, null = batch_similarity.jaro_winkler(a.tolist(), b.tolist())
+    return pd.Series(values).mask(null)
 
 
 @F.pandas_udf(LongType())
 def damerau_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([damerau_py(x, y) for x, y in zip(a, b)], dtype="Int64")
+    """Unrestricted Damerau-Levenshtein distance (adjacent transpositions may be edited
+    again), as the SQL engine computes it."""
+    values, null = batch_similarity.damerau(a.tolist(), b.tolist())
+    return pd.Series(values).astype("Int64").mask(null)
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
