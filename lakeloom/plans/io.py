@@ -78,6 +78,20 @@ def q_read_xml(spark, d):
     return x.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"), "c_mktsegment")
 
 
+@query("read_xml_path", "SELECT c_custkey, c_name, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def q_read_xml_path(spark, d):
+    """The tag ``row`` stands under two parents; one of them is asked for."""
+    c = Tables(spark, d).customer
+    buyer = F.struct(F.struct(F.col("c_custkey").alias("_id"), F.col("c_name").alias("name"),
+                              F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias("segment")).alias("row"))
+    seller = F.struct(F.struct((-F.col("c_custkey")).alias("_id"), F.lit("a > b").alias("name")).alias("row"))
+    path = scratch(spark, "xmlpath")
+    c.select(seller.alias("sellers"), buyer.alias("buyers")).write.mode("overwrite").format("xml") \
+        .option("rootTag", "shops").option("rowTag", "shop").save(path)
+    x = readers.read_xml(spark, path, "shop/buyers/row")
+    return x.select(F.col("@id").alias("c_custkey"), F.col("name").alias("c_name"), F.col("segment").alias("c_mktsegment"))
+
+
 @query("write_parquet", "SELECT * FROM lineitem")
 def q_write_parquet(spark, d):
     li = Tables(spark, d).lineitem

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeloom.core import col_list, strptime_to_java
+from lakeloom.core import checkpoint_dir, col_list, strptime_to_java
 
 
 def _apply_declared(df: DataFrame, declared: list[dict] | None) -> DataFrame:
@@ -173,10 +174,20 @@ def read_fixedwidth(spark: SparkSession, path: str, columns: list[dict], trim: b
     return lines.select(*out)
 
 
-def read_xml(spark: SparkSession, path: str, row_path: str) -> DataFrame:
-    """Each element matching the last segment of ``row_path`` is a row."""
-    tag = [p for p in re.split(r"[/.]", row_path) if p][-1]
-    return spark.read.format("xml").option("rowTag", tag).load(path)
+def read_xml(spark: SparkSession, path: str, row_path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A row per element whose path ends with ``row_path`` (``r/a/row`` leaves out
+    ``r/b/row``; namespace prefixes do not count; an empty path takes the root elements).
+    Attributes are ``@name`` columns, text beside them or beside children is ``_text``,
+    children nest and repeated ones are arrays. Without a ``schema`` the rows are stored
+    once and their types inferred."""
+    from lakeloom.sources.xml_path import xml_rows
+
+    rows = xml_rows(spark, path, row_path)
+    if schema is not None:
+        return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
+    at = f"{checkpoint_dir(spark).rstrip('/')}/xml-{uuid.uuid4().hex}"
+    rows.write.text(at)
+    return spark.read.json(at)
 
 
 # URI schemes per cloud store.
