@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import re
 
-import numpy as np
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.core import col_list
+from lakeloom.functions.stemming import STOP_WORDS, stem, stem_udf
+from lakeloom.operators import metric_index
 
 # Okapi BM25 parameters.
 BM25_K1 = 1.2
@@ -38,42 +36,70 @@ def tokenize_query(query: str) -> list[str]:
     return out
 
 
-def _tokens(text: Column) -> Column:
-    folded = F.translate(F.lower(text), ACCENTED, UNACCENTED)
-    return F.filter(F.split(folded, TOKEN_SPLIT), lambda t: t != "")
+def _folded(text: Column) -> Column:
+    low = F.lower(text)
+    return F.when(low.rlike(f"[{ACCENTED}]"), F.translate(low, ACCENTED, UNACCENTED)).otherwise(low)
+
+
+def _word_pattern(words: list[str], ending: str = "") -> str:
+    """Whole runs of letters that are (with ``ending`` ``[a-z]*``: begin with) one of ``words``."""
+    return f"(?<![a-z])(?:{'|'.join(sorted(words))}){ending}(?![a-z])"
+
+
+def _variants(text: Column, df: DataFrame, stems: list[str]) -> dict[str, list[str]]:
+    """The corpus words of each stem. Stemming keeps a word's beginning, so only words
+    that begin like a stem are stemmed; a stem has at most as many words as there are
+    chains of suffixes, which bounds what reaches the driver."""
+    begins = list({s[:max(1, len(s) - 2)] for s in stems})
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_word_pattern(begins, "[a-z]*")), F.lit(0)))).alias("word"))
+    found = words.distinct().withColumn("stem", stem_udf("word")).where(F.col("stem").isin(stems)).collect()
+    out: dict[str, list[str]] = {s: [] for s in stems}
+    for r in found:
+        out[r["stem"]].append(r["word"])
+    return out
 
 
 def text_search(df: DataFrame, id_column: str, text_columns, query: str, top_k: int | None = None,
-                output: str = "score") -> DataFrame:
-    """Okapi BM25 (k1 1.2, b 0.75, idf = ln(1 + (N − df + 0.5)/(df + 0.5)))
-    of each row against ``query``; only rows containing a query term are
-    returned, best first when ``top_k`` is set.
-
-    Document lengths come from the token array size (no explode of the
-    corpus); only occurrences of the few query terms are exploded, so the
-    shuffled data is proportional to the matches, not to the corpus. Text
-    is lower-cased and accent-stripped before splitting at non-letters; no
-    stemming or stop words."""
-    terms = tokenize_query(query)
+                output: str = "score", stop_words=STOP_WORDS, stemming: bool = True) -> DataFrame:
+    """Okapi BM25 (k1 1.2, b 0.75, idf = log10((N − df + 0.5)/(df + 0.5) + 1)) of each
+    row against ``query``; only rows holding a query term are returned, best first when
+    ``top_k`` is set.
+
+    Text is lower-cased and accent-stripped and split at non-letters; ``stop_words`` are
+    left out of it, and words are compared by their Porter stems, so ``dog`` finds
+    ``dogs`` and ``the`` counts nowhere.
+
+    The corpus is read three times, each time with a light expression and without a
+    shuffle of rows: the distinct words that begin like a query stem are stemmed; one
+    row of statistics (rows, mean length, rows per term) is summed; rows that hold a
+    term's word are scored from that row."""
+    tokens = tokenize_query(query)
+    terms = list(dict.fromkeys(stem(t) for t in tokens)) if stemming else tokens
     if not terms:
         raise ValueError("text_search: the query has no terms")
-    cols = col_list(text_columns)
-    text = F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in cols])
-    base = df.withColumn("__toks", _tokens(text)).withColumn("__dl", F.size("__toks"))
-    corpus = base.agg(F.count(F.lit(1)).alias("__N"), F.avg("__dl").alias("__avgdl"))  # one row
-    qset = F.array(*[F.lit(t) for t in terms])
-    hits = (base.select(F.col(id_column).alias("__id"), "__dl",
-                        F.explode(F.filter("__toks", lambda t: F.array_contains(qset, t))).alias("__term"))
-            .groupBy("__id", "__dl", "__term").agg(F.count(F.lit(1)).alias("__tf")))
-    dfreq = hits.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))  # ≤ number of query terms
-    s = hits.join(F.broadcast(dfreq), "__term").crossJoin(F.broadcast(corpus))
-    idf = F.log(F.lit(1.0) + (F.col("__N") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
-    tf = F.col("__tf")
-    norm = tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("__dl") / F.col("__avgdl"))
-    scores = s.groupBy("__id").agg(F.sum(idf * tf * (BM25_K1 + 1) / norm).alias(output))
-    out = df.join(scores, df[id_column] == scores["__id"]).drop("__id")
+    text = _folded(F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in col_list(text_columns)]))
+    stop = set(stop_words or ())
+    words = _variants(text, df, terms) if stemming else {t: [t] for t in terms}
+    words = {t: sorted(set(w) - stop) for t, w in words.items()}
+    words = {t: w for t, w in words.items() if w}
+    if not words:
+        return df.where(F.lit(False)).withColumn(output, F.lit(None).cast("double"))
+    kept = F.filter(F.split(F.col("__w_text"), TOKEN_SPLIT), lambda t: (t != "") & ~t.isin(list(stop)) if stop else t != "")
+    base = df.withColumn("__w_text", text)
+    counts = [F.size(F.regexp_extract_all("__w_text", F.lit(_word_pattern(w)), F.lit(0))) for w in words.values()]
+    stats = base.agg(F.count(F.lit(1)).alias("__w_n"), F.avg(F.size(kept)).alias("__w_mean"),
+                     *[F.count_if(F.col("__w_text").rlike(_word_pattern(w))).alias(f"__w_df{i}") for i, w in enumerate(words.values())])
+    every = [x for w in words.values() for x in w]
+    hits = base.where(F.col("__w_text").rlike(_word_pattern(every))).crossJoin(F.broadcast(stats))  # one row
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.size(kept) / F.col("__w_mean"))
+    score = F.lit(0.0)
+    for i, tf in enumerate(counts):
+        df_i = F.col(f"__w_df{i}")
+        idf = F.log10((F.col("__w_n") - df_i + 0.5) / (df_i + 0.5) + 1)
+        score = score + idf * (tf * (BM25_K1 + 1) / (tf + F.col("__w_norm")))
+    out = hits.withColumn("__w_norm", norm).withColumn(output, score).select(*[F.col(f"`{c}`") for c in df.columns], output)
     if top_k:
-        out = out.orderBy(F.col(output).desc(), F.col(id_column)).limit(int(top_k))
+        out = out.orderBy(F.col(output).desc(), F.col(f"`{id_column}`")).limit(int(top_k))
     return out
 
 
@@ -115,88 +141,30 @@ def vector_search(df: DataFrame, vector_column: str, target_vector: list[float],
     return out
 
 
-# Vectors per block: a block pair is one numpy matrix product of at most
-# BLOCK x BLOCK dot products.
-BLOCK = 512
-
-
-def _block_pairs(t: float):
-    def run(batches):
-        for pdf in batches:
-            out_i, out_j, out_s = [], [], []
-            for ra, rb, same in zip(pdf["ra"], pdf["rb"], pdf["same"]):
-                ia = np.array([r["id"] for r in ra], dtype=np.int64)
-                ib = np.array([r["id"] for r in rb], dtype=np.int64)
-                xa = np.stack([np.asarray(r["u"], dtype=np.float64) for r in ra])
-                xb = np.stack([np.asarray(r["u"], dtype=np.float64) for r in rb])
-                sims = xa @ xb.T
-                keep = sims >= t
-                if same:
-                    keep &= ia[:, None] < ib[None, :]
-                else:
-                    keep &= ia[:, None] != ib[None, :]
-                r, c = np.nonzero(keep)
-                lo, hi = np.minimum(ia[r], ib[c]), np.maximum(ia[r], ib[c])
-                out_i.append(lo)
-                out_j.append(hi)
-                out_s.append(sims[r, c])
-            if out_i:
-                yield pd.DataFrame({"i": np.concatenate(out_i), "j": np.concatenate(out_j), "score": np.concatenate(out_s)})
-    return run
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    big = np.abs(x).max(axis=1, keepdims=True)
-    x = np.where((big > 1e-100) & (big < 1e100), x, x / big)  # where squares would overflow or vanish
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _assign(pivots: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            u = _unit(np.stack(pdf["u"].to_numpy())) if len(pdf) else np.zeros((0, pivots.shape[1]))
-            d = np.sqrt(np.maximum((u * u).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * u @ pivots.T, 0.0))
-            cell = d.argmin(axis=1) if len(u) else np.zeros(0, int)
-            yield pdf.assign(u=list(u), cell=cell.astype("int64"), dist=d[np.arange(len(u)), cell])
-    return run
-
-
-def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float, n_pivots: int = 64) -> DataFrame:
+def _usable(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
+    """(id, x): vectors of finite numbers, not all zero."""
+    x = F.transform(F.col(vector_column), lambda e: e.cast("double"))
+    usable = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
+    return df.where(usable).select(F.col(id_column).cast("bigint").alias("id"), x.alias("x"))
+
+
+def cosine_pairs(df: DataFrame, id_column: str, vector_column: str, threshold: float) -> DataFrame:
     """All pairs ``(i, j)`` with ``i < j`` and cosine ≥ threshold, exactly.
 
-    Unit vectors with cosine ≥ t lie within r = sqrt(2 − 2t) of each other.
-    Every vector joins the cell of the nearest of ``n_pivots`` pivot vectors; two
-    cells can hold a pair only if their pivots are at most r plus both cells'
-    radii apart (triangle inequality). Cells are cut into blocks of about
-    ``BLOCK`` vectors; each block pair of two such cells is verified with one
-    numpy matrix product and only pairs above the threshold leave the task.
-    The driver sees the pivots and one row per cell. A missing, empty or zero
-    vector, or one holding a null, NaN or infinity, pairs with nothing."""
-    t = float(threshold)
-    spark = df.sparkSession
-    r = math.sqrt(max(2.0 - 2.0 * t, 0.0))
-    v = F.col(vector_column)
-    x = F.transform(v, lambda e: e.cast("double"))
-    usable = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(x, lambda e: e != 0)
-    unit = df.where(usable).select(F.col(id_column).cast("bigint").alias("id"), x.alias("u"))
-    picked = unit.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("u").collect()  # ≤ n_pivots vectors
-    if not picked:
-        return spark.createDataFrame([], "i long, j long, score double")
-    pivots = _unit(np.array([row["u"] for row in picked], float))
-    feats = unit.mapInPandas(_assign(pivots), "id long, u array<double>, cell long, dist double").checkpoint(eager=True)
-    cells = feats.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()  # one row per cell
-    radius = {c["cell"]: c["radius"] for c in cells}
-    near = [(x, y) for x in radius for y in radius if x <= y
-            and np.sqrt(((pivots[x] - pivots[y]) ** 2).sum()) <= r + radius[x] + radius[y] + 1e-6]
-    meets = spark.createDataFrame(near, "x long, y long")  # ≤ n_pivots² rows
-    nb = F.create_map(*[x for c in cells for x in (F.lit(c["cell"]), F.lit(max(1, -(-c["n"] // BLOCK))))])
-    blocks = (feats.withColumn("blk", F.pmod(F.xxhash64("id"), F.element_at(nb, F.col("cell"))))
-              .groupBy("cell", "blk").agg(F.collect_list(F.struct("id", "u")).alias("rows")))  # about BLOCK rows each
-    a = blocks.select(F.col("cell").alias("x"), F.col("blk").alias("ab"), F.col("rows").alias("ra")).join(F.broadcast(meets), "x")
-    b = blocks.select(F.col("cell").alias("y"), F.col("blk").alias("bb"), F.col("rows").alias("rb"))
-    pairs = a.join(b, "y").where((F.col("x") < F.col("y")) | (F.col("ab") <= F.col("bb")))
-    pairs = pairs.select("ra", "rb", ((F.col("x") == F.col("y")) & (F.col("ab") == F.col("bb"))).alias("same"))
-    return pairs.mapInPandas(_block_pairs(t), "i long, j long, score double")
+    Equal vectors are searched once. The search is a hierarchy of cells over the unit
+    vectors (``metric_index``); vectors of different lengths never pair. A missing,
+    empty or zero vector, or one holding a null, NaN or infinity, pairs with nothing."""
+    rows = _usable(df, id_column, vector_column)
+    names = rows.groupBy("x").agg(F.min("id").alias("rep"))
+    members = rows.join(names, "x").select("id", "rep").checkpoint(eager=True)
+    found = metric_index.near_pairs(names.select(F.col("rep").alias("id"), "x"), float(threshold))
+    a = members.select(F.col("id").alias("a"), F.col("rep").alias("i"))
+    b = members.select(F.col("id").alias("b"), F.col("rep").alias("j"))
+    pairs = found.join(a, "i").join(b, "j").select("a", "b", "score")
+    if threshold <= 1:
+        same = a.join(b, F.col("i") == F.col("j")).where("a < b").select("a", "b", F.lit(1.0).alias("score"))
+        pairs = pairs.unionByName(same)
+    return pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "score")
 
 
 def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -207,8 +175,13 @@ def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embe
     The greedy result is the lexicographically-first independent set of the
     similarity graph; it is computed in rounds over the edge list: a node is
     decided once every earlier neighbour is decided — kept if none of them
-    was kept. Only graph edges (similar pairs) are ever shuffled."""
-    edges = cosine_pairs(df, id_column, embedding_column, threshold).select("i", "j").checkpoint(eager=True)
+    was kept. Only graph edges (similar pairs) are ever shuffled. Of equal vectors
+    only the first can be kept, so the graph holds one of them."""
+    rows = _usable(df, id_column, embedding_column)
+    names = rows.groupBy("x").agg(F.min("id").alias("id"))
+    copies = rows.join(names.withColumnRenamed("id", "rep"), "x").where("id <> rep").select(F.col("id").alias("__drop"))
+    found = metric_index.near_pairs(names, float(threshold))
+    edges = found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).checkpoint(eager=True)
     nodes = edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct()
     state = nodes.withColumn("st", F.lit(0)).checkpoint(eager=True)  # 0 undecided, 1 kept, 2 dropped
     while state.where("st = 0").limit(1).count():  # the smallest undecided node is decided in every round
@@ -224,4 +197,6 @@ def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embe
              .otherwise(F.lit(1)).alias("st"))
         state = nxt.checkpoint(eager=True)
     dropped = state.where("st = 2").select(F.col("id").alias("__drop"))
+    if threshold <= 1:
+        dropped = dropped.unionByName(copies)
     return df.join(dropped, df[id_column] == dropped["__drop"], "left_anti")

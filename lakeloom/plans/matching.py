@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions import stemming
 from lakeloom.operators import geo, graph, search, similarity, text
 from lakeloom.plans.registry import Tables, query
 
@@ -85,28 +86,80 @@ def q_match_groups(spark, d):
 
 # ------------------------------------------------------------------ search
 
-_QUERY = "the stone with"
+# The oracle stems in SQL: vowels are marked 1 and consonants 0 in a second string, on
+# which the published conditions (measure, vowel in the rest, doubled and short ends) are
+# patterns. A step is one CASE over its suffixes, longest first.
+
+def _stem_sql(words: str) -> str:
+    """A query of (word, stem) for the distinct words of the relation ``words(word)``."""
+    shape = "regexp_replace(regexp_replace(replace(translate(regexp_replace({0}, '^y', 'b'), 'aeiou', '11111'), '1yy', '101'), '([^1y])y', '\\11', 'g'), '[^1]', '0', 'g')"
+
+    def rest(w, suffix):
+        return f"left({w}, length({w}) - {len(suffix)})"
+
+    def measure(w):
+        return f"len(regexp_extract_all({shape.format(w)}, '10'))"
+
+    def swap(w, table, least):
+        cases = " ".join(f"WHEN {w} LIKE '%{a}' THEN CASE WHEN {measure(rest(w, a))} > {least} THEN {rest(w, a)} || '{b}' ELSE {w} END"
+                         for a, b in sorted(table, key=lambda r: -len(r[0])))
+        return f"CASE {cases} ELSE {w} END"
+
+    def short(w):
+        return f"({shape.format(w)} LIKE '%010' AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def doubled(w):
+        return f"(length({w}) > 1 AND right({w}, 1) = left(right({w}, 2), 1) AND {shape.format(w)} LIKE '%0')"
+
+    ions = [(x, "") for x in stemming.STEP_4 if x != "ion"] + [("sion", "s"), ("tion", "t")]
+    steps = [
+        "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%ss' THEN w"
+        " WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(rest('w', 'eed'))} > 0 THEN left(w, length(w) - 1) ELSE w END"
+        f" WHEN w LIKE '%ed' AND {shape.format(rest('w', 'ed'))} LIKE '%1%' THEN {rest('w', 'ed')} || '#'"
+        f" WHEN w LIKE '%ing' AND {shape.format(rest('w', 'ing'))} LIKE '%1%' THEN {rest('w', 'ing')} || '#' ELSE w END",
+        "CASE WHEN w NOT LIKE '%#' THEN w WHEN regexp_matches(w, '(at|bl|iz)#$') THEN replace(w, '#', 'e')"
+        f" WHEN {doubled(rest('w', '#'))} AND left(right(w, 2), 1) NOT IN ('l', 's', 'z') THEN left(w, length(w) - 2)"
+        f" WHEN {measure(rest('w', '#'))} = 1 AND {short(rest('w', '#'))} THEN replace(w, '#', 'e') ELSE replace(w, '#', '') END",
+        f"CASE WHEN w LIKE '%y' AND {shape.format(rest('w', 'y'))} LIKE '%1%' THEN {rest('w', 'y')} || 'i' ELSE w END",
+        swap("w", stemming.STEP_2, 0),
+        swap("w", stemming.STEP_3, 0),
+        "CASE " + " ".join(
+            f"WHEN w LIKE '%{a}' THEN CASE WHEN {measure(rest('w', a[-3:] if a.endswith('ion') else a))} > 1"
+            f" THEN {rest('w', a)} || '{b}' ELSE w END" for a, b in sorted(ions, key=lambda r: -len(r[0].removeprefix(r[1]))))
+        + " ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({measure(rest('w', 'e'))} > 1 OR ({measure(rest('w', 'e'))} = 1 AND NOT {short(rest('w', 'e'))}))"
+        f" THEN {rest('w', 'e')} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {measure(rest('w', 'l'))} > 1 THEN left(w, length(w) - 1) ELSE w END",
+    ]
+    inner = f"SELECT word, word AS w FROM (SELECT DISTINCT word FROM {words})"
+    for step in steps:
+        inner = f"SELECT word, CASE WHEN length(word) < 3 THEN w ELSE {step} END AS w FROM ({inner})"
+    return f"SELECT word, w AS stem FROM ({inner})"
 
 
 def _bm25_sql(table: str, id_col: str, text_col: str, q: str) -> str:
-    terms = ", ".join(f"'{t}'" for t in search.tokenize_query(q))
+    asked = ", ".join(f"('{t}')" for t in q.lower().split())
+    stop = ", ".join(f"'{w}'" for w in stemming.STOP_WORDS)
     return f"""
-WITH d AS (SELECT {id_col} AS id,
-                  list_filter(regexp_split_to_array(translate(lower({text_col}), '{search.ACCENTED}', '{search.UNACCENTED}'), '[^a-z]+'),
-                              lambda x: x <> '') AS toks FROM {table}),
-c AS (SELECT COUNT(*) AS n, AVG(len(toks)) AS avgdl FROM d),
-h AS (SELECT id, len(toks) AS dl, t AS term FROM (SELECT id, toks, unnest(toks) AS t FROM d) WHERE t IN ({terms})),
-tf AS (SELECT id, dl, term, COUNT(*) AS tf FROM h GROUP BY id, dl, term),
-df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term),
-s AS (SELECT tf.id, SUM(ln(1 + (c.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * tf.dl / c.avgdl))) AS score
-      FROM tf JOIN df USING (term) CROSS JOIN c GROUP BY tf.id)
-SELECT {table}.{id_col}, round(s.score, 6) AS score FROM {table} JOIN s ON {table}.{id_col} = s.id"""
-
-
-@query("text_search", _bm25_sql("documents", "doc_id", "text", _QUERY))
+WITH t AS (SELECT id, unnest(toks) AS word FROM (
+       SELECT {id_col} AS id, list_filter(regexp_split_to_array(strip_accents(lower({text_col})), '[^a-z]+'), lambda x: x <> '') AS toks FROM {table})),
+kept AS (SELECT * FROM t WHERE word NOT IN ({stop})),
+asked(word) AS (VALUES {asked}),
+stems AS MATERIALIZED ({_stem_sql("(SELECT word FROM kept UNION ALL SELECT word FROM asked)")}),
+len AS (SELECT {table}.{id_col} AS id, COUNT(kept.word) AS n FROM {table} LEFT JOIN kept ON kept.id = {table}.{id_col} GROUP BY ALL),
+c AS (SELECT COUNT(*) AS n, AVG(n) AS mean FROM len),
+tf AS (SELECT id, stem, COUNT(*) AS tf FROM kept JOIN stems USING (word)
+       WHERE stem IN (SELECT stem FROM asked JOIN stems USING (word)) GROUP BY id, stem),
+df AS (SELECT stem, COUNT(*) AS df FROM tf GROUP BY stem)
+SELECT tf.id AS {id_col}, round(SUM(log10((c.n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.n / mean)))), 6) AS score
+FROM tf JOIN df USING (stem) JOIN len ON len.id = tf.id CROSS JOIN c GROUP BY tf.id"""
+
+
+@query("text_search", _bm25_sql("documents", "doc_id", "text", "the stone with inning"))
 def q_text_search(spark, d):
     docs = Tables(spark, d).documents.select("doc_id", "text")
-    out = search.text_search(docs, "doc_id", "text", _QUERY)
+    out = search.text_search(docs, "doc_id", "text", "the stone with inning")
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -120,6 +173,14 @@ def q_text_search_topk(spark, d):
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Part names and types are English words: ring, bolt, ECONOMY.
+@query("text_search_stems", _bm25_sql("part", "p_partkey", "p_name || ' ' || p_type", "rings bolting of economies"))
+def q_text_search_stems(spark, d):
+    p = Tables(spark, d).part.select("p_partkey", "p_name", "p_type")
+    out = search.text_search(p, "p_partkey", ["p_name", "p_type"], "rings bolting of economies")
+    return out.select("p_partkey", F.round("score", 6).alias("score"))
+
+
 def _target(spark, d):
     # The query vector is the first embedding of the table (64 floats).
     row = Tables(spark, d).embeddings.orderBy("vec_id").select("embedding").limit(1).collect()
