@@ -5,9 +5,18 @@ of letters and bytes above 127, one space at each end). They are hashed into
 ``BUCKETS`` rows of an embedding table; the mean of the rows goes through a linear
 softmax. Table and layer are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled documents (``train_rows``, every language with about
-the same share). A held-out part of the sample sets the softmax temperature and the
-rejection threshold: at most ``reject_rate`` of its rightly labelled documents may
-score below it. Prediction runs in the tasks over whole texts.
+the same share). Prediction runs in the tasks over whole texts.
+
+Rejection is calibrated on a held-out part of the sample, which also sets the softmax
+temperature. A text is rejected on either of two grounds, each of which at most
+``reject_rate`` of the rightly labelled held-out documents meet, less a margin:
+
+* its probability is low (the margin is one unit of log odds);
+* its subwords are strange. A subword is known if it occurs in the training part (2^20
+  hashes tell subwords apart); the share of known ones in the held-out part is p, and a
+  text with k known of n subwords scores (k - n p) / sqrt(n p (1 - p)). Text in a
+  language or alphabet that was not learned falls far below (the margin is one unit),
+  however sure the softmax is; a text of few subwords cannot.
 
 Defined results: null text and text without a letter (Unicode L) are ``und`` with
 score 0 and rejected; rows without a label or id train nothing (a null id counts as
@@ -26,10 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import staged, uniform
 from .registry import query, table
-from .textbytes import ALNUM, LOWER, text_slices
+from .textbytes import ALNUM, LOWER, give_back, text_slices
 
 BITS = 15
 BUCKETS = 1 << BITS
+FINE = 20  # bits of a subword's own hash; its bucket is the upper BITS of them
 DIM = 16
 SLICE = 500_000  # bytes of text whose subwords are held at once
 LETTERS = ALNUM.copy()
@@ -38,7 +48,7 @@ HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def subwords(offsets: np.ndarray, data: np.ndarray):
-    """(buckets, first subword of each text) of a slice, text by text."""
+    """(subword hashes of FINE bits, first subword of each text) of a slice, text by text."""
     n = len(offsets) - 1
     # one space before each text and one after the last: words never cross texts
     low = LOWER[data]
@@ -63,7 +73,7 @@ def subwords(offsets: np.ndarray, data: np.ndarray):
             key = (key ^ b[i:i + m]) * np.uint32(0x01000193)
         key = (key ^ (key >> np.uint32(15))) * np.uint32(salt)
         pos = np.flatnonzero(ok)
-        out.append((key[pos] >> np.uint32(32 - BITS)).astype(np.int32))
+        out.append((key[pos] >> np.uint32(32 - FINE)).astype(np.int32))
         at.append(pos + 1)  # the first inner byte belongs to the text
     if not out:
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
@@ -73,7 +83,7 @@ def subwords(offsets: np.ndarray, data: np.ndarray):
 
 
 def count_batches(batches):
-    """Sparse bucket counts of labelled texts: bytes of int32 buckets and float32 counts."""
+    """Sparse subword counts of labelled texts: bytes of int32 hashes and float32 counts."""
     for batch in batches:
         idx, cnt = [], []
         for _, off, data in text_slices(batch.column("text"), SLICE):
@@ -93,10 +103,17 @@ class Model:
     def __init__(self, langs, table_, layer, bias):
         self.langs, self.table, self.layer, self.bias = list(langs), table_, layer, bias
         self.temperature, self.threshold = 1.0, 0.0
+        self.known, self.share, self.strange = np.ones(1 << FINE, bool), 1.0, -np.inf
+
+    def familiarity(self, known, n):
+        """How far the known subwords are from their usual share; 0 for no subwords."""
+        sd = np.sqrt(np.maximum(n * self.share * (1 - self.share), 1.0))
+        return (known - n * self.share) / sd
 
-    def scores(self, offsets, data) -> np.ndarray:
-        """Calibrated probabilities, a row for each text of the slice."""
-        s, first = subwords(offsets, data)
+    def scores(self, offsets, data) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, a row for each text of the slice, and familiarity."""
+        fine, first = subwords(offsets, data)
+        s = fine >> (FINE - BITS)
         # the layer is linear: it may be applied to the table before averaging
         fold = len(self.langs) <= self.table.shape[1]
         source = self.table @ self.layer if fold else self.table
@@ -108,7 +125,8 @@ class Model:
                 column = np.ascontiguousarray(source[:, j], dtype=np.float64)
                 mean[some, j] = np.add.reduceat(column[s], first[some]) / count[some]
         logits = (mean if fold else mean @ self.layer) + self.bias
-        return softmax(logits / self.temperature)
+        seen = np.concatenate([[0], np.cumsum(self.known[fine])])
+        return softmax(logits / self.temperature), self.familiarity(seen[first[1:]] - seen[first[:-1]], count)
 
 
 def softmax(z):
@@ -132,7 +150,7 @@ def train(sample, epochs: int = 12, rate: float = 2.0, batch: int = 64, reject_r
         x = np.zeros((len(part), BUCKETS), np.float32)
         for i, r in enumerate(part):
             count = np.frombuffer(r["cnt"], np.float32)
-            x[i, np.frombuffer(r["idx"], np.int32)] = count / count.sum()
+            x[i] = np.bincount(np.frombuffer(r["idx"], np.int32) >> (FINE - BITS), count / count.sum(), BUCKETS)
         return x, np.array([number[r["lang"]] for r in part])
 
     steps = epochs * -(-len(fit) // batch)
@@ -164,11 +182,20 @@ def train(sample, epochs: int = 12, rate: float = 2.0, batch: int = 64, reject_r
                 for t in np.geomspace(0.02, 20, 61)}
         model.temperature = float(min(loss, key=loss.get))
         p = softmax(logits / model.temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
+        good = p.argmax(axis=1) == truth
+        right = np.sort(p.max(axis=1)[good])
         if len(right):
-            model.threshold = float(right[int(len(right) * reject_rate)])
-        # however sure the held-out part is, reject only what is close to chance
-        model.threshold = min(model.threshold, 1.5 / len(langs))
+            low = min(float(right[int(len(right) * reject_rate)]), 1 - 1e-12)
+            model.threshold = 1 / (1 + np.exp(1 - np.log(low / (1 - low))))
+            model.known[:] = False
+            for r in fit:
+                model.known[np.frombuffer(r["idx"], np.int32)] = True
+            counts = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["cnt"], np.float32)) for r in held]
+            known = np.array([c[model.known[i]].sum() for i, c in counts])
+            n = np.array([c.sum() for _, c in counts])
+            model.share = float(known[good].sum() / n[good].sum())
+            usual = np.sort(model.familiarity(known, n)[good])
+            model.strange = float(usual[int(len(usual) * reject_rate)]) - 1
     return model
 
 
@@ -181,16 +208,17 @@ def predictor(model: Model):
     @F.arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
         n = len(texts)
-        lang, score = np.full(n, "und", object), np.zeros(n)
+        lang, score, usual = np.full(n, "und", object), np.zeros(n), np.zeros(n)
         for row, off, data in text_slices(texts, SLICE) if model.langs else ():
-            p = model.scores(off, data)
+            p, usual[row:row + len(off) - 1] = model.scores(off, data)
             best = p.argmax(axis=1)
             lang[row:row + len(best)] = np.array(model.langs, object)[best]
             score[row:row + len(best)] = p[np.arange(len(best)), best]
         for i, text in enumerate(texts):
             if not text.is_valid or not HAS_LETTER.search(text.as_py()):
                 lang[i], score[i] = "und", 0.0
-        rejected = (lang == "und") | (score < model.threshold)
+        rejected = (lang == "und") | (score < model.threshold) | (usual < model.strange)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected.astype(bool))],
                                           names=["lang", "score", "rejected"])
 

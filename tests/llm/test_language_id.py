@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import language_id as m
 from lakeloom.llm.textbytes import text_slices
@@ -65,5 +67,22 @@ def test_folded_layer_equals_averaging_first():
     wide = m.Model([str(i) for i in range(m.DIM + 1)], rng.normal(size=(m.BUCKETS, m.DIM)), rng.normal(size=(m.DIM, m.DIM + 1)), rng.normal(size=m.DIM + 1))
     few = m.Model(wide.langs[:3], wide.table, wide.layer[:, :3], wide.bias[:3])
     (_, off, data), = text_slices(pa.array([EN, DE, "q"]))
-    a = wide.scores(off, data)[:, :3]
-    assert np.allclose(a / a.sum(axis=1, keepdims=True), few.scores(off, data))
+    a = wide.scores(off, data)[0][:, :3]
+    assert np.allclose(a / a.sum(axis=1, keepdims=True), few.scores(off, data)[0])
+
+
+JUNK = [(900_001, "xqzt vbnm qwrt zxcv plkj " * 3, None), (900_002, "Съешь же ещё этих мягких французских булок да выпей чаю", None),
+        (900_003, "これは学習していない文字で書かれた長めの文章ですこれは学習していない文字で書かれた長めの文章です", None)]
+
+
+@pytest.mark.parametrize("left_out", ["en", "es"])
+def test_language_left_out_of_training_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 4 = 0")
+    model = m.fit(docs.where(F.col("lang") != left_out))
+    assert left_out not in model.langs
+    junk = spark.createDataFrame(JUNK, "doc_id long, text string, lang string")
+    rows = m.identify(docs.unionByName(junk), model).where("length(text) > 0").groupBy("lang").agg(
+        F.avg(F.col("__rejected").cast("double")).alias("share")).collect()
+    share = {r["lang"]: r["share"] for r in rows}
+    assert share[left_out] >= 0.9 and share[None] == 1.0, share
+    assert all(v <= 0.01 for k, v in share.items() if k in model.langs), share
