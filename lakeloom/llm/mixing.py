@@ -11,9 +11,10 @@ The quotas of all sources form the root of a binary tree. A node hands half of
 its blocks to its left child: the counts per source are drawn from the
 multivariate hypergeometric distribution, source by source, by inverting the
 exact probabilities (only counts beyond 8 standard deviations are left out,
-below double precision). After ``depth`` levels each leaf is an output shard
-with its quota per source. Shards then draw disjoint ranges of a permutation of
-each source's blocks, and each shard orders its pieces by a hash.
+below double precision). After ``depth`` levels (as many as leave about
+``SHARD_BLOCKS`` blocks a shard) each leaf is an output shard with its quota per
+source. Shards then draw disjoint ranges of a permutation of each source's blocks
+(their rank by a hash), and each shard orders its pieces by a hash.
 
 Targets: sources by code point, null last, weigh ``weights`` cyclically and share
 ``share`` times all words; a target stops at ``max_passes`` (2) times its
@@ -29,6 +30,8 @@ and the tree's root hold one row or entry per source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ from .registry import query, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DOCS = 1024
+SHARD_BLOCKS = 4096
 
 
 def word_count(text):
@@ -126,7 +130,7 @@ def split_quotas(targets: DataFrame, depth: int, seed: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def mix(rows: DataFrame, block_words: int = 4096, depth: int = 4, seed: int = 17,
+def mix(rows: DataFrame, block_words: int = 4096, depth: int | None = None, seed: int = 17,
         weights=(5, 2, 1), share: float = 1.5):
     """``rows``: a stored table (rid, key, source, size), key a hash that orders
     the documents of a source. Returns (pieces, targets). A piece is ``words``
@@ -139,6 +143,9 @@ def mix(rows: DataFrame, block_words: int = 4096, depth: int = 4, seed: int = 17
                .withColumn("quota", F.least(F.floor(F.col("target") / w), F.col("blocks") * 2))
                .withColumn("rest", F.round("target").cast("long") - F.col("quota") * w))
     targets = staged(targets, "targets")
+    if depth is None:
+        drawn = targets.agg(F.sum("quota")).first()[0] or 0
+        depth = max(4, math.ceil(math.log2(max(1, drawn / SHARD_BLOCKS))))
     dims = staged(targets.join(split_quotas(targets, depth, seed), "rank"), "quotas")
 
     # Start of each document on its source's line: buckets in hash order, then inside the bucket.
@@ -158,8 +165,17 @@ def mix(rows: DataFrame, block_words: int = 4096, depth: int = 4, seed: int = 17
     p = (p.withColumn("from", F.greatest("at", F.col("block") * w))
          .withColumn("to", F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * w))
          .join(dims.select("rank", "blocks", "quota", "rest", "source_size", "ends"), "rank"))
-    # 2**31 - 1 is prime and above any block count, so this is a permutation.
-    place = F.pmod(F.col("block") * F.lit(2147483647) + F.xxhash64(F.lit(seed), "rank") % F.lit(1 << 31), F.col("blocks"))
+    # A block's place is its rank by a hash among the source's blocks: buckets in hash order, then inside the bucket.
+    b = p.where(F.col("block") < F.col("blocks")).select("rank", "block", "blocks").distinct()
+    b = b.withColumn("slot", F.floor(uniform(F.lit(seed + 1), "rank", "block") * F.ceil(F.col("blocks") / BUCKET_DOCS)))
+    held = b.groupBy("rank", "slot").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("rank").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("rank", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    among = Window.partitionBy("rank", "slot").orderBy(uniform(F.lit(seed + 1), "rank", "block"), "block")
+    places = b.withColumn("nth", F.row_number().over(among)).join(held, ["rank", "slot"]) \
+        .select("rank", "block", (F.col("before") + F.col("nth") - 1).alias("place"))
+    p = p.join(places, ["rank", "block"], "left")
+    place = F.col("place")
     tail = F.col("block") >= F.col("blocks")
     tail_words = F.col("source_size") - F.col("blocks") * w
     spare = F.when(F.col("quota") == F.col("blocks") * 2, F.col("rest")).otherwise(F.lit(0))
