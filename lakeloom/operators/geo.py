@@ -1,13 +1,16 @@
-"""Planar geometry on WKT text: point distance, within-distance,
-point-in-polygon and a grid-keyed spatial join (no geometry library)."""
+"""Planar geometry on WKT text: point distance, within-distance, intersection with a
+fixed shape and a spatial join by quadtree cells (no geometry library)."""
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators import spatial_index
+
 _NUM = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 POINT_RE = rf"^\s*POINT\s*\(\s*{_NUM}\s+{_NUM}\s*\)\s*$"
 
@@ -70,44 +73,30 @@ def _rings_col(rings: list[list[tuple[float, float]]]) -> Column:
 
 
 def geo_intersects(df: DataFrame, geom_column: str, target_wkt: str, output: str = "intersects") -> DataFrame:
-    """POINT-in-POLYGON flag against one polygon or multipolygon literal."""
-    g = F.col(geom_column)
-    return df.withColumn(output, _ray_cast(point_x(g), point_y(g), _rings_col(parse_polygon(target_wkt))))
-
-
-def polygon_rings(wkt: Column) -> Column:
-    """WKT POLYGON or MULTIPOLYGON text → array of closed rings, each an
-    array<struct<x,y>>; other text gives no rings."""
+    """Whether a geometry (point, line, polygon or several) has a point in common with the
+    target. Points against a polygon stay JVM-side; only other shapes go to Python."""
+    target = spatial_index.parse(target_wkt)
+    if target is None:
+        raise ValueError(f"not a geometry: {target_wkt[:60]!r}")
 
-    def points(ring):
-        return F.transform(F.split(F.trim(ring), r"\s*,\s*"), lambda p: F.struct(
-            F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
+    @F.pandas_udf("boolean")
+    def meets(wkt: pd.Series) -> pd.Series:
+        return wkt.map(lambda w: None if spatial_index.parse(w) is None else spatial_index.related(spatial_index.parse(w), target, "intersects"))
 
-    found = F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)), points)
-    closed = F.transform(found, lambda r: F.when(r[0] == F.element_at(r, -1), r).otherwise(F.concat(r, F.array(r[0]))))
-    return F.when(wkt.rlike(r"(?i)\A\s*(MULTI)?POLYGON\b"), closed)
-
-
-def join_spatial(points: DataFrame, polygons: DataFrame, left_geom_column: str, right_geom_column: str,
-                 relation: str = "within", join_type: str = "inner", cell: float = 1.0) -> DataFrame:
-    """Join POINT rows to the POLYGON rows that contain them.
-
-    Each polygon is exploded to the grid cells its bounding box covers and
-    each point gets its one cell, so candidates come from an equi join on
-    the cell id; the exact even-odd test then refines them. ``left`` keeps
-    points without a polygon (NULL right columns)."""
+    g = F.col(geom_column)
+    if target[0] != 2:
+        return df.withColumn(output, meets(g))
+    is_point = g.rlike(POINT_RE)
+    native = _ray_cast(point_x(g), point_y(g), _rings_col(parse_polygon(target_wkt)))
+    return df.withColumn(output, F.when(is_point, native).otherwise(meets(F.when(~is_point, g))))
+
+
+def join_spatial(left: DataFrame, right: DataFrame, left_geom_column: str, right_geom_column: str,
+                 relation: str = "intersects", join_type: str = "inner", budget: int = spatial_index.BUDGET) -> DataFrame:
+    """Join rows by their geometries (points, lines, polygons, or several of them, on
+    either side): ``intersects``, ``within`` or ``contains``. Candidates come from an
+    equi-join on quadtree cells, ``budget`` cells a shape whatever its size
+    (``spatial_index``). ``left`` keeps rows without a partner (NULL right columns)."""
     if relation not in ("within", "intersects", "contains"):
         raise ValueError(f"join_spatial: unsupported relation {relation!r}")
-    p = points.withColumn("__x", point_x(F.col(left_geom_column))).withColumn("__y", point_y(F.col(left_geom_column)))
-    p = p.withColumn("__cx", F.floor(F.col("__x") / cell).cast("bigint")).withColumn("__cy", F.floor(F.col("__y") / cell).cast("bigint"))
-    g = polygons.withColumn("__rings", polygon_rings(F.col(right_geom_column)))
-    points_ = F.flatten("__rings")
-    xs, ys = F.transform(points_, lambda q: q["x"]), F.transform(points_, lambda q: q["y"])
-    g = g.withColumns({"__x0": F.floor(F.array_min(xs) / cell).cast("bigint"), "__x1": F.floor(F.array_max(xs) / cell).cast("bigint"),
-                       "__y0": F.floor(F.array_min(ys) / cell).cast("bigint"), "__y1": F.floor(F.array_max(ys) / cell).cast("bigint")})
-    g = (g.withColumn("__gx", F.explode(F.sequence("__x0", "__x1"))).withColumn("__gy", F.explode(F.sequence("__y0", "__y1")))
-         .select("__gx", "__gy", "__rings", *[F.col(f"`{c}`") for c in polygons.columns]))
-    # a point lies in one cell, so the left form is one left join
-    on = ((p["__cx"] == g["__gx"]) & (p["__cy"] == g["__gy"]) & _ray_cast(p["__x"], p["__y"], g["__rings"]))
-    return p.join(g, on, "inner" if join_type == "inner" else "left").select(
-        *[p[f"`{c}`"] for c in points.columns], *[g[f"`{c}`"] for c in polygons.columns])
+    return spatial_index.join(left, right, left_geom_column, right_geom_column, relation, join_type, budget)
