@@ -183,11 +183,14 @@ def q_write_append(spark, d):
 _V1, _V2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
 
 
+def _current(spark, d):
+    return Tables(spark, d).orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
 def _two_versions(spark, d):
     path = scratch(spark, "versions")
     tables.write_snapshot(_prev(spark, d), path, _V1)
-    cur = Tables(spark, d).orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    tables.write_snapshot(cur, path, _V2)
+    tables.write_snapshot(_current(spark, d), path, _V2)
     return path
 
 

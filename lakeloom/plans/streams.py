@@ -35,12 +35,16 @@ def q_stream_time_bin(spark, d):
     return out.withColumn("sum_value", F.round("sum_value", 6))
 
 
+# A session starts at an event with none in the 30 minutes before it; it holds the events
+# up to the next such start.
 _SESS_SQL = """
-WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL '30 minutes' THEN 1 ELSE 0 END AS brk
-           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, SUM(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g),
-r AS (SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL '30 minutes' AS session_end, COUNT(*) AS events FROM s GROUP BY user_id, sid)
-SELECT * FROM r WHERE session_end <= (SELECT MAX(ts) FROM events) - INTERVAL '1 hour'
+WITH e AS (SELECT user_id, ts, COUNT(*) AS n FROM events GROUP BY user_id, ts),
+starts AS (SELECT user_id, ts AS session_start FROM e
+           WHERE NOT EXISTS (SELECT 1 FROM e AS b WHERE b.user_id = e.user_id AND b.ts < e.ts AND b.ts >= e.ts - INTERVAL '30 minutes')),
+held AS (SELECT e.user_id, s.session_start, e.ts, e.n FROM e ASOF JOIN starts AS s ON e.user_id = s.user_id AND e.ts >= s.session_start)
+SELECT user_id, session_start, MAX(ts) + INTERVAL '30 minutes' AS session_end, CAST(SUM(n) AS BIGINT) AS events
+FROM held GROUP BY user_id, session_start
+HAVING MAX(ts) + INTERVAL '30 minutes' <= (SELECT MAX(ts) FROM events) - INTERVAL '1 hour'
 """
 
 
@@ -91,14 +95,38 @@ _SRC_SQL = ("(SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, o_totalprice *
         UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {_SRC_SQL} WHERE op <> 'delete'""",
 )
 def q_stream_upsert(spark, d):
+    """Two micro-batches: the newest changes, then late ones of the same keys, which lose."""
     from lakeloom.plans.io import _prev, _src
 
     log, changes = scratch(spark, "su-log"), scratch(spark, "su-changes")
-    src = _src(spark, d)
-    src.write.mode("overwrite").parquet(changes)
-    stream = spark.readStream.schema(src.schema).parquet(changes)
-    st.stream_upsert(stream, log, scratch(spark, "su-ckpt"))
-    return st.upserted(_prev(spark, d), log, "o_orderkey", spark, delete_column="op")
+    new = _src(spark, d).withColumn("seq", F.lit(2))
+    late = new.withColumn("seq", F.lit(1)).withColumn("op", F.lit("upsert")).withColumn("o_totalprice", F.lit(0.0).cast(new.schema["o_totalprice"].dataType))
+    for rows in (new, late):
+        rows.coalesce(1).write.mode("append").parquet(changes)
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(changes)
+    st.stream_upsert(stream, log, scratch(spark, "su-ckpt"), "o_orderkey", "seq")
+    st.compact_changes(spark, log, "o_orderkey")
+    return st.upserted(_prev(spark, d), log, "o_orderkey", spark, delete_column="op").drop("seq")
+
+
+def _stream_changes_sql():
+    from lakeloom.plans.io import _CHANGES_SQL, _PREV_SQL
+
+    return (f"SELECT *, TIMESTAMP '2024-02-01' AS changed_at FROM ({_CHANGES_SQL}) "
+            f"UNION ALL SELECT *, 'insert', TIMESTAMP '2024-01-01' FROM {_PREV_SQL}")
+
+
+@query("stream_changes", _stream_changes_sql())
+def q_stream_changes(spark, d):
+    """The feed is stopped after the first snapshot and resumed after the second."""
+    from lakeloom.plans.io import _V1, _V2, _current, _prev
+    from lakeloom.sources import tables
+
+    path, sink, ckpt = scratch(spark, "feed-src"), scratch(spark, "feed"), scratch(spark, "feed-ckpt")
+    for rows, when in ((_prev(spark, d), _V1), (_current(spark, d), _V2)):
+        tables.write_snapshot(rows, path, when)
+        st.stream_changes(spark, path, "o_orderkey", sink, ckpt)
+    return spark.read.parquet(sink).drop("at")
 
 
 # ----------------------------------------------------------- SQL and code

@@ -125,9 +125,9 @@ def merge_table(df: DataFrame, path: str, conflict_columns, delete_column: str |
 
 
 def write_snapshot(df: DataFrame, path: str, when: _dt.datetime) -> None:
-    """Add the rows of ``df`` as the snapshot of ``when``."""
+    """Store the rows of ``df`` as the snapshot of ``when``; repeated, it replaces it."""
     stamp = F.lit(when.isoformat(sep=" ")).alias(SNAPSHOT)
-    df.select("*", stamp).write.mode("append").partitionBy(SNAPSHOT).parquet(path)
+    df.select("*", stamp).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SNAPSHOT).parquet(path)
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,14 @@ load."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import DateType, DoubleType, FloatType, IntegralType, StringType, StructType, TimestampNTZType, TimestampType
 
 from lakeloom.core import col_list
 
@@ -73,27 +78,132 @@ def stream_dedupe(events: DataFrame, keys, ts_column: str, watermark: str = "1 h
     return event_time(events, ts_column).withWatermark(ts_column, watermark).dropDuplicatesWithinWatermark(col_list(keys))
 
 
-def stream_upsert(changes: DataFrame, log_path: str, checkpoint: str, stream: str = "changes", trigger_once: bool = True):
-    """Store every micro-batch of a change stream under ``log_path``, by stream
-    name and batch id. A replayed batch overwrites its own folder, so it counts
-    once; other streams and new checkpoints take other names and lose nothing.
-    ``upserted`` gives the current rows."""
+def _order_key(df: DataFrame, column: str):
+    """The order column as a value that state can hold: a number or a text."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(c), "long"
+    if isinstance(kind, TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp")), "long"
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("long"), "long"
+    if isinstance(kind, IntegralType):
+        return c.cast("long"), "long"
+    if isinstance(kind, (FloatType, DoubleType)):
+        return c.cast("double"), "double"
+    if isinstance(kind, StringType):
+        return c, "string"
+    raise ValueError(f"stream_upsert: {column} is no order ({kind.simpleString()})")
+
+
+def _newest(expire_ms: int | None):
+    """Per key: the newest change so far is kept as state; a batch that brings a newer one
+    emits it, older ones are dropped."""
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = state.get if state.exists else None
+        best, row = known, None
+        for frame in frames:
+            for at, tie, i in zip(frame["__order"], frame["__tie"], range(len(frame))):
+                at = at.item() if hasattr(at, "item") else at
+                if at == at and (best is None or (at, int(tie)) > tuple(best)):
+                    best, row = (at, int(tie)), frame.iloc[[i]]
+        if row is not None:
+            state.update(best)
+            if expire_ms:
+                state.setTimeoutDuration(expire_ms)
+            yield row
+        elif known is not None and expire_ms:
+            state.setTimeoutDuration(expire_ms)
+
+    return run
+
+
+def stream_upsert(changes: DataFrame, log_path: str, checkpoint: str, keys, order_column: str, expire_hours: float | None = None,
+                  trigger_once: bool = True):
+    """Follow a change stream and store, per micro-batch, the changes that are the newest
+    of their key so far.
+
+    The newest (order value, row hash) of every key is keyed state in the checkpoint, so a
+    change that comes late, in whatever batch, is dropped; rows without an order value or
+    key are dropped too. ``expire_hours`` bounds the state of a running stream (not of one
+    that is drained) to keys changed that recently; a late change of another key is then
+    stored, and loses when the log is read. Batches lie
+    under the query's own id from its checkpoint: a replay overwrites its batch, and other
+    streams on the same log lose nothing. ``upserted`` gives the current rows,
+    ``compact_changes`` folds the log."""
+    if expire_hours and trigger_once:
+        raise ValueError("stream_upsert: expire_hours needs a running stream (trigger_once=False)")
+    ks = col_list(keys)
+    order, kind = _order_key(changes, order_column)
+    rows = changes.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*ks, order_column]])) \
+        .withColumn("__order", order).withColumn("__tie", F.xxhash64(*changes.columns))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout
+    found = rows.groupBy(*ks).applyInPandasWithState(
+        _newest(int(expire_hours * 3_600_000) if expire_hours else None), rows.schema, f"o {kind}, t long", "update", timeout)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("arrived", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{log_path.rstrip('/')}/stream={stream}/batch={batch_id}")
+        with_id = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+        batch.write.mode("overwrite").parquet(f"{log_path.rstrip('/')}/stream={json.loads(with_id)['id']}/batch={batch_id}")
+
+    return _drain(found.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint), trigger_once)
+
 
-    return _drain(changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), trigger_once)
+def _folded(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest stored change of every key: a grouped maximum."""
+    rest = [c for c in log.columns if c not in (*keys, "stream", "batch")]
+    best = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__order", "__tie")).alias("__best"))
+    return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
 
 
 def upserted(target: DataFrame | None, log_path: str, keys, spark: SparkSession, delete_column: str | None = None,
              delete_value: str = "delete") -> DataFrame:
-    """``target`` with the stored changes applied, the latest change of a key last."""
+    """``target`` with the stored changes applied, the newest change of a key."""
     from lakeloom.sources import tables
 
-    log = spark.read.parquet(log_path).withColumn("__order", F.struct("arrived", "stream", "batch")).drop("arrived", "stream", "batch")
-    out = tables.upsert_rows(target, log, keys, delete_column, delete_value, on_duplicate="last", order_column="__order")
-    return out.drop("__order")
+    log = _folded(spark.read.parquet(log_path), col_list(keys)).drop("__order", "__tie")
+    return tables.upsert_rows(target, log, keys, delete_column, delete_value)
+
+
+def compact_changes(spark: SparkSession, log_path: str, keys) -> None:
+    """Fold the log: one row per key in a folder of its own, written before the folders it
+    replaces are deleted. Reading takes the newest change per key, so a run that stops in
+    between leaves the result as it is; batches that arrive meanwhile stay."""
+    root = log_path.rstrip("/")
+    log = spark.read.parquet(root)
+    done = [(r[0], r[1]) for r in log.select("stream", "batch").distinct().collect()]  # one row per stored batch
+    _folded(log, col_list(keys)).write.parquet(f"{root}/stream=folded-{uuid.uuid4().hex}/batch=0")
+    for stream, batch in done:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/stream={stream}/batch={batch}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stream_changes(spark: SparkSession, snapshot_path: str, keys, sink_path: str, checkpoint: str, trigger_once: bool = True):
+    """A change feed that resumes: the snapshots' files are a file stream, so the checkpoint
+    knows which snapshots are done. Each new one is compared with the snapshot before it and
+    its changes are stored under its time; a replay or a rewritten snapshot overwrites them."""
+    from lakeloom.sources import tables
+
+    schema = spark.read.parquet(snapshot_path).schema
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        times = sorted(r[0] for r in batch.select(tables.SNAPSHOT).distinct().collect())  # one row per new snapshot
+        every = tables.snapshots(session, snapshot_path)
+        for time in times:
+            at = F.lit(time).cast("timestamp_ntz")
+            before = every.where(F.col(tables.SNAPSHOT) < at).agg(F.max(tables.SNAPSHOT)).first()[0]
+            new = every.where(F.col(tables.SNAPSHOT) == at).drop(tables.SNAPSHOT)
+            old = new.limit(0) if before is None else tables.read_as_of(session, snapshot_path, before)
+            stamp = F.date_format(at, "yyyyMMddHHmmssSSSSSS")
+            name = session.range(1).select(stamp).first()[0]
+            tables.change_feed(old, new, keys).withColumn("changed_at", at).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/at={name}")
+
+    stream = spark.readStream.schema(schema).parquet(snapshot_path).select(tables.SNAPSHOT)
+    return _drain(stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), trigger_once)
 
 
 def _drain(writer, trigger_once: bool):

@@ -99,20 +99,71 @@ def test_change_feed(spark, tmp_dir):
     assert first.count() == 3
 
 
-def test_stream_upsert_loses_no_batch(spark, tmp_dir):
-    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
-    log = os.path.join(tmp_dir, "log")
+def _follow(spark, tmp_dir, log, name, batches, ckpt=None, **kw):
+    """Write each batch as one file, drain the stream after it."""
+    src, schema = os.path.join(tmp_dir, f"src-{name}"), "id int, v string, op string, at timestamp"
+    for rows in batches:
+        rows = [(i, v, op, None if at is None else dt.datetime(2024, 1, at)) for i, v, op, at in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        st.stream_upsert(spark.readStream.schema(schema).parquet(src), log, os.path.join(tmp_dir, ckpt or f"ckpt-{name}"), "id", "at", **kw)
+
 
-    def run(name, rows, ckpt):
-        src = os.path.join(tmp_dir, f"src-{name}")
-        spark.createDataFrame(rows, "id int, v string, op string").write.mode("overwrite").parquet(src)
-        st.stream_upsert(spark.readStream.schema("id int, v string, op string").parquet(src), log, os.path.join(tmp_dir, ckpt), stream=name)
+def test_stream_upsert_keeps_the_newest_change_of_every_key(spark, tmp_dir):
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (9, "z")], "id int, v string")
+    log = os.path.join(tmp_dir, "log")
 
-    run("one", [(2, "B", None), (3, "c", None)], "c1")
-    run("two", [(4, "d", None), (1, "x", "delete")], "c2")  # a second stream with its own checkpoint
-    run("two", [(4, "d", None), (1, "x", "delete")], "c3")  # the same batch replayed
-    got = sorted(tuple(r) for r in st.upserted(target, log, "id", spark, delete_column="op").collect())
-    assert got == [(2, "B"), (3, "c"), (4, "d")]
+    def now():
+        return sorted(tuple(r) for r in st.upserted(target, log, "id", spark, delete_column="op").select("id", "v").collect())
+
+    _follow(spark, tmp_dir, log, "one", [
+        [(2, "old", None, 3), (2, "B", None, 5), (3, "c", None, 1), (7, "no order", None, None)],
+        [(2, "late", None, 4), (3, "x", "delete", 2), (5, "e", None, 1)],  # an older change of key 2 comes late
+        [(3, "again", None, 9), (5, "late delete", "delete", 1)],
+    ])
+    assert now()[:3] == [(1, "a"), (2, "B"), (3, "again")] and (9, "z") in now()
+    stored = spark.read.parquet(log)
+    assert stored.where("v = 'late'").count() == 0 and stored.where("v = 'no order'").count() == 0
+    _follow(spark, tmp_dir, log, "two", [[(4, "d", None, 1), (1, "x", "delete", 1)]])  # a second stream, another checkpoint
+    before = now()
+    assert (4, "d") in before and all(i != 1 for i, _ in before) and (3, "again") in before
+    _follow(spark, tmp_dir, log, "two", [[]], ckpt="ckpt-replayed")  # the same changes under a new checkpoint
+    assert now() == before
+    st.compact_changes(spark, log, "id")
+    assert now() == before
+    folded = spark.read.parquet(log)
+    assert folded.count() == folded.select("id").distinct().count()
+    _follow(spark, tmp_dir, log, "one", [[(2, "newest", None, 20)]])
+    assert (2, "newest") in now()
+    with pytest.raises(ValueError, match="running"):
+        _follow(spark, tmp_dir, log, "one", [[]], expire_hours=1)
+
+
+def test_repeated_snapshot_replaces_itself(spark, tmp_dir):
+    path, jan, feb = os.path.join(tmp_dir, "snap"), dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    for _ in range(2):
+        tables.write_snapshot(rows, path, jan)
+    tables.write_snapshot(rows.where("id = 1"), path, feb)
+    assert tables.read_as_of(spark, path, jan).count() == 2 and tables.read_as_of(spark, path, feb).count() == 1
+
+
+def test_change_feed_resumes_once_per_snapshot(spark, tmp_dir):
+    path, sink, ckpt = (os.path.join(tmp_dir, x) for x in ("s", "sink", "ckpt"))
+
+    def add(day, *rows):
+        tables.write_snapshot(spark.createDataFrame(list(rows), "id int, v string"), path, dt.datetime(2024, 1, day))
+
+    def feed():
+        st.stream_changes(spark, path, "id", sink, ckpt)
+        return sorted((r.changed_at.day, r.id, r.v, r.change_type) for r in spark.read.parquet(sink).collect())
+
+    add(1, (1, "a"), (2, "b"))
+    first = [(1, 1, "a", "insert"), (1, 2, "b", "insert")]
+    assert feed() == first and feed() == first
+    add(2, (1, "a"), (2, "c"))
+    add(3, (2, "c"), (3, "d"))  # two new snapshots between restarts
+    want = first + [(2, 2, "b", "update_preimage"), (2, 2, "c", "update_postimage"), (3, 1, "a", "delete"), (3, 3, "d", "insert")]
+    assert feed() == want and feed() == want
 
 
 def test_pii_guard(spark):
@@ -169,3 +220,42 @@ def test_write_json_array_document(spark, tmp_dir):
     writers.write_json(df, os.path.join(tmp_dir, "arr"), "array")
     text = "".join(open(f).read() for f in sorted(glob.glob(os.path.join(tmp_dir, "arr", "part-*"))))
     assert sorted(r["id"] for r in json.loads(text)) == list(range(30))
+
+
+def test_csv_padding_only_pads(spark, tmp_dir):
+    def csv(name, text):
+        path = os.path.join(tmp_dir, name)
+        with open(path, "w", newline="") as f:
+            f.write(text)
+        return path
+
+    schema = "a int, b int, s string"
+    short = csv("short.csv", "a,b,s\n1\n2,3\n4,5,\"x, y\"\n")
+    got = sorted(tuple(r) for r in readers.read_csv(spark, short, schema=schema, null_padding=True).collect())
+    assert got == [(1, None, None), (2, 3, None), (4, 5, "x, y")]
+    for bad in ("a,b,s\n1,x\n", "a,b,s\n3,4,t,5\n"):
+        path = csv("bad.csv", bad)
+        with pytest.raises(Exception):
+            readers.read_csv(spark, path, schema=schema, null_padding=True).collect()
+        assert readers.read_csv(spark, path, schema=schema, null_padding=True, ignore_errors=True).collect() == []
+
+
+def test_csv_skips_lines_and_keeps_quoted_line_ends_in_many_tasks(spark, tmp_dir):
+    rows = [(i, "text " + "\n" * (i % 4 == 0) + f'of "{i}", more' + "\nlast" * (i % 7 == 0)) for i in range(400)]
+    for name, part in (("a.csv", rows[:300]), ("b.csv", rows[300:])):
+        with open(os.path.join(tmp_dir, name), "w", newline="") as f:
+            f.write("made by a tool\non a day, at a time\nid,t\n")
+            for i, t in part:
+                quoted = t.replace('"', '""')
+                f.write(f'{i},"{quoted}"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        df = readers.read_csv(spark, tmp_dir, skip_lines=2, multi_line=True, schema="id int, t string", read_options={"escape": '"'})
+        assert sorted(tuple(r) for r in df.collect()) == rows
+        assert df.rdd.getNumPartitions() > 4
+        flat = readers.read_csv(spark, os.path.join(tmp_dir, "b.csv"), skip_lines=2, multi_line=True, read_options={"escape": '"'})
+        assert flat.dtypes == [("id", "int"), ("t", "string")] and flat.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
