@@ -302,4 +302,34 @@ def _regions(spark, d):
                                       AND p.y BETWEEN 0.5 AND 24.5""",
 )
 def q_join_spatial(spark, d):
-    return geo.join_spatial(_points(spark, d), _regions(spark, d), "geom", "area", cell=4.0)
+    return geo.join_spatial(_points(spark, d), _regions(spark, d), "geom", "area", "within")
+
+
+# A level line per customer from (x, y) to (x + 3, y); a region is the strip of x between
+# 20 r + 0.5 and 20 r + 15.5 for y between 0.5 and 24.5, so the line meets it if both
+# ranges overlap. Lines of odd keys are drawn as thin rectangles.
+_LINE_SQL = f"""SELECT p.c_custkey, r.r_regionkey FROM {_PT_SQL} p JOIN region r
+  ON p.x <= r.r_regionkey * 20 + 15.5 AND p.x + 3 >= r.r_regionkey * 20 + 0.5 AND p.y + (p.c_custkey % 2) * 0.25 >= 0.5 AND p.y <= 24.5"""
+
+
+def _lines(spark, d):
+    c = Tables(spark, d).customer.select("c_custkey", F.pmod("c_custkey", F.lit(97)).alias("x"), F.col("c_nationkey").alias("y"))
+    line = F.format_string("LINESTRING(%d %d, %d %d)", "x", "y", F.col("x") + 3, "y")
+    box = F.format_string("POLYGON((%d %d, %d %d, %d %d.25, %d %d.25, %d %d))", "x", "y", F.col("x") + 3, "y", F.col("x") + 3, "y", "x", "y", "x", "y")
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, line).otherwise(box).alias("geom"))
+
+
+@query("join_spatial_shapes", _LINE_SQL)
+def q_join_spatial_shapes(spark, d):
+    """Lines and polygons on the left."""
+    out = geo.join_spatial(_lines(spark, d), _regions(spark, d), "geom", "area", "intersects")
+    return out.select("c_custkey", "r_regionkey")
+
+
+@query(
+    "geo_intersects_shapes",
+    f"SELECT c_custkey, x <= 60.5 AND x + 3 >= 10.5 AND y + (c_custkey % 2) * 0.25 >= 0.5 AND y <= 12.5 AS intersects FROM {_PT_SQL}",
+)
+def q_geo_intersects_shapes(spark, d):
+    out = geo.geo_intersects(_lines(spark, d), "geom", "POLYGON((10.5 0.5, 60.5 0.5, 60.5 12.5, 10.5 12.5, 10.5 0.5))")
+    return out.select("c_custkey", "intersects")

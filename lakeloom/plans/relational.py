@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import aggregate as agg
 from lakeloom.operators import columns as cols
 from lakeloom.operators import joins as jn
-from lakeloom.operators import rows
+from lakeloom.operators import rows, sketches
 from lakeloom.operators import windows as win
 from lakeloom.plans.registry import Tables, query
 
@@ -360,14 +360,58 @@ def q_count_distinct(spark, d):
     return agg.count_distinct(Tables(spark, d).orders, "o_custkey", "o_orderstatus", "customers")
 
 
-@query("approx_distinct")
+# Estimates are checked against the exact figures: the SQL states what must hold.
+_DISTINCT_SQL = "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS customers, TRUE AS near FROM orders GROUP BY o_orderstatus"
+_MEDIAN_SQL = "SELECT l_returnflag, COUNT(*) AS n, TRUE AS near FROM lineitem GROUP BY l_returnflag"
+
+
+def _distinct_check(orders, estimates, bound: float):
+    """``estimates``: o_orderstatus, estimate. Near: within ``bound`` of the exact count."""
+    exact = orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"))
+    return exact.join(estimates, "o_orderstatus").select(
+        "o_orderstatus", "customers", (F.abs(F.col("estimate") / F.col("customers") - 1) <= bound).alias("near"))
+
+
+def _median_check(lines, estimates, bound: float):
+    """``estimates``: l_returnflag, estimate. Near: its rank is within ``bound`` of the middle."""
+    held = lines.join(estimates, "l_returnflag").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("l_extendedprice") < F.col("estimate")).cast("double")).alias("below"),
+        F.avg((F.col("l_extendedprice") <= F.col("estimate")).cast("double")).alias("upto"))
+    return held.select("l_returnflag", "n", ((F.col("below") <= 0.5 + bound) & (F.col("upto") >= 0.5 - bound)).alias("near"))
+
+
+@query("approx_distinct", _DISTINCT_SQL)
 def q_approx_distinct(spark, d):
-    return agg.approx_distinct(Tables(spark, d).orders, "o_custkey", "o_orderstatus", "customers")
+    orders = Tables(spark, d).orders
+    return _distinct_check(orders, agg.approx_distinct(orders, "o_custkey", "o_orderstatus", "estimate"), 0.04)
 
 
-@query("approx_quantile")
+@query("approx_quantile", _MEDIAN_SQL)
 def q_approx_quantile(spark, d):
-    return agg.approx_quantile(Tables(spark, d).lineitem, "l_extendedprice", 0.5, "l_returnflag")
+    lines = Tables(spark, d).lineitem
+    found = agg.approx_quantile(lines, "l_extendedprice", 0.5, "l_returnflag")
+    return _median_check(lines, found.withColumnRenamed("l_extendedprice_q50", "estimate"), 0.001)
+
+
+@query("approx_distinct_merged", _DISTINCT_SQL)
+def q_approx_distinct_merged(spark, d):
+    """Sketches per status and day are stored, then merged per status."""
+    from lakeloom.plans.io import scratch
+
+    orders, path = Tables(spark, d).orders, scratch(spark, "hll")
+    sketches.sketch_groups(orders, ["o_orderstatus", "o_orderdate"], distinct="o_custkey").write.parquet(path)
+    merged = sketches.merge_groups(spark.read.parquet(path), "o_orderstatus")
+    return _distinct_check(orders, merged.select("o_orderstatus", sketches.distinct_estimate("o_custkey").alias("estimate")), 0.08)
+
+
+@query("approx_quantile_merged", _MEDIAN_SQL)
+def q_approx_quantile_merged(spark, d):
+    from lakeloom.plans.io import scratch
+
+    lines, path = Tables(spark, d).lineitem, scratch(spark, "kll")
+    sketches.sketch_groups(lines, ["l_returnflag", "l_linestatus", "l_linenumber"], quantiles="l_extendedprice").write.parquet(path)
+    merged = sketches.merge_groups(spark.read.parquet(path), "l_returnflag")
+    return _median_check(lines, merged.select("l_returnflag", sketches.quantile_estimate("l_extendedprice", 0.5).alias("estimate")), 0.03)
 
 
 @query(

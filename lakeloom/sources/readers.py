@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeloom.core import checkpoint_dir, col_list, strptime_to_java
+from lakeloom.sources import csv_records
 
 
 def _apply_declared(df: DataFrame, declared: list[dict] | None) -> DataFrame:
@@ -42,13 +43,15 @@ def read_csv(
     null_value: str | None = None, skip_lines: int = 0, encoding: str = "UTF-8", ignore_errors: bool = False,
     filename: bool = False, date_format: str | None = None, timestamp_format: str | None = None,
     schema: StructType | str | None = None, columns: list[dict] | None = None, read_options: dict | None = None,
-    null_padding: bool = False,
+    null_padding: bool = False, multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text. ``ignore_errors`` drops malformed rows, else the read
     fails fast; ``null_padding`` fills the missing fields of short rows with
-    NULL. ``skip_lines`` skips leading lines of each file."""
+    NULL and nothing else (surplus fields and unreadable values are malformed);
+    ``skip_lines`` skips leading lines of each file; ``multi_line`` keeps line ends
+    inside quotes. Files are split over tasks in every case (these three read UTF-8)."""
     r = spark.read.option("header", has_header).option("sep", delimiter).option("quote", quote_char)
-    r = r.option("encoding", encoding).option("mode", "PERMISSIVE" if null_padding else "DROPMALFORMED" if ignore_errors else "FAILFAST")
+    r = r.option("encoding", encoding).option("mode", "DROPMALFORMED" if ignore_errors else "FAILFAST")
     if null_value is not None:
         r = r.option("nullValue", null_value)
     if date_format:
@@ -57,24 +60,20 @@ def read_csv(
         r = r.option("timestampNTZFormat", strptime_to_java(timestamp_format))
     for k, v in (read_options or {}).items():
         r = r.option(k, v)
-    if skip_lines:
-        # Skip physical lines per file: read as text with line positions,
-        # then hand the remaining lines to the CSV parser.
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"))
-        from pyspark.sql import Window
-
-        numbered = lines.withColumn("__i", F.monotonically_increasing_id())
-        w = Window.partitionBy("__f").orderBy("__i")
-        kept = numbered.withColumn("__n", F.row_number().over(w)).where(F.col("__n") > skip_lines)
-        r2 = r if schema is None else r.schema(schema)
-        if schema is None:
-            r2 = r2.option("inferSchema", True)
-        df = r2.csv(kept.select("value").rdd.map(lambda x: x[0]))
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    if skip_lines or null_padding or multi_line:
+        if filename or encoding.upper() not in ("UTF-8", "UTF8"):
+            raise ValueError("read_csv: skip_lines, null_padding and multi_line read UTF-8 and give no file name")
+        rows = csv_records.records(spark, path, quote_char, skip_lines, multi_line)
+        if null_padding:
+            if schema is not None:
+                fields = len(spark.createDataFrame([], schema).columns)
+            else:  # as many as the first record has
+                first = rows.select(csv_records.fields_of(F.col("value"), delimiter, quote_char)).first()
+                fields = first[0] if first else 1
+            rows = csv_records.padded(rows, delimiter, quote_char, fields, null_value or "")
+        df = csv_records.parse(r, rows)
     else:
-        if schema is not None:
-            r = r.schema(schema)
-        else:
-            r = r.option("inferSchema", True)
         df = r.csv(path)
     if filename:
         df = df.withColumn("filename", F.col("_metadata.file_path"))
@@ -87,7 +86,11 @@ def read_csv_split(spark: SparkSession, path: str, columns: list[dict], **kw):
     from lakeloom.core import Split
     from lakeloom.operators.columns import spark_type
 
-    raw = spark.read.option("header", kw.get("has_header", True)).option("sep", kw.get("delimiter", ",")).csv(path)
+    r = spark.read.option("header", kw.get("has_header", True)).option("sep", kw.get("delimiter", ","))
+    r = r.option("quote", kw.get("quote_char", '"')).option("encoding", kw.get("encoding", "UTF-8"))
+    if kw.get("null_value") is not None:
+        r = r.option("nullValue", kw["null_value"])
+    raw = r.csv(path)
     typed, bad = {}, []
     for c in columns:
         name = c["name"]
