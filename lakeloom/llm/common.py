@@ -12,9 +12,31 @@ from pyspark.sql import functions as F
 from lakeloom.core import checkpoint_dir
 
 
+_watchers: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    for made in _watchers:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def watching():
+    """The list of scratch paths that are made meanwhile."""
+    made: list[str] = []
+    _watchers.append(made)
+    try:
+        yield made
+    finally:
+        _watchers.remove(made)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -45,10 +67,8 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any more."""
     files = df.inputFiles()
     if files:
-        context = df.sparkSession.sparkContext
         at = files[0].index("/llm/") + len("/llm/")  # scratch() names the folder
-        path = context._jvm.org.apache.hadoop.fs.Path(files[0][:files[0].index("/", at)])
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, files[0][:files[0].index("/", at)])
 
 
 def uniform(*parts) -> "F.Column":

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, staged
 from .registry import query, table
-from .textbytes import LOWER, NON_SPACE, gram_hashes, mix64, spans, text_slices, word_hashes, words
+from .textbytes import LOWER, NON_SPACE, gram_hashes, mix64, spans, text_slices, tidy, word_hashes, words
 
 CHUNK = 256
 _U = np.uint64
@@ -208,7 +208,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, target_r
     ``component_id``, ``class_id`` (smallest id in the component) and ``copies``
     (documents with the same words)."""
     bands, rows = choose_bands(threshold, target_recall, max_hashes)
-    signed = staged(docs.select("id", "text").mapInArrow(signature_batches(k, bands, rows, seed),
+    signed = staged(docs.select("id", "text").mapInArrow(tidy(signature_batches(k, bands, rows, seed)),
                                                          "id long, c1 long, c2 long, bands array<long>"), "signatures")
     classes = signed.groupBy("c1", "c2").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"),
                                              F.min("bands").alias("bands"))
@@ -228,7 +228,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: float = 0.8, target_r
     lists = staged(lists, "lists")
     wanted = lists.select(F.col("min_id").alias("rep")).distinct()
     texts = (docs.select("id", "text").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-             .mapInArrow(set_batches(k), "c1 long, c2 long, shingles binary"))
+             .mapInArrow(tidy(set_batches(k)), "c1 long, c2 long, shingles binary"))
     # an id may stand on other rows too, and a row may be repeated
     sets = (texts.join(lists.hint("merge"), ["c1", "c2"]).groupBy("c1", "c2", "cid", "copies", "buckets")
             .agg(F.min("shingles").alias("shingles")).select("cid", "copies", "buckets", "shingles"))
@@ -260,7 +260,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     best = (groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "c1", "c2")).alias("b"))
             .select(F.col("b.id").alias("__id"), F.col("b.c1").alias("__b1"), F.col("b.c2").alias("__b2")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hashed = docs.mapInArrow(hash_batches, f"{fields}, __c1 long, __c2 long")
+    hashed = docs.mapInArrow(tidy(hash_batches), f"{fields}, __c1 long, __c2 long")
     kept = hashed.join(best.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c1") == F.col("__b1"))
                        & (F.col("__c2") == F.col("__b2")), "left_semi")
     once = Window.partitionBy("doc_id", "__c1", "__c2").orderBy("text")
