@@ -34,8 +34,10 @@ def test_base64_roundtrip_utf8(spark):
 def test_similarity_scores(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("foo", "foo"), ("abc", "xyz")], "a string, b string")
     assert one(st.text_similarity(df, "a", "b", "levenshtein", "s"), "s") == [3, 0, 3]
-    assert abs(st.jaro_winkler_py("martha", "marhta") - 0.9611111) < 1e-6
-    assert st.damerau_py("ca", "abc") == 2  # unrestricted form (OSA gives 3)
+    two = spark.createDataFrame([("martha", "marhta", "ca", "abc"), (None, "x", "x", None)], "a string, b string, c string, d string")
+    jw = one(st.text_similarity(two, "a", "b", "jaro_winkler", "s"), "s")
+    assert abs(jw[0] - 0.9611111) < 1e-6 and jw[1] is None
+    assert one(st.text_similarity(two, "c", "d", "damerau_levenshtein", "s"), "s") == [2, None]  # unrestricted form (OSA gives 3)
 
 
 def test_url_and_ip(spark):
