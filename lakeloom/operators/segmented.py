@@ -159,7 +159,7 @@ def keyed_shift(df: DataFrame, keys, order, column: str, offset: int = 1, output
 
 
 def _with_carries(rows: DataFrame, keys: list[str], carried: dict[str, tuple], reverse: bool = False) -> DataFrame:
-    """``rows`` and, for each hot slice, one more row at its start (end) that holds what
+    """``rows`` and, for each hot slice, one more row that comes first and holds what
     the slices before (after) it leave: ``carried`` maps a column to (aggregate of a
     slice, aggregate over slices). Marked by ``__w_own`` = false."""
     per = _hot(rows).groupBy(*keys, SLICE).agg(*[a.alias(c) for c, (a, _) in carried.items()])
@@ -169,11 +169,12 @@ def _with_carries(rows: DataFrame, keys: list[str], carried: dict[str, tuple], r
 
 
 def _carry_window(keys: list[str], reverse: bool = False):
-    """In place order, a slice's carry row first (last)."""
+    """In place order (``reverse``: from the last place back), a slice's carry row first.
+    The frame always grows: one that shrinks to the end of the slice is built anew for
+    every row, which is quadratic."""
     w = Window.partitionBy(*[F.col(k) for k in keys], F.col(SLICE))
-    first = F.col("__w_own").asc() if not reverse else F.col("__w_own").desc()
-    w = w.orderBy(first, F.col(PLACE))
-    return w.rowsBetween(Window.currentRow, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = w.orderBy(F.col("__w_own").asc(), F.col(PLACE).desc() if reverse else F.col(PLACE))
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def keyed_running(df: DataFrame, keys, order, column: str, function: str = "sum", output: str | None = None) -> DataFrame:
@@ -216,11 +217,10 @@ def keyed_fill(df: DataFrame, keys, order, column: str, backward: bool = False)
     """Fill NULLs from the last (or next) non-NULL value of the same key."""
     ks, od = col_list(keys), col_list(order)
     rows = sliced(df, ks, od, _hashable(df)).withColumn("__w_v", F.col(column))
-    pick, over = (F.min_by, F.last) if backward else (F.max_by, F.last)
+    pick = F.min_by if backward else F.max_by
     at = F.when(F.col("__w_v").isNotNull(), F.col(PLACE))
-    rows = _with_carries(rows, ks, {"__w_v": (pick("__w_v", at), lambda c: over(c, ignorenulls=True))}, reverse=backward)
-    f = F.first if backward else F.last
-    filled = f("__w_v", ignorenulls=True).over(_carry_window(ks, backward))
+    rows = _with_carries(rows, ks, {"__w_v": (pick("__w_v", at), lambda c: F.last(c, ignorenulls=True))}, reverse=backward)
+    filled = F.last("__w_v", ignorenulls=True).over(_carry_window(ks, backward))
     return rows.withColumn("__w_got", filled).where("__w_own").withColumn(column, F.col("__w_got")).select(*df.columns)
 
 
