@@ -186,14 +186,15 @@ def fill_backward(df: DataFrame, column: str, order_by, partition_by=None, skew_
 
         return keyed_fill(df, keys, order, column, backward=True)
     if keys:
-        w = Window.partitionBy(*keys).orderBy(*_asc(order)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return df.withColumn(column, F.first(F.col(column), ignorenulls=True).over(w))
+        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order])
+        return df.withColumn(column, F.last(F.col(column), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     numbered = range_numbered(df, order, split_ties=True)
-    wl = Window.partitionBy("__pid").orderBy(*_asc(order), F.col("__lrn")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = numbered.withColumn("__f", F.first(F.col(column), ignorenulls=True).over(wl))
+    # from the last row back: a frame that shrinks to the end is built anew for every row
+    wl = Window.partitionBy("__pid").orderBy(F.col("__lrn").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = numbered.withColumn("__f", F.last(F.col(column), ignorenulls=True).over(wl))
     per = numbered.groupBy("__pid").agg(F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("__lrn"))).alias("__first"))
-    wp = Window.orderBy("__pid").rowsBetween(1, Window.unboundedFollowing)
-    carry = per.select("__pid", F.first("__first", ignorenulls=True).over(wp).alias("__carry"))
+    wp = Window.orderBy(F.col("__pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select("__pid", F.last("__first", ignorenulls=True).over(wp).alias("__carry"))
     j = local.join(F.broadcast(carry), "__pid")
     return j.withColumn(column, F.coalesce(F.col("__f"), F.col("__carry"))).select(*df.columns)
 

@@ -103,3 +103,15 @@ def test_sessions(table):
 def test_plan_has_no_second_shuffle(table):
     plan = windows.sessionize(table, "n", "at", 5)._jdf.queryExecution().toString()
     assert "__pid" not in plan
+
+
+def test_backward_fills_read_every_row_once(table):
+    """A frame that shrinks to the end of its partition is built anew for each row."""
+    for keys, skew_safe in ((["n"], True), (["n"], False), (None, True)):
+        plan = windows.fill_backward(table, "x", ORDER, keys, skew_safe=skew_safe)._jdf.queryExecution().toString()
+        assert "unboundedfollowing" not in plan.lower()
+
+
+def test_backward_fill_of_everything(table):
+    up = F.first("x", ignorenulls=True).over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in ORDER]).rowsBetween(0, Window.unboundedFollowing))
+    same(windows.fill_backward(table, "x", ORDER), table.withColumn("x", up))
