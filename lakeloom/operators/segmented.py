@@ -15,6 +15,8 @@ columns (nulls last) and, where ties may be split, a hash of the row."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -116,14 +118,20 @@ def _hashable(df: DataFrame) -> list[str]:
 
 
 def keyed_rank(df: DataFrame, keys, order, output: str = "rank", dense: bool = False) -> DataFrame:
-    """``rank`` / ``dense_rank`` per key. Equal order values share a slice, so the local
-    rank plus the rows (or distinct order values) of earlier slices is exact."""
+    """``rank`` / ``dense_rank`` per key. Rows of equal order values have one rank, so the
+    distinct values are counted and numbered, and a row finds its rank by an equi-join: rows
+    of one value need not meet in a task."""
     ks, od = col_list(keys), col_list(order)
-    rows = sliced(df, ks, od, None)
-    rows = rows.withColumn("__w_r", (F.dense_rank() if dense else F.rank()).over(_window(ks, od, False)).cast("bigint"))
-    measure = F.max("__w_r") if dense else F.count(F.lit(1))
-    rows = attach(rows, _earlier(rows, ks, __w_before=measure), [*ks, SLICE])
-    return rows.withColumn(output, F.col("__w_r") + F.coalesce(F.col("__w_before"), F.lit(0)).cast("bigint")).select(*df.columns, output)
+    on = list(dict.fromkeys([*ks, *od]))
+    values = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__r_n"))
+    if dense:
+        values = keyed_row_number(values, ks, od, "__r_at")
+    else:
+        values = keyed_running(values, ks, od, "__r_n", "sum", "__r_at").withColumn("__r_at", F.col("__r_at") - F.col("__r_n") + 1)
+    names = {c: f"__j{i}" for i, c in enumerate(on)}
+    values = values.select(*[F.col(c).alias(j) for c, j in names.items()], "__r_at")
+    rows = df.join(values, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(j)) for c, j in names.items()]))
+    return rows.withColumn(output, F.col("__r_at").cast("bigint")).select(*df.columns, output)
 
 
 def keyed_ntile(df: DataFrame, keys, order, buckets: int, output: str = "ntile") -> DataFrame:

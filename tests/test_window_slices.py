@@ -115,3 +115,13 @@ def test_backward_fills_read_every_row_once(table):
 def test_backward_fill_of_everything(table):
     up = F.first("x", ignorenulls=True).over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in ORDER]).rowsBetween(0, Window.unboundedFollowing))
     same(windows.fill_backward(table, "x", ORDER), table.withColumn("x", up))
+
+
+@pytest.mark.parametrize("function", ["rank", "dense_rank"])
+def test_ranks_spread_the_rows_of_one_value(spark, function):
+    """Only distinct order values are numbered: no window sorts the rows."""
+    table = spark.range(3000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 > 0, F.lit(1.5)).alias("v"), "id").cache()
+    plain = {"rank": F.rank, "dense_rank": F.dense_rank}[function]().over(over(["k"], "v")).cast("bigint")
+    got = windows.rank_rows(table, function, "k", "v")
+    same(got, table.withColumn(function, plain))
+    assert f"{function}(" not in got._jdf.queryExecution().optimizedPlan().toString()
