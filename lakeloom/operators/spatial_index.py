@@ -11,7 +11,6 @@ segment intersection and ray casting on coordinates in numpy."""
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 
 LEVELS = 16
 BUDGET = 64
+CELLS_AT_ONCE = 500_000  # segment pairs in memory
+SHAPES = 1_000  # shapes covered at once
 
 _KIND = re.compile(r"\s*(MULTI)?(POINT|LINESTRING|POLYGON)\b", re.I)
 _PART = re.compile(r"\(([^()]+)\)")
@@ -108,40 +109,110 @@ def related(left, right, relation: str) -> bool:
     return left[0] < 2 or not any((inside(left, p[:-1]) & ~on_border(left, p[:-1])).any() for p in right[1][1:])
 
 
-def _meets_box(s: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Which segments pass the box (its border counts)."""
+def _pairs(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, i, j): for every group k all i below n[k] with all j below m[k]."""
+    group = np.repeat(np.arange(len(n)), n * m)
+    at = np.arange(len(group)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    return group, at // m[group], at % m[group]
+
+
+class Shapes:
+    """Shapes laid out one after the other: their segments and the first points of their parts."""
+
+    def __init__(self, shapes: list):
+        parts = [segments(x) for x in shapes]
+        self.s = np.concatenate(parts) if parts else np.zeros((0, 4))
+        self.n = np.array([len(x) for x in parts], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        self.area = np.array([x[0] == 2 for x in shapes], bool)
+        firsts = [np.array([p[0] for p in x[1]]) for x in shapes]
+        self.first = np.concatenate(firsts) if firsts else np.zeros((0, 2))
+        self.n_first = np.array([len(x) for x in firsts], np.int64)
+        self.at_first = np.cumsum(self.n_first) - self.n_first
+
+    def hold(self, which: np.ndarray, xy: np.ndarray) -> np.ndarray:
+        """Even-odd rule: whether the polygon of each number holds the point of its row."""
+        group, j, _ = _pairs(self.n[which], np.ones(len(which), np.int64))
+        s, x, y = self.s[self.at[which][group] + j], xy[group, 0], xy[group, 1]
+        straddles = (s[:, 1] > y) != (s[:, 3] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            crosses = x < (s[:, 2] - s[:, 0]) * (y - s[:, 1]) / (s[:, 3] - s[:, 1]) + s[:, 0]
+        return np.bincount(group[straddles & crosses], minlength=len(which)) % 2 == 1
+
+
+def _begins_in(a: Shapes, i: np.ndarray, b: Shapes, j: np.ndarray) -> np.ndarray:
+    """Whether a part of a's shape begins in b's polygon."""
+    got = np.zeros(len(i), bool)
+    at = np.flatnonzero(b.area[j])
+    group, k, _ = _pairs(a.n_first[i[at]], np.ones(len(at), np.int64))
+    held = b.hold(j[at][group], a.first[a.at_first[i[at]][group] + k])
+    got[at[group[held]]] = True
+    return got
+
+
+def intersecting(a: Shapes, i: np.ndarray, b: Shapes, j: np.ndarray) -> np.ndarray:
+    """``related(…, "intersects")`` of a's shapes i with b's shapes j, runs of pairs at a time."""
+    out = np.zeros(len(i), bool)
+    done = np.cumsum(a.n[i] * b.n[j]) // CELLS_AT_ONCE
+    for run in np.split(np.arange(len(i)), np.flatnonzero(np.diff(done)) + 1):
+        x, y = i[run], j[run]
+        group, k, m = _pairs(a.n[x], b.n[y])
+        s, t = a.s[a.at[x][group] + k], b.s[b.at[y][group] + m]
+        p, q, r, u = s[:, :2], s[:, 2:], t[:, :2], t[:, 2:]
+        meet = ((np.minimum(p, q) <= np.maximum(r, u)) & (np.minimum(r, u) <= np.maximum(p, q))).all(axis=1)
+        meet &= (_side(p, q, r) * _side(p, q, u) <= 0) & (_side(r, u, p) * _side(r, u, q) <= 0)
+        out[run] = (np.bincount(group[meet], minlength=len(run)) > 0) | _begins_in(a, x, b, y) | _begins_in(b, y, a, x)
+    return out
+
+
+def _meets_box(s: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Which segments pass the box of their row (its border counts)."""
     near = ((np.minimum(s[:, 0], s[:, 2]) <= x1) & (np.maximum(s[:, 0], s[:, 2]) >= x0)
             & (np.minimum(s[:, 1], s[:, 3]) <= y1) & (np.maximum(s[:, 1], s[:, 3]) >= y0))
-    corners = np.array([[x0, y0], [x1, y0], [x0, y1], [x1, y1]])
-    side = _side(s[:, None, :2], s[:, None, 2:], corners[None])
+    corners = np.stack([np.stack([x, y], axis=-1) for x in (x0, x1) for y in (y0, y1)], axis=1)
+    side = _side(s[:, None, :2], s[:, None, 2:], corners)
     return near & (side.min(axis=1) <= 0) & (side.max(axis=1) >= 0)
 
 
-def cover(shape, frame: tuple[float, float, float], budget: int = BUDGET, levels: int = LEVELS) -> list[tuple]:
-    """(level, column, row, wholly inside) of disjoint cells that hold the shape."""
+def covers(shapes: list, frame: tuple[float, float, float], budget: int = BUDGET, levels: int = LEVELS) -> list[np.ndarray]:
+    """(shape, level, column, row, wholly inside), an array each: disjoint cells that hold
+    the shapes. All shapes go down level by level; one stops where the next level could
+    pass its budget."""
     x0, y0, size = frame
-    s = segments(shape)
-    out: list[tuple] = []
-    heap = [(0, 0, 0, 0, np.arange(len(s)))]  # largest cells first; a number of their own tells entries apart
-    number = 0
-    deepest = levels
-    while heap:
-        level, _, i, j, held = heapq.heappop(heap)
+    laid = Shapes(shapes)
+    owner, ci, cj = np.arange(len(shapes)), np.zeros(len(shapes), np.int64), np.zeros(len(shapes), np.int64)
+    cell, seg = np.repeat(owner, laid.n), np.arange(len(laid.s))  # the segments that each cell may hold
+    spent = np.zeros(len(shapes), np.int64)
+    out = []
+    for level in range(levels + 1):
         side = size / (1 << level)
-        x, y = x0 + i * side, y0 + j * side
-        held = held[_meets_box(s[held], x, y, x + side, y + side)]
-        if not len(held):
-            if shape[0] == 2 and inside(shape, np.array([[x + side / 2, y + side / 2]]))[0]:
-                out.append((level, i, j, True))
-            continue
-        if level == deepest or len(out) + len(heap) + 4 > budget:
-            out.append((level, i, j, False))
-            continue
-        for a in (0, 1):
-            for b in (0, 1):
-                number += 1
-                heapq.heappush(heap, (level + 1, number, 2 * i + a, 2 * j + b, held))
-    return out
+        x, y = x0 + ci * side, y0 + cj * side
+        held = _meets_box(laid.s[seg], x[cell], y[cell], x[cell] + side, y[cell] + side)
+        cell, seg = cell[held], seg[held]
+        border = np.bincount(cell, minlength=len(owner)) > 0
+        free = np.flatnonzero(~border & laid.area[owner])
+        free = free[laid.hold(owner[free], np.stack([x[free] + side / 2, y[free] + side / 2], axis=1))]
+        spent += np.bincount(owner[free], minlength=len(shapes))
+        active = np.bincount(owner[border], minlength=len(shapes))
+        divided = border & ((spent + 4 * active <= budget) & (level < levels))[owner]
+        for at, inner in ((free, True), (np.flatnonzero(border & ~divided), False)):
+            out.append([owner[at], np.full(len(at), level), ci[at], cj[at], np.full(len(at), inner)])
+        spent += np.bincount(owner[border & ~divided], minlength=len(shapes))
+        # four cells for each divided one
+        number = np.cumsum(divided) - 1
+        kept = divided[cell]
+        cell, seg = number[cell[kept]], seg[kept]
+        cell, seg = (4 * cell[:, None] + np.arange(4)).ravel(), np.repeat(seg, 4)
+        owner, four = np.repeat(owner[divided], 4), np.tile(np.arange(4), int(divided.sum()))
+        ci, cj = 2 * np.repeat(ci[divided], 4) + four // 2, 2 * np.repeat(cj[divided], 4) + four % 2
+        if not len(owner):
+            break
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def cover(shape, frame: tuple[float, float, float], budget: int = BUDGET, levels: int = LEVELS) -> list[tuple]:
+    """(level, column, row, wholly inside) of disjoint cells that hold the shape."""
+    return list(zip(*(c.tolist() for c in covers([shape], frame, budget, levels)[1:])))
 
 
 CELLS = "id long, level int, ci long, cj long, sure boolean, own boolean"
@@ -151,9 +222,11 @@ _POINT = re.compile(r"\s*POINT\s*\(\s*(\S+)\s+(\S+)\s*\)\s*$", re.I)
 NAMES = ["id", "level", "ci", "cj", "sure", "own"]
 
 
-def _cells(frame, budget: int, above_at: list[int]):
-    """Cells of every shape, and the cells above them at the levels ``above_at``."""
+def _cells(frame, budget: int, above_at: list[int], deepest: int = LEVELS):
+    """Cells of every shape, down to the level ``deepest``, and the cells above them at the
+    levels ``above_at``."""
     x0, y0, size = frame
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
     def points(ids: list[int], xy: np.ndarray):
         at = np.clip(((xy - [x0, y0]) / size * (1 << LEVELS)).astype(np.int64), 0, (1 << LEVELS) - 1)
@@ -162,27 +235,35 @@ def _cells(frame, budget: int, above_at: list[int]):
             yield [np.array(ids), np.full(len(ids), level, np.int32), at[:, 0] >> (LEVELS - level), at[:, 1] >> (LEVELS - level),
                    np.zeros(len(ids), bool), np.full(len(ids), own)]
 
+    def others(ids: list[int], shapes: list):
+        shape, level, ci, cj, sure = covers(shapes, frame, budget, deepest)
+        ids = np.array(ids)
+        yield [ids[shape], level, ci, cj, sure, np.ones(len(shape), bool)]
+        for k in above_at:
+            below = level > k
+            up = level[below] - k
+            packed = np.unique((shape[below] << 2 * LEVELS) | ((ci[below] >> up) << LEVELS) | (cj[below] >> up))
+            no, last = np.zeros(len(packed), bool), (1 << LEVELS) - 1
+            yield [ids[packed >> 2 * LEVELS], np.full(len(packed), k), (packed >> LEVELS) & last, packed & last, no, no]
+
     def run(batches):
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         for batch in batches:
-            out, ids, xy = [], [], []
+            ids, xy, other, shapes = [], [], [], []
             for i, wkt in zip(batch.column("id").to_pylist(), batch.column("wkt").to_pylist()):
-                point = _POINT.match(wkt or "")
                 shape = parse(wkt)
                 if shape is None:
                     continue
-                if point:
+                if _POINT.match(wkt):
                     ids.append(i)
                     xy.append(shape[1][0][0])
-                    continue
-                own = cover(shape, frame, budget)
-                above = {(k, a >> (level - k), b >> (level - k)) for level, a, b, _ in own for k in above_at if k < level}
-                out += [(i, *c, True) for c in own] + [(i, *c, False, False) for c in above]
-            if ids:
-                for columns in points(ids, np.array(xy)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=NAMES)
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=NAMES)
+                else:
+                    other.append(i)
+                    shapes.append(shape)
+            found = list(points(ids, np.array(xy))) if ids else []
+            for at in range(0, len(shapes), SHAPES):
+                found += others(other[at:at + SHAPES], shapes[at:at + SHAPES])
+            for columns in found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=NAMES)
 
     return run
 
@@ -202,15 +283,19 @@ def _decide(relation: str):
     def run(batches):
         for batch in batches:
             known: dict = {}
-
-            def shape(wkt):
-                if wkt not in known:
-                    known[wkt] = parse(wkt)
-                return known[wkt]
-
-            keep = [sure or related(shape(a), shape(b), relation)
-                    for a, b, sure in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("sure").to_pylist())]
-            yield batch.select(["l", "r"]).filter(pa.array(keep, pa.bool_()))
+            sure = batch.column("sure").to_numpy(zero_copy_only=False).astype(bool)
+            ask = np.flatnonzero(~sure)
+            sides = [batch.column(c).take(pa.array(ask)).to_pylist() for c in ("a", "b")]
+            shapes: list = []
+            for wkt in dict.fromkeys(sides[0] + sides[1]):
+                known[wkt] = len(shapes)
+                shapes.append(parse(wkt))
+            i, j = (np.array([known[w] for w in side], np.int64) for side in sides)
+            if relation == "intersects":
+                sure[ask] = intersecting(laid := Shapes(shapes), i, laid, j)
+            else:
+                sure[ask] = [related(shapes[x], shapes[y], relation) for x, y in zip(i, j)]
+            yield batch.select(["l", "r"]).filter(pa.array(sure, pa.bool_()))
 
     return run
 
@@ -230,7 +315,8 @@ def join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, rel
     # the cells above a shape's own matter at the levels of the other side's own cells
     cb = shapes[1].mapInArrow(_cells(frame, budget, list(range(LEVELS + 1))), CELLS).checkpoint(eager=True)
     levels = sorted(r[0] for r in cb.where("own").select("level").distinct().collect())  # at most LEVELS + 1
-    ca = shapes[0].mapInArrow(_cells(frame, budget, levels), CELLS)
+    # below the other side's deepest own cell a smaller cell meets nothing else
+    ca = shapes[0].mapInArrow(_cells(frame, budget, levels, max(levels, default=LEVELS)), CELLS)
     cell = ["level", "ci", "cj"]
     ca = ca.withColumnsRenamed({"id": "l", "sure": "l_sure", "own": "l_own"})
     cb = cb.withColumnsRenamed({"id": "r", "sure": "r_sure", "own": "r_own"})
