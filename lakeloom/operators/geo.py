@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,12 @@ def geo_intersects(df: DataFrame, geom_column: str, target_wkt: str, output: str
 
     @F.pandas_udf("boolean")
     def meets(wkt: pd.Series) -> pd.Series:
-        return wkt.map(lambda w: None if spatial_index.parse(w) is None else spatial_index.related(spatial_index.parse(w), target, "intersects"))
+        shapes = [spatial_index.parse(w) for w in wkt]
+        at = [i for i, s in enumerate(shapes) if s is not None]
+        laid = spatial_index.Shapes([shapes[i] for i in at])
+        got = np.full(len(shapes), None, object)
+        got[at] = spatial_index.intersecting(laid, np.arange(len(at)), spatial_index.Shapes([target]), np.zeros(len(at), np.int64))
+        return pd.Series(got)
 
     g = F.col(geom_column)
     if target[0] != 2:

@@ -78,3 +78,33 @@ def test_intersects_a_fixed_shape(spark):
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: None, 6: None}
     line = {r.id: r.intersects for r in geo.geo_intersects(df, "geom", "LINESTRING(0 0, 2 2)").collect()}
     assert line[0] is True and line[1] is False and line[4] is True
+
+
+def test_pairs_are_decided_in_batches(spark, monkeypatch):
+    """The join and the fixed target ask for many pairs at a time, with the same answers."""
+    wkts = shapes(3, 90) + ["MULTIPOINT((50 50), (5 5))", "LINESTRING(7 7)", square(10, 10, 60)]
+    parsed = [si.parse(w) for w in wkts]
+    i, j = (x.ravel() for x in np.indices((len(wkts), len(wkts))))
+    laid = si.Shapes(parsed)
+    want = [si.related(parsed[x], parsed[y], "intersects") for x, y in zip(i, j)]
+    assert si.intersecting(laid, i, laid, j).tolist() == want and 0 < sum(want) < len(want)
+    monkeypatch.setattr(si, "CELLS_AT_ONCE", 40)
+    assert si.intersecting(laid, i, laid, j).tolist() == want
+    monkeypatch.setattr(si, "related", None)  # not one by one
+    df = spark.createDataFrame([(n, w) for n, w in enumerate(wkts)], "id int, geom string")
+    assert geo.geo_intersects(df, "geom", square(0, 0, 10)).where("intersects").count() > 0
+
+
+def test_cells_of_many_shapes_hold_what_cells_of_one_hold():
+    """Cells of a level, all shapes at once; none deeper than asked."""
+    frame = (-10.0, -10.0, 130.0)
+    parsed = [si.parse(w) for w in shapes(4, 60)]
+    shape, level, ci, cj, sure = si.covers(parsed, frame, 24, 5)
+    assert level.max() <= 5 and np.bincount(shape).max() <= 24 and set(shape) == set(range(60))
+    for n, x in enumerate(parsed):
+        own = sorted(zip(level[shape == n], ci[shape == n], cj[shape == n], sure[shape == n]))
+        assert own == sorted(si.cover(x, frame, 24, 5))
+        xy = np.concatenate(x[1])
+        for px, py in xy:
+            at = [(px - frame[0]) / frame[2], (py - frame[1]) / frame[2]]
+            assert any(a <= at[0] * 2 ** k <= a + 1 and b <= at[1] * 2 ** k <= b + 1 for k, a, b, _ in own)
