@@ -3,10 +3,8 @@ normalisation live in :mod:`lakeloom.functions.strings`)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 
 def chunk_list(text: str | None, size: int, overlap: int) -> list[str]:
@@ -28,17 +26,22 @@ def chunk_list(text: str | None, size: int, overlap: int) -> list[str]:
 
 
 def chunk_array(text: Column, size: int, overlap: int) -> Column:
-    """Chunk array per row in an Arrow-batched pandas UDF.
-
-    Python strings slice in O(window); Spark's substring() walks the UTF-8
-    bytes from the start of the text for every window, which is quadratic
-    in the text length (5x slower on the test documents)."""
+    """``chunk_list`` as a column. The text is cut once into pieces of one step, and a chunk
+    is put together from the pieces it spans: substring() would walk the text from its start
+    for every window, which is quadratic in the text length."""
+    s = F.coalesce(text.cast("string"), F.lit(""))
+    if size <= 0:
+        return F.array(s)
+    step = max(size - overlap, 1)
+    spans = -(-size // step)
+    pieces = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def chunks(t: pd.Series) -> pd.Series:
-        return pd.Series([chunk_list(x, size, overlap) for x in t])
+    def chunks(cut: Column) -> Column:
+        last = F.least(F.ceil((F.char_length(s) - size) / F.lit(step)).cast("int"), F.size(cut) - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.array_join(F.slice(cut, k + 1, F.lit(spans)), ""), 1, size))
 
-    return chunks(text.cast("string"))
+    # the pieces are bound to a name, so that they are cut once a row
+    return F.when(F.char_length(s) <= size, F.array(s)).otherwise(F.transform(F.array(pieces), chunks)[0])
 
 
 def chunk_text(df: DataFrame, input_column: str = "text", chunk_size: int = 1000, chunk_overlap: int = 100,

@@ -132,6 +132,18 @@ def test_chunk_text(spark):
     assert {r.chunk_count for r in ov} == {5}
 
 
+def test_chunks_are_cut_in_the_jvm(spark):
+    """No Arrow batch of whole texts goes to Python; same chunks as ``chunk_list``."""
+    texts = [None, "", "a", "x\ny\r\n" * 9, "é😀\u2028z" * 31, "word " * 101, "0123456789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for size, overlap in ((10, 0), (10, 3), (10, 9), (10, 12), (1, 0), (7, -4), (0, 0), (500, 20)):
+        out = tx.chunk_text(df, "text", size, overlap)
+        assert "Python" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.id, r.chunk_index, r.chunk, r.chunk_count) for r in out.collect())
+        want = [(i, k, c, len(cs)) for i, t in enumerate(texts) for cs in [tx.chunk_list(t, size, overlap)] for k, c in enumerate(cs)]
+        assert got == want, (size, overlap)
+
+
 def test_dt_diff_matches_sql_boundaries(spark):
     import random
 
