@@ -122,13 +122,28 @@ def _newest(expire_ms: int | None):
     return run
 
 
+def _newest_of_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: the newest change so far as the state of a streaming aggregate, without a
+    Python call per key. ``__seen`` is the time of the micro-batch, one for all its rows
+    (a replay has it again): what an earlier batch brought is not emitted anew, and of equal
+    changes the earlier one stays."""
+    if isinstance(rows.schema["__order"].dataType, DoubleType):
+        rows = rows.where(~F.isnan("__order"))
+    rest = [c for c in rows.columns if c not in keys]
+    seen = rows.withColumn("__seen", F.current_timestamp())
+    order = F.struct("__order", "__tie", -F.unix_micros("__seen"))
+    best = seen.groupBy(*keys).agg(F.max_by(F.struct(*rest, "__seen"), order).alias("__best"))
+    best = best.where(F.col("__best")["__seen"] == F.current_timestamp())
+    return best.select(*[F.col(c) if c in keys else F.col("__best")[c].alias(c) for c in rows.columns])
+
+
 def stream_upsert(changes: DataFrame, log_path: str, checkpoint: str, keys, order_column: str, expire_hours: float | None = None,
                   trigger_once: bool = True):
     """Follow a change stream and store, per micro-batch, the changes that are the newest
     of their key so far.
 
-    The newest (order value, row hash) of every key is keyed state in the checkpoint, so a
-    change that comes late, in whatever batch, is dropped; rows without an order value or
+    The newest change of every key, by (order value, row hash), is keyed state in the
+    checkpoint (with ``expire_hours`` only those two values are), so a change that comes late, in whatever batch, is dropped; rows without an order value or
     key are dropped too. ``expire_hours`` bounds the state of a running stream (not of one
     that is drained) to keys changed that recently; a late change of another key is then
     stored, and loses when the log is read. Batches lie
@@ -141,9 +156,11 @@ def stream_upsert(changes: DataFrame, log_path: str, checkpoint: str, keys, orde
     order, kind = _order_key(changes, order_column)
     rows = changes.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*ks, order_column]])) \
         .withColumn("__order", order).withColumn("__tie", F.xxhash64(*changes.columns))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout
-    found = rows.groupBy(*ks).applyInPandasWithState(
-        _newest(int(expire_hours * 3_600_000) if expire_hours else None), rows.schema, f"o {kind}, t long", "update", timeout)
+    if expire_hours:  # a timeout needs a state of one's own
+        found = rows.groupBy(*ks).applyInPandasWithState(
+            _newest(int(expire_hours * 3_600_000)), rows.schema, f"o {kind}, t long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    else:
+        found = _newest_of_batch(rows, ks)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         with_id = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]

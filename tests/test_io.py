@@ -138,6 +138,16 @@ def test_stream_upsert_keeps_the_newest_change_of_every_key(spark, tmp_dir):
         _follow(spark, tmp_dir, log, "one", [[]], expire_hours=1)
 
 
+def test_stream_upsert_calls_no_python_per_key(spark, tmp_dir, monkeypatch):
+    """Keys without expiry are an aggregate's state; a batch stores only what it brought."""
+    monkeypatch.setattr(st, "_newest", None)
+    log = os.path.join(tmp_dir, "log")
+    first = [(k, f"v{k}", None, 5) for k in range(40)]
+    _follow(spark, tmp_dir, log, "one", [first, [(1, "late", None, 4), (2, "v2", None, 5), (3, "new", None, 6)]])
+    stored = spark.read.parquet(log)
+    assert {r.v for r in stored.where("batch = 1").collect()} == {"new"} and stored.where("batch = 0").count() == 40
+
+
 def test_repeated_snapshot_replaces_itself(spark, tmp_dir):
     path, jan, feb = os.path.join(tmp_dir, "snap"), dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
