@@ -173,30 +173,22 @@ def semantic_dedupe(df: DataFrame, id_column: str, embedding_column: str = "embe
     holds NaN or infinity, are kept.
 
     The greedy result is the lexicographically-first independent set of the
-    similarity graph; it is computed in rounds over the edge list: a node is
-    decided once every earlier neighbour is decided — kept if none of them
-    was kept. Only graph edges (similar pairs) are ever shuffled. Of equal vectors
+    similarity graph; it is computed in rounds over the edge list: a node without an
+    earlier neighbour is kept, its later neighbours are dropped, and the edges of either
+    are done with, so every round shuffles fewer edges (similar pairs). Of equal vectors
     only the first can be kept, so the graph holds one of them."""
     rows = _usable(df, id_column, embedding_column)
     names = rows.groupBy("x").agg(F.min("id").alias("id"))
     copies = rows.join(names.withColumnRenamed("id", "rep"), "x").where("id <> rep").select(F.col("id").alias("__drop"))
     found = metric_index.near_pairs(names, float(threshold))
     edges = found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).checkpoint(eager=True)
-    nodes = edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct()
-    state = nodes.withColumn("st", F.lit(0)).checkpoint(eager=True)  # 0 undecided, 1 kept, 2 dropped
-    while state.where("st = 0").limit(1).count():  # the smallest undecided node is decided in every round
-        e = edges.join(state.select(F.col("id").alias("i"), F.col("st").alias("si")), "i")
-        per = e.groupBy(F.col("j").alias("id")).agg(
-            F.max(F.when(F.col("si") == 0, 1).otherwise(0)).alias("blocked"),
-            F.max(F.when(F.col("si") == 1, 1).otherwise(0)).alias("has_kept"))
-        nxt = state.join(per, "id", "left").select(
-            "id",
-            F.when(F.col("st") != 0, F.col("st"))
-             .when(F.coalesce(F.col("has_kept"), F.lit(0)) == 1, F.lit(2))
-             .when(F.coalesce(F.col("blocked"), F.lit(0)) == 1, F.lit(0))
-             .otherwise(F.lit(1)).alias("st"))
-        state = nxt.checkpoint(eager=True)
-    dropped = state.where("st = 2").select(F.col("id").alias("__drop"))
+    dropped = edges.select(F.col("j").alias("__drop")).limit(0)
+    while edges.limit(1).count():  # the smallest node has no earlier neighbour
+        first = edges.select("i").join(edges.select(F.col("j").alias("i")), "i", "left_anti").distinct()
+        gone = edges.join(first, "i").select(F.col("j").alias("__drop")).distinct().checkpoint(eager=True)
+        dropped = dropped.unionByName(gone)
+        edges = edges.join(gone.withColumnRenamed("__drop", "j"), "j", "left_anti") \
+            .join(gone.withColumnRenamed("__drop", "i"), "i", "left_anti").select("i", "j").checkpoint(eager=True)
     if threshold <= 1:
         dropped = dropped.unionByName(copies)
     return df.join(dropped, df[id_column] == dropped["__drop"], "left_anti")

@@ -48,3 +48,27 @@ def test_comparisons_grow_little_more_than_the_table(spark):
         work.append(metric_index.comparisons(metric_index.leaves(points, math.sqrt(2 - 2 * 0.97), leaf=60)))
     assert work[1] <= work[0] * 4 ** 1.2
     assert work[1] < 16000 * 16000 / 50
+
+
+def test_cells_that_prune_nothing_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metric_index, "MANY", 100, raising=False)
+    monkeypatch.setattr(metric_index, "BLOCK_BYTES", 10_000, raising=False)
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(900, 12)), clustered(300, 4, 12)])
+    points = frame(spark, list(enumerate(x))).withColumnRenamed("v", "x")
+    visits = metric_index.leaves(points, math.sqrt(2 - 2 * 0.4), leaf=30)
+    assert visits.where("home").count() == len(x)
+    assert visits.count() <= 64 * len(x)  # before: 97,072 rows of 1,200
+    found = metric_index.near_pairs(points, 0.4, leaf=30).collect()
+    assert {(p["i"], p["j"]) for p in found} == brute(x, 0.4)
+
+
+def test_greedy_rounds(spark):
+    x = clustered(400, 5, 6, centres=12)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, kept = u @ u.T >= 0.8, []
+    for i in range(len(x)):
+        if not near[i, kept].any():
+            kept.append(i)
+    got = search.semantic_dedupe(frame(spark, list(enumerate(x))), "id", "v", 0.8).collect()
+    assert sorted(r["id"] for r in got) == kept
