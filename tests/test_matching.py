@@ -134,3 +134,14 @@ def test_spatial_join_fixture(spark):
     far = spark.createDataFrame([(4, "POINT(50 50)")], "id int, geom string")
     left = geo.join_spatial(pts.unionByName(far), polys, "geom", "area", join_type="left").collect()
     assert sorted((r.id, r.name) for r in left if r.id == 4) == [(4, None)]
+
+
+def test_copies_of_few_pairs_are_made_by_many_tasks(spark):
+    # before, a key's copies were made by the one task that held the key
+    from pyspark.sql import functions as F
+
+    df = spark.range(600).select(F.col("id"), F.when(F.col("id") % 2 == 0, "acme limited").otherwise("acme limitid").alias("name"))
+    for out, n in ((similarity.record_match(df, "name", "jaro-winkler", 0.85), 600 * 599 // 2),
+                   (similarity.record_link(df, df, "name", "name"), 600 * 600)):
+        per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per_task) == n and len(per_task) >= 8 and max(per_task) <= n / 4
