@@ -49,7 +49,7 @@ END_ID = 2
 WINDOW = 4096
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 LEADERS, DEPTH = 256, 6  # a key holds DEPTH leader numbers of one byte
 
 

@@ -23,7 +23,8 @@ from .textbytes import word_hashes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 CACHE_WORDS = 1_000_000
-SLICE_CHARS = 500_000
+SLICE_CHARS = 150_000
+NEW_WORDS = 4_000  # encoded at once
 COVERED = 0x300
 SPACE, LETTER, DIGIT, OTHER, UNSAFE = range(5)
 
@@ -49,15 +50,13 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         if special_as_text:
             self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        try:
-            split = spec["pre_tokenizer"]["pretokenizers"][0]
+        try:  # the two parts alone: the file read as JSON would take more memory than the tokenizer
+            normalizer, words = (json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+            split = words["pretokenizers"][0]
             self.by_word = (split["pattern"]["Regex"] == PATTERN and split["behavior"] == "Removed" and split["invert"]
-                            and [n["type"] for n in spec["normalizer"]["normalizers"]] == NORMALIZERS)
-        except (KeyError, TypeError, IndexError):
+                            and [n["type"] for n in normalizer["normalizers"]] == NORMALIZERS)
+        except (AttributeError, KeyError, TypeError, IndexError):
             self.by_word = False
-        del spec
         self.size = self.tokenizer.get_vocab_size()
         self._clear()
 
@@ -78,8 +77,8 @@ class WordTokenizer:
     def _add(self, hashes: np.ndarray, strings: list[str]) -> None:
         """Encode new words, many at a time, and keep their ids."""
         firsts, counts = [], []
-        for k in range(0, len(strings), 20_000):
-            part = strings[k:k + 20_000]
+        for k in range(0, len(strings), NEW_WORDS):
+            part = strings[k:k + NEW_WORDS]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(encoded.ids, np.uint32)
             n = np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part))

@@ -157,3 +157,12 @@ def test_neighbours_meet_wherever_they_lie(spark):
         docs_in.setdefault(r["sequence_id"], set()).add(r["doc_id"])
     pairs = [(a % 1000 % 30 == b % 1000 % 30) for ds in docs_in.values() for a in ds for b in ds if a < b]
     assert sum(pairs) >= 0.7 * len(pairs)
+
+
+def test_workers_keep_no_power_tables():
+    from lakeloom.llm import textbytes
+
+    textbytes._power_tables(200_000)
+    textbytes.give_back()
+    assert len(textbytes._powers[0]) == 1
+    assert len(textbytes._power_tables(10)[0]) == 10
