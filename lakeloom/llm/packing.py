@@ -49,6 +49,8 @@ END_ID = 2
 WINDOW = 4096
 SHARD_TOKENS = 1_000_000
 K1, B = 1.2, 0.75
+OFTEN = 0.25  # part of a shard's documents that makes a term's weights a full row
+KEPT = 0.8  # used documents leave a shard's index as soon as fewer are unused
 SLICE_BYTES = 500_000
 LEADERS, DEPTH = 256, 6  # a key holds DEPTH leader numbers of one byte
 
@@ -86,13 +88,24 @@ class CorpusStats:
         self.mean = total / n if n else 1.0
 
 
+def changes(ordered: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    new = np.empty(len(ordered), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    cum = np.cumsum(count)
+    return np.repeat(first - (cum - count), count) + np.arange(cum[-1] if len(cum) else 0)
+
+
 def distinct(ids: np.ndarray) -> np.ndarray:
-    """The distinct ids, sorted (for short arrays faster than ``np.unique``)."""
-    s = np.sort(ids)
-    keep = np.empty(len(s), bool)
-    keep[:1] = True
-    np.not_equal(s[1:], s[:-1], out=keep[1:])
-    return s[keep]
+    """The distinct ids, sorted (faster than ``np.unique``; numpy sorts 32 bits faster than 16)."""
+    s = np.sort(ids.astype(np.uint32))
+    return s[changes(s)]
 
 
 def rest_of(ids: np.ndarray, window: int) -> np.ndarray:
@@ -150,23 +163,52 @@ class ShardIndex:
     def __init__(self, docs: list[np.ndarray], stats: CorpusStats | None = None):
         n = self.n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
-        pairs, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + owner, return_counts=True)
-        term, self.doc = pairs // n, pairs % n
-        self.terms, self.first = np.unique(term, return_index=True)
-        self.first = np.append(self.first, len(term))
+        terms = np.concatenate(docs)
+        kind = np.uint32 if (int(terms.max(initial=0)) + 1) * n < 1 << 32 else np.int64
+        pairs = terms.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), sizes)
+        pairs.sort()
+        at = np.append(np.flatnonzero(changes(pairs)), len(pairs))
+        pairs, tf = pairs[at[:-1]], np.diff(at)
+        term = pairs // kind(n)
+        self.doc = (pairs - term * kind(n)).astype(np.int64)
+        self.first = np.append(np.flatnonzero(changes(term)), len(term))
+        self.terms = term[self.first[:-1]].astype(np.int64)
         df = np.diff(self.first)
         idf = stats.idf[self.terms] if stats else np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / (stats.mean if stats else sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self._hold(np.arange(n))
+
+    def _hold(self, left: np.ndarray) -> None:
+        """The documents the index holds; ``doc`` counts within them. Terms that a good
+        part of them have get a row of weights over all of them."""
+        self.left = left
+        df = np.diff(self.first)
+        often = np.flatnonzero(df >= np.maximum(OFTEN * len(left), 1))
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(left)))
+        at = runs(self.first[often], df[often])
+        self.rows[np.repeat(np.arange(len(often)), df[often]), self.doc[at]] = self.weight[at]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """BM25 of every document against the distinct terms of ``ids``."""
         t = np.searchsorted(self.terms, distinct(ids))
-        lo, n = self.first[t], self.first[t + 1] - self.first[t]
-        cum = np.cumsum(n)
-        at = np.repeat(lo - (cum - n), n) + np.arange(cum[-1])
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        row = self.row[t]
+        often, t = row[row >= 0], t[row < 0]
+        at = runs(self.first[t], self.first[t + 1] - self.first[t])
+        score = self.rows.take(often, axis=0).sum(axis=0) + np.bincount(self.doc[at], self.weight[at], len(self.left))
+        out = np.zeros(self.n)
+        out[self.left] = score
+        return out
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Forget all documents but the ``wanted`` ones: from now on they score 0."""
+        wanted = wanted[self.left]
+        held = wanted[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(held)])[self.first]
+        self.doc, self.weight = (np.cumsum(wanted) - 1)[self.doc[held]], self.weight[held]
+        self._hold(self.left[wanted])
 
 
 class Leaders:
@@ -187,7 +229,7 @@ class Leaders:
         self.table = np.ascontiguousarray(self.table[:, chain])
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[self.row[distinct(ids)]].sum(axis=0)
+        return self.table.take(self.row[distinct(ids)], axis=0).sum(axis=0)
 
     def key(self, ids: np.ndarray) -> int:
         if not len(ids):
@@ -279,6 +321,8 @@ def fill_windows(docs: list[np.ndarray], window: int, stats: CorpusStats | None
             if filled == window:
                 break
             if ranked is None:
+                if unused.sum() < KEPT * len(index.left):
+                    index.keep(unused)
                 score = np.where(unused, index.scores(docs[seed]), -1.0)
                 # the best few first; the rest only if they do not fill the window
                 some = np.argpartition(-score, min(32, len(score) - 1))[:33]

@@ -42,6 +42,34 @@ def test_other_tokenizer_files_are_used_whole():
     assert w.encode(["Hi there"])[0].tolist() == w.tokenizer.encode("Hi there", add_special_tokens=False).ids
 
 
+def test_new_words_go_through_the_model_alone():
+    w = WordTokenizer(PATH)
+    text = "Zwölf NAÏVE Boxkämpfer's l'été ''re ß½µ x²y £5 ¿qué? it's _a_ 'LL" + " überlangeswort" * 3
+    want = w.tokenizer.encode(text, add_special_tokens=False).ids
+    w.tokenizer = None  # its normaliser and splitter cost twice what merging a word costs
+    assert w.encode([text])[0].tolist() == want
+
+
+def test_cache_grows_with_its_words():
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcdefgäéñ") for _ in range(rnd.randint(2, 9))) for _ in range(6000)})
+    w = WordTokenizer(PATH)
+    for _ in range(2):
+        for i in range(0, len(words), 700):
+            text = " ".join(words[max(i - 300, 0):i + 700])
+            assert w.encode([text])[0].tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(w.known) == len(set(w.known.tolist())) == len(words)
+
+
+def test_files_with_added_words_are_used_whole(tmp_path):
+    spec = WordTokenizer(PATH).tokenizer
+    spec.add_tokens(["oxk"])
+    spec.save(str(tmp_path / "added.json"))
+    w = WordTokenizer(str(tmp_path / "added.json"))
+    assert not w.by_word
+    assert w.encode(["Boxkämpfer oxk"])[0].tolist() == spec.encode("Boxkämpfer oxk", add_special_tokens=False).ids
+
+
 ROWS = [(None, "a b c"), (-5, None), (7, ""), (7, "x " * 9000), (7, "x " * 9000), (2 ** 63 - 1, "q <|endoftext|> r"), (-2 ** 63, "日本 s")] + [
     (i, "word " * (i % 23)) for i in range(100, 160)]
 
@@ -123,6 +151,25 @@ def test_neighbours_come_in_order_of_bm25():
     assert by_seq[0] == [0, 0, 0, 0]  # a window holds the seed's own topic while there is any
 
 
+def test_used_documents_leave_the_index(monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [np.minimum(rng.zipf(1.4, rng.integers(1, 60)), 3000).astype("<u2") for _ in range(120)]
+    index = packing.ShardIndex(docs)
+    assert (index.row >= 0).any() and (index.row < 0).any()  # common terms and others
+    before = np.array([index.scores(d) for d in docs])
+    for part in (rng.random(120) < 0.6, np.arange(120) % 3 == 0, np.zeros(120, bool)):
+        wanted = np.isin(np.arange(120), index.left) & part
+        index.keep(wanted)
+        assert np.allclose([index.scores(d) for d in docs], before * wanted)
+        assert len(index.doc) == sum(len(set(docs[i].tolist())) for i in np.flatnonzero(wanted))
+    held = []
+    scores = packing.ShardIndex.scores
+    monkeypatch.setattr(packing.ShardIndex, "scores", lambda self, ids: held.append(len(self.left)) or scores(self, ids))
+    got = list(packing.fill_windows(docs, 64))
+    assert sum(n for _, _, n, _, _ in got) == sum(map(len, docs))
+    assert held[-1] < 40 and sum(held) < 0.75 * 120 * len(held)
+
+
 def test_statistics_are_those_of_all_documents(spark):
     w = WordTokenizer(PATH)
     rest = [packing.rest_of(np.append(w.encode([t or ""])[0], 2), 256) for _, t in ROWS]
