@@ -155,8 +155,9 @@ def test_more_copies_take_more_tasks_not_longer_ones(spark, monkeypatch):
     monkeypatch.setattr(similarity, "TASK_ROWS", 5_000, raising=False)
     df = spark.range(600).select(F.col("id"), F.when(F.col("id") % 2 == 0, "acme limited").otherwise("acme limitid").alias("name"))
     for out, n in ((similarity.record_match(df, "name", "jaro-winkler", 0.85), 600 * 599 // 2),
-                   (similarity.record_match(df, "name", "levenshtein", 0.75), 600 * 599 // 2)):
+                   (similarity.record_match(df, "name", "levenshtein", 0.75), 600 * 599 // 2),
+                   (similarity.record_link(df, df, "name", "name"), 600 * 600)):
         per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(per_task) == n and max(per_task) <= 2 * 5_000
     none = similarity.record_match(df.where("id < 0"), "name", "jaro-winkler", 0.85)
-    assert none.count() == 0
+    assert none.count() == 0 and similarity.record_link(df.where("id < 0"), df, "name", "name").count() == 0
